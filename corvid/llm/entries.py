@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from corvid.llm.license_rules import op6_license_rules
+from corvid.llm.packing import op7_packing
+from corvid.llm.quality_classifier import op9_quality_classifier
 from corvid.llm.quality_rules import op3_quality_rules
 from corvid.llm.simhash import op1_simhash_groups
 
@@ -10,6 +13,9 @@ def queries() -> dict:
     return {
         "op1_simhash_groups": op1_simhash_groups,
         "op3_quality_rules": op3_quality_rules,
+        "op6_license_rules": op6_license_rules,
+        "op7_packing": op7_packing,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
