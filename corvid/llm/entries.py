@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from corvid.llm import chat_format
+from corvid.llm.chat_format import op4_chat_format
+from corvid.llm.decontaminate import op8_decontamination
 from corvid.llm.license_rules import op6_license_rules
 from corvid.llm.packing import op7_packing
 from corvid.llm.quality_classifier import op9_quality_classifier
@@ -13,11 +16,13 @@ def queries() -> dict:
     return {
         "op1_simhash_groups": op1_simhash_groups,
         "op3_quality_rules": op3_quality_rules,
+        "op4_chat_format": op4_chat_format,
         "op6_license_rules": op6_license_rules,
         "op7_packing": op7_packing,
+        "op8_decontamination": op8_decontamination,
         "op9_quality_classifier": op9_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": chat_format.ORACLE}
