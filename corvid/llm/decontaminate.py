@@ -23,11 +23,13 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,34 +219,41 @@ def indexes(benchmark: DataFrame, s: Settings = Settings()) -> Iterator[list[Ind
         yield bands(list(zip(own["item_id"].to_pylist(), as_bytes(own["text"]), strict=True)), frequency, size.n, size.average or 1.0, s)
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row per document and item that it holds, with score and overlaps."""
-    out = docs.sparkSession.createDataFrame([], MATCH)
-    for index in indexes(benchmark, s):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+def _searcher(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kinds = [pa.int64()] * 2 + [pa.float64()] * 4
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                words = words_of(text)
+                for band in shared.value:
+                    rows += [(doc_id, band.ids[k], *v) for k, v in sorted(band.matches(words).items())]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=MATCH.names)
+
+    return search
+
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                    words = words_of(text)
-                    for band in shared.value:
-                        rows += [(doc_id, band.ids[k], *v) for k, v in sorted(band.matches(words).items())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, [pa.int64()] * 2 + [pa.float64()] * 4, strict=True)], names=MATCH.names)
+def _holder(shared: Broadcast):
+    @F.arrow_udf(T.BooleanType())
+    def holds(text: pa.Array) -> pa.Array:
+        return pa.array([any(band.matches(words) for band in shared.value) for words in map(words_of, as_bytes(text))], pa.bool_())
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(search, MATCH))
-    return out
+    return holds
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row per document and item that it holds, with score and overlaps."""
+    spark = docs.sparkSession
+    found = [docs.select("doc_id", "text").mapInArrow(_searcher(spark.sparkContext.broadcast(index)), MATCH) for index in indexes(benchmark, s)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], MATCH)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` without the documents that hold a test item; a filter, nothing moves."""
     for index in indexes(benchmark, s):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.arrow_udf(T.BooleanType())
-        def holds(text: pa.Array, shared=shared) -> pa.Array:
-            return pa.array([any(band.matches(words) for band in shared.value) for words in map(words_of, as_bytes(text))], pa.bool_())
-
+        holds = _holder(docs.sparkSession.sparkContext.broadcast(index))
         docs = docs.where(~holds(F.col("text")))
     return docs
 

@@ -7,6 +7,7 @@ from corvid.llm.chat_format import op4_chat_format
 from corvid.llm.decontaminate import op8_decontamination
 from corvid.llm.license_rules import op6_license_rules
 from corvid.llm.packing import op7_packing
+from corvid.llm.pii import op2_pii
 from corvid.llm.quality_classifier import op9_quality_classifier
 from corvid.llm.quality_rules import op3_quality_rules
 from corvid.llm.simhash import op1_simhash_groups
@@ -15,6 +16,7 @@ from corvid.llm.simhash import op1_simhash_groups
 def queries() -> dict:
     return {
         "op1_simhash_groups": op1_simhash_groups,
+        "op2_pii": op2_pii,
         "op3_quality_rules": op3_quality_rules,
         "op4_chat_format": op4_chat_format,
         "op6_license_rules": op6_license_rules,
