@@ -8,6 +8,7 @@ folder is made once for each Spark application.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,13 @@ def fresh(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    Its cleaner deletes them once the driver's garbage collector finds that
+    nothing refers to them, which may otherwise come hours later.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
