@@ -11,6 +11,7 @@ from corvid.llm.pii import op2_pii
 from corvid.llm.quality_classifier import op9_quality_classifier
 from corvid.llm.quality_rules import op3_quality_rules
 from corvid.llm.simhash import op1_simhash_groups
+from corvid.llm.substring_dedup import op5_substring_dedup
 
 
 def queries() -> dict:
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_pii": op2_pii,
         "op3_quality_rules": op3_quality_rules,
         "op4_chat_format": op4_chat_format,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_license_rules": op6_license_rules,
         "op7_packing": op7_packing,
         "op8_decontamination": op8_decontamination,
