@@ -28,15 +28,15 @@ def folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, label: str, *parts: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in folders by ``parts``, and read it back.
 
     The reader knows the table's size, so Spark itself decides from a checked
     size whether a later join broadcasts it.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/corvid-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path) if parts else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
