@@ -6,6 +6,7 @@ from corvid.llm import chat_format
 from corvid.llm.chat_format import op4_chat_format
 from corvid.llm.decontaminate import op8_decontamination
 from corvid.llm.license_rules import op6_license_rules
+from corvid.llm.ngram_model import op10_ngram_model
 from corvid.llm.packing import op7_packing
 from corvid.llm.pii import op2_pii
 from corvid.llm.quality_classifier import op9_quality_classifier
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op7_packing": op7_packing,
         "op8_decontamination": op8_decontamination,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_ngram_model": op10_ngram_model,
     }
 
 
