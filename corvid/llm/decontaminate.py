@@ -2,8 +2,9 @@
 
 Items are few against the corpus, so they are indexed and documents are the
 queries: each document is read as overlapping passages, and block-max WAND
-gives every item whose BM25 score is at least ``min_score`` of the score that
-the item gives itself. A retrieved item counts once its five-word shingles
+gives every item whose BM25 score is a high enough share of the score that
+the item gives itself: the least share that an item with 0.8 of its shingles
+can have. A retrieved item counts once its five-word shingles
 stand in the passage: at least 0.8 of them, and half of its question's and of
 its answer's each.
 
@@ -51,10 +52,11 @@ class Settings:
 
     k1: float = 1.2
     b: float = 0.75
-    min_score: float = 0.5
     min_overlap: float = 0.8
     min_part: float = 0.5
-    block: int = 64
+    band: float = 1.25
+    block: int = 2
+    max_blocks: int = 64
     max_items: int = 5000
 
 
@@ -78,79 +80,78 @@ def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
 
 @dataclass
 class Postings:
-    """Items in order, their impacts (scores as shares of the item's own), and block maxima."""
+    """Items in order and their impacts (scores as shares of the item's own)."""
 
     items: list[int] = field(default_factory=list)
     impacts: list[float] = field(default_factory=list)
-    maxima: list[float] = field(default_factory=list)
-    top: float = 0.0
-
-    def close(self, block: int) -> None:
-        self.maxima = [max(self.impacts[i : i + block]) for i in range(0, len(self.impacts), block)]
-        self.top = max(self.impacts)
 
 
 class Index:
-    """Inverted index of the items of one length band."""
+    """Inverted index of the items of one length band.
 
-    def __init__(self, items: list[tuple[int | None, bytes]], df: dict[bytes, int], n: int, average: float, s: Settings):
+    Items are numbered in order and cut into at most ``max_blocks`` ranges;
+    ``maxima`` holds each term's greatest impact in each range. ``least`` is
+    the score that an item with ``min_overlap`` of its shingles has at least:
+    each missing term costs a shingle, so at most that many of its greatest
+    impacts can be missing.
+    """
+
+    def __init__(self, items: list[tuple[int | None, bytes]], df: dict[bytes, int], n: int, average: float, s: Settings, row: dict[bytes, int]):
+        self.row = row
         self.s, self.ids, self.parts, self.lists = s, [], [], {}
-        self.longest = 0
+        self.longest, self.least = 0, 1.0
         for item_id, text in items:
             words = words_of(text)
             idf = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in set(words)}
             norm = s.k1 * (1 - s.b + s.b * len(words) / average)
             impact = {w: idf[w] * c * (s.k1 + 1) / (c + norm) for w, c in Counter(words).items()}
-            own, k = sum(impact.values()), len(self.ids)
+            own, k, whole = sum(impact.values()), len(self.ids), shingles(words)
             for w, v in impact.items():
                 p = self.lists.setdefault(w, Postings())
                 p.items.append(k)
                 p.impacts.append(v / own)
             question, answer = question_and_answer(text)
             self.ids.append(item_id)
-            self.parts.append((shingles(words), shingles(question), shingles(answer)))
+            self.parts.append((whole, shingles(question), shingles(answer)))
             self.longest = max(self.longest, len(words))
-        for p in self.lists.values():
-            p.close(s.block)
-        self.bound = {w: p.top for w, p in self.lists.items()}
-
-    def search(self, terms: set[bytes]) -> list[tuple[int, float]]:
-        """Block-max WAND: every item whose score reaches the threshold."""
-        least, block = self.s.min_score - 1e-9, self.s.block
-        live = [[0, self.lists[t]] for t in sorted(terms) if t in self.lists]
+            missing = int((1 - s.min_overlap) * len(whole) + 1e-9)
+            self.least = min(self.least, 1 - sum(sorted(impact.values(), reverse=True)[:missing]) / own)
+        self.least = max(self.least - 1e-6, 1e-3)
+        self.block = max(s.block, -(-len(self.ids) // s.max_blocks))
+        self.maxima = np.zeros((len(row) + 1, -(-len(self.ids) // self.block)))
+        for w, p in self.lists.items():
+            np.maximum.at(self.maxima[row[w]], np.array(p.items) // self.block, p.impacts)
+        self.known = self.maxima.any(axis=1)
+
+    def search(self, terms: list[bytes]) -> list[tuple[int, float]]:
+        """Block-max WAND: every item whose score reaches ``least``."""
+        rows = self.maxima[[self.row[t] for t in terms]]
+        tops, open_blocks = rows.max(axis=1), rows.sum(axis=0) >= self.least
+        live = [[0, self.lists[t], top] for t, top in zip(terms, tops.tolist(), strict=True)]
         found = []
         while live:
             live.sort(key=lambda c: c[1].items[c[0]])
             reach, pivot = 0.0, -1
-            for k, (_, p) in enumerate(live):
-                reach += p.top
-                if reach >= least:
+            for k, (_, _, top) in enumerate(live):
+                reach += top
+                if reach >= self.least:
                     pivot = k
                     break
             if pivot < 0:
                 break
             item = live[pivot][1].items[live[pivot][0]]
-            while pivot + 1 < len(live) and live[pivot + 1][1].items[live[pivot + 1][0]] == item:
-                pivot += 1
-            ahead = []  # block maxima at the pivot's item, and where those blocks end
-            for at, p in live[: pivot + 1]:
-                k = bisect_left(p.items, item, at) // block
-                if k < len(p.maxima):
-                    ahead.append((p.maxima[k], p.items[min((k + 1) * block, len(p.items)) - 1]))
-            if sum(m for m, _ in ahead) < least:
-                to = min((e for _, e in ahead), default=item) + 1
-                if pivot + 1 < len(live):
-                    to = min(to, live[pivot + 1][1].items[live[pivot + 1][0]])
-                to = max(to, item + 1)
-                for c in live[: pivot + 1]:
+            if not open_blocks[item // self.block]:  # no item of this range can reach it
+                to = (item // self.block + 1) * self.block
+                for c in live:
                     c[0] = bisect_left(c[1].items, to, c[0])
             elif live[0][1].items[live[0][0]] == item:
                 score = 0.0
-                for c in live[: pivot + 1]:
-                    if c[1].items[c[0]] == item:
-                        score += c[1].impacts[c[0]]
-                        c[0] += 1
-                if score >= least:
+                for c in live:
+                    if c[1].items[c[0]] != item:
+                        break
+                    score += c[1].impacts[c[0]]
+                    c[0] += 1
+                if score >= self.least:
                     found.append((item, score))
             else:
                 for c in live[:pivot]:
@@ -158,38 +159,53 @@ class Index:
             live = [c for c in live if c[0] < len(c[1].items)]
         return found
 
-    def matches(self, words: list[bytes]) -> dict[int, tuple[float, float, float, float]]:
-        """Items that the document's passages hold, with score and overlaps (the best of all passages)."""
-        half = self.longest
-        if not half or len(words) < SHINGLE:
-            return {}
-        get = self.bound.get
-        sums = np.concatenate([[0.0], np.cumsum(np.fromiter((get(w, 0.0) for w in words), float, len(words)))])
-        starts = np.arange(0, max(1, len(words) - half), half)
-        reach = sums[np.minimum(starts + 2 * half, len(words))] - sums[starts]
+    def matches(self, words: list[bytes], rows: np.ndarray) -> dict[int, tuple[float, float, float, float]]:
+        """Items that the document's passages hold, with score and overlaps (the best of all passages).
+
+        A passage is two strides long and a stride is longer than any item, so
+        every item stands whole in a passage. A first pass adds up the block
+        maxima of a passage's words; only passages in which some range of
+        items can reach ``least`` are searched.
+        """
+        stride = self.longest + self.longest // 8 + 2
+        at = np.flatnonzero(self.known[rows])
+        sums = np.zeros((len(at) + 1, self.maxima.shape[1]))
+        np.cumsum(self.maxima[rows[at]], axis=0, out=sums[1:])
+        starts = np.arange(0, max(1, len(words) - stride), stride)
+        reach = (sums[at.searchsorted(starts + 2 * stride)] - sums[at.searchsorted(starts)]).max(axis=1)
         best: dict[int, tuple[float, float, float, float]] = {}
-        for at in starts[reach >= self.s.min_score - 1e-9].tolist():
-            terms = {w for w in words[at : at + 2 * half] if w in self.bound}
-            if sum(self.bound[w] for w in terms) < self.s.min_score - 1e-9:
-                continue
+        for begin in starts[reach >= self.least - 1e-9].tolist():
+            terms = sorted({w for w in words[begin : begin + 2 * stride] if w in self.lists})
             near = None
             for item, score in self.search(terms):
                 if near is None:
-                    near = shingles(words[max(0, at - half) : at + 3 * half])
+                    near = shingles(words[begin : begin + 2 * stride])
                 share = [len(p & near) / len(p) if p else 1.0 for p in self.parts[item]]
                 if share[0] >= self.s.min_overlap and min(share[1:]) >= self.s.min_part:
                     best[item] = max(best.get(item, (0.0,)), (score, *share))
         return best
 
 
-def bands(items: list[tuple[int | None, bytes]], df: dict[bytes, int], n: int, average: float, s: Settings) -> list[Index]:
-    """One index per doubling of the items' length, so that passages fit their items."""
-    by: dict[int, list[tuple[int | None, bytes]]] = {}
-    for x in items:
-        size = len(words_of(x[1]))
-        if size >= SHINGLE:
-            by.setdefault(size.bit_length(), []).append(x)
-    return [Index(by[k], df, n, average, s) for k in sorted(by)]
+class Searcher:
+    """The indexes of all length bands over one vocabulary; bands keep passages close to their items' length."""
+
+    def __init__(self, items: list[tuple[int | None, bytes]], df: dict[bytes, int], n: int, average: float, s: Settings):
+        by: dict[int, list[tuple[int | None, bytes]]] = {}
+        for x in items:
+            size = len(words_of(x[1]))
+            if size >= SHINGLE:
+                by.setdefault(int(math.log(size) / math.log(s.band)), []).append(x)
+        self.row = {w: k + 1 for k, w in enumerate(sorted({w for own in by.values() for _, t in own for w in words_of(t)}))}
+        self.bands = [Index(by[k], df, n, average, s, self.row) for k in sorted(by)]
+
+    def matches(self, text: bytes) -> list[tuple[int | None, float, float, float, float]]:
+        """``(item_id, score, overlaps)`` of every item that the text holds."""
+        words = words_of(text)
+        if len(words) < SHINGLE:
+            return []
+        get = self.row.get
+        rows = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        return [(band.ids[k], *v) for band in self.bands for k, v in sorted(band.matches(words, rows).items())]
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -202,7 +218,7 @@ def _count_words(text: pa.Array) -> pa.Array:
     return pa.array([len(words_of(x)) for x in as_bytes(text)], pa.int64())
 
 
-def indexes(benchmark: DataFrame, s: Settings = Settings()) -> Iterator[list[Index]]:
+def indexes(benchmark: DataFrame, s: Settings = Settings()) -> Iterator[Searcher]:
     """The index of each block of at most about ``max_items`` items; one block for a usual benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.count("*").alias("n"), F.avg(_count_words("text")).alias("average")).first()
@@ -216,7 +232,7 @@ def indexes(benchmark: DataFrame, s: Settings = Settings()) -> Iterator[list[Ind
         own = terms.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").toArrow()
         df = counts.join(words.where(F.col("block") == k).select("word").distinct(), "word").toArrow()
         frequency = dict(zip(as_bytes(df["word"]), df["df"].to_pylist(), strict=True))
-        yield bands(list(zip(own["item_id"].to_pylist(), as_bytes(own["text"]), strict=True)), frequency, size.n, size.average or 1.0, s)
+        yield Searcher(list(zip(own["item_id"].to_pylist(), as_bytes(own["text"]), strict=True)), frequency, size.n, size.average or 1.0, s)
 
 
 def _searcher(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -226,9 +242,7 @@ def _searcher(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                words = words_of(text)
-                for band in shared.value:
-                    rows += [(doc_id, band.ids[k], *v) for k, v in sorted(band.matches(words).items())]
+                rows += [(doc_id, *x) for x in shared.value.matches(text)]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=MATCH.names)
 
@@ -238,7 +252,7 @@ def _searcher(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def _holder(shared: Broadcast):
     @F.arrow_udf(T.BooleanType())
     def holds(text: pa.Array) -> pa.Array:
-        return pa.array([any(band.matches(words) for band in shared.value) for words in map(words_of, as_bytes(text))], pa.bool_())
+        return pa.array([bool(shared.value.matches(x)) for x in as_bytes(text)], pa.bool_())
 
     return holds
 
