@@ -76,13 +76,13 @@ def near_pairs(df: DataFrame, key: str, block: str, hashes: Sequence[str], max_d
     columns = [key, block, *hashes] + ([digest] if digest else [])
     rows = df.where(" and ".join(f"`{h}` is not null" for h in hashes)).select(*columns)
     if max_distance < bands:
-        keys = F.array(*(F.struct(F.lit(4 * i + j).alias("band"), F.shiftrightunsigned(F.col(h), 16 * j).bitwiseAND(F.lit(0xFFFF)).alias("bits")) for i, h in enumerate(hashes) for j in range(4)))
+        keys = F.array(*(F.struct(F.lit(4 * i + j).alias("band"), F.shiftrightunsigned(F.col(h), 16 * j).bitwiseAND(F.lit(0xFFFF)).alias("band_bits")) for i, h in enumerate(hashes) for j in range(4)))
     else:
-        keys = F.array(F.struct(F.lit(0).alias("band"), F.lit(0).cast("long").alias("bits")))
+        keys = F.array(F.struct(F.lit(0).alias("band"), F.lit(0).cast("long").alias("band_bits")))
     rows = rows.select(*columns, F.explode(keys).alias("k")).select(*columns, "k.*")
     a, b = rows.alias("a"), rows.alias("b")
     distance = sum((F.bit_count(F.col(f"a.{h}").bitwiseXOR(F.col(f"b.{h}"))) for h in hashes), F.lit(0))
-    match = (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (distance <= max_distance)
+    match = (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.band_bits") == F.col("b.band_bits")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (distance <= max_distance)
     if digest:
         match = match & ~F.col(f"a.{digest}").eqNullSafe(F.col(f"b.{digest}"))
     return a.join(b, match).select(F.col(f"a.{block}").alias("block"), F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"), distance.alias("distance")).distinct()

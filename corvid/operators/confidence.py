@@ -93,7 +93,7 @@ def rates(examples: DataFrame, accepted: Column) -> DataFrame:
 
 def sources_accepted(examples: DataFrame, accepted: Column) -> DataFrame:
     """Whether any sample of a source was accepted."""
-    return examples.groupBy(F.coalesce(F.nullif("source_slug", F.lit("")), F.col("sample_id")).alias("source")).agg(F.bool_or(accepted).alias("accepted"))
+    return examples.groupBy(F.coalesce(F.nullif("source_slug", F.lit("")), F.col("sample_id").cast("string")).alias("source")).agg(F.bool_or(accepted).alias("accepted"))
 
 
 def calibration_error(examples: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
