@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 
     Its cleaner deletes them once the driver's garbage collector finds that
-    nothing refers to them, which may otherwise come hours later.
+    nothing refers to them, which may otherwise come hours later. The second
+    round finds what Python let go in the first.
     """
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.5)

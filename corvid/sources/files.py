@@ -33,19 +33,23 @@ def load_catalog(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """Rows of a JSON-lines file; blank lines are skipped. Strict reading fails on a line that is no object."""
-    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    bad = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(bad).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    if not strict:
-        return rows.where("_corrupt is null").drop("_corrupt")
-    checked = F.when(F.col("_corrupt").isNotNull(), F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("_corrupt")))).otherwise(F.lit(True))
-    return rows.where(checked).drop("_corrupt")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if strict:
+        failed = F.raise_error(F.concat(F.lit("not a JSON object: "), "value"))
+        lines = lines.where(F.when(_is_object(F.col("value")), F.lit(True)).otherwise(failed.cast("boolean")))
+    else:
+        lines = lines.where(_is_object(F.col("value")))
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def _is_object(line):
+    return F.trim(line).startswith("{") & F.try_parse_json(line).isNotNull()
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line)`` texts that are no JSON object."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
-    return lines.where(F.try_parse_json("line").isNull() | ~F.trim("line").startswith("{"))
+    return lines.where(~_is_object(F.col("line")))
 
 
 def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
