@@ -9,9 +9,9 @@ document with a smaller id; every word that such a phrase covers is removed.
 2. Phrases. Only windows with such an anchor can be repeated. Their 128-bit
    keys, with the smallest and largest id of each chunk, confirm which stand
    in a smaller document.
-3. Automata. Each chunk compiles an automaton of the phrases confirmed for it
-   (shards of at most ``max_phrases``) and streams all its documents through,
-   marking every occurrence.
+3. Automata. Each chunk compiles automata of its confirmed phrases' anchors
+   (shards of at most ``MAX_ANCHORS``) and streams all its documents through;
+   at every hit the phrases around that anchor are held against the keys.
 
 Exact copies of a whole text are not compared phrase by phrase: all but the
 one with the smallest id lose every word, if there are 13.
@@ -42,8 +42,9 @@ from corvid.plans.scratch import materialise, release
 
 PHRASE = 13
 GRAM = 5
-MAX_PHRASES = 100_000
-FLUSH = 4_000_000
+MAX_ANCHORS = 200_000
+LETTERS = 4
+FLUSH = 1_500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NO_ID = np.int64(2**63 - 1)
 
@@ -93,7 +94,7 @@ def chunk_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
     def emit(chunk: int, found: list) -> pa.RecordBatch:
         anchors, texts = (np.concatenate(x) for x in zip(*found, strict=True))
         (anchors,), low, high, _ = _lowest([anchors], texts, texts)
-        return chunks.bucket_rows(anchors, {"anchors": anchors, "low": low, "high": high}, buckets, {"chunk": chunk})
+        return chunks.bucket_rows(anchors, {"anchors": anchors, "low": low, "span": low ^ high}, buckets, {"chunk": chunk})
 
     for chunk, group in chunks.runs(batches, "chunk"):
         found, held = [], 0
@@ -115,8 +116,8 @@ def recurring_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for _, group in chunks.runs(batches, "bucket"):
         rows = list(group)
         chunk = np.concatenate([np.repeat(b.column("chunk").to_numpy(), chunks.sizes(b, "anchors")) for b in rows])
-        anchors, low, high = (np.concatenate([chunks.flat(b, c) for b in rows]) for c in ("anchors", "low", "high"))
-        distinct, least, most, _ = _lowest([anchors], low, high)
+        anchors, low, span = (np.concatenate([chunks.flat(b, c) for b in rows]) for c in ("anchors", "low", "span"))
+        distinct, least, most, _ = _lowest([anchors], np.minimum(low, low ^ span), np.maximum(low, low ^ span))
         again = distinct[0][least != most]
         kept = np.isin(anchors, again)
         yield chunks.bucket_rows(anchors[kept], {"anchors": anchors[kept]}, 0, {}, by=chunk[kept], name="chunk")
@@ -128,7 +129,7 @@ def chunk_phrases(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
     def emit(chunk: int, found: list) -> pa.RecordBatch:
         a, b, doc = (np.concatenate(x) for x in zip(*found, strict=True))
         (a, b), low, high, _ = _lowest([a, b], doc, doc)
-        return chunks.bucket_rows(a, {"a": a, "b": b, "low": low, "high": high}, buckets, {"chunk": chunk})
+        return chunks.bucket_rows(a, {"a": a, "b": b, "low": low, "span": high - low}, buckets, {"chunk": chunk})
 
     for chunk, group in chunks.runs(batches, "chunk"):
         answers: list[pa.RecordBatch] = []
@@ -159,9 +160,9 @@ def confirmed_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         rows = list(group)
         chunk = np.concatenate([np.repeat(b.column("chunk").to_numpy(), chunks.sizes(b, "a")) for b in rows])
         a, b = (np.concatenate([chunks.flat(x, c) for x in rows]) for c in ("a", "b"))
-        low, high = (np.concatenate([chunks.flat(x, c, "<i8") for x in rows]) for c in ("low", "high"))
+        low, span = (np.concatenate([chunks.flat(x, c, "<i8") for x in rows]) for c in ("low", "span"))
         order = np.lexsort([b, a])
-        a, b, chunk, low, high = a[order], b[order], chunk[order], low[order], high[order]
+        a, b, chunk, low, high = a[order], b[order], chunk[order], low[order], low[order] + span[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
         first = np.repeat(np.minimum.reduceat(low, begin), np.diff(np.r_[begin, len(a)])) if len(a) else low
@@ -170,87 +171,106 @@ def confirmed_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 class Automata:
-    """Shards of automata over word ids; each phrase carries the smallest id it starts in."""
+    """Shards of automata over the anchors of confirmed phrases.
 
-    def __init__(self, phrases: Iterator[tuple[tuple[int, ...], int]], max_phrases: int = MAX_PHRASES):
+    A word is spelled in four letters of an alphabet of 64, so nodes have few
+    children; a hit must begin on a word.
+    """
+
+    def __init__(self, anchors: list[str], max_anchors: int = MAX_ANCHORS):
         self.shards = []
-        shard, n = self._new(), 0
-        for words, first in phrases:
-            shard.add_word(words, first)
-            n += 1
-            if n == max_phrases:
-                self._close(shard)
-                shard, n = self._new(), 0
-        if n:
-            self._close(shard)
-
-    @staticmethod
-    def _new():
-        return ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-
-    def _close(self, shard) -> None:
-        shard.make_automaton()
-        self.shards.append(shard)
-
-    def covered(self, ids: tuple[int, ...], doc_id: int) -> np.ndarray:
-        """Which words stand in a phrase that starts in a document below ``doc_id``."""
-        edge = np.zeros(len(ids) + 1, np.int32)
-        for shard in self.shards:
-            for end, first in shard.iter(ids):
-                if first < doc_id:
-                    edge[end - PHRASE + 1] += 1
-                    edge[end + 1] -= 1
-        return np.cumsum(edge[:-1]) > 0
-
-
-def _letters(ids: np.ndarray) -> np.ndarray:
-    """Word hashes as the 32-bit letters of an automaton; phrases are confirmed by their 128-bit keys before."""
-    return (ids >> np.uint64(33)).astype(np.int64)
+        for at in range(0, len(anchors), max_anchors):
+            shard = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for anchor in anchors[at : at + max_anchors]:
+                shard.add_word(anchor)
+            shard.make_automaton()
+            self.shards.append(shard)
 
+    def hits(self, letters: str) -> np.ndarray:
+        """Words at which an anchor begins."""
+        ends = [end for shard in self.shards for end, _ in shard.iter(letters)]
+        begin = np.array(ends, np.int64) + 1 - GRAM * LETTERS
+        return np.unique(begin[begin % LETTERS == 0] // LETTERS)
 
-def remove_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk: compile the confirmed phrases, stream all documents, and give what is kept."""
-    for _, group in chunks.runs(batches, "chunk"):
-        answers: list[pa.RecordBatch] = []
-        docs = list(chunks.blocks(chunks.split_parts(group, answers)))
+
+def spelled(ids: np.ndarray) -> str:
+    """Word hashes as text, ``LETTERS`` letters each."""
+    code = (ids >> np.uint64(64 - 6 * LETTERS)).astype(np.int64)
+    parts = [(code >> (6 * k)) & 63 for k in range(LETTERS)]
+    return (np.stack(parts, axis=1) + 48).astype(np.uint8).tobytes().decode("latin-1")
+
+
+class Confirmed:
+    """The confirmed phrases of a chunk by their 128-bit key."""
+
+    def __init__(self, answers: list[pa.RecordBatch]):
         a, b = (np.concatenate([chunks.flat(x, c) for x in answers]) if answers else np.zeros(0, np.uint64) for c in ("a", "b"))
         first = np.concatenate([chunks.flat(x, "first", "<i8") for x in answers]) if answers else np.zeros(0, np.int64)
         order = np.argsort(a, kind="stable")
-        a, b, first = a[order], b[order], first[order]
-        wanted, letters = np.zeros(len(a), bool), [_letters(block.ids) for block in docs]
-
-        def phrases() -> Iterator[tuple[tuple[int, ...], int]]:
-            for block, own in zip(docs, letters, strict=True):
-                starts, _, _ = windows(block)
-                ka, kb = (_rolled(block.ids, PHRASE, by)[starts] for by in (_A, _B))
-                at = np.minimum(a.searchsorted(ka), len(a) - 1)
-                hit = np.flatnonzero((a[at] == ka) & (b[at] == kb))
-                for k, s in zip(at[hit].tolist(), starts[hit].tolist(), strict=True):
-                    if not wanted[k]:
-                        wanted[k] = True
-                        yield tuple(own[s : s + PHRASE].tolist()), int(first[k])
-
-        automata = Automata(phrases()) if len(a) else Automata(iter(()))
-        for block, own in zip(docs, letters, strict=True):
-            rows = []
-            for doc_id, words, start in zip(block.doc_ids, block.words, block.starts.tolist(), strict=True):
-                if automata.shards and doc_id is not None and len(words) >= PHRASE:
-                    gone = automata.covered(tuple(own[start : start + len(words)].tolist()), doc_id)
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-                else:
-                    kept = words
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), b" ".join(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        self.a, self.b, self.first = a[order], b[order], first[order]
+
+    def find(self, ka: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are confirmed, and the smallest id of those that are."""
+        if not len(self.a):
+            return np.zeros(len(ka), bool), np.zeros(0, np.int64)
+        at = np.minimum(self.a.searchsorted(ka), len(self.a) - 1)
+        hit = (self.a[at] == ka) & (self.b[at] == kb)
+        return hit, self.first[at[hit]]
+
+
+def remove_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk: compile automata of its confirmed phrases' anchors, stream all documents, remove the phrases found."""
+    for _, group in chunks.runs(batches, "chunk"):
+        answers: list[pa.RecordBatch] = []
+        docs = list(chunks.split_parts(group, answers))  # the chunk's texts as they came; words are read twice
+        confirmed, anchors = Confirmed(answers), set()
+        answers.clear()
+        for block in chunks.blocks(iter(docs)):
+            if len(confirmed.a):
+                starts, at, _ = windows(block)
+                hit, _ = confirmed.find(_rolled(block.ids, PHRASE, _A)[starts], _rolled(block.ids, PHRASE, _B)[starts])
+                letters, wide = spelled(block.ids), GRAM * LETTERS
+                anchors.update(letters[k * LETTERS : k * LETTERS + wide] for k in np.unique(at[hit]).tolist())
+        automata = Automata(sorted(anchors))
+        for block in chunks.blocks(iter(docs)):
+            yield _kept(block, _covered(block, automata, confirmed))
+
+
+def _covered(block: chunks.Block, automata: Automata, confirmed: Confirmed) -> np.ndarray:
+    """Words in a phrase that also starts in a document with a smaller id."""
+    edge = np.zeros(len(block.ids) + 1, np.int32)
+    if automata.shards:
+        found = np.zeros(len(block.ids), bool)
+        found[automata.hits(spelled(block.ids))] = True
+        starts, at, _ = windows(block)
+        starts = starts[found[at]]
+        hit, first = confirmed.find(_rolled(block.ids, PHRASE, _A)[starts], _rolled(block.ids, PHRASE, _B)[starts])
+        ids = np.array([-_NO_ID if d is None else d for d in block.doc_ids], np.int64)
+        starts = starts[hit][first < ids[block.doc[starts[hit]]]]
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + PHRASE, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _kept(block: chunks.Block, gone: np.ndarray) -> pa.RecordBatch:
+    rows = []
+    for doc_id, words, start in zip(block.doc_ids, block.words, block.starts.tolist(), strict=True):
+        own = gone[start : start + len(words)]
+        kept = [w for w, g in zip(words, own.tolist(), strict=True) if not g] if own.any() else words
+        joined = b" ".join(kept)
+        rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def dedup_phrases(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, kept)``, one row per document; kept is the words left, UTF-8."""
     source = chunks.chunked(docs)
     buckets = chunks.bucket_count(source)
-    anchors = source.mapInArrow(partial(chunk_anchors, buckets=buckets), "bucket long, chunk long, anchors array<long>, low array<long>, high array<long>")
+    anchors = source.mapInArrow(partial(chunk_anchors, buckets=buckets), "bucket long, chunk long, anchors array<long>, low array<long>, span array<long>")
     recurring = materialise(chunks.by_key(anchors, "bucket").mapInArrow(recurring_anchors, "chunk long, anchors array<long>"), "anchors")
     release(docs.sparkSession)
-    phrases = chunks.meet(source, recurring).mapInArrow(partial(chunk_phrases, buckets=buckets), "bucket long, chunk long, a array<long>, b array<long>, low array<long>, high array<long>")
+    phrases = chunks.meet(source, recurring).mapInArrow(partial(chunk_phrases, buckets=buckets), "bucket long, chunk long, a array<long>, b array<long>, low array<long>, span array<long>")
     confirmed = materialise(chunks.by_key(phrases, "bucket").mapInArrow(confirmed_phrases, "chunk long, a array<long>, b array<long>, first array<long>"), "phrases")
     release(docs.sparkSession)
     kept = chunks.meet(source, confirmed).mapInArrow(remove_phrases, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
