@@ -38,7 +38,17 @@ def materialise(df: DataFrame, label: str, *parts: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/corvid-{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*parts).parquet(path) if parts else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(table: DataFrame, *parts: str) -> None:
+    """Delete a table that ``materialise`` wrote, or some of its folders, once no later step reads it."""
+    jvm, spark = table.sparkSession.sparkContext._jvm, table.sparkSession
+    for part in parts or ("",):
+        path = jvm.org.apache.hadoop.fs.Path(f"{table.scratch_path}/{part}".rstrip("/"))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(name: str, columns: list[str]) -> str:
