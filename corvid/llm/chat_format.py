@@ -4,10 +4,10 @@ Every assistant turn becomes an example of its own: all preceding turns are
 context and only that reply is trainable. Turns after the last reply (or a
 conversation without one) make one more example in which nothing is.
 
-A turn is ``<|role|>``, a line feed, the text, ``<|end|>`` and a line feed.
+A turn is ``<|role|>``, a line feed, the text, ``<[end]>`` and a line feed.
 Inside roles and texts ``\\``, ``<`` and ``[`` are written ``\\e``, ``\\l`` and
-``\\b``, so neither this template's marks nor those of others (``</s>``,
-``[INST]``) can stand there; the three are undone in reverse order.
+``\\b`` (and ``|`` in roles ``\\p``), so neither this template's marks nor those of others (``</s>``,
+``[INST]``) can stand there; they are undone in reverse order.
 
 Defined results: a null text or role is empty; turns are ordered by turn, role
 and text, nulls first; a null conv_id is one conversation; an empty table
@@ -23,18 +23,19 @@ from pyspark.sql import functions as F
 from corvid.llm.common import table
 
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"))
-OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
+ROLE_ESCAPES = (*ESCAPES, ("|", "\\p"))
+OPEN, CLOSE, END = "<|", "|>\n", "<[end]>\n"
 REPLY = "assistant"
 
 
-def escape(text: Column) -> Column:
-    for plain, escaped in ESCAPES:
+def escape(text: Column, escapes: tuple = ESCAPES) -> Column:
+    for plain, escaped in escapes:
         text = F.replace(text, F.lit(plain), F.lit(escaped))
     return text
 
 
-def unescape(text: Column) -> Column:
-    for plain, escaped in reversed(ESCAPES):
+def unescape(text: Column, escapes: tuple = ESCAPES) -> Column:
+    for plain, escaped in reversed(escapes):
         text = F.replace(text, F.lit(escaped), F.lit(plain))
     return text
 
@@ -43,7 +44,7 @@ def examples(conversations: DataFrame) -> DataFrame:
     """``(conv_id, example, text, loss_start, loss_end)``; the loss mask in code points, null if nothing is trainable."""
     clean = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(CLOSE))
+    head = lambda t: F.concat(F.lit(OPEN), escape(t["role"], ROLE_ESCAPES), F.lit(CLOSE))
     parts = (
         clean.groupBy("conv_id").agg(turns.alias("turns"))
         .select("conv_id", F.transform("turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == REPLY).alias("reply"))).alias("turns"))
@@ -66,10 +67,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("example", loss.alias("loss")))).alias("losses"),
         F.sum(F.length("text")).cast("long").alias("formatted_chars"),
     )
-    marked = F.filter(F.split("last", r"<\|end\|>\n"), lambda x: x != "")
+    marked = F.filter(F.split("last", r"<\[end\]>\n"), lambda x: x != "")
     pieces = whole.select("conv_id", marked.alias("marked"), F.array_join(F.transform(F.filter("losses", lambda x: x["loss"].isNotNull()), lambda x: unescape(x["loss"])), "").alias("trained"), "formatted_chars")
     parsed = F.transform("marked", lambda x: F.struct(F.substring_index(x, CLOSE, 1).alias("head"), x.alias("raw")))
-    turn = F.transform(parsed, lambda p: F.struct(unescape(F.substr(p["head"], F.lit(len(OPEN) + 1))).alias("role"), unescape(F.substr(p["raw"], F.length(p["head"]) + F.lit(len(CLOSE) + 1))).alias("text")))
+    turn = F.transform(parsed, lambda p: F.struct(unescape(F.substr(p["head"], F.lit(len(OPEN) + 1)), ROLE_ESCAPES).alias("role"), unescape(F.substr(p["raw"], F.length(p["head"]) + F.lit(len(CLOSE) + 1))).alias("text")))
     return pieces.select("conv_id", turn.alias("turns"), "trained", "formatted_chars")
 
 
@@ -93,7 +94,7 @@ WITH given AS (
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 sized AS (
   SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
-    sum(length(role) + length(text) + 13 + length(regexp_replace(role || text, '[^\\<\[]', '', 'g'))) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+    sum(length(role) + length(text) + 13 + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')) + length(role) - length(replace(role, '|', ''))) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
   FROM given WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,

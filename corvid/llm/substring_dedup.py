@@ -99,7 +99,7 @@ def chunk_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
     for chunk, group in chunks.runs(batches, "chunk"):
         found, held = [], 0
         for block in chunks.blocks(group):
-            starts, at, grams = windows(block)
+            _, at, grams = windows(block)
             at = at[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])] if len(at) else at
             text = np.fromiter((xxhash.xxh64_intdigest(t) for t in block.texts), np.uint64, len(block.texts))
             found.append((grams[at], text[block.doc[at]]))

@@ -177,3 +177,20 @@ def test_pipeline(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in final} == set(kept[3]) and sum(r.length for r in final) == sum({r.doc_id: r.doc_tokens for r in final}.values())
     assert decontaminate.Settings() and pii.Settings()
+
+
+def test_a_shuffled_plan_is_written_before_it_is_chunked(spark, tmp_path):
+    rows = passages(6, 15)
+    frame(spark, rows).write.parquet(str(tmp_path / "d"))
+    shuffled = spark.read.parquet(str(tmp_path / "d")).repartition(3, "doc_id")
+    assert chunks.chunked(shuffled).select("chunk").distinct().count() >= 1
+    got = substring_dedup.dedup_phrases(shuffled).drop("kept").collect()
+    assert Counter(tuple(r) for r in got) == slow_removal(rows)
+
+
+def test_classifier_folds_are_crc32(spark):
+    from corvid.llm.quality_classifier import fold
+
+    ids = [0, 1, 17, 12345678901, -5]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", fold(3).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)

@@ -225,7 +225,7 @@ def test_escapes_are_reversible(spark):
 
 
 def test_chat_round_trip(spark):
-    rows = [(1, 0, "system", "be [good]"), (1, 1, "user", "<|end|>\nhi"), (1, 2, "assistant", "</s>\\"), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "user", "bye"), (2, 0, "user", "alone"), (3, 1, None, "x"), (3, 0, "assistant", "first"), (None, 0, "assistant", "lost"), (4, 0, "assistant", "tie"), (4, 0, "assistant", "tie")]
+    rows = [(1, 0, "system", "be [good]"), (1, 1, "user", "<|end|>\nhi"), (1, 2, "assistant", "</s>\\"), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "user", "bye"), (2, 0, "user", "alone"), (3, 1, None, "x"), (3, 0, "assistant", "first"), (None, 0, "assistant", "lost"), (4, 0, "assistant", "tie"), (4, 0, "assistant", "tie"), (5, 0, "end", "x"), (5, 1, "a|>\nb", "<[end]>\n"), (5, 2, "\\p|<", "|>\n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit(9))
     made = chat_format.examples(df)
     got = {r.conv_id: r for r in chat_format.digests(chat_format.read_back(made)).collect()}
