@@ -28,9 +28,10 @@ BUCKETS_PER_PARTITION = 4
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """``(chunk, doc_id, text)``; a plan that reads no files is written first."""
+    """``(chunk, doc_id, text)``; a plan whose rows do not come straight from files is written first."""
     slim = docs.select("doc_id", "text")
-    if not slim.inputFiles():
+    first = slim.select(F.input_file_name().alias("file")).limit(1).first() if slim.inputFiles() else None
+    if first is None or not first.file:
         slim = materialise(slim, "documents")
     return slim.select(F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("chunk"), "doc_id", "text")
 
@@ -43,9 +44,9 @@ def bucket_count(df: DataFrame) -> int:
     return BUCKETS_PER_PARTITION * partitions(df)
 
 
-def by_key(rows: DataFrame, key: str, *then: str) -> DataFrame:
-    """Rows of one key in one task, next to each other."""
-    return rows.repartition(partitions(rows), key).sortWithinPartitions(key, *then)
+def by_key(rows: DataFrame, key: str, *then: str, tasks: int = 1) -> DataFrame:
+    """Rows of one key in one task, next to each other; ``tasks`` times the shuffle partitions."""
+    return rows.repartition(tasks * partitions(rows), key).sortWithinPartitions(key, *then)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
@@ -147,7 +148,7 @@ def meet(docs: DataFrame, answers: DataFrame) -> DataFrame:
     extra = [c for c in answers.columns if c != "chunk"]
     a = answers.select("chunk", F.lit(0).alias("part"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), *extra)
     d = docs.select("chunk", F.lit(1).alias("part"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", *(F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in extra))
-    return by_key(a.unionByName(d), "chunk", "part")
+    return by_key(a.unionByName(d), "chunk", "part", tasks=2)
 
 
 def split_parts(group: Iterator[pa.RecordBatch], seen: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
