@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ def line_sources(lines: DataFrame, by: str = "query_id") -> DataFrame:
     return rows.select(by, "text", "confidence").unionByName(together.select(by, "text", "confidence"))
 
 
+def similar_texts(texts: DataFrame, vocabulary: DataFrame, max_aliases: int = 20_000) -> DataFrame:
+    """``(text, alias, similarity)`` above zero. The vocabulary is broadcast in blocks of about ``max_aliases``."""
+    blocks = max(1, -(-vocabulary.count() // max_aliases))
+    parts = [vocabulary.where(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == b) for b in range(blocks)]
+    found = [texts.crossJoin(F.broadcast(p)).withColumn("similarity", window_similarity(F.col("text"), F.col("alias"))).where("similarity > 0") for p in parts]
+    return reduce(DataFrame.unionByName, found)
+
+
 def resolve(lines: DataFrame, values: DataFrame, by: str = "query_id", hard: float = 0.86, margin: float = 0.08) -> DataFrame:
     """One row per query with lines: best and second producer, scores, and whether the match is hard.
 
@@ -47,7 +57,7 @@ def resolve(lines: DataFrame, values: DataFrame, by: str = "query_id", hard: flo
     named = spelling_groups(values).join(alias_table(values), "value", "left")
     texts = sources.select("text").distinct()
     vocabulary = named.where("alias is not null").select("alias").distinct()
-    similar = texts.crossJoin(vocabulary).withColumn("similarity", window_similarity(F.col("text"), F.col("alias"))).where("similarity > 0")
+    similar = similar_texts(texts, vocabulary)
     short = (F.length(F.replace("alias", F.lit(" "), F.lit(""))) <= 4) & (F.col("similarity") < 1)
     score = F.col("similarity") * (0.90 + 0.10 * F.greatest(F.lit(0.0), F.least(F.col("confidence"), F.lit(1.0)))) * F.when(short, 0.92).otherwise(1.0)
     scored = sources.join(similar, "text").join(named, "alias").select(by, "root", "value", "text", score.alias("score"))
