@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvid.llm import chat_format
+from corvid.llm import chat_format, quality_rules, substring_dedup
 from corvid.llm.chat_format import op4_chat_format
 from corvid.llm.decontaminate import op8_decontamination
 from corvid.llm.license_rules import op6_license_rules
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat_format.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op4_chat_format": chat_format.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE}

@@ -185,3 +185,34 @@ def keep_documents(docs: DataFrame, host: str = "source", limits: Limits = Limit
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialise(measured_texts(table(spark, sf_dir, "documents"), ["doc_id", "source"]), "measures")
     return with_verdicts(measured, "source").select("doc_id", *STATS, "base_failed", "kept", "host_rejected")
+
+
+def _prior_sql(rule: str) -> str:
+    """The shrunk rate of one rule per host, as ``beta_prior`` and ``host_verdicts`` have it."""
+    return f"""
+{rule}_sums AS (SELECT sum(n)::DOUBLE AS n, sum(f_{rule})::DOUBLE AS f, sum(f_{rule} * f_{rule} / n::DOUBLE) AS s2, sum(n * n)::DOUBLE AS n2, count(*) AS k FROM hosts),
+{rule}_moments AS (SELECT *, (f + 0.5) / (n + 1.0) AS mean FROM {rule}_sums),
+{rule}_spread AS (SELECT mean, CASE WHEN k > 1 AND n - n2 / n > 0 THEN ((s2 - f * f / n) - (k - 1) * mean * (1 - mean)) / (n - n2 / n) ELSE 0 END AS v FROM {rule}_moments),
+{rule}_prior AS (SELECT mean, CASE WHEN v > 0 AND v < mean * (1 - mean) THEN greatest(1.0, mean * (1 - mean) / v - 1) ELSE 1.0 END AS strength FROM {rule}_spread),
+{rule}_rate AS (SELECT host, (f_{rule} + mean * strength) / (n + strength) AS rate_{rule} FROM hosts, {rule}_prior)"""
+
+
+ORACLE = (
+    r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+wins AS (SELECT doc_id, i, w[i:i + 7] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+again AS (SELECT doc_id, k FROM wins GROUP BY ALL HAVING count(*) > 1),
+inside AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM wins JOIN again USING (doc_id, k), range(0, 8) t(o) GROUP BY doc_id),
+m AS (SELECT d.doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(inside.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id)),
+r AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base, n_symbols * 100 > n_words * 20 AS symbols, n_dup_lines * 20 * 100 > n_words * 50 AS dup_lines FROM m),
+hosts AS (SELECT host, count(*) AS n, sum(base::INT) AS f_base, sum(symbols::INT) AS f_symbols, sum(dup_lines::INT) AS f_dup_lines FROM r GROUP BY host),"""
+    + ",".join(_prior_sql(rule) for rule in ("base", "symbols", "dup_lines"))
+    + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
+  NOT base AND NOT (rate_base > 0.5 OR (symbols AND rate_symbols > 0.25) OR (dup_lines AND rate_dup_lines > 0.25)) AS kept, rate_base > 0.5 AS host_rejected
+FROM r JOIN base_rate USING (host) JOIN symbols_rate USING (host) JOIN dup_lines_rate USING (host)
+"""
+)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm import chunks
 from corvid.llm.common import table
-from corvid.plans.scratch import materialise, release
+from corvid.plans.scratch import discard, materialise, release
 
 PHRASE = 13
 GRAM = 5
@@ -272,6 +272,7 @@ def dedup_phrases(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     phrases = chunks.meet(source, recurring).mapInArrow(partial(chunk_phrases, buckets=buckets), "bucket long, chunk long, a array<long>, b array<long>, low array<long>, span array<long>")
     confirmed = materialise(chunks.by_key(phrases, "bucket").mapInArrow(confirmed_phrases, "chunk long, a array<long>, b array<long>, first array<long>"), "phrases")
+    discard(recurring)
     release(docs.sparkSession)
     kept = chunks.meet(source, confirmed).mapInArrow(remove_phrases, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return kept.join(whole_copies(docs), "doc_id", "left").select(
@@ -293,3 +294,15 @@ def whole_copies(docs: DataFrame) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_phrases(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, w[i:i + 12] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+firsts AS (SELECT k, min(doc_id) AS f FROM wins GROUP BY k),
+gone AS (SELECT DISTINCT wins.doc_id, i + o AS p FROM wins JOIN firsts USING (k), range(0, 13) t(o) WHERE f < wins.doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
