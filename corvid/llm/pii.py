@@ -44,6 +44,9 @@ PATTERNS = {
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
+#: a word of the class number (digits, no letter) or code (both) stands in the text
+_NUMBER = rf"(?:^|{_SPACE})[^\x20\x09-\x0D\p{{L}}0-9]*+[0-9][^\x20\x09-\x0D\p{{L}}]*+(?:{_SPACE}|$)"
+_CODE = r"[0-9][^\x20\x09-\x0D\p{L}]*+\p{L}|\p{L}[^\x20\x09-\x0D0-9]*+[0-9]"
 
 
 @dataclass(frozen=True)
@@ -154,14 +157,17 @@ def analyse(docs: DataFrame, s: Settings = Settings()) -> Findings:
     context = base.where(F.size("near") > 0).select("doc_id", "text_key", key.alias("doc"), F.explode("near").alias("x")).select("doc_id", "text_key", "doc", "x.*").withColumn("class", term_class(F.col("term")))
     holders = base.where(F.size("spans") > 0).select(key.alias("doc"), F.explode("spans.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= s.min_documents)
     together = context.select("entity", "term", "class", "doc").distinct().groupBy("entity", "term", "class").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= s.min_documents)
-    candidates = materialise(together.join(holders, "entity"), "candidates")
+    totals = slim.agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(_NUMBER)).alias("number"), F.count_if(F.col("text").rlike(_CODE)).alias("code")).first()
+    n = max(1, totals.n)
+    # a term stands in at least the documents in which it stands near some entity: common words end here
+    met = context.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.col("n_et") * F.pow(n / F.col("n_e"), 1 - s.threshold)
+    candidates = materialise(together.join(holders, "entity").join(met, "term").where(F.col("n_near") <= most * (1 + 1e-9)), "candidates")
     terms = materialise(candidates.select("term").distinct(), "terms")
     words = slim.select(F.explode(F.array_distinct(F.split(F.lower("text"), rf"{_SPACE}+"))).alias("term"))
     seen = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     # a class stands in a document if any of its words does
     with_class = context.select("entity", "class", "doc").distinct().groupBy("entity", "class").agg(F.count("*").alias("n_ec"))
-    totals = slim.agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(rf"(?:^|{_SPACE})[^\x20\x09-\x0D\p{{L}}]*+[0-9][^\x20\x09-\x0D\p{{L}}]*+(?:{_SPACE}|$)")).alias("number"), F.count_if(F.col("text").rlike(r"[0-9][^\x20\x09-\x0D0-9]*+\p{L}|\p{L}[^\x20\x09-\x0D\p{L}]*[0-9]")).alias("code")).first()
-    n = max(1, totals.n)
     n_class = F.when(F.col("class") == "number", max(1, totals.number)).when(F.col("class") == "code", max(1, totals.code)).otherwise(n)
     own = -F.log(F.col("n_e") / n)
     information = lambda joint, alone: F.log(joint * n / (F.col("n_e") * alone))

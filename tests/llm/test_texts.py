@@ -287,6 +287,16 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(df.where("false")).count() == 0 and len(clean) == len(rows)
 
 
+def test_terms_are_generalised_to_a_class_that_discloses_nothing(spark):
+    plain = "some text of ordinary words goes on here"
+    rows = [(i, f"{plain} order 004417 by boss@corp.com under ref kx9 today") for i in range(4)] + [(10 + i, f"{plain} with {i} and a{i} in it") for i in range(200)]
+    clean = pii.sanitise(spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")).where("doc_id = 0").first().text
+    assert "[number]" in clean and "[code]" in clean and "004417" not in clean and "kx9" not in clean and plain in clean
+    counts = spark.createDataFrame([("12-3 x",), ("x12",), ("1 x",), ("none",), ("a-1",), ("1a",)], "t string")
+    got = [(r.n, r.c) for r in counts.select(F.col("t").rlike(pii._NUMBER).alias("n"), F.col("t").rlike(pii._CODE).alias("c")).collect()]
+    assert got == [(True, False), (False, True), (True, False), (False, False), (False, True), (False, True)]
+
+
 # ---- decontamination
 
 ITEM = "Which river runs past the old northern harbour town of Velm? It is the quiet green river Osk that runs there."
