@@ -157,7 +157,8 @@ def analyse(docs: DataFrame, s: Settings = Settings()) -> Findings:
     context = base.where(F.size("near") > 0).select("doc_id", "text_key", key.alias("doc"), F.explode("near").alias("x")).select("doc_id", "text_key", "doc", "x.*").withColumn("class", term_class(F.col("term")))
     holders = base.where(F.size("spans") > 0).select(key.alias("doc"), F.explode("spans.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= s.min_documents)
     together = context.select("entity", "term", "class", "doc").distinct().groupBy("entity", "term", "class").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= s.min_documents)
-    totals = slim.agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(_NUMBER)).alias("number"), F.count_if(F.col("text").rlike(_CODE)).alias("code")).first()
+    digits = F.col("text").rlike("[0-9]")  # most texts have none, which is soon seen
+    totals = slim.agg(F.count("*").alias("n"), F.count_if(digits & F.col("text").rlike(_NUMBER)).alias("number"), F.count_if(digits & F.col("text").rlike(_CODE)).alias("code")).first()
     n = max(1, totals.n)
     # a term stands in at least the documents in which it stands near some entity: common words end here
     met = context.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
