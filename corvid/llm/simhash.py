@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvid.llm.common import as_bytes, table
+from corvid.llm.near_copies import near_copy_groups
 from corvid.operators.graph import connected_components
 from corvid.plans.scratch import fresh, materialise
 
@@ -130,14 +131,17 @@ def with_components(fingerprints: DataFrame, max_bucket: int = 64) -> DataFrame:
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id.
+    """``docs`` with one document of each group of near copies, the one with the smallest id.
 
-    Documents without an id are kept; of rows that repeat an id, all are.
+    Near copies are texts with 0.8 of their five-word shingles in common, which
+    op1's two bits do not reach; see ``near_copies``. Documents without an id
+    are kept; of equal rows, all are; rows that repeat an id are judged each.
     """
-    ids = materialise(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "hashes")
-    drop = with_components(ids).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh("gone", docs.columns))).distinct()
+    names = {c: fresh(c, docs.columns) for c in ("gone_id", "gone_key")}
+    drop = near_copy_groups(docs.select("doc_id", "text")).where("doc_id <> first_id").select(F.col("doc_id").alias(names["gone_id"]), F.col("text_key").alias(names["gone_key"])).distinct()
     gone = materialise(drop, "gone")
-    return docs.join(gone, docs.doc_id == gone[gone.columns[0]], "left_anti")
+    same = (docs["doc_id"] == gone[names["gone_id"]]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[names["gone_key"]])
+    return docs.join(gone, same, "left_anti")
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
