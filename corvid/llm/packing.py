@@ -61,14 +61,17 @@ def encoder(vocabulary_path: str) -> tiktoken.Encoding:
     """The tokenizer file's own vocabulary in the faster of the two BPE libraries.
 
     A byte-level vocabulary is ranked by id, so both give the same ids; the
-    tests hold one against the other. Special strings in a text are text.
+    tests hold one against the other. The file's added tokens are known to the
+    encoding; whether their strings in a text become their ids is the call's choice.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec.get("added_tokens", []) if x.get("special")}
+    added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+    if any(x.get(k) for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take white space or need whole words are not supported")
     letters = byte_letters()
-    ranks = {bytes(letters[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(letters[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 @dataclass(order=True)
@@ -201,12 +204,13 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=PIECE.names)
 
 
-def pack_batches(batches: Iterator[pa.RecordBatch], vocabulary_path: str, tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def pack_batches(batches: Iterator[pa.RecordBatch], vocabulary_path: str, tiers: tuple[int, ...], added_tokens: bool) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     packer, encode = Packer(tiers, context.partitionId() if context else 0), encoder(vocabulary_path)
+    allowed = encode.special_tokens_set if added_tokens else set()
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = encode.encode_to_numpy(text.as_py() or "", disallowed_special=())
+            ids = encode.encode_to_numpy(text.as_py() or "", allowed_special=allowed, disallowed_special=())
             packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
             if len(packer.rows) >= 8192:
                 yield packer.drain()
@@ -215,13 +219,18 @@ def pack_batches(batches: Iterator[pa.RecordBatch], vocabulary_path: str, tiers:
         yield packer.drain()
 
 
-def pack(docs: DataFrame, vocabulary_path: str | None = None, tiers: tuple[int, ...] = TIERS) -> DataFrame:
-    """One row per piece of ``docs(doc_id, text)``; tiers are powers of two, the last the longest context."""
+def pack(docs: DataFrame, vocabulary_path: str | None = None, tiers: tuple[int, ...] = TIERS, added_tokens: bool = False) -> DataFrame:
+    """One row per piece of ``docs(doc_id, text)``; tiers are powers of two, the last the longest context.
+
+    With ``added_tokens`` the vocabulary's added tokens get their ids where
+    their strings stand in a text, as the tokenizer file's own library does by
+    default; else these strings are text.
+    """
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
     path = vocabulary_path or public_tokenizers.path(VOCABULARY)
-    return docs.select("doc_id", "text").mapInArrow(partial(pack_batches, vocabulary_path=path, tiers=tuple(tiers)), PIECE)
+    return docs.select("doc_id", "text").mapInArrow(partial(pack_batches, vocabulary_path=path, tiers=tuple(tiers), added_tokens=added_tokens), PIECE)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added_tokens=True)
