@@ -7,8 +7,9 @@ sets themselves: in any fixed order of all shingles, two sets this similar
 share one among the first n - ceil(0.8 n) + 1 of each. Shingles that are
 frequent in a bounded sample are ordered last, most frequent at the end, so
 passages that many documents quote are seldom in a prefix; the order decides
-the work only, never the result. Candidates are held against the exact
-similarity of the whole sets.
+the work only, never the result. A pair stays a candidate while what its
+prefixes share and what can follow them may reach the similarity; then the
+whole sets decide.
 
 Equal sets are one node. Each node is first checked with its smallest
 candidate; then every candidate pair is that is not yet in one group.
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from corvid.llm.common import as_bytes
 from corvid.operators.graph import connected_components
-from corvid.plans.scratch import materialise
+from corvid.plans.scratch import discard, materialise, release
 
 SHINGLE = 5
 #: least similarity as a fraction, so that it is compared without rounding
@@ -98,7 +99,15 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     a, b = met.alias("a"), met.alias("b")
     sizes = (F.col("a.size") * PART <= F.col("b.size") * WHOLE) & (F.col("b.size") * PART <= F.col("a.size") * WHOLE)
     pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & sizes)
-    return materialise(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+    counted = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.size").alias("n_a"), F.col("b.size").alias("n_b")).count()
+    # all that both have up to the earlier end of the two prefixes is in both; beyond it, that set has no more than its rest
+    rest = lambda n: F.ceil(F.col(n) * PART / WHOLE) - 1
+    enough = (F.col("count") + F.greatest(rest("n_a"), rest("n_b"))) * (PART + WHOLE) >= (F.col("n_a") + F.col("n_b")) * PART
+    out = materialise(counted.where(enough).select("a", "b"), "pairs")
+    for done in (twice, met):
+        discard(done)
+    release(nodes.sparkSession)
+    return out
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -111,21 +120,30 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_key, first_id)`` per row with an id: the smallest id of the group of its text."""
     slim = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialise(slim.select("doc_id", F.xxhash64("text").alias("text_key"), prefixes(slim).alias("x")).select("doc_id", "text_key", "x.*"), "prefixes")
-    nodes = materialise(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
-    pairs = candidate_pairs(nodes)
+    made = materialise(slim.select("doc_id", F.xxhash64("text").alias("text_key"), prefixes(slim).alias("x")).select("doc_id", "text_key", "x.*"), "prefixes")
+    rows = materialise(made.select("doc_id", "text_key", "node"), "rows")
+    found = materialise(made.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
+    discard(made)
+    release(docs.sparkSession)
+    nodes = materialise(found.select("node", "rep"), "nodes")
+    pairs = candidate_pairs(found.select("node", "size", "prefix"))
+    discard(found)
     members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(nodes.join(members, "node", "left_semi").select("node", "rep.*"), "wanted")
     texts = slim.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).groupBy("node").agg(F.first("text").alias("text"))
     sets = materialise(texts.select("node", shingles(F.col("text")).alias("own")), "sets")
+    release(docs.sparkSession)
     links = materialise(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), sets), "links")
+    release(docs.sparkSession)
     known = connected_components(links)
     of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    more = materialise(_similar(apart, sets), "links")
+    more = materialise(_similar(materialise(apart, "apart"), sets), "links")
+    discard(sets)
+    release(docs.sparkSession)
     if more.limit(1).count():
         known = connected_components(links.unionByName(more))
     labelled = nodes.join(known, "node", "left").select("node", F.col("rep.doc_id").alias("low"), F.coalesce("component", "node").alias("component"))
     lows = labelled.groupBy("component").agg(F.min("low").alias("first_id"))
     groups = materialise(labelled.join(lows, "component").select("node", "first_id"), "groups")
-    return rows.select("doc_id", "text_key", "node").join(groups, "node").select("doc_id", "text_key", "first_id")
+    return rows.join(groups, "node").select("doc_id", "text_key", "first_id")
