@@ -125,7 +125,7 @@ def rules() -> tuple[Rule, ...]:
             number = v.replace(" 0", "") if v.endswith(" 0") else v.replace(" ", ".")
             own = f"cc-{kind}-{number}"
             add(f"{own}:spdx", own, "spdx", f"spdx license identifier cc {short} {v}", *level["spdx"])
-            add(f"{own}:notice", own, "cc", f"(?:licen[cs]ed|released|available|published) under (?:a |the )?(?:cc|creative commons) {short} (?:version )?{v}", *level["notice"])
+            add(f"{own}:notice", own, "cc|commons", f"(?:licen[cs]ed|released|available|published) under (?:a |the )?(?:cc|creative commons) {short} (?:version )?{v}", *level["notice"])
             add(f"{own}:words", own, "commons", f"creative commons {words}(?: international| unported| generic)? (?:version )?{v}", *level["versioned"])
             add(f"{own}:url", own, "creativecommons", f"creativecommons org licenses {short} {v}", *level["url"])
             add(f"{own}:versioned", own, "cc", f"cc {short} (?:version )?{v}", *level["versioned"])
@@ -142,13 +142,15 @@ def by_keyword() -> dict[bytes, tuple[Rule, ...]]:
     return {k: tuple(v) for k, v in groups.items()}
 
 
-#: One of these stands in every text that a rule can match.
-_GATE = re.compile(rb"licen|spdx|(?<![a-z0-9])(?:cc|gpl|lgpl|agpl|mpl|epl|cddl|eupl|osl|ofl|odbl|gfdl|sspl|cc0|wtfpl|cecill)(?![a-z0-9])|commons|domain| rights | org |mongodb|mariadb|eupl|php net|wtfpl")
+@cache
+def gate() -> re.Pattern[bytes]:
+    """One of the rules' keywords stands in every text that a rule can match."""
+    return re.compile(b"|".join(map(re.escape, sorted(by_keyword()))))
 
 
 def detect(joined: bytes) -> list[tuple[int, int, Rule]]:
     """Detections by priority; one inside an accepted one is suppressed."""
-    if not _GATE.search(joined):
+    if not gate().search(joined):
         return []
     found = []
     for keyword, group in by_keyword().items():
