@@ -1,19 +1,22 @@
 """Corpus statistics by chunks of documents.
 
-A chunk is what one file split holds. Each task reduces its chunk to distinct
-keys before anything is shuffled, so a key that stands in a third of all
-documents costs one entry per chunk. Entries travel as arrays, one row per
-chunk and bucket of keys; what a chunk has to know about its keys comes back
-the same way and meets the chunk's documents again.
-
-Buckets are several times the session's shuffle partitions; they grow with
-that setting, chunks with the number of file splits. A task holds one bucket
-or one chunk at a time.
+A chunk is what one file split holds, cut further where that is more than
+``CHUNK_BYTES`` of text. Each task reduces a chunk to distinct keys before
+anything is shuffled, so a key that stands in a third of all documents costs
+one entry per chunk. Keys are 64-bit hashes and the range of hashes is cut
+into slots; entries travel as packed arrays, one row per chunk and slot. What
+a chunk has to know about its keys comes back the same way and meets the
+chunk's documents again.
+
+Chunks and slots are counted from the bytes of text, so a task holds the same
+amount at every size of the corpus. Their sizes are parameters: larger ones
+need more memory and make fewer of the (chunks times slots) rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,29 +27,56 @@ from pyspark.sql import functions as F
 from corvid.llm.common import as_bytes
 from corvid.plans.scratch import materialise
 
-BUCKETS_PER_PARTITION = 4
+CHUNK_BYTES = 32 << 20
+SLOT_BYTES = 16 << 20
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """``(chunk, doc_id, text)``; a plan whose rows do not come straight from files is written first."""
-    slim = docs.select("doc_id", "text")
-    first = slim.select(F.input_file_name().alias("file")).limit(1).first() if slim.inputFiles() else None
-    if first is None or not first.file:
-        slim = materialise(slim, "documents")
-    return slim.select(F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("chunk"), "doc_id", "text")
+@dataclass(frozen=True)
+class Volume:
+    """Bytes of text and how many chunks they make."""
+
+    bytes: int
+    chunks: int
+
+    def slots(self, share: float = 1.0) -> int:
+        """Slots of about ``SLOT_BYTES`` for entries of ``share`` times the text's bytes."""
+        return max(1, -int(-self.bytes * share // SLOT_BYTES))
+
+
+def chunked(docs: DataFrame) -> tuple[DataFrame, Volume]:
+    """``(chunk, doc_id, text)``, chunks one after the other in each task; rows that do not all come straight from files are written first."""
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    split = [F.input_file_name().alias("file"), F.input_file_block_start().alias("start")]
 
+    def measured(rows: DataFrame):
+        each = rows.select(*split, F.octet_length("text").alias("size")).groupBy("file", "start").agg(F.sum("size").alias("size"))
+        return each.agg(F.count("*").alias("splits"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.count_if(F.col("file") == "").alias("other")).first()
+
+    size = measured(slim) if slim.inputFiles() else None
+    if size is None or size.other:
+        slim = materialise(slim, "documents")
+        size = measured(slim)
+    parts = max(1, -(-size.largest // CHUNK_BYTES))
+    chunk = F.xxhash64(F.input_file_name(), F.input_file_block_start(), *([F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))] if parts > 1 else []))
+    rows = slim.select(chunk.alias("chunk"), "doc_id", "text")
+    return rows.sortWithinPartitions("chunk") if parts > 1 else rows, Volume(size.bytes, max(1, size.splits * parts))
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+def by_slot(rows: DataFrame, slots: int, *then: str) -> DataFrame:
+    """A task for each slot."""
+    return rows.repartitionById(slots, F.col("slot").cast("int")).sortWithinPartitions("slot", *then)
 
-def bucket_count(df: DataFrame) -> int:
-    return BUCKETS_PER_PARTITION * partitions(df)
 
+def meet(docs: DataFrame, answers: DataFrame, volume: Volume) -> DataFrame:
+    """The chunk's answers (packed arrays), then its documents, in one task and in that order.
 
-def by_key(rows: DataFrame, key: str, *then: str, tasks: int = 1) -> DataFrame:
-    """Rows of one key in one task, next to each other; ``tasks`` times the shuffle partitions."""
-    return rows.repartition(tasks * partitions(rows), key).sortWithinPartitions(key, *then)
+    ``docs(chunk, doc_id, text)`` and ``answers(chunk, ...)`` become one table
+    with the columns of both; ``part`` is 0 for answers and 1 for documents.
+    """
+    extra = [c for c in answers.columns if c != "chunk"]
+    a = answers.select("chunk", F.lit(0).alias("part"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), *extra)
+    d = docs.select("chunk", F.lit(1).alias("part"), "doc_id", "text", *(F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in extra))
+    return a.unionByName(d).repartition(2 * volume.chunks, "chunk").sortWithinPartitions("chunk", "part", *(["slot"] if "slot" in extra else []))
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
@@ -77,34 +107,45 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Ite
         yield value, group(value)
 
 
-def flat(batch: pa.RecordBatch, name: str, dtype: str = "<u8") -> np.ndarray:
-    """All values of an array column, one after the other."""
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False).view(dtype)
+def split_parts(group: Iterator[pa.RecordBatch], seen: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Puts a chunk's answers into ``seen`` and yields its documents."""
+    for batch in group:
+        part = batch.column("part").to_numpy(zero_copy_only=False)
+        n = int(part.searchsorted(1))
+        if n:
+            seen += batch.slice(0, n).to_pylist()
+        if n < len(part):
+            yield batch.slice(n)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Bytes by significance: of sorted keys, small counts and like numbers most then compress well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes() if len(values) else b""
+
 
+def unpack(data: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(dtype).ravel() if data else np.zeros(0, dtype)
 
-def sizes(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return np.diff(batch.column(name).offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
 
+def cut(keys: np.ndarray, slots: int) -> np.ndarray:
+    """Where the range of each slot begins in sorted keys, and the end."""
+    return np.r_[keys.searchsorted(np.array([-(-(k << 64) // slots) for k in range(slots)], np.uint64)), len(keys)]
 
-def arrays(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
-    """An array column of ``values`` cut at ``cuts`` (first 0, last the length)."""
-    kind = pa.float64() if values.dtype.kind == "f" else pa.int64()
-    data = values if values.dtype.kind == "f" else values.astype("<u8", copy=False).view("<i8")
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(data, kind))
 
+def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key stands in ``keys`` (sorted, distinct hashes, all wanted ones among them).
 
-def bucket_rows(keys: np.ndarray, columns: dict[str, np.ndarray], buckets: int, fixed: dict[str, int], by: np.ndarray | None = None, name: str = "bucket") -> pa.RecordBatch:
-    """One row per bucket that has keys, with ``columns`` as arrays and ``fixed`` repeated."""
-    spread = (keys >> np.uint64(33)) % np.uint64(buckets) if by is None else by
-    order = np.argsort(spread, kind="stable")
-    spread = spread[order]
-    starts = np.flatnonzero(np.r_[True, spread[1:] != spread[:-1]]) if len(spread) else np.zeros(0, np.int64)
-    cuts = np.r_[starts, len(spread)]
-    names, data = [name, *fixed], [pa.array(spread[starts].astype(np.int64), pa.int64()), *(pa.array(np.full(len(starts), v, np.int64)) for v in fixed.values())]
-    for c, values in columns.items():
-        names.append(c)
-        data.append(arrays(values[order], cuts))
-    return pa.RecordBatch.from_arrays(data, names=names)
+    Hashes are even, so their upper bits nearly give the place.
+    """
+    bits = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+    first = keys.searchsorted(np.arange(1 << (64 - int(bits)), dtype=np.uint64) << bits)
+    at = first[(wanted >> bits).astype(np.int64)]
+    behind = np.flatnonzero(keys[at] < wanted)
+    while len(behind):
+        at[behind] += 1
+        behind = behind[keys[at[behind]] < wanted[behind]]
+    return at
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
@@ -137,26 +178,3 @@ def blocks(batches: Iterator[pa.RecordBatch], words_of: Callable[[bytes], list[b
                 doc_ids, texts, words, n = [], [], [], 0
     if words:
         yield Block(doc_ids, texts, words)
-
-
-def meet(docs: DataFrame, answers: DataFrame) -> DataFrame:
-    """The chunk's answers (a row's arrays), then its documents, in one task and in that order.
-
-    ``docs(chunk, doc_id, text)`` and ``answers(chunk, ...)`` become one table
-    with the columns of both; ``part`` is 0 for answers and 1 for documents.
-    """
-    extra = [c for c in answers.columns if c != "chunk"]
-    a = answers.select("chunk", F.lit(0).alias("part"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), *extra)
-    d = docs.select("chunk", F.lit(1).alias("part"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", *(F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in extra))
-    return by_key(a.unionByName(d), "chunk", "part", tasks=2)
-
-
-def split_parts(group: Iterator[pa.RecordBatch], seen: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts a chunk's answers into ``seen`` and yields its documents."""
-    for batch in group:
-        part = batch.column("part").to_numpy(zero_copy_only=False)
-        n = int(part.searchsorted(1))
-        if n:
-            seen.append(batch.slice(0, n))
-        if n < len(part):
-            yield batch.slice(n)

@@ -1,32 +1,43 @@
-"""Katz backoff language model over the corpus and the score of every text under it.
+"""Katz backoff language model of order three over the corpus, and the score of every text under it.
 
-Words are lower-cased (A-Z); a document ends with an end token and its first
-word follows a begin history. With c the training counts:
+Words are lower-cased (A-Z); a document ends with an end token and follows two
+begin tokens. With c the training counts and d the Good-Turing discounts:
 
-* order one: P(w) = d1(c(w)) c(w) / N for seen words; what the discounts free
-  is the probability of the one unknown word, so P sums to one.
-* order two: P(w | h) = d2(r) r / c(h) where r = c(h, w) is at least two, else
-  alpha(h) P(w). alpha(h) is what the stored pairs of h leave, over what
-  their words leave at order one, so that P( . | h) sums to one exactly.
-  Pairs seen once count in c(h) and in the discounts but are not stored: they
-  back off. A history whose stored pairs leave nothing has one more count.
+* order one: P(w) = d1(c) c / N for seen words; what the discounts free is the
+  probability of the one unknown word, so P sums to one;
+* order two and three: P(w | h) = d(r) r / size(h) for every n-gram seen, once
+  or more (r = c(h, w)), else alpha(h) P(w | h without its first word).
+  size(h) is c(h), and one more for a history seen over five times, since
+  counts above five are not discounted and would leave nothing. alpha(h) is
+  what the seen words of h leave, over what they leave one order below, so
+  P( . | h) sums to one exactly. A history never seen has alpha one.
 
 Discounts are Good-Turing up to five, in Katz's form; where the counts of
-counts give no value in (0, 1], the absolute discount n1 / (n1 + 2 n2 + 1) is used.
+counts give no value in (0, 1), the absolute discount n1 / (n1 + 2 n2), or one
+half without singles, is used.
 
-Counts travel once per chunk and distinct key. The model is stored as tables
-of words (count), pairs (count) and histories (alpha) in buckets; each chunk
-gets back the entries of its own keys and evaluates its documents with them.
+1. Each chunk sends its distinct n-grams of each order once, with training
+   counts. Slots of the key range add them up into the stored table of counts
+   and give the totals back, in the order in which the chunk sent its keys.
+2. Each chunk, now knowing its counts, adds up what the n-grams of a history
+   take at their order and below it; every distinct n-gram is counted by one
+   chunk. The sums of all chunks make the stored table of weights (alpha).
+3. Each chunk evaluates its documents, per token from order three down.
+
+``NgramModel`` holds both tables; ``score`` applies a stored model to other
+documents. A weight can only be read in a text outside the training rows, so
+``every_history`` False makes those that the scored documents have.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
 is hashed as the empty string; without training documents every word is
-unknown and has probability one; an empty table gives an empty result.
+unknown and has probability one; repeated rows count each; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -38,17 +49,17 @@ from pyspark.sql import functions as F
 
 from corvid.llm import chunks
 from corvid.llm.common import table
-from corvid.plans.scratch import discard, materialise, release
+from corvid.plans.scratch import materialise, release
 
 END, BEGIN = xxhash.xxh64_intdigest(b"\nend"), xxhash.xxh64_intdigest(b"\nbegin")
+ORDER = 3
 KATZ = 5
-FLUSH = 3_000_000
-#: a history's pairs lie in so many buckets, next to each other in each
-SALTS = 4
-#: entries that a task gathers before it writes rows
-GATHER = 1_000_000
 FOLDS = 5
 HELD_OUT = 1
+#: entries of each order in bytes of memory, by bytes of text; they set the number of slots
+SHARES = (0.3, 0.9, 1.2)
+#: what a slot returns to a chunk about a key
+OWN, NEEDED = np.uint8(1), np.uint8(2)
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,293 +71,347 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), b"\nend"]  # no word has a line feed
 
 
-def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = h * _A + w
+def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a history's key and a further word."""
+    x = history * _A + word
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
-def histories(block: chunks.Block) -> np.ndarray:
-    h = np.empty_like(block.ids)
-    h[1:] = block.ids[:-1]
-    h[block.starts] = np.uint64(BEGIN)
-    return h
-
-
-def _counted(keys: list[np.ndarray], amount: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    return [k[first] for k in keys], np.add.reduceat(amount[order], first) if len(first) else amount[:0]
-
+_BEGINS = [np.array([BEGIN], np.uint64)]
+for _ in range(ORDER - 2):
+    _BEGINS.append(joined(_BEGINS[-1], _BEGINS[0]))
 
-def chunk_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per chunk: distinct words (``h`` zero) and pairs, training or not, with their training counts."""
-
-    def emit(chunk: int, found: list) -> pa.RecordBatch:
-        ((h, w, n),) = found
-        by = pair_key(h, np.where(h == 0, w, w % np.uint64(SALTS)))
-        return chunks.bucket_rows(by, {"h": h, "w": w, "n": n}, buckets, {"chunk": chunk})
-
-    def merged(found: list) -> list:
-        h, w, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        (h, w), n = _counted([h, w], n)
-        return [(h, w, n)]
 
+@dataclass(frozen=True)
+class Layout:
+    """How many slots the key range of each order has; slots are numbered through."""
+
+    slots: tuple[int, ...]
+
+    def first(self, order: int) -> int:
+        return sum(self.slots[:order])
+
+    def order_of(self, slot: int) -> int:
+        return next(k for k in range(len(self.slots)) if slot < self.first(k + 1))
+
+    def rows(self, order: int, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Slots of sorted ``keys`` and their parts."""
+        cuts = chunks.cut(keys, self.slots[order])
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            yield self.first(order) + k, slice(int(cuts[k]), int(cuts[k + 1]))
+
+
+class Chunk:
+    """A chunk's tokens as n-gram keys; per order its sorted distinct keys, begin histories included."""
+
+    def __init__(self, groups: Iterator[chunks.Block], trains: Callable[[int | None], bool]):
+        keys: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+        self.doc_ids: list[int | None] = []
+        lengths = [np.zeros(0, np.int64)]
+        for block in groups:
+            below = block.ids
+            keys[0].append(below)
+            for k in range(1, ORDER):
+                history = np.empty_like(below)
+                history[1:] = below[:-1]
+                history[block.starts] = _BEGINS[k - 1][0]
+                below = joined(history, block.ids)
+                keys[k].append(below)
+            self.doc_ids += block.doc_ids
+            lengths.append(block.lengths)
+        self.lengths = np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.train = np.array([trains(d) for d in self.doc_ids], bool)
+        self.token_trains = np.repeat(self.train, self.lengths)
+        self.tokens = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in keys]
+
+    def begins(self, order: int, train: bool) -> np.ndarray:
+        n = int((self.train == train).sum())
+        return np.repeat(_BEGINS[order], n) if order < ORDER - 1 else np.zeros(0, np.uint64)
+
+    def distinct(self, order: int) -> np.ndarray:
+        begin = _BEGINS[order] if order < ORDER - 1 else np.zeros(0, np.uint64)
+        return np.unique(np.concatenate([self.tokens[order], begin]))
+
+    def counts(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, their training counts, and whether a document outside training has them."""
+        of = lambda train: np.concatenate([self.tokens[order][self.token_trains == train], self.begins(order, train)])
+        trained, n = np.unique(of(True), return_counts=True)
+        other = np.unique(of(False))
+        keys = np.union1d(trained, other)
+        count, outside = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)
+        count[keys.searchsorted(trained)] = n
+        outside[keys.searchsorted(other)] = 1
+        return keys, count, outside
+
+
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+_SENT = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("outside", pa.binary())])
+SENT = "slot long, chunk long, keys binary, n binary, outside binary"
+
+
+def chunk_counts(batches: Iterator[pa.RecordBatch], layout: Layout, trains: Callable[[int | None], bool]) -> Iterator[pa.RecordBatch]:
+    """Per chunk: its distinct n-grams of each order with their training counts."""
     for chunk, group in chunks.runs(batches, "chunk"):
-        found, held = [], 0
-        for block in chunks.blocks(group, tokens):
-            train = np.array([not held_out(d) for d in block.doc_ids], np.int64)[block.doc]
-            h = histories(block)
-            (hh, ww), n = _counted([h, block.ids], train)
-            found.append((hh, ww, n))
-            (w,), n = _counted([block.ids], train)
-            found.append((np.zeros_like(w), w, n))
-            begins = np.array([int(not held_out(d)) for d in block.doc_ids], np.int64)
-            found.append((np.zeros(1, np.uint64), np.array([BEGIN], np.uint64), np.array([begins.sum()])))
-            held += len(hh) + len(w)
-            if held >= FLUSH:
-                found = merged(found)
-                held = len(found[0][0])
-                if held >= FLUSH // 2:
-                    yield emit(chunk, found)
-                    found, held = [], 0
-        if found:
-            yield emit(chunk, merged(found))
-
-
-_TOTALS = "kind int, owner long, h array<long>, w array<long>, n array<long>"
-MODEL, ANSWER_WORDS, ANSWER_PAIRS, STATISTICS = range(4)
-
-
-class Gathered:
-    """Arrays of one kind of entry from several buckets, given out in few long rows."""
-
-    def __init__(self, kind: int, owners: int):
-        self.kind, self.owners, self.parts, self.held = kind, owners, [], 0
-
-    def add(self, *columns: np.ndarray) -> None:
-        """Keys to spread by (an owner's number if there are no owners), then h, w and n."""
-        self.parts.append(columns)
-        self.held += len(columns[0])
-
-    def rows(self, least: int) -> Iterator[pa.RecordBatch]:
-        if self.held and self.held >= least:
-            by, h, w, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            rows = chunks.bucket_rows(by, {"h": h, "w": w, "n": n}, self.owners, {}, name="owner", by=None if self.owners else by)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, self.kind), pa.int32()), *rows.columns], names=["kind", *rows.schema.names])
-            self.parts, self.held = [], 0
-
-
-def totals(batches: Iterator[pa.RecordBatch], owners: int) -> Iterator[pa.RecordBatch]:
-    """Per bucket: sum the chunks' counts; model entries, counts of counts, and each chunk's answers."""
-    counts, distinct, total = np.zeros((2, KATZ + 2), np.int64), 0, 0
-    model, words_out, pairs_out = Gathered(MODEL, owners), Gathered(ANSWER_WORDS, owners), Gathered(ANSWER_PAIRS, 0)
-    for _, group in chunks.runs(batches, "bucket"):
-        rows = list(group)
-        chunk = np.concatenate([np.repeat(b.column("chunk").to_numpy(), chunks.sizes(b, "h")) for b in rows])
-        h, w = (np.concatenate([chunks.flat(b, c) for b in rows]) for c in ("h", "w"))
-        n = np.concatenate([chunks.flat(b, "n", "<i8") for b in rows])
-        order = np.lexsort([w, h])
-        h, w, n, chunk = h[order], w[order], n[order], chunk[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
-        begin = np.flatnonzero(new)
-        sums = np.add.reduceat(n, begin)
-        each = np.repeat(sums, np.diff(np.r_[begin, len(h)]))
-        dh, dw, real = h[begin], w[begin], w[begin] != np.uint64(BEGIN)
-        words, pairs = (dh == 0) & (sums > 0), (dh != 0) & (sums > 0)
-        for k, mask in enumerate((words & real, pairs)):
-            counts[k] += np.bincount(np.minimum(sums[mask], KATZ + 2), minlength=KATZ + 3)[1:]
-        distinct += int((words & real).sum())
-        total += int(sums[words & real].sum())
-        keep = words | (pairs & (sums >= 2))
-        # model entries of pairs lie by their word, so that they meet the words' probabilities
-        model.add(dw[keep], dh[keep], dw[keep], sums[keep])
-        mine = (h == 0) & (each > 0)
-        words_out.add(w[mine], chunk[mine].view("<u8"), w[mine], each[mine])
-        pair = (h != 0) & (each >= 2)
-        pairs_out.add(chunk[pair], np.zeros(int(pair.sum()), np.uint64), pair_key(h[pair], w[pair]), each[pair])
-        for out in (model, words_out, pairs_out):
-            yield from out.rows(GATHER)
-    for out in (model, words_out, pairs_out):
-        yield from out.rows(1)
-    stats = np.r_[counts.ravel(), distinct, total]
-    yield pa.RecordBatch.from_arrays([pa.array([STATISTICS], pa.int32()), pa.array([0], pa.int64()), pa.array([[]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int64())), chunks.arrays(stats, np.array([0, len(stats)]))], names=["kind", "owner", "h", "w", "n"])
+        own = Chunk(chunks.blocks(group, tokens), trains)
+        for order in range(ORDER):
+            keys, n, outside = own.counts(order)
+            yield _rows(_SENT, [(slot, chunk, chunks.pack(keys[at]), chunks.pack(n[at]), chunks.pack(outside[at])) for slot, at in layout.rows(order, keys)])
+
+
+MODEL, ANSWERS, STATISTICS = range(3)
+_TOTALS = pa.schema([("kind", pa.int32()), ("ngram", pa.int32()), ("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("flags", pa.binary()), ("stats", pa.list_(pa.int64()))])
+TOTALS = "kind int, ngram int, slot long, chunk long, keys binary, n binary, flags binary, stats array<long>"
+
+
+def totals(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Per slot: all counts added up (a row without a chunk is a stored model's), and each chunk's totals in its own order."""
+    for slot, group in chunks.runs(batches, "slot"):
+        sent = [r for b in group for r in b.to_pylist()]
+        order = layout.order_of(slot)
+        keys = np.unique(np.concatenate([chunks.unpack(r["keys"], "<u8") for r in sent]))
+        total, owner, needed = np.zeros(len(keys), np.int64), np.full(len(keys), -1), np.zeros(len(keys), bool)
+        places = []
+        for k, r in enumerate(sent):
+            at = chunks.place(keys, chunks.unpack(r["keys"], "<u8")).astype(np.uint32)
+            n = chunks.unpack(r["n"], "<i8")
+            total[at] += n
+            if r["chunk"] is not None:
+                free = at[n > 0]
+                owner[free[owner[free] < 0]] = k
+                needed[at[chunks.unpack(r["outside"], "u1") > 0]] = True
+            places.append(at)
+        yield _rows(_TOTALS, [
+            (ANSWERS, order + 1, slot, r["chunk"], None, chunks.pack(total[at]), chunks.pack(np.where(owner[at] == k, OWN, np.uint8(0)) | np.where(needed[at], NEEDED, np.uint8(0))), None)
+            for k, (r, at) in enumerate(zip(sent, places, strict=True)) if r["chunk"] is not None
+        ])
+        seen = total > 0
+        real = seen & ~np.isin(keys, _BEGINS[order]) if order < ORDER - 1 else seen
+        few = np.bincount(np.minimum(total[real], KATZ + 2), minlength=KATZ + 3)[1:]
+        yield _rows(_TOTALS, [(MODEL, order + 1, slot, None, chunks.pack(keys[seen]), chunks.pack(total[seen]), None, None), (STATISTICS, order + 1, slot, None, None, None, None, [*few.tolist(), int(real.sum()), int(total[real].sum())])])
 
 
 @dataclass(frozen=True)
 class Discounts:
-    """What is fixed in size about the model: discounts by count, N, V."""
+    """What is fixed in size about a model: discounts by order and count, N, V."""
 
-    words: np.ndarray
-    pairs: np.ndarray
+    by_order: tuple[np.ndarray, ...]
     n: int
     v: int
     unknown: float  # what the discounts of order one free
 
-    def word_mass(self, c: np.ndarray) -> np.ndarray:
-        return c * self.words[np.minimum(c, KATZ + 1)] / max(1, self.n)
+    def mass(self, order: int, count: np.ndarray) -> np.ndarray:
+        return count * self.by_order[order][np.minimum(count, KATZ + 1)]
 
-    def pair_mass(self, r: np.ndarray) -> np.ndarray:
-        return r * self.pairs[np.minimum(r, KATZ + 1)]
+    def word(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, self.mass(0, count) / max(1, self.n), self.unknown)
+
+
+def size_of(count: np.ndarray) -> np.ndarray:
+    return count + (count > KATZ)
 
 
 def good_turing(counts: np.ndarray) -> np.ndarray:
     """Discounts for counts 0 to KATZ and, last, all above; ``counts[k]`` types were seen k + 1 times."""
-    out = np.ones(KATZ + 2)
-    n = counts.astype(float)
-    absolute = n[0] / (n[0] + 2 * n[1] + 1)
+    out, n = np.ones(KATZ + 2), counts.astype(float)
+    absolute = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    absolute = absolute if absolute < 1 else n[0] / (n[0] + 1)
     a = (KATZ + 1) * n[KATZ] / n[0] if n[0] else 1.0
     for r in range(1, KATZ + 1):
         d = ((r + 1) * n[r] / (r * n[r - 1]) - a) / (1 - a) if n[r - 1] and a != 1 else 0.0
-        out[r] = d if 0 < d <= 1 else 1 - absolute / r
+        out[r] = d if 0 < d < 1 else 1 - absolute / r
     return out
 
 
 def discounts(counted: DataFrame) -> Discounts:
-    """Sums of the buckets' counts of counts: one short row."""
-    width = 2 * (KATZ + 2) + 2
-    row = counted.where(F.col("kind") == STATISTICS).agg(*(F.sum(F.col("n")[k]).alias(f"s{k}") for k in range(width))).first()
-    s = np.array([x or 0 for x in row], np.int64)
-    words, n = good_turing(s[: KATZ + 2]), int(s[-1])
-    freed = sum(float(s[r - 1]) * r * (1 - words[r]) for r in range(1, KATZ + 1))
+    """Sums of the slots' counts of counts: one short row for each order."""
+    width = KATZ + 4
+    rows = counted.where(F.col("kind") == STATISTICS).groupBy("ngram").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(width))).collect()
+    s = {r["ngram"]: np.array(r[1:], np.int64) for r in rows}
+    by = [good_turing(s[k + 1][: KATZ + 2]) if k + 1 in s else np.ones(KATZ + 2) for k in range(ORDER)]
+    n, v = (int(s[1][-1]), int(s[1][-2])) if 1 in s else (0, 0)
+    freed = sum(float(s[1][r - 1]) * r * (1 - by[0][r]) for r in range(1, KATZ + 1)) if n else 0.0
     if n and freed <= 0:  # nothing seen five times or less: leave the unknown word the share of one token
-        words, freed = words * n / (n + 1), n / (n + 1)
-    return Discounts(words, good_turing(s[KATZ + 2 : 2 * KATZ + 4]), n, int(s[-2]), freed / n if n else 1.0)
-
-
-def history_parts(batches: Iterator[pa.RecordBatch], d: Discounts, owners: int) -> Iterator[pa.RecordBatch]:
-    """What the stored pairs of each history take at both orders, summed over the task's words, by history."""
-
-    def summed(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, taken, below = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(h, kind="stable")
-        h, taken, below = h[order], taken[order], below[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        return (h[first], np.add.reduceat(taken, first), np.add.reduceat(below, first)) if len(first) else (h, taken, below)
-
-    found: list = []
-    for _, group in chunks.runs(batches, "owner"):
-        rows = list(group)
-        h, w = (np.concatenate([chunks.flat(b, c) for b in rows]) for c in ("h", "w"))
-        n = np.concatenate([chunks.flat(b, "n", "<i8") for b in rows])
-        word = h == 0
-        order = np.argsort(w[word], kind="stable")
-        names, counts = w[word][order], n[word][order]
-        ph, pw, r = h[~word], w[~word], n[~word]
-        p1 = d.word_mass(counts[names.searchsorted(pw)]) if len(names) else np.zeros(0)
-        found = [summed([*found, (ph, d.pair_mass(r), p1)])]
-    if found and len(found[0][0]):
-        h, taken, below = found[0]
-        yield chunks.bucket_rows(h, {"w": h, "taken": taken, "below": below}, owners, {}, name="owner")
-
-
-def word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket of words: each chunk's words with count (negative if the history has one more) and, as histories, alpha."""
-    for _, group in chunks.runs(batches, "owner"):
-        rows = list(group)
-        part = [b.column("part").to_numpy() for b in rows]
-        split = [(b.slice(0, int(p.searchsorted(1))), b.slice(int(p.searchsorted(1)))) for b, p in zip(rows, part, strict=True)]
-        hists, asks = [a for a, _ in split if a.num_rows], [b for _, b in split if b.num_rows]
-        if not asks:
-            continue
-        chunk, w = (np.concatenate([chunks.flat(b, c) for b in asks]) for c in ("h", "w"))
-        n = np.concatenate([chunks.flat(b, "n", "<i8") for b in asks])
-        alpha = np.ones(len(w))
-        if hists:
-            hw = np.concatenate([chunks.flat(b, "w") for b in hists])
-            taken, below = (np.concatenate([b.column(c).flatten().to_numpy() for b in hists]) for c in ("taken", "below"))
-            order = np.argsort(hw, kind="stable")
-            hw, taken, below = hw[order], taken[order], below[order]
-            first = np.flatnonzero(np.r_[True, hw[1:] != hw[:-1]])
-            hw, taken, below = hw[first], np.add.reduceat(taken, first), np.add.reduceat(below, first)
-            at = np.minimum(hw.searchsorted(w), len(hw) - 1)
-            hit = hw[at] == w
-            full = hit & (taken[at] >= n * (1 - 1e-12))  # nothing left: the share of one more count
-            size = np.where(full, n + 1, n)
-            alpha[hit] = (1 - taken[at][hit] / size[hit]) / (1 - below[at][hit])
-            n = np.where(full, -n, n)
-        yield chunks.bucket_rows(w, {"w": w, "n": n, "alpha": alpha}, 0, {}, by=chunk.view("<i8"), name="chunk")
+        by[0], freed = by[0] * n / (n + 1), n / (n + 1)
+    return Discounts(tuple(by), n, v, freed / n if n else 1.0)
+
+
+class Known:
+    """A chunk with the total counts of its n-grams: per order, distinct keys, counts, flags and each token's place."""
+
+    def __init__(self, own: Chunk, answers: list[dict], layout: Layout):
+        self.own, self.keys, self.counts, self.flags, self.at, self.history = own, [], [], [], [], []
+        for order in range(ORDER):
+            mine = sorted((r for r in answers if r["n"] is not None and r["ngram"] == order + 1), key=lambda r: r["slot"])
+            keys = own.distinct(order)
+            self.keys.append(keys)
+            self.counts.append(np.concatenate([np.zeros(0, np.int64), *(chunks.unpack(r["n"], "<i8") for r in mine)]))
+            self.flags.append(np.concatenate([np.zeros(0, np.uint8), *(chunks.unpack(r["flags"], "u1") for r in mine)]))
+            self.at.append(chunks.place(keys, own.tokens[order]))
+            own.tokens[order] = own.tokens[order][:0]
+        for order in range(ORDER - 1):  # the place of each token's history of that order
+            h = np.empty_like(self.at[order])
+            h[1:] = self.at[order][:-1]
+            h[own.starts] = self.keys[order].searchsorted(_BEGINS[order][0])
+            self.history.append(h)
+
+    def asked(self, order: int) -> np.ndarray:
+        """Histories of that order whose weight the chunk may need."""
+        out = np.zeros(len(self.keys[order]), bool)
+        out[self.history[order][~self.own.token_trains]] = True
+        return out & (self.counts[order] > 0)
+
+    def seen(self, order: int, at: np.ndarray, d: Discounts) -> np.ndarray:
+        """Probability of the seen n-grams of an order (0 for words) at tokens ``at``."""
+        c = self.counts[order][self.at[order][at]]
+        if not order:
+            return d.word(c)
+        return d.mass(order, c) / np.maximum(1, size_of(self.counts[order - 1][self.history[order - 1][at]]))
+
+
+_PARTS = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("taken", pa.binary()), ("below", pa.binary()), ("asked", pa.binary())])
+PARTS = "slot long, chunk long, keys binary, n binary, taken binary, below binary, asked binary"
+
+
+def history_parts(batches: Iterator[pa.RecordBatch], d: Discounts, layout: Layout, trains: Callable, every_history: bool) -> Iterator[pa.RecordBatch]:
+    """Per chunk: what the n-grams that it counts take of their histories, at their order and below, and the weights it asks for."""
+    for chunk, group in chunks.runs(batches, "chunk"):
+        answers: list[dict] = []
+        own = Chunk(chunks.blocks(chunks.split_parts(group, answers), tokens), trains)
+        known = Known(own, answers, layout)
+        for order in range(1, ORDER):
+            token = np.empty(len(known.keys[order]), np.int64)
+            token[known.at[order]] = np.arange(len(known.at[order]))  # one place of each n-gram
+            mine = (known.flags[order] & OWN) > 0
+            if order < ORDER - 1:  # a begin history is no n-gram
+                mine[known.keys[order].searchsorted(_BEGINS[order])] = False
+            token = token[mine]
+            at, histories = known.history[order - 1][token], len(known.keys[order - 1])
+            taken = np.bincount(at, d.mass(order, known.counts[order][known.at[order][token]]), histories)
+            below = np.bincount(at, known.seen(order - 1, token, d), histories)
+            asked = known.asked(order - 1)
+            send = asked | ((taken > 0) & (every_history | ((known.flags[order - 1] & NEEDED) > 0)))
+            keys, n = known.keys[order - 1][send], known.counts[order - 1][send]
+            columns = (keys, n, taken[send], below[send], asked[send].view(np.uint8))
+            yield _rows(_PARTS, [(slot, chunk, *(chunks.pack(c[part]) for c in columns)) for slot, part in layout.rows(order - 1, keys)])
+
+
+WEIGHTS, ALPHAS = range(2)
+_WEIGHED = pa.schema([("kind", pa.int32()), ("ngram", pa.int32()), ("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("alpha", pa.binary())])
+WEIGHED = "kind int, ngram int, slot long, chunk long, keys binary, alpha binary"
+
+
+def weights(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Per slot: the weight of every history (stored ones come without a chunk), and those that each chunk asks for."""
+    for slot, group in chunks.runs(batches, "slot"):
+        sent = [r for b in group for r in b.to_pylist()]
+        keys = np.unique(np.concatenate([chunks.unpack(r["keys"], "<u8") for r in sent]))
+        count, taken, below = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
+        places = [chunks.place(keys, chunks.unpack(r["keys"], "<u8")) for r in sent]
+        for r, at in zip(sent, places, strict=True):
+            count[at] = chunks.unpack(r["n"], "<i8")
+            taken[at] += chunks.unpack(r["taken"], "<f8")
+            below[at] += chunks.unpack(r["below"], "<f8")
+        alpha = (1 - taken / np.maximum(1, size_of(count))) / np.maximum(1 - below, 1e-300)
+        order = layout.order_of(slot) + 1
+        out = [(ALPHAS, order, slot, r["chunk"], None, chunks.pack(alpha[at[chunks.unpack(r["asked"], "u1") > 0]])) for r, at in zip(sent, places, strict=True) if r["chunk"] is not None]
+        yield _rows(_WEIGHED, [*out, (WEIGHTS, order, slot, None, chunks.pack(keys), b"".join(map(chunks.pack, (count, taken, below))))])
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_texts(batches: Iterator[pa.RecordBatch], d: Discounts) -> Iterator[pa.RecordBatch]:
-    """Per chunk: every token's probability, from the pair if it is stored, else backed off to the word, else unknown."""
+def score_texts(batches: Iterator[pa.RecordBatch], d: Discounts, layout: Layout, trains: Callable) -> Iterator[pa.RecordBatch]:
+    """Per chunk: every token's probability, from order three down by recursion, added up by document."""
     for _, group in chunks.runs(batches, "chunk"):
-        answers: list[pa.RecordBatch] = []
-        tables = None
-        for block in chunks.blocks(chunks.split_parts(group, answers), tokens):
-            if tables is None:
-                tables = _tables(answers)
-                answers.clear()
-            yield _scored(block, tables, d)
-
-
-def _tables(answers: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    empty = np.zeros(0, np.uint64)
-    w = np.concatenate([chunks.flat(b, "w") for b in answers] or [empty])
-    n = np.concatenate([chunks.flat(b, "n", "<i8") for b in answers] or [np.zeros(0, np.int64)])
-    alpha = np.concatenate([b.column("alpha").flatten().to_numpy() for b in answers] or [np.zeros(0)])
-    pair = alpha < 0  # pairs have no alpha
-    words, pairs = np.argsort(w[~pair], kind="stable"), np.argsort(w[pair], kind="stable")
-    return w[~pair][words], n[~pair][words], alpha[~pair][words], w[pair][pairs], n[pair][pairs]
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(keys.searchsorted(wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def _scored(block: chunks.Block, tables: tuple[np.ndarray, ...], d: Discounts) -> pa.RecordBatch:
-    words, counts, alphas, pairs, pair_counts = tables
-    at, known = _find(words, block.ids)
-    c = np.where(known, np.abs(counts[at]), 0) if len(words) else np.zeros(len(block.ids), np.int64)
-    base = np.log10((c + 0.5) / (d.n + 0.5 * (d.v + 1)))
-    h = histories(block)
-    hat, hknown = _find(words, h)
-    history = np.where(hknown, np.where(counts[hat] < 0, 1 - counts[hat], counts[hat]), 0) if len(words) else np.zeros(len(h), np.int64)
-    alpha = np.where(hknown, alphas[hat], 1.0) if len(words) else np.ones(len(h))
-    low = np.where(c > 0, d.word_mass(c), d.unknown)
-    p = alpha * low
-    pat, stored = _find(pairs, pair_key(h, block.ids))
-    r = np.where(stored, pair_counts[pat], 0) if len(pairs) else np.zeros(len(h), np.int64)
-    p = np.where(r >= 2, d.pair_mass(r) / np.maximum(1, history), p)
-    score = np.log10(p)
-    by_doc = lambda x: np.add.reduceat(x, block.starts)  # noqa: E731  every document has its end token
-    columns = [
-        pa.array(block.doc_ids, pa.int64()), pa.array([held_out(x) for x in block.doc_ids]), pa.array(block.lengths), pa.array(by_doc((c > 0).astype(np.int64))),
-        pa.array(np.full(len(block.doc_ids), d.n, np.int64)), pa.array(by_doc(base)), pa.array(by_doc(score)),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        answers: list[dict] = []
+        own = Chunk(chunks.blocks(chunks.split_parts(group, answers), tokens), trains)
+        if not own.doc_ids:
+            continue
+        known, alphas = Known(own, answers, layout), []
+        for order in range(ORDER - 1):
+            alpha = np.ones(len(known.keys[order]))
+            mine = sorted((r for r in answers if r["alpha"] is not None and r["ngram"] == order + 1), key=lambda r: r["slot"])
+            alpha[known.asked(order)] = np.concatenate([np.zeros(0), *(chunks.unpack(r["alpha"], "<f8") for r in mine)])
+            alphas.append(alpha)
+        every = slice(None)
+
+        def probability(order: int, known: Known = known, alphas: list = alphas) -> np.ndarray:
+            if not order:
+                return known.seen(0, every, d)
+            count = known.counts[order][known.at[order]]
+            return np.where(count > 0, known.seen(order, every, d), alphas[order - 1][known.history[order - 1]] * probability(order - 1))
+
+        c = known.counts[0][known.at[0]]
+        base, score = np.log10((c + 0.5) / (d.n + 0.5 * (d.v + 1))), np.log10(probability(ORDER - 1))
+        by_doc = lambda x: np.add.reduceat(x, own.starts)  # noqa: B023, E731  every document has its end token
+        columns = [
+            pa.array(own.doc_ids, pa.int64()), pa.array([held_out(x) for x in own.doc_ids], pa.bool_()), pa.array(own.lengths), pa.array(by_doc((c > 0).astype(np.int64))),
+            pa.array(np.full(len(own.doc_ids), d.n, np.int64)), pa.array(by_doc(base)), pa.array(by_doc(score)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """One row per document: fold, token counts, base score and the model's log10 probability."""
-    source = chunks.chunked(docs)
-    buckets, owners, spark = chunks.bucket_count(source), 2 * chunks.partitions(source), docs.sparkSession
-    counted = source.mapInArrow(partial(chunk_counts, buckets=buckets), "bucket long, chunk long, h array<long>, w array<long>, n array<long>")
-    stored = materialise(chunks.by_key(counted, "bucket").mapInArrow(partial(totals, owners=owners), _TOTALS), "ngrams", "kind")
+@dataclass(frozen=True)
+class NgramModel:
+    """Tables by order and slot: counts of n-grams, and for histories what their weight is made of; discounts beside them."""
+
+    counts: DataFrame
+    weights: DataFrame
+    discounts: Discounts
+    layout: Layout
+
+
+def _in_training(doc_id: int | None) -> bool:
+    return not held_out(doc_id)
+
+
+def _nowhere(doc_id: int | None) -> bool:
+    return False
+
+
+def _evaluated(docs: DataFrame, trains: Callable, stored: NgramModel | None, every_history: bool) -> tuple[DataFrame, NgramModel]:
+    source, volume = chunks.chunked(docs)
+    spark, layout = docs.sparkSession, stored.layout if stored else Layout(tuple(volume.slots(x) for x in SHARES))
+    sent = source.mapInArrow(partial(chunk_counts, layout=layout, trains=trains), SENT)
+    if stored:
+        sent = sent.unionByName(stored.counts.select("slot", F.lit(None).cast("long").alias("chunk"), "keys", "n", F.lit(b"").alias("outside")))
+    counted = materialise(chunks.by_slot(sent, sum(layout.slots)).mapInArrow(partial(totals, layout=layout), TOTALS), "ngrams", "kind")
     release(spark)
-    d = discounts(stored)
-    of = lambda kind: stored.where(F.col("kind") == kind)
-    parts = chunks.by_key(of(MODEL).select("owner", "h", "w", "n"), "owner").mapInArrow(partial(history_parts, d=d, owners=owners), "owner long, w array<long>, taken array<double>, below array<double>")
-    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
-    asked = of(ANSWER_WORDS).select("owner", F.lit(1).alias("part"), "h", "w", "n", none("double").alias("taken"), none("double").alias("below"))
-    known = parts.select("owner", F.lit(0).alias("part"), none("bigint").alias("h"), "w", none("bigint").alias("n"), "taken", "below")
-    words = materialise(chunks.by_key(known.unionByName(asked), "owner", "part").mapInArrow(word_answers, "chunk long, w array<long>, n array<long>, alpha array<double>"), "words")
-    discard(stored, f"kind={ANSWER_WORDS}")
+    d = stored.discounts if stored else discounts(counted)
+    answers = counted.where(F.col("kind") == ANSWERS).select("chunk", "ngram", "slot", "n", "flags")
+    parts = chunks.meet(source, answers, volume).mapInArrow(partial(history_parts, d=d, layout=layout, trains=trains, every_history=every_history), PARTS)
+    if stored:
+        size = F.octet_length("alpha") / 3
+        piece = lambda k: F.substring("alpha", (size * k + 1).cast("int"), size.cast("int"))
+        parts = parts.unionByName(stored.weights.select("slot", F.lit(None).cast("long").alias("chunk"), "keys", piece(0).alias("n"), piece(1).alias("taken"), piece(2).alias("below"), F.lit(b"").alias("asked")))
+    weighed = materialise(chunks.by_slot(parts, sum(layout.slots[:-1])).mapInArrow(partial(weights, layout=layout), WEIGHED), "weights", "kind")
     release(spark)
-    pairs = of(ANSWER_PAIRS).select(F.col("owner").alias("chunk"), "w", "n", F.transform("n", lambda _: F.lit(-1.0)).alias("alpha"))
-    return chunks.meet(source, words.unionByName(pairs)).mapInArrow(partial(score_texts, d=d), _SCORES)
+    none = F.lit(None).cast("binary")
+    alphas = weighed.where(F.col("kind") == ALPHAS).select("chunk", "ngram", "slot", none.alias("n"), none.alias("flags"), "alpha")
+    replies = answers.withColumn("alpha", none).unionByName(alphas)
+    scores = chunks.meet(source, replies, volume).mapInArrow(partial(score_texts, d=d, layout=layout, trains=trains), _SCORES)
+    model = NgramModel(counted.where(F.col("kind") == MODEL).select("ngram", "slot", "keys", "n"), weighed.where(F.col("kind") == WEIGHTS).select("ngram", "slot", "keys", "alpha"), d, layout)
+    return scores, model
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """One row per document: fold, token counts, base score and the log10 probability under the model of the training fold."""
+    return _evaluated(docs, _in_training, None, False)[0]
+
+
+def fit(docs: DataFrame) -> NgramModel:
+    """The stored model of the training fold of ``docs``, with the weights of all its histories."""
+    return _evaluated(docs, _in_training, None, True)[1]
+
+
+def score(docs: DataFrame, model: NgramModel) -> DataFrame:
+    """Other documents under a stored model, none of them training rows."""
+    return _evaluated(docs, _nowhere, model, False)[0]
 
 
 def op10_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:

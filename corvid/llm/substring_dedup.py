@@ -6,20 +6,22 @@ document with a smaller id; every word that such a phrase covers is removed.
 1. Anchors. The smallest hash of the five-word sequences in a window is its
    anchor; equal windows have equal anchors. Anchors of at least two different
    texts are found over all chunks.
-2. Phrases. Only windows with such an anchor can be repeated. Their 128-bit
-   keys, with the smallest and largest id of each chunk, confirm which stand
-   in a smaller document.
-3. Automata. Each chunk compiles automata of its confirmed phrases' anchors
-   (shards of at most ``MAX_ANCHORS``) and streams all its documents through;
-   at every hit the phrases around that anchor are held against the keys.
+2. Phrases. Only windows with such an anchor can recur. Their 128-bit keys
+   confirm, over all chunks, which of them stand in a smaller document; a chunk
+   is told a place of each such phrase in its own texts and the smallest id.
+3. Automata. The chunk reads the confirmed phrases' words at those places and
+   compiles them, one letter a word, into automata of at most ``MAX_PHRASES``.
+   All its documents are streamed through each; what the automata hit are the
+   occurrences, and the words under them go.
 
 Exact copies of a whole text are not compared phrase by phrase: all but the
 one with the smallest id lose every word, if there are 13.
 
 Defined results: a null or empty text has no words and keeps the empty text;
 fewer than 13 words are kept; rows that repeat an id do not remove each
-other's words; a null id is never smaller, so such a row keeps its words and
-removes none; an empty table gives an empty result.
+other's words and are judged each by its own text; a null id is never smaller,
+so such a row keeps its words and removes none; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,14 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import chunks
-from corvid.llm.common import table
+from corvid.llm.common import as_bytes, table
 from corvid.plans.scratch import discard, materialise, release
 
 PHRASE = 13
 GRAM = 5
-MAX_ANCHORS = 200_000
-LETTERS = 4
+MAX_PHRASES = 50_000
 FLUSH = 1_500_000
+#: bytes of anchors and of phrases in a task, by bytes of text
+SHARES = (0.8, 2.0)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NO_ID = np.int64(2**63 - 1)
 
@@ -63,6 +66,11 @@ def _rolled(ids: np.ndarray, size: int, by: np.uint64) -> np.ndarray:
     return _mixed(key)
 
 
+def text_key(text: bytes) -> int:
+    """Spark's xxhash64 of the text."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
+
+
 def windows(block: chunks.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the block's windows, where each one's anchor is, and all gram hashes."""
     n = len(block.ids) - PHRASE + 1
@@ -75,7 +83,7 @@ def windows(block: chunks.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _lowest(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (possibly two-part) keys with the least ``low`` and greatest ``high``; also where each group begins, in key order."""
+    """Distinct (possibly two-part) keys in order with the least ``low`` and greatest ``high``; also a place of each."""
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     if not len(order):
@@ -85,67 +93,72 @@ def _lowest(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     first = np.flatnonzero(new)
-    return [k[first] for k in keys], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), first
+    return [k[first] for k in keys], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), order[first]
 
 
-def chunk_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per chunk: distinct anchors with the least and greatest hash of a text that has them."""
+def _sent(chunk: int, slots: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Columns, sorted by the hashes in the first, one row per slot."""
+    cuts = chunks.cut(next(iter(columns.values())), slots)
+    full = np.flatnonzero(np.diff(cuts)).tolist()
+    data = [pa.array([chunks.pack(v[cuts[k] : cuts[k + 1]]) for k in full], pa.binary()) for v in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), *data], names=["slot", "chunk", *columns])
+
+
+def _anchors(block: chunks.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of a block, and which document each stands in."""
+    _, at, grams = windows(block)
+    at = at[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])] if len(at) else at
+    return grams[at], block.doc[at]
 
-    def emit(chunk: int, found: list) -> pa.RecordBatch:
-        anchors, texts = (np.concatenate(x) for x in zip(*found, strict=True))
-        (anchors,), low, high, _ = _lowest([anchors], texts, texts)
-        return chunks.bucket_rows(anchors, {"anchors": anchors, "low": low, "span": low ^ high}, buckets, {"chunk": chunk})
 
+def chunk_anchors(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """Per chunk: distinct anchors with the least and greatest hash of a text that has them."""
     for chunk, group in chunks.runs(batches, "chunk"):
-        found, held = [], 0
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         for block in chunks.blocks(group):
-            _, at, grams = windows(block)
-            at = at[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])] if len(at) else at
-            text = np.fromiter((xxhash.xxh64_intdigest(t) for t in block.texts), np.uint64, len(block.texts))
-            found.append((grams[at], text[block.doc[at]]))
-            held += len(at)
-            if held >= FLUSH:
-                yield emit(chunk, found)
-                found, held = [], 0
-        if held:
-            yield emit(chunk, found)
+            anchors, doc = _anchors(block)
+            found.append((anchors, np.fromiter((xxhash.xxh64_intdigest(t) for t in block.texts), np.uint64, len(block.texts))[doc]))
+        anchors, texts = (np.concatenate(x) for x in zip(*found, strict=True))
+        (anchors,), low, high, _ = _lowest([anchors], texts, texts)
+        yield _sent(chunk, slots, {"anchors": anchors, "low": low, "high": high})
 
 
 def recurring_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: anchors of two texts or more, given back to the chunks that have them."""
-    for _, group in chunks.runs(batches, "bucket"):
-        rows = list(group)
-        chunk = np.concatenate([np.repeat(b.column("chunk").to_numpy(), chunks.sizes(b, "anchors")) for b in rows])
-        anchors, low, span = (np.concatenate([chunks.flat(b, c) for b in rows]) for c in ("anchors", "low", "span"))
-        distinct, least, most, _ = _lowest([anchors], np.minimum(low, low ^ span), np.maximum(low, low ^ span))
-        again = distinct[0][least != most]
-        kept = np.isin(anchors, again)
-        yield chunks.bucket_rows(anchors[kept], {"anchors": anchors[kept]}, 0, {}, by=chunk[kept], name="chunk")
+    """Per slot: which of each chunk's anchors stand in two texts or more, in the chunk's order."""
+    for slot, group in chunks.runs(batches, "slot"):
+        sent = [(r["chunk"], *(chunks.unpack(r[c], "<u8") for c in ("anchors", "low", "high"))) for b in group for r in b.to_pylist()]
+        _, anchors, low, high = zip(*sent, strict=True)
+        distinct, least, most, _ = _lowest([np.concatenate(anchors)], np.concatenate(low), np.concatenate(high))
+        again = (least != most).astype(np.uint8)
+        answers = [chunks.pack(again[chunks.place(distinct[0], own)]) for own in anchors]
+        yield pa.RecordBatch.from_arrays([pa.array([slot] * len(sent), pa.int64()), pa.array([r[0] for r in sent], pa.int64()), pa.array(answers, pa.binary())], names=["slot", "chunk", "again"])
 
 
-def chunk_phrases(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per chunk: windows with a recurring anchor, by key, with the least and greatest id."""
+def chunk_phrases(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """Per chunk: windows with a recurring anchor, by key, with the least and greatest id and a place in the chunk."""
 
     def emit(chunk: int, found: list) -> pa.RecordBatch:
-        a, b, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        (a, b), low, high, _ = _lowest([a, b], doc, doc)
-        return chunks.bucket_rows(a, {"a": a, "b": b, "low": low, "span": high - low}, buckets, {"chunk": chunk})
+        a, b, doc, text, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        (a, b), low, high, first = _lowest([a, b], doc, doc)
+        return _sent(chunk, slots, {"a": a, "b": b, "low": low, "high": high, "text": text[first], "at": at[first]})
 
     for chunk, group in chunks.runs(batches, "chunk"):
-        answers: list[pa.RecordBatch] = []
-        found, held, recurring = [], 0, None
-        for block in chunks.blocks(chunks.split_parts(group, answers)):
-            if recurring is None:
-                recurring = np.sort(np.concatenate([chunks.flat(x, "anchors") for x in answers])) if answers else np.zeros(0, np.uint64)
+        answers: list[dict] = []
+        docs = list(chunks.split_parts(group, answers))  # the chunk's texts as they came; words are read twice
+        again = np.concatenate([np.zeros(0, np.uint8), *(chunks.unpack(r["again"], "u1") for r in answers)]) > 0
+        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_anchors(block)[0] for block in chunks.blocks(iter(docs)))]))
+        recurring = distinct[again]
+        found, held = [], 0
+        for block in chunks.blocks(iter(docs)) if len(recurring) else ():
             starts, at, grams = windows(block)
-            if not len(starts) or not len(recurring):
-                continue
             anchor = grams[at]
             starts = starts[recurring[np.minimum(recurring.searchsorted(anchor), len(recurring) - 1)] == anchor]
             ids = np.array([_NO_ID if d is None else d for d in block.doc_ids], np.int64)[block.doc[starts]]
             known = ids != _NO_ID
             starts, ids = starts[known], ids[known]
-            found.append((_rolled(block.ids, PHRASE, _A)[starts], _rolled(block.ids, PHRASE, _B)[starts], ids))
+            doc = block.doc[starts]
+            text = np.fromiter(map(text_key, block.texts), np.int64, len(block.texts))[doc]
+            found.append((_rolled(block.ids, PHRASE, _A)[starts], _rolled(block.ids, PHRASE, _B)[starts], ids, text, (starts - block.starts[doc]).astype(np.int32)))
             held += len(starts)
             if held >= FLUSH:
                 yield emit(chunk, found)
@@ -155,127 +168,129 @@ def chunk_phrases(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
 
 
 def confirmed_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: phrases that some chunk has in a document above the first, given back to that chunk."""
-    for _, group in chunks.runs(batches, "bucket"):
-        rows = list(group)
-        chunk = np.concatenate([np.repeat(b.column("chunk").to_numpy(), chunks.sizes(b, "a")) for b in rows])
-        a, b = (np.concatenate([chunks.flat(x, c) for x in rows]) for c in ("a", "b"))
-        low, span = (np.concatenate([chunks.flat(x, c, "<i8") for x in rows]) for c in ("low", "span"))
+    """Per slot: phrases that some chunk has in a document above the first, told to that chunk as a place and the first id."""
+    for slot, group in chunks.runs(batches, "slot"):
+        sent = [r for b in group for r in b.to_pylist()]
+        a, b = (np.concatenate([chunks.unpack(r[c], "<u8") for r in sent]) for c in ("a", "b"))
+        low, high, text = (np.concatenate([chunks.unpack(r[c], "<i8") for r in sent]) for c in ("low", "high", "text"))
+        at = np.concatenate([chunks.unpack(r["at"], "<i4") for r in sent])
+        row = np.repeat(np.arange(len(sent)), [len(r["at"]) // 4 for r in sent])
         order = np.lexsort([b, a])
-        a, b, chunk, low, high = a[order], b[order], chunk[order], low[order], low[order] + span[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
         begin = np.flatnonzero(new)
-        first = np.repeat(np.minimum.reduceat(low, begin), np.diff(np.r_[begin, len(a)])) if len(a) else low
-        kept = high > first
-        yield chunks.bucket_rows(a[kept], {"a": a[kept], "b": b[kept], "first": first[kept]}, 0, {}, by=chunk[kept], name="chunk")
-
-
-class Automata:
-    """Shards of automata over the anchors of confirmed phrases.
-
-    A word is spelled in four letters of an alphabet of 64, so nodes have few
-    children; a hit must begin on a word.
-    """
-
-    def __init__(self, anchors: list[str], max_anchors: int = MAX_ANCHORS):
-        self.shards = []
-        for at in range(0, len(anchors), max_anchors):
-            shard = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for anchor in anchors[at : at + max_anchors]:
-                shard.add_word(anchor)
+        first = np.empty_like(low)
+        first[order] = np.repeat(np.minimum.reduceat(low[order], begin), np.diff(np.r_[begin, len(a)]))
+        out = []
+        for k, r in enumerate(sent):
+            mine = np.arange(*row.searchsorted([k, k + 1]))
+            mine = mine[high[mine] > first[mine]]
+            mine = mine[np.lexsort([at[mine], text[mine]])]
+            if len(mine):
+                out.append((slot, r["chunk"], *(chunks.pack(x[mine]) for x in (text, at, first))))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["slot", "chunk", "texts", "at", "first"])
+
+
+class Phrases:
+    """A chunk's confirmed phrases, read from its own texts at the places told: words as numbers, and the first id of each."""
+
+    def __init__(self, answers: list[dict], docs: list[pa.RecordBatch]):
+        self.numbers: dict[bytes, int] = {}
+        text, first = (np.concatenate([np.zeros(0, np.int64), *(chunks.unpack(r[c], "<i8") for r in answers)]) for c in ("texts", "first"))
+        at = np.concatenate([np.zeros(0, np.int32), *(chunks.unpack(r["at"], "<i4") for r in answers)])
+        order = np.argsort(text, kind="stable")
+        text, first, at = text[order], first[order], at[order]
+        wanted, words, ids = set(np.unique(text).tolist()), [np.zeros((0, PHRASE), np.int32)], [np.zeros(0, np.int64)]
+        for batch in docs if wanted else ():
+            for data in as_bytes(batch.column("text")):
+                if (key := text_key(data)) in wanted:
+                    wanted.remove(key)
+                    own = slice(*text.searchsorted([key, key + 1])) if key < _NO_ID else slice(text.searchsorted(key), None)
+                    words.append(sliding_window_view(self.numbered(data.split(), grow=True), PHRASE)[at[own]])
+                    ids.append(first[own])
+        self.words, self.first = np.concatenate(words), np.concatenate(ids)
+
+    def numbered(self, words: list[bytes], grow: bool = False) -> np.ndarray:
+        """Numbers of words; 0 for one that is in no phrase's text."""
+        if grow:
+            return np.fromiter((self.numbers.setdefault(w, len(self.numbers) + 1) for w in words), np.int32, len(words))
+        return np.fromiter((self.numbers.get(w, 0) for w in words), np.int32, len(words))
+
+    def shards(self, size: int) -> Iterator[tuple[ahocorasick.Automaton, np.ndarray]]:
+        """Automata of at most ``size`` phrases, each with the letter of every word number."""
+        for at in range(0, len(self.words), size):
+            phrases = self.words[at : at + size]
+            used = np.unique(phrases)
+            letters = np.ones(len(self.numbers) + 1, "<u4")  # one letter for all words in no phrase of this shard
+            letters[used] = np.arange(len(used)) + 2
+            letters[letters >= 0xD800] += 0x800  # these are no characters
+            spelled = letters[phrases].tobytes().decode("utf-32-le")
+            shard = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for k in range(len(phrases)):
+                shard.add_word(spelled[k * PHRASE : (k + 1) * PHRASE], at + k)
             shard.make_automaton()
-            self.shards.append(shard)
-
-    def hits(self, letters: str) -> np.ndarray:
-        """Words at which an anchor begins."""
-        ends = [end for shard in self.shards for end, _ in shard.iter(letters)]
-        begin = np.array(ends, np.int64) + 1 - GRAM * LETTERS
-        return np.unique(begin[begin % LETTERS == 0] // LETTERS)
-
-
-def spelled(ids: np.ndarray) -> str:
-    """Word hashes as text, ``LETTERS`` letters each."""
-    code = (ids >> np.uint64(64 - 6 * LETTERS)).astype(np.int64)
-    parts = [(code >> (6 * k)) & 63 for k in range(LETTERS)]
-    return (np.stack(parts, axis=1) + 48).astype(np.uint8).tobytes().decode("latin-1")
+            yield shard, letters
 
 
-class Confirmed:
-    """The confirmed phrases of a chunk by their 128-bit key."""
-
-    def __init__(self, answers: list[pa.RecordBatch]):
-        a, b = (np.concatenate([chunks.flat(x, c) for x in answers]) if answers else np.zeros(0, np.uint64) for c in ("a", "b"))
-        first = np.concatenate([chunks.flat(x, "first", "<i8") for x in answers]) if answers else np.zeros(0, np.int64)
-        order = np.argsort(a, kind="stable")
-        self.a, self.b, self.first = a[order], b[order], first[order]
-
-    def find(self, ka: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are confirmed, and the smallest id of those that are."""
-        if not len(self.a):
-            return np.zeros(len(ka), bool), np.zeros(0, np.int64)
-        at = np.minimum(self.a.searchsorted(ka), len(self.a) - 1)
-        hit = (self.a[at] == ka) & (self.b[at] == kb)
-        return hit, self.first[at[hit]]
+def occurrences(phrases: Phrases, words: np.ndarray, size: int = MAX_PHRASES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where a phrase stands in a stream of word numbers, and its first id; one shard after the other."""
+    for shard, letters in phrases.shards(size):
+        hits = np.fromiter(shard.iter(letters[words].tobytes().decode("utf-32-le")), [("end", np.int64), ("phrase", np.int64)])
+        yield hits["end"] - (PHRASE - 1), phrases.first[hits["phrase"]]
 
 
 def remove_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk: compile automata of its confirmed phrases' anchors, stream all documents, remove the phrases found."""
+    """Per chunk: compile automata of its confirmed phrases, stream all its documents through, remove what they hit."""
     for _, group in chunks.runs(batches, "chunk"):
-        answers: list[pa.RecordBatch] = []
-        docs = list(chunks.split_parts(group, answers))  # the chunk's texts as they came; words are read twice
-        confirmed, anchors = Confirmed(answers), set()
+        answers: list[dict] = []
+        docs = list(chunks.split_parts(group, answers))
+        phrases = Phrases(answers, docs)
         answers.clear()
-        for block in chunks.blocks(iter(docs)):
-            if len(confirmed.a):
-                starts, at, _ = windows(block)
-                hit, _ = confirmed.find(_rolled(block.ids, PHRASE, _A)[starts], _rolled(block.ids, PHRASE, _B)[starts])
-                letters, wide = spelled(block.ids), GRAM * LETTERS
-                anchors.update(letters[k * LETTERS : k * LETTERS + wide] for k in np.unique(at[hit]).tolist())
-        automata = Automata(sorted(anchors))
-        for block in chunks.blocks(iter(docs)):
-            yield _kept(block, _covered(block, automata, confirmed))
-
-
-def _covered(block: chunks.Block, automata: Automata, confirmed: Confirmed) -> np.ndarray:
-    """Words in a phrase that also starts in a document with a smaller id."""
-    edge = np.zeros(len(block.ids) + 1, np.int32)
-    if automata.shards:
-        found = np.zeros(len(block.ids), bool)
-        found[automata.hits(spelled(block.ids))] = True
-        starts, at, _ = windows(block)
-        starts = starts[found[at]]
-        hit, first = confirmed.find(_rolled(block.ids, PHRASE, _A)[starts], _rolled(block.ids, PHRASE, _B)[starts])
-        ids = np.array([-_NO_ID if d is None else d for d in block.doc_ids], np.int64)
-        starts = starts[hit][first < ids[block.doc[starts[hit]]]]
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + PHRASE, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _kept(block: chunks.Block, gone: np.ndarray) -> pa.RecordBatch:
+        texts = [t for batch in docs for t in as_bytes(batch.column("text"))]
+        doc_ids = [d for batch in docs for d in batch.column("doc_id").to_pylist()]
+        numbers = [phrases.numbered(t.split()) for t in texts]
+        lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        starts, stream = np.cumsum(lengths) - lengths, np.concatenate([np.zeros(0, np.int32), *numbers])
+        del numbers
+        doc, ids = np.repeat(np.arange(len(lengths)), lengths), np.array([-_NO_ID if d is None else d for d in doc_ids], np.int64)
+        edge = np.zeros(len(stream) + 1, np.int32)
+        for at, first in occurrences(phrases, stream):
+            at = at[(doc[at] == doc[at + PHRASE - 1]) & (first < ids[doc[at]])]
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + PHRASE, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        for k in range(0, len(texts), 1000):
+            yield _kept(doc_ids[k : k + 1000], texts[k : k + 1000], starts[k : k + 1000].tolist(), gone)
+
+
+_KEPT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+
+
+def _kept(doc_ids: list[int | None], texts: list[bytes], starts: list[int], gone: np.ndarray) -> pa.RecordBatch:
     rows = []
-    for doc_id, words, start in zip(block.doc_ids, block.words, block.starts.tolist(), strict=True):
+    for doc_id, text, start in zip(doc_ids, texts, starts, strict=True):
+        words = text.split()
         own = gone[start : start + len(words)]
         kept = [w for w, g in zip(words, own.tolist(), strict=True) if not g] if own.any() else words
         joined = b" ".join(kept)
-        rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        rows.append((doc_id, text_key(text), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _KEPT, strict=True)], schema=_KEPT)
 
 
 def dedup_phrases(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, kept)``, one row per document; kept is the words left, UTF-8."""
-    source = chunks.chunked(docs)
-    buckets = chunks.bucket_count(source)
-    anchors = source.mapInArrow(partial(chunk_anchors, buckets=buckets), "bucket long, chunk long, anchors array<long>, low array<long>, span array<long>")
-    recurring = materialise(chunks.by_key(anchors, "bucket").mapInArrow(recurring_anchors, "chunk long, anchors array<long>"), "anchors")
+    source, volume = chunks.chunked(docs)
+    few, many = (volume.slots(x) for x in SHARES)
+    anchors = source.mapInArrow(partial(chunk_anchors, slots=few), "slot long, chunk long, anchors binary, low binary, high binary")
+    recurring = materialise(chunks.by_slot(anchors, few).mapInArrow(recurring_anchors, "slot long, chunk long, again binary"), "anchors")
     release(docs.sparkSession)
-    phrases = chunks.meet(source, recurring).mapInArrow(partial(chunk_phrases, buckets=buckets), "bucket long, chunk long, a array<long>, b array<long>, low array<long>, span array<long>")
-    confirmed = materialise(chunks.by_key(phrases, "bucket").mapInArrow(confirmed_phrases, "chunk long, a array<long>, b array<long>, first array<long>"), "phrases")
+    phrases = chunks.meet(source, recurring, volume).mapInArrow(partial(chunk_phrases, slots=many), "slot long, chunk long, a binary, b binary, low binary, high binary, text binary, at binary")
+    confirmed = materialise(chunks.by_slot(phrases, many).mapInArrow(confirmed_phrases, "slot long, chunk long, texts binary, at binary, first binary"), "phrases")
     discard(recurring)
     release(docs.sparkSession)
-    kept = chunks.meet(source, confirmed).mapInArrow(remove_phrases, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
-    return kept.join(whole_copies(docs), "doc_id", "left").select(
+    kept = chunks.meet(source, confirmed, volume).mapInArrow(remove_phrases, "doc_id long, text_key long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    return kept.join(whole_copies(docs), ["doc_id", "text_key"], "left").select(
         "doc_id", "n_words", F.when(_gone(), F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(_gone(), F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(_gone(), F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
@@ -286,10 +301,10 @@ def _gone():
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
-    """Ids of texts that a smaller id has too, with ``copy`` true."""
-    ids = materialise(docs.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("text_sha")), "texts")
+    """Rows, by id and text, whose text a smaller id has too, with ``copy`` true."""
+    ids = materialise(docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.sha2("text", 256).alias("text_sha")), "texts")
     first = materialise(ids.groupBy("text_sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("text_sha", "first"), "copies")
-    return materialise(ids.join(first, "text_sha").where("doc_id > first").select("doc_id").distinct(), "copies").withColumn("copy", F.lit(True))
+    return materialise(ids.join(first, "text_sha").where("doc_id > first").select("doc_id", "text_key").distinct(), "copies").withColumn("copy", F.lit(True))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

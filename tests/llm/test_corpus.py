@@ -65,59 +65,130 @@ def test_substring_dedup_of_a_plan_without_files(spark):
     assert substring_dedup.dedup_phrases(frame(spark, [])).count() == 0
 
 
-def test_small_flushes_change_nothing(spark, monkeypatch):
-    import pyarrow as pa
-
-    rows = passages(4)
-    batch = pa.RecordBatch.from_pydict({"chunk": [7] * len(rows), "doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
-    whole = [b for b in substring_dedup.chunk_anchors(iter([batch]), 5)]
+def test_small_flushes_and_shards_change_nothing(spark, monkeypatch):
+    rows = distinct_texts(passages(4))
     monkeypatch.setattr(substring_dedup, "FLUSH", 50)
+    monkeypatch.setattr(substring_dedup.occurrences, "__defaults__", (7,))
     monkeypatch.setattr(chunks.blocks, "__defaults__", (bytes.split, 60))
-    parts = [b for b in substring_dedup.chunk_anchors(iter([batch]), 5)]
-    keys = lambda bs: {x for b in bs for x in chunks.flat(b, "anchors").tolist()}
-    assert keys(whole) == keys(parts) and len(parts) > len(whole)
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 3000)
+    got = in_one_process(rows)
+    assert Counter(got) == slow_removal(rows)
+
+
+def distinct_texts(rows):
+    """Whole copies are not the automata's."""
+    return list({t: (i, t) for i, t in rows if i is not None}.values())
+
+
+def in_one_process(rows):
+    """The three steps over two chunks without Spark, so that their parts can be replaced."""
+    import pyarrow as pa
+
+    batch = lambda own, chunk: pa.RecordBatch.from_pydict({"chunk": [chunk] * len(own), "part": [1] * len(own), "doc_id": pa.array([i for i, _ in own], pa.int64()), "text": pa.array([t for _, t in own], pa.string())})
+    parts = [batch(rows[0::2], 1), batch(rows[1::2], 2)]
+
+    def by(found, key, schema=None):
+        whole = pa.Table.from_batches(list(found))
+        return whole.sort_by([(key, "ascending")]).combine_chunks().to_batches()
+
+    def meeting(answers):
+        for chunk, docs in ((1, parts[0]), (2, parts[1])):
+            own = [r for b in answers for r in b.to_pylist() if r["chunk"] == chunk]
+            own.sort(key=lambda r: r["slot"])
+            names = [c for c in (answers[0].schema.names if answers else []) if c != "chunk"]
+            extra = {c: pa.array([r[c] for r in own], answers[0].schema.field(c).type) for c in names}
+            n = len(own)
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk] * n, "part": pa.array([0] * n, pa.int64()), "doc_id": pa.array([None] * n, pa.int64()), "text": pa.array([None] * n, pa.string()), **extra})
+            yield pa.RecordBatch.from_pydict({**{c: docs.column(c) for c in docs.schema.names}, **{c: pa.array([None] * docs.num_rows, answers[0].schema.field(c).type) for c in names}})
+
+    recurring = list(substring_dedup.recurring_anchors(iter(by(substring_dedup.chunk_anchors(iter(parts), 3), "slot"))))
+    confirmed = list(substring_dedup.confirmed_phrases(iter(by(substring_dedup.chunk_phrases(meeting(recurring), 3), "slot"))))
+    return [tuple(r.values()) for b in substring_dedup.remove_phrases(meeting(confirmed)) for r in b.drop_columns(["text_key", "kept"]).to_pylist()]
+
+
+def test_the_automata_decide_what_is_removed(monkeypatch):
+    rows = distinct_texts(passages(5))
+    assert Counter(in_one_process(rows)) == slow_removal(rows)
+    monkeypatch.setattr(substring_dedup.Phrases, "shards", lambda self, size: iter(()))
+    assert not any(r[2] for r in in_one_process(rows))
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    rows = [(3, a), (5, a), (5, b)]
+    got = Counter(tuple(r) for r in substring_dedup.dedup_phrases(frame(spark, rows)).drop("kept").collect())
+    assert got == slow_removal(rows) and {r[2] for r in got} == {0, 20}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"v{k % 90_001}" for k in range(450_000))
+    rows = [(1, " ".join(f"v{k}" for k in range(500, 600))), (2, long), (3, None)]
+    got = {r.doc_id: r for r in substring_dedup.dedup_phrases(frame(spark, rows)).collect()}
+    assert (got[2].n_words, got[2].n_removed, got[1].n_removed) == (450_000, 500, 0)
 
 
 # ---- language model
 
 
+def own_discounts(counts):
+    """Katz's discounts of counts 1 to 5 from scratch."""
+    n = Counter(counts.values())
+    flat = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    flat = flat if flat < 1 else n[1] / (n[1] + 1)
+    out = {}
+    for r in range(1, 6):
+        tail = 6 * n[6] / n[1] if n[1] else 1.0
+        good = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail != 1 else 0.0
+        out[r] = good if 0 < good < 1 else 1 - flat / r
+    return out
+
+
 def slow_model(rows):
     toks = [(i, [*(t or "").encode().lower().split(), "END"]) for i, t in rows]
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
-    c, p, begins = Counter(), Counter(), 0
+    grams = [Counter(), Counter(), Counter()]
     for i, x in toks:
         if not out(i):
-            c.update(x)
-            p.update(zip(["BEGIN", *x[:-1]], x, strict=True))
-            begins += 1
-    n, v = sum(c.values()), len(c)
-    top = ngram_model.KATZ + 1
-    coc = lambda t: np.array([sum(1 for y in t.values() if y == r) for r in range(1, top + 1)] + [0])
-    d1, d2 = ngram_model.good_turing(coc(c)), ngram_model.good_turing(coc(p))
-    freed = sum(x * (1 - d1[min(x, top)]) for x in c.values())
+            padded = ["BEGIN", "BEGIN", *x]
+            for k in range(3):
+                grams[k].update(tuple(padded[at - k : at + 1]) for at in range(2, len(padded)))
+    ds = [own_discounts(g) for g in grams]
+    n, v = sum(grams[0].values()), len(grams[0])
+    freed = sum(c * (1 - ds[0].get(c, 1.0)) for c in grams[0].values())
+    shrink = 1.0
     if n and freed <= 0:
-        d1, freed = d1 * n / (n + 1), n / (n + 1)
-    one = lambda w: c[w] * d1[min(c[w], top)] / n if w in c else (freed / n if n else 1.0)
-    size, stored = dict(c) | {"BEGIN": begins}, defaultdict(dict)
-    for (h, w), r in p.items():
-        if r >= 2:
-            stored[h][w] = r * d2[min(r, top)]
-    for h, x in stored.items():
-        if sum(x.values()) >= size[h] * (1 - 1e-12):
-            size[h] += 1
-    alpha = {h: (1 - sum(x.values()) / size[h]) / (1 - sum(map(one, x))) for h, x in stored.items()}
-    two = lambda h, w: stored[h][w] / size[h] if w in stored.get(h, {}) else alpha.get(h, 1.0) * one(w)
+        shrink, freed = n / (n + 1), n / (n + 1)
+    after = [None, defaultdict(dict), defaultdict(dict)]
+    for k in (1, 2):
+        for g, c in grams[k].items():
+            after[k][g[:-1]][g[-1]] = c
+
+    def p(h, w):
+        if not h:
+            c = grams[0][(w,)]
+            return c * ds[0].get(c, 1.0) * shrink / n if c else (freed / n if n else 1.0)
+        seen = after[len(h)].get(h)
+        if not seen:
+            return p(h[1:], w)
+        size = sum(seen.values())
+        size += size > 5
+        share = lambda c: c * ds[len(h)].get(c, 1.0) / size
+        if w in seen:
+            return share(seen[w])
+        return (1 - sum(map(share, seen.values()))) / (1 - sum(p(h[1:], x) for x in seen)) * p(h[1:], w)
+
     rows = {}
     for i, x in toks:
-        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x)
-        score = sum(math.log10(two(h, w)) for h, w in zip(["BEGIN", *x[:-1]], x, strict=True))
-        rows.setdefault(i, (out(i), len(x), sum(w in c for w in x), n, base, score))
-    total = lambda h: sum(two(h, w) for w in c) + two(h, "never seen")
-    return rows, [total(h) for h in list(stored)[:20]]
+        padded = ["BEGIN", "BEGIN", *x]
+        base = sum(math.log10((grams[0][(w,)] + 0.5) / (n + 0.5 * (v + 1))) for w in x)
+        score = sum(math.log10(p(tuple(padded[at - 2 : at]), padded[at])) for at in range(2, len(padded)))
+        rows.setdefault(i, (out(i), len(x), sum((w,) in grams[0] for w in x), n, base, score))
+    total = lambda h: sum(p(h, w) for (w,) in grams[0]) + p(h, "never seen")
+    return rows, [total(h) for h in [(), *list(after[1])[:15], *list(after[2])[:25], ("never", "seen"), ("never seen",)]]
 
 
-def check_model(got, rows):
-    want, totals = slow_model(rows)
+def check_model(got, rows, corpus=None):
+    want, totals = slow_model(corpus or rows)
     assert len(got) == len(rows) and all(abs(t - 1) < 1e-9 for t in totals)
     for r in got:
         held, tokens, known, n, base, score = want[r.doc_id]
@@ -139,10 +210,41 @@ def test_language_model_without_training_rows(spark):
     assert ngram_model.score_documents(frame(spark, [])).count() == 0
 
 
-def test_discounts():
-    d = ngram_model.good_turing(np.array([100, 40, 20, 12, 8, 5, 0]))
-    assert all(0 < x <= 1 for x in d) and d[-1] == 1
-    assert ngram_model.good_turing(np.zeros(7, int)).tolist()[-1] == 1
+def test_a_stored_model_scores_other_documents(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: f"y{int(rng.integers(0, 30))}"
+    rows = [(i, " ".join(word() for _ in range(int(rng.integers(0, 50))))) for i in range(60)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    inside, outside = [r for r in rows if not out(r[0])], [r for r in rows if out(r[0])]
+    model = ngram_model.fit(frame(spark, inside))
+    got = {r.doc_id: r.score for r in ngram_model.score(frame(spark, outside), model).collect()}
+    want = {r.doc_id: r.score for r in ngram_model.score_documents(frame(spark, rows)).collect()}
+    assert len(got) == len(outside) and all(math.isclose(x, want[i], rel_tol=1e-9) for i, x in got.items())
+    assert {r.ngram for r in model.counts.select("ngram").collect()} == {1, 2, 3} and {r.ngram for r in model.weights.select("ngram").collect()} == {1, 2}
+
+
+def test_model_of_many_slots_and_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(chunks, "SLOT_BYTES", 900)
+    rows = [(i, " ".join(rng.choice([f"x{k}" for k in range(25)], int(rng.integers(0, 40))))) for i in range(60)] + [(None, "x1 x2 x3"), (3, "x1 x2 x3")]
+    check_model([r for r in ngram_model.score_documents(frame(spark, rows)).collect() if r.doc_id != 3], [r for r in rows if r[0] != 3], rows)
+
+
+@pytest.mark.parametrize("counts", [[100, 40, 20, 12, 8, 5, 0], [0] * 7, [7, 0, 0, 0, 0, 0, 0], [6, 1, 0, 0, 0, 1, 0], [0, 3, 1, 0, 0, 2, 9]])
+def test_discounts(counts):
+    got = ngram_model.good_turing(np.array(counts))
+    want = own_discounts({(r, k): r + 1 for r, n in enumerate(counts[:6]) for k in range(n)})
+    assert all(math.isclose(got[r], want[r]) and 0 < want[r] < 1 for r in want) and got[-1] == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 1000])
+def test_places_and_packed_arrays(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 2**64 - 1, n, np.uint64, endpoint=True))
+    wanted = np.random.default_rng(1).permutation(keys)
+    assert (keys[chunks.place(keys, wanted)] == wanted).all() and (chunks.unpack(chunks.pack(keys), "<u8") == keys).all()
+    parts = chunks.cut(keys, 7)
+    assert parts[0] == 0 and parts[-1] == len(keys) and (np.diff(parts) >= 0).all()
 
 
 # ---- pipeline
@@ -183,7 +285,7 @@ def test_a_shuffled_plan_is_written_before_it_is_chunked(spark, tmp_path):
     rows = passages(6, 15)
     frame(spark, rows).write.parquet(str(tmp_path / "d"))
     shuffled = spark.read.parquet(str(tmp_path / "d")).repartition(3, "doc_id")
-    assert chunks.chunked(shuffled).select("chunk").distinct().count() >= 1
+    assert chunks.chunked(shuffled)[0].select("chunk").distinct().count() >= 1
     got = substring_dedup.dedup_phrases(shuffled).drop("kept").collect()
     assert Counter(tuple(r) for r in got) == slow_removal(rows)
 
