@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     rounds. Edges stay as they came: no node gathers its component's rows.
     Both joins read written tables, so Spark can split a frequent key.
     Self-loops and repeated edges are allowed; rows with a null end are
-    ignored. Returns ``(node, component)``, one row per node.
+    ignored; labels that have not settled after ``max_rounds`` raise. Returns ``(node, component)``, one row per node.
     """
     known = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     both = known.select("src", "dst").unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -29,4 +29,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             break
         target = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
         labels = materialise(lower.join(target, "label").select("node", F.col("further").alias("label")), "labels")
+    else:
+        raise RuntimeError(f"labels have not settled in {max_rounds} rounds")
     return labels.select("node", F.col("label").alias("component"))
