@@ -1,18 +1,20 @@
 """Groups of texts whose shingle sets have a Jaccard similarity of 0.8 or more, exactly.
 
-A 64-bit SimHash cannot decide this: at 0.8 two fingerprints differ in about
-ten bits and often in more, and a distance that holds all such pairs leaves no
-segment long enough for a join key. So candidates come from prefixes of the
-sets themselves: in any fixed order of all shingles, two sets this similar
-share one among the first n - ceil(0.8 n) + 1 of each. Shingles that are
-frequent in a bounded sample are ordered last, most frequent at the end, so
-passages that many documents quote are seldom in a prefix; the order decides
-the work only, never the result. A pair stays a candidate while what its
-prefixes share and what can follow them may reach the similarity; then the
-whole sets decide.
-
-Equal sets are one node. Each node is first checked with its smallest
-candidate; then every candidate pair is that is not yet in one group.
+A 64-bit SimHash alone cannot decide this: at 0.8 two fingerprints differ in
+about ten bits and often in more, and a distance that holds all such pairs
+leaves no segment long enough for a join key. So close fingerprints only give
+the first candidates, and prefixes of the sets themselves the others: in any
+fixed order of all shingles, two sets this similar share one among the first
+n - ceil(0.8 n) + 1 of each. Shingles that are frequent in a bounded sample
+are ordered last, most frequent at the end, so passages that many documents
+quote are seldom in a prefix; the order decides the work only, never the
+result. Whole sets decide on every candidate.
+
+Equal sets are one node. First, each node is held against close fingerprints
+and the leader (smallest node) of every prefix shingle it shares: so large
+groups join up without their pairs. Then pairs that share a prefix shingle
+and are still in different groups follow, if what their prefixes share and
+what can follow them may reach the similarity.
 
 Words are lower-cased (A-Z). Fewer words than a shingle are one shingle, also
 none at all; a row without an id takes part in no group.
@@ -20,6 +22,8 @@ none at all; a row without an id takes part in no group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -50,6 +54,14 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(first, last, strict=True)), np.uint64, n))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of distinct shingles: bits that over half of them have."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((counts * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
     cuts = np.cumsum([0, *map(len, found)])
     values = np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -81,66 +93,84 @@ def prefixes(docs: DataFrame) -> Column:
     order = np.argsort(hashes)
     shared = spark.sparkContext.broadcast((hashes[order], times[order]))
 
-    @F.arrow_udf("struct<node:bigint,size:int,prefix:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,size:int,fp:bigint,prefix:array<bigint>>")
     def of(text: pa.Array) -> pa.Array:
-        found = [shingle_set(x) for x in as_bytes(text)]
-        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-        sizes = np.array([len(x) for x in found], np.int32)
-        return pa.StructArray.from_arrays([pa.array(nodes), pa.array(sizes), _lists([prefix_of(x, *shared.value) for x in found])], ["node", "size", "prefix"])
+        nodes, sizes, prints, heads = [], [], [], []
+        for x in as_bytes(text):
+            own = shingle_set(x)
+            nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+            sizes.append(len(own))
+            prints.append(majority(own))
+            heads.append(prefix_of(own, *shared.value))
+        return pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.int64)), _lists(heads)], ["node", "size", "fp", "prefix"])
 
     return of(F.col("text"))
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``nodes(node, size, prefix)`` that share a prefix shingle and may be similar by their sizes."""
-    keyed = nodes.select("node", "size", F.explode("prefix").alias("s"))
-    twice = materialise(keyed.groupBy("s").count().where("count > 1").select("s"), "shared")
-    met = materialise(keyed.join(twice, "s"), "keyed")
+def _fitting(a: str, b: str) -> Column:
+    return (F.col(a) * PART <= F.col(b) * WHOLE) & (F.col(b) * PART <= F.col(a) * WHOLE)
+
+
+def leader_pairs(keyed: DataFrame) -> DataFrame:
+    """Each node of ``keyed(s, node, size)`` with the smallest node of each prefix shingle that it shares: no group's pairs."""
+    leaders = keyed.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1").select("s", F.col("lead.node").alias("a"), F.col("lead.size").alias("n_a"))
+    met = keyed.join(leaders, "s").where((F.col("node") != F.col("a")) & _fitting("size", "n_a"))
+    return met.select("a", F.col("node").alias("b")).distinct()
+
+
+def open_pairs(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a prefix shingle, are not yet in one group, and may be similar by what their prefixes share."""
+    grouped = materialise(keyed.join(known, "node", "left").select("s", "node", "size", F.coalesce("component", "node").alias("of")), "keyed")
+    split = grouped.groupBy("s").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("s")
+    met = materialise(grouped.join(split, "s"), "split")
     a, b = met.alias("a"), met.alias("b")
-    sizes = (F.col("a.size") * PART <= F.col("b.size") * WHOLE) & (F.col("b.size") * PART <= F.col("a.size") * WHOLE)
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & sizes)
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.of") != F.col("b.of")) & _fitting("a.size", "b.size"))
     counted = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.size").alias("n_a"), F.col("b.size").alias("n_b")).count()
     # all that both have up to the earlier end of the two prefixes is in both; beyond it, that set has no more than its rest
     rest = lambda n: F.ceil(F.col(n) * PART / WHOLE) - 1
     enough = (F.col("count") + F.greatest(rest("n_a"), rest("n_b"))) * (PART + WHOLE) >= (F.col("n_a") + F.col("n_b")) * PART
-    out = materialise(counted.where(enough).select("a", "b"), "pairs")
-    for done in (twice, met):
-        discard(done)
-    release(nodes.sparkSession)
-    return out
+    return counted.where(enough).select("a", "b")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, nodes: DataFrame, slim: DataFrame) -> DataFrame:
+    """Links (src, dst) of the pairs whose whole sets are similar; sets are made again from one text of each node."""
+    members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(nodes.join(members, "node", "left_semi").select("node", "rep.*"), "wanted")
+    texts = slim.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
+    sets = materialise(texts.select("node", shingles(F.col("text")).alias("own")), "sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("own_a", "own_b"))
     enough = both * WHOLE >= (F.size("own_a") + F.size("own_b") - both) * PART
-    return pairs.join(left, "a").join(right, "b").where(enough).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = materialise(pairs.join(left, "a").join(right, "b").where(enough).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    discard(sets)
+    discard(wanted)
+    release(slim.sparkSession)
+    return links
 
 
-def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, first_id)`` per row with an id: the smallest id of the group of its text."""
+def near_copy_groups(docs: DataFrame, simhash_pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(doc_id, text_key, first_id)`` per row with an id: the smallest id of the group of its text.
+
+    ``simhash_pairs`` gives pairs (a, b) of ``(node, fp)`` with close fingerprints.
+    """
     slim = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     made = materialise(slim.select("doc_id", F.xxhash64("text").alias("text_key"), prefixes(slim).alias("x")).select("doc_id", "text_key", "x.*"), "prefixes")
     rows = materialise(made.select("doc_id", "text_key", "node"), "rows")
-    found = materialise(made.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
+    found = materialise(made.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = materialise(found.select("node", "rep"), "nodes")
     discard(made)
+    exploded = found.select("node", "size", F.explode("prefix").alias("s"))
+    shared = exploded.groupBy("s").count().where("count > 1").select("s")
+    keyed = materialise(exploded.join(shared, "s"), "keyed")
     release(docs.sparkSession)
-    nodes = materialise(found.select("node", "rep"), "nodes")
-    pairs = candidate_pairs(found.select("node", "size", "prefix"))
+    close = simhash_pairs(found.select("node", "fp")).select("a", "b")
+    first = materialise(leader_pairs(keyed).unionByName(close).distinct(), "pairs")
     discard(found)
-    members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(nodes.join(members, "node", "left_semi").select("node", "rep.*"), "wanted")
-    texts = slim.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).groupBy("node").agg(F.first("text").alias("text"))
-    sets = materialise(texts.select("node", shingles(F.col("text")).alias("own")), "sets")
-    release(docs.sparkSession)
-    links = materialise(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), sets), "links")
-    release(docs.sparkSession)
+    links = similar(first, nodes, slim)
     known = connected_components(links)
-    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    more = materialise(_similar(materialise(apart, "apart"), sets), "links")
-    discard(sets)
-    release(docs.sparkSession)
+    rest = materialise(open_pairs(keyed, known).join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(keyed)
+    more = similar(rest, nodes, slim)
     if more.limit(1).count():
         known = connected_components(links.unionByName(more))
     labelled = nodes.join(known, "node", "left").select("node", F.col("rep.doc_id").alias("low"), F.coalesce("component", "node").alias("component"))

@@ -116,12 +116,12 @@ def near_pairs(distinct: DataFrame, max_distance: int = 2, max_bucket: int = 64)
 
 
 def near_duplicate_groups(fingerprints: DataFrame, max_bucket: int = 64) -> DataFrame:
-    """``(fp, component_id)`` for every distinct fingerprint of ``(doc_id, fp)``."""
-    distinct = materialise(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    known = distinct.where("rep is not null")
-    groups = connected_components(near_pairs(known, max_bucket=max_bucket))
-    joined = distinct.join(groups, distinct.rep == groups.node, "left")
-    return materialise(joined.select("fp", F.coalesce("component", "rep").alias("component_id")), "components")
+    """``(fp, component_id)`` for every distinct fingerprint of ``(doc_id, fp)``; fingerprints link whether or not they have an id."""
+    distinct = materialise(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprints")
+    groups = connected_components(near_pairs(distinct.select("fp", F.col("fp").alias("rep")), max_bucket=max_bucket))
+    joined = materialise(distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component")), "components")
+    lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))
+    return materialise(joined.join(lows, "component").select("fp", "component_id"), "components")
 
 
 def with_components(fingerprints: DataFrame, max_bucket: int = 64) -> DataFrame:
@@ -130,15 +130,23 @@ def with_components(fingerprints: DataFrame, max_bucket: int = 64) -> DataFrame:
     return fingerprints.join(groups, "fp", "left")
 
 
+def close_nodes(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``prints(node, fp)``: nodes of one fingerprint with its smallest node, and these of close fingerprints."""
+    reps = materialise(prints.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
+    same = prints.join(reps, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return same.unionByName(near_pairs(reps).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id.
 
-    Near copies are texts with 0.8 of their five-word shingles in common, which
-    op1's two bits do not reach; see ``near_copies``. Documents without an id
-    are kept; of equal rows, all are; rows that repeat an id are judged each.
+    Near copies are texts with 0.8 of their five-word shingles in common. Close
+    fingerprints are candidates; what they miss at 0.8, ``near_copies`` adds,
+    and whole shingle sets decide. Documents without an id are kept; of equal
+    rows, all are; rows that repeat an id are judged each.
     """
     names = {c: fresh(c, docs.columns) for c in ("gone_id", "gone_key")}
-    drop = near_copy_groups(docs.select("doc_id", "text")).where("doc_id <> first_id").select(F.col("doc_id").alias(names["gone_id"]), F.col("text_key").alias(names["gone_key"])).distinct()
+    drop = near_copy_groups(docs.select("doc_id", "text"), close_nodes).where("doc_id <> first_id").select(F.col("doc_id").alias(names["gone_id"]), F.col("text_key").alias(names["gone_key"])).distinct()
     gone = materialise(drop, "gone")
     same = (docs["doc_id"] == gone[names["gone_id"]]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[names["gone_key"]])
     return docs.join(gone, same, "left_anti")

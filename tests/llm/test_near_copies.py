@@ -43,6 +43,19 @@ def test_near_copies_of_every_degree_go(spark, monkeypatch, met):
     assert 1 not in kept and 24 < len(kept) < len(rows) - 24
 
 
+def test_a_large_group_forms_no_pairs(spark):
+    rng = np.random.default_rng(7)
+    base = [f"g{int(x)}" for x in rng.integers(0, 4000, 300)]
+    rows = []
+    for k in range(300):
+        own = list(base)
+        own[int(rng.integers(0, 300))] = f"own{k}"
+        rows.append((k, " ".join(own)))
+    keyed = spark.createDataFrame([(s, k, len(x)) for k, (_, t) in enumerate(rows) for x in [near_copies.shingle_set(t.encode()).view(np.int64).tolist()] for s in x], "s long, node long, size int")
+    assert near_copies.leader_pairs(keyed).count() < 10 * len(rows)
+    assert [r.doc_id for r in simhash.keep_one_per_group(spark.createDataFrame(rows, DOCS)).collect()] == [0]
+
+
 def test_an_id_with_two_texts_loses_only_the_copy(spark):
     rows = [(1, "one text of some six words"), (2, "one text of some six words"), (2, "quite another text with other words")]
     kept = simhash.keep_one_per_group(spark.createDataFrame(rows, DOCS)).collect()

@@ -87,6 +87,12 @@ def test_components(spark, bucket):
     assert {k: v for k, v in got.items() if k is not None} == want and got[None] == 1000
 
 
+def test_a_fingerprint_without_an_id_links_others(spark):
+    rows = [(1, 0b11), (None, 0b1111), (2, 0b111111), (None, 1 << 40)]
+    got = Counter((r.doc_id, r.component_id) for r in simhash.with_components(spark.createDataFrame(rows, "doc_id long, fp long")).collect())
+    assert got == Counter([(1, 1), (None, 1), (2, 1), (None, None)])
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "quite another text with other words"), (None, "a b c d e f"), (4, None), (5, "")]
     kept = simhash.keep_one_per_group(clash(docs(spark, rows)))
