@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from corvid.llm.common import as_bytes
 from corvid.plans.scratch import materialise
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 SLOT_BYTES = 16 << 20
 
 
@@ -120,7 +120,9 @@ def split_parts(group: Iterator[pa.RecordBatch], seen: list[dict]) -> Iterator[p
 
 def pack(values: np.ndarray) -> bytes:
     """Bytes by significance: of sorted keys, small counts and like numbers most then compress well."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes() if len(values) else b""
+    if values.itemsize == 1 or not len(values):
+        return values.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:
@@ -128,24 +130,42 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(dtype).ravel() if data else np.zeros(0, dtype)
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each stands there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    return counted(keys)[0]
+
+
 def cut(keys: np.ndarray, slots: int) -> np.ndarray:
     """Where the range of each slot begins in sorted keys, and the end."""
     return np.r_[keys.searchsorted(np.array([-(-(k << 64) // slots) for k in range(slots)], np.uint64)), len(keys)]
 
 
-def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def place(keys: np.ndarray, wanted: np.ndarray, step: int = 1 << 18) -> np.ndarray:
     """Where each wanted key stands in ``keys`` (sorted, distinct hashes, all wanted ones among them).
 
-    Hashes are even, so their upper bits nearly give the place.
+    Hashes are even, so within their range the upper bits nearly give the place.
     """
-    bits = np.uint64(64 - max(1, int(len(keys)).bit_length()))
-    first = keys.searchsorted(np.arange(1 << (64 - int(bits)), dtype=np.uint64) << bits)
-    at = first[(wanted >> bits).astype(np.int64)]
-    behind = np.flatnonzero(keys[at] < wanted)
-    while len(behind):
-        at[behind] += 1
-        behind = behind[keys[at[behind]] < wanted[behind]]
-    return at
+    out = np.empty(len(wanted), np.int32)
+    if not len(wanted):
+        return out
+    low, span = keys[0], int(keys[-1] - keys[0])
+    bits = np.uint64(max(0, span.bit_length() - len(keys).bit_length()))
+    first = (keys - low).searchsorted(np.arange((span >> int(bits)) + 1, dtype=np.uint64) << bits).astype(np.int32)
+    for k in range(0, len(wanted), step):
+        part = wanted[k : k + step]
+        at = first[(part - low) >> bits]
+        behind = np.flatnonzero(keys[at] < part)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[keys[at[behind]] < part[behind]]
+        out[k : k + step] = at
+    return out
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:

@@ -39,7 +39,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,8 @@ FOLDS = 5
 HELD_OUT = 1
 #: entries of each order in bytes of memory, by bytes of text; they set the number of slots
 SHARES = (0.3, 0.9, 1.2)
+#: orders that are counted at a time; their shuffles do not lie on disk together
+ROUNDS = ((0, 1), (2,))
 #: what a slot returns to a chunk about a key
 OWN, NEEDED = np.uint8(1), np.uint8(2)
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -132,14 +134,14 @@ class Chunk:
 
     def distinct(self, order: int) -> np.ndarray:
         begin = _BEGINS[order] if order < ORDER - 1 else np.zeros(0, np.uint64)
-        return np.unique(np.concatenate([self.tokens[order], begin]))
+        return chunks.distinct(np.concatenate([self.tokens[order], begin]))
 
     def counts(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, their training counts, and whether a document outside training has them."""
         of = lambda train: np.concatenate([self.tokens[order][self.token_trains == train], self.begins(order, train)])
-        trained, n = np.unique(of(True), return_counts=True)
-        other = np.unique(of(False))
-        keys = np.union1d(trained, other)
+        trained, n = chunks.counted(of(True))
+        other = chunks.distinct(of(False))
+        keys = chunks.distinct(np.concatenate([trained, other]))
         count, outside = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)
         count[keys.searchsorted(trained)] = n
         outside[keys.searchsorted(other)] = 1
@@ -154,11 +156,11 @@ _SENT = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.bina
 SENT = "slot long, chunk long, keys binary, n binary, outside binary"
 
 
-def chunk_counts(batches: Iterator[pa.RecordBatch], layout: Layout, trains: Callable[[int | None], bool]) -> Iterator[pa.RecordBatch]:
-    """Per chunk: its distinct n-grams of each order with their training counts."""
+def chunk_counts(batches: Iterator[pa.RecordBatch], layout: Layout, trains: Callable[[int | None], bool], orders: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Per chunk: its distinct n-grams of ``orders`` with their training counts."""
     for chunk, group in chunks.runs(batches, "chunk"):
         own = Chunk(chunks.blocks(group, tokens), trains)
-        for order in range(ORDER):
+        for order in orders:
             keys, n, outside = own.counts(order)
             yield _rows(_SENT, [(slot, chunk, chunks.pack(keys[at]), chunks.pack(n[at]), chunks.pack(outside[at])) for slot, at in layout.rows(order, keys)])
 
@@ -173,11 +175,11 @@ def totals(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Rec
     for slot, group in chunks.runs(batches, "slot"):
         sent = [r for b in group for r in b.to_pylist()]
         order = layout.order_of(slot)
-        keys = np.unique(np.concatenate([chunks.unpack(r["keys"], "<u8") for r in sent]))
+        keys = chunks.distinct(np.concatenate([chunks.unpack(r["keys"], "<u8") for r in sent]))
         total, owner, needed = np.zeros(len(keys), np.int64), np.full(len(keys), -1), np.zeros(len(keys), bool)
         places = []
         for k, r in enumerate(sent):
-            at = chunks.place(keys, chunks.unpack(r["keys"], "<u8")).astype(np.uint32)
+            at = chunks.place(keys, chunks.unpack(r["keys"], "<u8"))
             n = chunks.unpack(r["n"], "<i8")
             total[at] += n
             if r["chunk"] is not None:
@@ -190,7 +192,7 @@ def totals(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Rec
             for k, (r, at) in enumerate(zip(sent, places, strict=True)) if r["chunk"] is not None
         ])
         seen = total > 0
-        real = seen & ~np.isin(keys, _BEGINS[order]) if order < ORDER - 1 else seen
+        real = seen & (keys != _BEGINS[order][0]) if order < ORDER - 1 else seen
         few = np.bincount(np.minimum(total[real], KATZ + 2), minlength=KATZ + 3)[1:]
         yield _rows(_TOTALS, [(MODEL, order + 1, slot, None, chunks.pack(keys[seen]), chunks.pack(total[seen]), None, None), (STATISTICS, order + 1, slot, None, None, None, None, [*few.tolist(), int(real.sum()), int(total[real].sum())])])
 
@@ -309,7 +311,7 @@ def weights(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Re
     """Per slot: the weight of every history (stored ones come without a chunk), and those that each chunk asks for."""
     for slot, group in chunks.runs(batches, "slot"):
         sent = [r for b in group for r in b.to_pylist()]
-        keys = np.unique(np.concatenate([chunks.unpack(r["keys"], "<u8") for r in sent]))
+        keys = chunks.distinct(np.concatenate([chunks.unpack(r["keys"], "<u8") for r in sent]))
         count, taken, below = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
         places = [chunks.place(keys, chunks.unpack(r["keys"], "<u8")) for r in sent]
         for r, at in zip(sent, places, strict=True):
@@ -377,11 +379,16 @@ def _nowhere(doc_id: int | None) -> bool:
 def _evaluated(docs: DataFrame, trains: Callable, stored: NgramModel | None, every_history: bool) -> tuple[DataFrame, NgramModel]:
     source, volume = chunks.chunked(docs)
     spark, layout = docs.sparkSession, stored.layout if stored else Layout(tuple(volume.slots(x) for x in SHARES))
-    sent = source.mapInArrow(partial(chunk_counts, layout=layout, trains=trains), SENT)
-    if stored:
-        sent = sent.unionByName(stored.counts.select("slot", F.lit(None).cast("long").alias("chunk"), "keys", "n", F.lit(b"").alias("outside")))
-    counted = materialise(chunks.by_slot(sent, sum(layout.slots)).mapInArrow(partial(totals, layout=layout), TOTALS), "ngrams", "kind")
-    release(spark)
+    tables = []
+    for orders in ROUNDS:
+        sent = source.mapInArrow(partial(chunk_counts, layout=layout, trains=trains, orders=orders), SENT)
+        if stored:
+            kept = stored.counts.where(F.col("ngram").isin([k + 1 for k in orders]))
+            sent = sent.unionByName(kept.select("slot", F.lit(None).cast("long").alias("chunk"), "keys", "n", F.lit(b"").alias("outside")))
+        added = chunks.by_slot(sent, sum(layout.slots[k] for k in orders)).mapInArrow(partial(totals, layout=layout), TOTALS)
+        tables.append(materialise(added, "ngrams", "kind"))
+        release(spark)
+    counted = reduce(DataFrame.unionByName, tables)
     d = stored.discounts if stored else discounts(counted)
     answers = counted.where(F.col("kind") == ANSWERS).select("chunk", "ngram", "slot", "n", "flags")
     parts = chunks.meet(source, answers, volume).mapInArrow(partial(history_parts, d=d, layout=layout, trains=trains, every_history=every_history), PARTS)

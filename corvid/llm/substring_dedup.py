@@ -146,7 +146,7 @@ def chunk_phrases(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.
         answers: list[dict] = []
         docs = list(chunks.split_parts(group, answers))  # the chunk's texts as they came; words are read twice
         again = np.concatenate([np.zeros(0, np.uint8), *(chunks.unpack(r["again"], "u1") for r in answers)]) > 0
-        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_anchors(block)[0] for block in chunks.blocks(iter(docs)))]))
+        distinct = chunks.distinct(np.concatenate([np.zeros(0, np.uint64), *(_anchors(block)[0] for block in chunks.blocks(iter(docs)))]))
         recurring = distinct[again]
         found, held = [], 0
         for block in chunks.blocks(iter(docs)) if len(recurring) else ():
@@ -201,7 +201,7 @@ class Phrases:
         at = np.concatenate([np.zeros(0, np.int32), *(chunks.unpack(r["at"], "<i4") for r in answers)])
         order = np.argsort(text, kind="stable")
         text, first, at = text[order], first[order], at[order]
-        wanted, words, ids = set(np.unique(text).tolist()), [np.zeros((0, PHRASE), np.int32)], [np.zeros(0, np.int64)]
+        wanted, words, ids = set(chunks.distinct(text).tolist()), [np.zeros((0, PHRASE), np.int32)], [np.zeros(0, np.int64)]
         for batch in docs if wanted else ():
             for data in as_bytes(batch.column("text")):
                 if (key := text_key(data)) in wanted:
@@ -221,7 +221,7 @@ class Phrases:
         """Automata of at most ``size`` phrases, each with the letter of every word number."""
         for at in range(0, len(self.words), size):
             phrases = self.words[at : at + size]
-            used = np.unique(phrases)
+            used = chunks.distinct(phrases.ravel())
             letters = np.ones(len(self.numbers) + 1, "<u4")  # one letter for all words in no phrase of this shard
             letters[used] = np.arange(len(used)) + 2
             letters[letters >= 0xD800] += 0x800  # these are no characters
