@@ -1,22 +1,26 @@
 """Personal data: base spans and information-theoretic sanitisation, in DataFrame functions only.
 
 Base spans (emails, addresses, cards, phones) are found by regular
-expressions. For every entity so found, the corpus tells which terms reveal
-it: over documents, a term near the entity has pointwise mutual information
-log(p(e, t) / (p(e) p(t))) with it; a term whose information is at least
-``threshold`` of the entity's own, -log p(e), discloses it wherever it stands
-near it. Such a term is generalised to its class (number, code or word) if
-the class itself does not disclose the entity, else removed.
+expressions; each value is a protected entity. Over whole documents the corpus
+tells how strongly a term (a run of letters and digits, A-Z lowered) reveals
+an entity: p(e | t) is estimated as (n_et + prior p(e)) / (n_t + prior) from
+the rows that hold both and the rows that hold the term. A term discloses the
+entity if it gives at least ``threshold`` of the entity's own information
+-log p(e) and p(e | t) is above ``majority``. Entities of a single document
+are judged like all others; the prior alone smooths.
 
-Only terms within ``reach`` code points of a base span are judged, so texts
-without personal data stay as they are. Entities are kept as hashes in the
-tables that the steps write.
+A disclosing term is generalised to its class (number, code or word) if the
+class itself does not disclose the entity, else removed, and that wherever the
+term stands, also in documents without the entity.
+
+Terms of one row only and terms of several are counted apart: a term that one
+row holds can disclose that row's entities alone, so it needs no pairs.
 
 Defined results: a null text is empty; spans are code points, end exclusive;
 of overlapping spans, the earliest and longest decides the text that replaces
-both; repeated rows are treated each, a row counts once for its document; a
-null doc_id counts as a document of its own; an empty table gives an empty
-result.
+both; words that overlap a base span are no terms there; rows are what is
+counted, repeated ones each; rows of equal id and text get the same spans; an
+empty table gives an empty result.
 
 The regular expressions are possessive and tied to the starts of runs, which
 changes no match but keeps long runs linear.
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm.common import table
-from corvid.plans.scratch import fresh, materialise
+from corvid.plans.scratch import discard, fresh, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -41,21 +45,25 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){12,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+#: what every match of a kind has in it, soon looked for
+SIGNS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "phone": "+"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_SPACE = r"[\x20\x09-\x0D]"
-_WORD = r"[^\x20\x09-\x0D]+"
-#: a word of the class number (digits, no letter) or code (both) stands in the text
-_NUMBER = rf"(?:^|{_SPACE})[^\x20\x09-\x0D\p{{L}}0-9]*+[0-9][^\x20\x09-\x0D\p{{L}}]*+(?:{_SPACE}|$)"
-_CODE = r"[0-9][^\x20\x09-\x0D\p{L}]*+\p{L}|\p{L}[^\x20\x09-\x0D0-9]*+[0-9]"
+_IN_TERM = r"\p{L}\p{M}\p{N}"
+#: a term of the class number (no letter) or code (letters and digits) stands in the text
+_NUMBER = rf"(?<![{_IN_TERM}])\p{{N}}++(?![{_IN_TERM}])"
+_CODE = r"[\p{L}\p{M}]\p{N}|\p{N}[\p{L}\p{M}]"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: cells of the filter that says which words may be terms found in several rows; a false hit costs work only
+CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
 class Settings:
     """Production parameters."""
 
-    threshold: float = 0.9
-    min_documents: int = 3
-    reach: int = 64
+    threshold: float = 0.8
+    majority: float = 0.5
+    prior: float = 0.5
 
 
 def _digits(value: Column) -> Column:
@@ -87,7 +95,7 @@ def _passes(kind, span) -> Column:
 _EMPTY = "cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"
 
 
-def located(text: Column, matches: Column, pattern: str, kind: Column) -> Column:
+def located(text: Column, matches: Column, pattern: Column, kind: Column) -> Column:
     """Spans of ``matches`` (all matches of ``pattern`` in ``text``): the pieces between them give the places."""
     gaps = F.split(text, pattern, -1)
     paired = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
@@ -105,8 +113,10 @@ def located(text: Column, matches: Column, pattern: str, kind: Column) -> Column
 def with_base_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
     """``docs`` plus ``out``: base spans by kind as listed, then start."""
     names = {k: fresh(f"m_{k}", docs.columns) for k in KINDS}
-    found = docs.withColumns({names[k]: F.regexp_extract_all(F.col(text), F.lit(PATTERNS[k]), F.lit(0)) for k in KINDS})
-    kinds = [F.filter(located(F.col(text), F.col(names[k]), PATTERNS[k], F.lit(k)), partial(_passes, k)) for k in KINDS]
+    sign = lambda k: F.contains(F.col(text), F.lit(SIGNS[k])) if len(SIGNS[k]) == 1 else F.col(text).rlike(SIGNS[k])
+    none = F.expr("cast(array() as array<string>)")
+    found = docs.withColumns({names[k]: F.when(sign(k), F.regexp_extract_all(F.col(text), F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS})
+    kinds = [F.filter(located(F.col(text), F.col(names[k]), F.lit(PATTERNS[k]), F.lit(k)), partial(_passes, k)) for k in KINDS]
     return found.withColumn(out, F.concat(*kinds)).drop(*names.values())
 
 
@@ -116,25 +126,36 @@ def entity(span: Column) -> Column:
 
 
 def term_class(term: Column) -> Column:
-    return F.when(~term.rlike("[0-9]"), "word").when(term.rlike(r"\p{L}"), "code").otherwise("number")
+    return F.when(~term.rlike(r"\p{N}"), "word").when(term.rlike(r"[\p{L}\p{M}]"), "code").otherwise("number")
+
+
+def lowered(text: Column) -> Column:
+    """A-Z lowered, every code point in its place."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(lowered(text), rf"[^{_IN_TERM}]++"), lambda w: w != ""))
 
 
-def _near_words(text: Column, spans: Column, reach: int) -> Column:
-    """Whole words within ``reach`` code points of each span, with their places, off all base spans."""
+def any_of(terms: Column) -> Column:
+    """A pattern of whole terms; they are letters, marks and numbers only."""
+    return F.concat(F.lit(rf"(?<![{_IN_TERM}])(?:"), F.array_join(terms, "|"), F.lit(rf")(?![{_IN_TERM}])"))
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - reach - 1, F.lit(0))
-        before = F.substr(text, low + 1, s["start"] - low)
-        head = F.when(low == 0, F.concat(F.lit(" "), before)).otherwise(before)  # a word needs white space before it
-        after = F.concat(F.substr(text, s["end"] + 1, F.lit(reach + 1)), F.when(F.length(text) <= s["end"] + reach + 1, " ").otherwise(""))
-        whole_before, whole_after = rf"(?<={_SPACE}){_WORD}", rf"{_WORD}(?={_SPACE})"
-        left = located(head, F.regexp_extract_all(head, F.lit(whole_before), F.lit(0)), whole_before, F.lit("near"))
-        right = located(after, F.regexp_extract_all(after, F.lit(whole_after), F.lit(0)), whole_after, F.lit("near"))
-        move = lambda by: lambda w: F.struct(entity(s).alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end"))
-        return F.concat(F.transform(left, move(F.when(low == 0, F.lit(-1)).otherwise(low))), F.transform(right, move(s["end"])))
 
-    free = lambda w: (F.length(F.regexp_replace(w["term"], r"[^\p{L}0-9]", "")) > 2) & ~F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    return F.filter(F.flatten(F.transform(spans, around)), free)
+def replaced(text: Column, spans: Column, mark) -> Column:
+    """``text`` with ``spans`` (start, back = -end, kind; in order) replaced by their mark."""
+
+    def step(a: Column, v: Column) -> Column:
+        piece = F.concat(F.substr(text, a["at"] + 1, F.greatest(v["start"] - a["at"], F.lit(0))), mark(v))
+        return F.struct(F.greatest(a["at"], -v["back"]).alias("at"), F.when(v["start"] >= a["at"], F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text) + 1)))
+
+
+def in_order(spans: Column) -> Column:
+    return F.array_sort(F.transform(spans, lambda v: F.struct(v["start"].alias("start"), (-v["end"]).alias("back"), v["kind"].alias("kind"))))
 
 
 @dataclass(frozen=True)
@@ -145,59 +166,86 @@ class Findings:
     extra: DataFrame
 
 
+def discloses(n_et: Column, n_t: Column, n_e: Column, n: int, s: Settings) -> Column:
+    share = n_e / n
+    given = (n_et + s.prior * share) / (n_t + s.prior)
+    return (share < 1) & (given > s.majority) & (F.log(given / share) >= s.threshold * -F.log(share))
+
+
 def analyse(docs: DataFrame, s: Settings = Settings()) -> Findings:
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "text_key"))
     spanned = with_base_spans(slim, "text", "spans")
-    near = spanned.withColumn("near", F.when(F.size("spans") > 0, _near_words(F.col("text"), F.col("spans"), s.reach)))
+    hidden = replaced(F.col("text"), in_order(F.col("spans")), lambda _: F.lit("\ue000"))
+    # a word that overlaps a span has the hidden mark in it, next to letters or alone
+    masked = F.regexp_replace(hidden, rf"[{_IN_TERM}]*+\ue000[{_IN_TERM}\ue000]*+", " ")
+    personal = F.size("spans") > 0
     base = materialise(
-        near.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), entity(x).alias("entity"))).alias("spans"), "near"),
+        spanned.select(
+            "doc_id", "text_key", "row", F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"),
+            F.when(personal, F.array_distinct(F.transform("spans", entity))).alias("entities"), F.when(personal, terms_of(masked)).alias("terms"), F.when(personal, F.col("text")).alias("text"),
+        ),
         "spans",
-    )
-    key = F.coalesce(F.col("doc_id"), F.col("text_key"))
-    context = base.where(F.size("near") > 0).select("doc_id", "text_key", key.alias("doc"), F.explode("near").alias("x")).select("doc_id", "text_key", "doc", "x.*").withColumn("class", term_class(F.col("term")))
-    holders = base.where(F.size("spans") > 0).select(key.alias("doc"), F.explode("spans.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= s.min_documents)
-    together = context.select("entity", "term", "class", "doc").distinct().groupBy("entity", "term", "class").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= s.min_documents)
-    digits = F.col("text").rlike("[0-9]")  # most texts have none, which is soon seen
-    totals = slim.agg(F.count("*").alias("n"), F.count_if(digits & F.col("text").rlike(_NUMBER)).alias("number"), F.count_if(digits & F.col("text").rlike(_CODE)).alias("code")).first()
+    )
+    held = base.where("entities is not null")
+    totals = slim.agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(_NUMBER)).alias("number"), F.count_if(F.col("text").rlike(_CODE)).alias("code")).first()
     n = max(1, totals.n)
-    # a term stands in at least the documents in which it stands near some entity: common words end here
-    met = context.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    most = F.col("n_et") * F.pow(n / F.col("n_e"), 1 - s.threshold)
-    candidates = materialise(together.join(holders, "entity").join(met, "term").where(F.col("n_near") <= most * (1 + 1e-9)), "candidates")
-    terms = materialise(candidates.select("term").distinct(), "terms")
-    words = slim.select(F.explode(F.array_distinct(F.split(F.lower("text"), rf"{_SPACE}+"))).alias("term"))
-    seen = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    # a class stands in a document if any of its words does
-    with_class = context.select("entity", "class", "doc").distinct().groupBy("entity", "class").agg(F.count("*").alias("n_ec"))
-    n_class = F.when(F.col("class") == "number", max(1, totals.number)).when(F.col("class") == "code", max(1, totals.code)).otherwise(n)
-    own = -F.log(F.col("n_e") / n)
-    information = lambda joint, alone: F.log(joint * n / (F.col("n_e") * alone))
-    judged = candidates.join(seen, "term").join(with_class, ["entity", "class"])
-    disclosing = judged.where((own > 0) & (information(F.col("n_et"), F.greatest("n_t", "n_et")) >= s.threshold * own))
-    action = F.when(information(F.col("n_ec"), F.greatest(n_class, F.col("n_ec"))) < s.threshold * own, F.col("class")).otherwise("removed")
-    pairs = materialise(disclosing.select("entity", "term", action.alias("kind")), "disclosing")
-    extra = context.join(pairs, ["entity", "term"]).select("doc_id", "text_key", "kind", "start", "end").distinct()
-    grouped = extra.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("extra"))
-    return Findings(base, materialise(grouped, "extra"))
+    seen = materialise(slim.select("row", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"), F.min("row").alias("one")), "seen")
+    has = lambda kind: F.exists("terms", lambda t: term_class(t) == kind)
+    marked = held.select("row", "entities", has("number").alias("number"), has("code").alias("code"))
+    known = materialise(marked.select(F.explode("entities").alias("entity"), "number", "code").groupBy("entity").agg(F.count("*").alias("n_e"), F.count_if("number").alias("e_number"), F.count_if("code").alias("e_code")), "entities")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Disclosing ``(entity, term, n_et, n_t, one, n_e, ...)`` with what becomes of the term."""
+        kind = term_class(F.col("term"))
+        of_class = F.when(kind == "number", discloses(F.col("e_number"), F.lit(totals.number), F.col("n_e"), n, s)).when(kind == "code", discloses(F.col("e_code"), F.lit(totals.code), F.col("n_e"), n, s)).otherwise(False)
+        return pairs.where(discloses(F.col("n_et"), F.col("n_t"), F.col("n_e"), n, s)).withColumn("kind", F.when(of_class, F.lit("removed")).otherwise(kind))
+
+    strongest = F.when(F.max(F.col("kind") == "removed"), "removed").otherwise(F.min("kind")).alias("kind")
+    entities = held.select("row", F.explode("entities").alias("entity")).join(known, "entity")
+    # terms of one row: that row's entities are all they can disclose
+    lone = judged(seen.where("n_t = 1").select("term", "n_t", F.col("one").alias("row")).join(entities, "row").withColumn("n_et", F.lit(1)))
+    by_row = lone.groupBy("row", "term").agg(strongest).groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("found"))
+    own = held.select("doc_id", "text_key", "row", "text", "terms").join(by_row, "row").withColumn("found", F.filter("found", lambda x: F.array_contains(F.col("terms"), x["term"])))
+    alone = own.where(F.size("found") > 0).select("doc_id", "text_key", F.map_from_entries("found").alias("kinds"), lowered(F.col("text")).alias("text"))
+    alone = _places(alone, F.map_keys("kinds")).select("doc_id", "text_key", F.expr("kinds[at.value]").alias("kind"), "at.start", "at.end")
+    # terms of several rows: entities of several rows, counted by pairs
+    several = materialise(entities.where("n_e > 1").groupBy("row").agg(F.collect_list("entity").alias("several")), "several")
+    pairs = held.join(several, "row").select(F.explode("several").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where("n_et > 1")
+    shared = materialise(judged(pairs.join(known, "entity").join(seen.where("n_t > 1"), "term")).groupBy("term").agg(strongest), "disclosing")
+    cells = bytearray(CELLS)
+    for r in shared.select(F.pmod(F.xxhash64("term"), F.lit(CELLS)).alias("cell")).distinct().toLocalIterator():
+        cells[r["cell"]] = 1
+    extra = alone
+    if any(cells):
+        may = lambda w: F.substring(F.lit(bytes(cells)), (F.pmod(F.xxhash64(w), F.lit(CELLS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+        words = slim.select("doc_id", "text_key", lowered(F.col("text")).alias("text")).withColumn("some", F.filter(terms_of(F.col("text")), may)).where(F.size("some") > 0)
+        extra = extra.unionByName(_places(words, F.col("some")).select("doc_id", "text_key", F.col("at.value").alias("term"), "at.start", "at.end").join(shared, "term").select("doc_id", "text_key", "kind", "start", "end"))
+    grouped = extra.distinct().groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
+    out = Findings(base.select("doc_id", "text_key", "spans"), materialise(grouped, "extra"))
+    for done in (seen, several, shared):
+        discard(done)
+    return out
+
+
+def _places(rows: DataFrame, terms: Column) -> DataFrame:
+    """A row for each place ``at`` (start, end, value) at which one of ``terms`` stands in the row's text."""
+    pattern = rows.withColumn("pattern", any_of(terms))
+    matched = pattern.withColumn("matches", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
+    return matched.withColumn("at", F.explode(located(F.col("text"), F.col("matches"), F.col("pattern"), F.lit("term"))))
 
 
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _joined(rows: DataFrame, extra: DataFrame, key: Column, out: str) -> DataFrame:
-    found = extra.select(F.col("doc_id").alias("x_doc"), F.col("text_key").alias("x_key"), F.col("extra").alias(out))
-    match = rows["doc_id"].eqNullSafe(found["x_doc"]) & (key == found["x_key"])
-    return rows.join(found, match, "left").drop("x_doc", "x_key")
-
-
 def _of(kind: str):
     return lambda span: span["kind"] == kind
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analyse(table(spark, sf_dir, "documents"))
-    rows = _joined(found.base, found.extra, found.base["text_key"], "extra")
+    extra = found.extra.select(F.col("doc_id").alias("x_doc"), F.col("text_key").alias("x_key"), "extra")
+    rows = found.base.join(extra, found.base["doc_id"].eqNullSafe(extra["x_doc"]) & (found.base["text_key"] == extra["x_key"]), "left")
     base, counts = _listed(F.col("spans")), {k: F.size(F.filter("spans", _of(k))).cast("long") for k in KINDS}
     return rows.select("doc_id", *(c.alias(f"n_{k}") for k, c in counts.items()), F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(_listed(F.col("extra")), F.lit(""))).alias("spans"))
 
@@ -205,27 +253,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sanitise(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` with base spans replaced by their kind and disclosing terms generalised or removed; n_chars follows the text."""
     found = analyse(docs, s)
-    names = {c: fresh(c, docs.columns) for c in ("key", "plain", "spans", "extra")}
-    rows = docs.withColumns({names["plain"]: F.coalesce("text", F.lit("")), names["key"]: F.xxhash64(F.coalesce("text", F.lit("")))})
-    extra = found.extra.select(F.col("doc_id").alias("x_doc"), F.col("text_key").alias("x_key"), F.col("extra").alias(names["extra"]))
-    x = {c: fresh(c, rows.columns) for c in ("x_doc", "x_key")}
-    extra = extra.withColumnsRenamed(x)
-    rows = rows.join(extra, rows["doc_id"].eqNullSafe(extra[x["x_doc"]]) & (rows[names["key"]] == extra[x["x_key"]]), "left")
-    rows = with_base_spans(rows, names["plain"], names["spans"])
-    plain = F.col(names["plain"])
-    shape = lambda a: F.transform(a, lambda v: F.struct(v["start"].alias("start"), (-v["end"]).alias("back"), v["kind"].alias("kind")))
-    spans = F.array_sort(F.concat(shape(F.col(names["spans"])), F.coalesce(shape(F.col(names["extra"])), F.expr("cast(array() as array<struct<start:int,back:int,kind:string>>)"))))
+    all_spans = found.base.where(F.size("spans") > 0).unionByName(found.extra.withColumnRenamed("extra", "spans"))
+    all_spans = materialise(all_spans.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans")), "all")
+    names = {c: fresh(c, docs.columns) for c in ("x_doc", "x_key", "spans")}
+    marks = all_spans.withColumnsRenamed({"doc_id": names["x_doc"], "text_key": names["x_key"], "spans": names["spans"]})
+    plain, spans = F.coalesce("text", F.lit("")), F.col(names["spans"])
+    rows = docs.join(marks, docs["doc_id"].eqNullSafe(marks[names["x_doc"]]) & (F.xxhash64(plain) == marks[names["x_key"]]), "left")
     mark = lambda v: F.when(v["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), v["kind"], F.lit("]")))
-
-    def step(a: Column, v: Column) -> Column:
-        fresh_span = v["start"] >= a["at"]
-        piece = F.concat(F.substr(plain, a["at"] + 1, F.greatest(v["start"] - a["at"], F.lit(0))), mark(v))
-        return F.struct(F.greatest(a["at"], -v["back"]).alias("at"), F.when(fresh_span, F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(plain, a["at"] + 1, F.length(plain) + 1)))
-    text = F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))
     new = fresh("clean", rows.columns)
-    rows = rows.withColumn(new, text)
+    rows = rows.withColumn(new, F.when(F.size(spans) > 0, replaced(plain, in_order(spans), mark)).otherwise(F.col("text")))
     size = F.when(F.size(spans) > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return rows.select(*(F.col(new).alias("text") if c == "text" else size.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
