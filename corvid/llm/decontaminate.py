@@ -8,13 +8,14 @@ can have. A retrieved item counts once its five-word shingles
 stand in the passage: at least 0.8 of them, and half of its question's and of
 its answer's each.
 
-The index is built for ``max_items`` items at a time. Each such block is a
+The index is built for items of ``max_bytes`` of text at a time; postings,
+block maxima and texts grow with these bytes alone. Each such block is a
 broadcast of bounded size and one pass over the documents; document
 frequencies cover all items whatever their block. No document is shuffled.
 
 Defined results: null or empty texts match nothing; an item of fewer than five
-words has no shingle and matches nothing; items with equal text are each
-reported; a null item_id or doc_id stays null; with no items every document
+words has no shingle and matches a document that has its words and no others;
+items with equal text are each reported; items of no word match nothing; a null item_id or doc_id stays null; with no items every document
 is clean; repeated rows are judged each.
 """
 
@@ -22,10 +23,11 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -57,7 +59,7 @@ class Settings:
     band: float = 1.25
     block: int = 2
     max_blocks: int = 64
-    max_items: int = 5000
+    max_bytes: int = 8 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -78,109 +80,143 @@ def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
-@dataclass
-class Postings:
-    """Items in order and their impacts (scores as shares of the item's own)."""
-
-    items: list[int] = field(default_factory=list)
-    impacts: list[float] = field(default_factory=list)
-
-
 class Index:
-    """Inverted index of the items of one length band.
+    """Inverted index of the items of one length band; impacts are scores as shares of the item's own.
 
     Items are numbered in order and cut into at most ``max_blocks`` ranges;
-    ``maxima`` holds each term's greatest impact in each range. ``least`` is
-    the score that an item with ``min_overlap`` of its shingles has at least:
-    each missing term costs a shingle, so at most that many of its greatest
-    impacts can be missing.
+    for each term the ranges that have it are listed with its greatest impact
+    there. ``least`` is the score that an item with ``min_overlap`` of its
+    shingles has at least: each missing term costs a shingle, so at most that
+    many of its greatest impacts can be missing. Terms in most items are
+    common as long as no item reaches ``least`` by them alone; so a passage
+    that has none of the others, the rare ones, holds no item.
     """
 
     def __init__(self, items: list[tuple[int | None, bytes]], df: dict[bytes, int], n: int, average: float, s: Settings, row: dict[bytes, int]):
-        self.row = row
-        self.s, self.ids, self.parts, self.lists = s, [], [], {}
+        self.row, self.s, self.ids, self.texts = row, s, [], []
+        self.lists: dict[bytes, tuple[array, array]] = {}
         self.longest, self.least = 0, 1.0
         for item_id, text in items:
             words = words_of(text)
             idf = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in set(words)}
             norm = s.k1 * (1 - s.b + s.b * len(words) / average)
             impact = {w: idf[w] * c * (s.k1 + 1) / (c + norm) for w, c in Counter(words).items()}
-            own, k, whole = sum(impact.values()), len(self.ids), shingles(words)
+            own, k = sum(impact.values()), len(self.ids)
             for w, v in impact.items():
-                p = self.lists.setdefault(w, Postings())
-                p.items.append(k)
-                p.impacts.append(v / own)
-            question, answer = question_and_answer(text)
+                to, shares = self.lists.setdefault(w, (array("i"), array("d")))
+                to.append(k)
+                shares.append(v / own)
             self.ids.append(item_id)
-            self.parts.append((whole, shingles(question), shingles(answer)))
+            self.texts.append(text)
             self.longest = max(self.longest, len(words))
-            missing = int((1 - s.min_overlap) * len(whole) + 1e-9)
+            missing = int((1 - s.min_overlap) * len(shingles(words)) + 1e-9)
             self.least = min(self.least, 1 - sum(sorted(impact.values(), reverse=True)[:missing]) / own)
         self.least = max(self.least - 1e-6, 1e-3)
         self.block = max(s.block, -(-len(self.ids) // s.max_blocks))
-        self.maxima = np.zeros((len(row) + 1, -(-len(self.ids) // self.block)))
-        for w, p in self.lists.items():
-            np.maximum.at(self.maxima[row[w]], np.array(p.items) // self.block, p.impacts)
-        self.known = self.maxima.any(axis=1)
+        self._maxima()
+        self._rare()
+
+    def _maxima(self) -> None:
+        self.ranges = -(-len(self.ids) // self.block)
+        sizes, found = np.zeros(len(self.row) + 2, np.int64), []
+        for w in sorted(self.lists, key=self.row.__getitem__):
+            items, shares = self.lists[w]
+            blocks = np.array(items) // self.block
+            first = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
+            found.append((blocks[first], np.maximum.reduceat(np.array(shares), first)))
+            sizes[self.row[w] + 1] = len(first)
+        self.starts = np.cumsum(sizes).astype(np.int32)  # of each word's ranges, by its number
+        self.in_range, self.greatest = np.concatenate([x for x, _ in found]).astype(np.int32), np.concatenate([x for _, x in found])
+
+    def _rare(self) -> None:
+        reached = np.zeros(len(self.ids))
+        self.is_rare = np.zeros(len(self.row) + 1, bool)
+        self.is_rare[[self.row[w] for w in self.lists]] = True
+        for w in sorted(self.lists, key=lambda w: (-len(self.lists[w][0]), w)):
+            items, shares = self.lists[w]
+            reached[items] += shares
+            if reached[items].max() >= self.least:
+                break
+            self.is_rare[self.row[w]] = False
+
+    def ranges_of(self, word: bytes) -> slice:
+        k = self.row[word]
+        return slice(self.starts[k], self.starts[k + 1])
 
     def search(self, terms: list[bytes]) -> list[tuple[int, float]]:
         """Block-max WAND: every item whose score reaches ``least``."""
-        rows = self.maxima[[self.row[t] for t in terms]]
-        tops, open_blocks = rows.max(axis=1), rows.sum(axis=0) >= self.least
-        live = [[0, self.lists[t], top] for t, top in zip(terms, tops.tolist(), strict=True)]
-        found = []
+        sums, live = np.zeros(self.ranges), []
+        for t in terms:
+            own = self.ranges_of(t)
+            sums[self.in_range[own]] += self.greatest[own]
+            live.append([0, *self.lists[t], float(self.greatest[own].max())])
+        open_blocks, found = sums >= self.least, []
         while live:
-            live.sort(key=lambda c: c[1].items[c[0]])
+            live.sort(key=lambda c: c[1][c[0]])
             reach, pivot = 0.0, -1
-            for k, (_, _, top) in enumerate(live):
-                reach += top
+            for k, c in enumerate(live):
+                reach += c[3]
                 if reach >= self.least:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            item = live[pivot][1].items[live[pivot][0]]
+            item = live[pivot][1][live[pivot][0]]
             if not open_blocks[item // self.block]:  # no item of this range can reach it
                 to = (item // self.block + 1) * self.block
                 for c in live:
-                    c[0] = bisect_left(c[1].items, to, c[0])
-            elif live[0][1].items[live[0][0]] == item:
+                    c[0] = bisect_left(c[1], to, c[0])
+            elif live[0][1][live[0][0]] == item:
                 score = 0.0
                 for c in live:
-                    if c[1].items[c[0]] != item:
+                    if c[1][c[0]] != item:
                         break
-                    score += c[1].impacts[c[0]]
+                    score += c[2][c[0]]
                     c[0] += 1
                 if score >= self.least:
                     found.append((item, score))
             else:
                 for c in live[:pivot]:
-                    c[0] = bisect_left(c[1].items, item, c[0])
-            live = [c for c in live if c[0] < len(c[1].items)]
+                    c[0] = bisect_left(c[1], item, c[0])
+            live = [c for c in live if c[0] < len(c[1])]
         return found
 
-    def matches(self, words: list[bytes], rows: np.ndarray) -> dict[int, tuple[float, float, float, float]]:
-        """Items that the document's passages hold, with score and overlaps (the best of all passages).
+    @property
+    def stride(self) -> int:
+        return self.longest + self.longest // 8 + 2
+
+    def reachable(self, n: int, rows: np.ndarray) -> np.ndarray:
+        """Starts of the passages in which some range of items can reach ``least`` by its block maxima.
 
         A passage is two strides long and a stride is longer than any item, so
-        every item stands whole in a passage. A first pass adds up the block
-        maxima of a passage's words; only passages in which some range of
-        items can reach ``least`` are searched.
+        every item stands whole in a passage.
         """
-        stride = self.longest + self.longest // 8 + 2
-        at = np.flatnonzero(self.known[rows])
-        sums = np.zeros((len(at) + 1, self.maxima.shape[1]))
-        np.cumsum(self.maxima[rows[at]], axis=0, out=sums[1:])
-        starts = np.arange(0, max(1, len(words) - stride), stride)
-        reach = (sums[at.searchsorted(starts + 2 * stride)] - sums[at.searchsorted(starts)]).max(axis=1)
+        rare = np.flatnonzero(self.is_rare[rows])
+        if not len(rare):
+            return rare
+        strides = -(-n // self.stride) + 1
+        near = np.zeros(strides + 1, bool)  # strides of a passage with a rare term
+        for k in (-1, 0, 1):
+            near[np.clip(rare // self.stride + k, 0, strides)] = True
+        at = np.flatnonzero(near[np.arange(n) // self.stride] & (self.starts[rows + 1] > self.starts[rows]))
+        sizes = self.starts[rows[at] + 1] - self.starts[rows[at]]
+        entry = np.repeat(self.starts[rows[at]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        cell = np.repeat(at // self.stride, sizes) * self.ranges + self.in_range[entry]
+        sums = np.bincount(cell, self.greatest[entry], (strides + 1) * self.ranges).reshape(-1, self.ranges)
+        starts = np.arange(0, max(1, n - self.stride), self.stride)
+        k = starts // self.stride
+        return starts[(sums[k] + sums[k + 1]).max(axis=1) >= self.least - 1e-9]
+
+    def matches(self, words: list[bytes], rows: np.ndarray) -> dict[int, tuple[float, float, float, float]]:
+        """Items that the document's passages hold, with score and overlaps (the best of all passages)."""
         best: dict[int, tuple[float, float, float, float]] = {}
-        for begin in starts[reach >= self.least - 1e-9].tolist():
-            terms = sorted({w for w in words[begin : begin + 2 * stride] if w in self.lists})
+        for begin in self.reachable(len(words), rows).tolist():
+            passage = words[begin : begin + 2 * self.stride]
             near = None
-            for item, score in self.search(terms):
-                if near is None:
-                    near = shingles(words[begin : begin + 2 * stride])
-                share = [len(p & near) / len(p) if p else 1.0 for p in self.parts[item]]
+            for item, score in self.search(sorted({w for w in passage if w in self.lists})):
+                near = shingles(passage) if near is None else near
+                question, answer = question_and_answer(self.texts[item])
+                share = [len(p & near) / len(p) if p else 1.0 for p in map(shingles, (words_of(self.texts[item]), question, answer))]
                 if share[0] >= self.s.min_overlap and min(share[1:]) >= self.s.min_part:
                     best[item] = max(best.get(item, (0.0,)), (score, *share))
         return best
@@ -191,10 +227,13 @@ class Searcher:
 
     def __init__(self, items: list[tuple[int | None, bytes]], df: dict[bytes, int], n: int, average: float, s: Settings):
         by: dict[int, list[tuple[int | None, bytes]]] = {}
+        self.short: dict[tuple[bytes, ...], list[int | None]] = {}
         for x in items:
-            size = len(words_of(x[1]))
-            if size >= SHINGLE:
-                by.setdefault(int(math.log(size) / math.log(s.band)), []).append(x)
+            words = words_of(x[1])
+            if len(words) >= SHINGLE:
+                by.setdefault(int(math.log(len(words)) / math.log(s.band)), []).append(x)
+            elif words:
+                self.short.setdefault(tuple(words), []).append(x[0])
         self.row = {w: k + 1 for k, w in enumerate(sorted({w for own in by.values() for _, t in own for w in words_of(t)}))}
         self.bands = [Index(by[k], df, n, average, s, self.row) for k in sorted(by)]
 
@@ -202,7 +241,7 @@ class Searcher:
         """``(item_id, score, overlaps)`` of every item that the text holds."""
         words = words_of(text)
         if len(words) < SHINGLE:
-            return []
+            return [(k, 1.0, 1.0, 1.0, 1.0) for k in self.short.get(tuple(words), ())]
         get = self.row.get
         rows = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         return [(band.ids[k], *v) for band in self.bands for k, v in sorted(band.matches(words, rows).items())]
@@ -219,12 +258,12 @@ def _count_words(text: pa.Array) -> pa.Array:
 
 
 def indexes(benchmark: DataFrame, s: Settings = Settings()) -> Iterator[Searcher]:
-    """The index of each block of at most about ``max_items`` items; one block for a usual benchmark."""
+    """The index of each block of items with about ``max_bytes`` of text; one block for a usual benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    size = items.agg(F.count("*").alias("n"), F.avg(_count_words("text")).alias("average")).first()
+    size = items.agg(F.count("*").alias("n"), F.avg(_count_words("text")).alias("average"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not size.n:
         return
-    blocks = -(-size.n // s.max_items)
+    blocks = max(1, -(-size.bytes // s.max_bytes))
     terms = items.select("item_id", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"), "text")
     words = terms.select("block", F.explode(_distinct_words("text")).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("df"))

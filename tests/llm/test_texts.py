@@ -371,14 +371,14 @@ OTHER = "Short item of six words only here. Yes"
 
 def test_contamination(spark):
     fill = " ".join(f"filler{i}" for i in range(300))
-    rows = [(1, f"{fill} {ITEM} {fill}"), (2, ITEM.upper().replace(" ", "\n")), (3, fill), (4, ITEM[:50]), (5, None), (6, ITEM.replace("northern", "southern")), (1, f"{fill} {ITEM} {fill}"), (None, ITEM), (7, f"{ITEM} {OTHER}")]
+    rows = [(1, f"{fill} {ITEM} {fill}"), (2, ITEM.upper().replace(" ", "\n")), (3, fill), (4, ITEM[:50]), (5, None), (6, ITEM.replace("northern", "southern")), (1, f"{fill} {ITEM} {fill}"), (None, ITEM), (7, f"{ITEM} {OTHER}"), (8, "Too few!"), (9, "these are too few")]
     bench = spark.createDataFrame([(10, ITEM), (11, ITEM), (12, None), (13, "too few"), (14, OTHER), (15, "")], "item_id long, text string")
     found = [(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(clash(docs(spark, rows)), bench).collect()]
-    assert Counter(found) == Counter([(d, i) for d in (1, 1, 2, None, 7) for i in (10, 11)] + [(7, 14)])
-    split = [(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs(spark, rows), bench, decontaminate.Settings(max_items=2)).collect()]
+    assert Counter(found) == Counter([(d, i) for d in (1, 1, 2, None, 7) for i in (10, 11)] + [(7, 14), (8, 13)])
+    split = [(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs(spark, rows), bench, decontaminate.Settings(max_bytes=150)).collect()]
     assert Counter(split) == Counter(found)
-    kept = decontaminate.drop_contaminated(docs(spark, rows), bench)
-    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [3, 4, 5, 6]
+    kept = decontaminate.drop_contaminated(clash(docs(spark, rows)), bench)
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [3, 4, 5, 6, 9]
     assert decontaminate.drop_contaminated(docs(spark, rows), bench.where("false")).count() == len(rows)
     assert decontaminate.contaminated_pairs(docs(spark, []), bench).count() == 0
 
@@ -395,11 +395,63 @@ def test_wand_finds_what_exhaustive_scoring_finds():
             terms = sorted(w for w in passage if w in band.lists)
             score = Counter()
             for w in terms:
-                for i, v in zip(band.lists[w].items, band.lists[w].impacts, strict=True):
+                for i, v in zip(*band.lists[w], strict=True):
                     score[i] += v
             assert sorted(i for i, _ in band.search(terms)) == sorted(i for i, v in score.items() if v >= band.least)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_found_pairs_against_the_overlap_of_all_passages(seed):
+    rng = np.random.default_rng(seed)
+    words = [f"t{i}" for i in range(120)]
+    some = lambda n: " ".join(rng.choice(words, int(n)))
+    items = [(k, f"{some(rng.integers(1, 40))}? {some(rng.integers(1, 12))}.".encode()) for k in range(120)] + [(500, b"t1 t2"), (501, b"")]
+    df = Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
+    searcher = decontaminate.Searcher(items, df, len(items), 25.0, decontaminate.Settings(block=2, max_blocks=int(rng.integers(3, 40))))
+    found = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(int(rng.integers(0, 6))):
+            own = decontaminate.words_of(items[int(rng.integers(0, 120))][1])
+            for at in rng.integers(0, len(own), int(rng.integers(0, 3))):
+                own[at] = b"other"
+            parts += [*own, *some(rng.integers(0, 60)).encode().split()]
+        want = []
+        for band in searcher.bands:
+            for k, text in enumerate(band.texts):
+                question, answer = decontaminate.question_and_answer(text)
+                sets = [decontaminate.shingles(x) for x in (decontaminate.words_of(text), question, answer)]
+                for begin in range(0, max(1, len(parts) - band.stride), band.stride):
+                    near = decontaminate.shingles(parts[begin : begin + 2 * band.stride])
+                    share = [len(x & near) / len(x) if x else 1.0 for x in sets]
+                    if len(parts) >= 5 and share[0] >= 0.8 and min(share[1:]) >= 0.5:
+                        want.append(band.ids[k])
+                        break
+        got = [m[0] for m in searcher.matches(b" ".join(parts))]
+        assert Counter(got) == Counter(want if len(parts) >= 5 else got)
+        found += len(got)
+    assert found > 20
+
+
+def test_a_large_benchmark_stays_small():
+    import pickle
+
+    rng = np.random.default_rng(1)
+    words = np.array([f"v{i}" for i in range(30_000)])
+    items = [(k, " ".join(words[(rng.zipf(1.3, int(n)) % 30_000)]).encode()) for k, n in enumerate(rng.integers(5, 120, 20_000))]
+    df = Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
+    searcher = decontaminate.Searcher(items, df, len(items), 60.0, decontaminate.Settings())
+    assert len(pickle.dumps(searcher)) < 8 * sum(len(t) for _, t in items)
+    text = b" ".join([*words[:3000].astype("S")]) + b" " + items[77][1]
+    assert 77 in {m[0] for m in searcher.matches(text)}
+
+
+def test_a_very_long_text_is_searched(spark):
+    fill = " ".join(f"q{i % 5003}" for i in range(120_000))
+    found = decontaminate.contaminated_pairs(docs(spark, [(1, f"{fill} {ITEM} {fill}"), (2, fill)]), spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 10)]
+
+
 # ---- classifier
 
 
