@@ -15,6 +15,7 @@ need more memory and make fewer of the (chunks times slots) rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from corvid.llm.common import as_bytes
 from corvid.plans.scratch import materialise
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 SLOT_BYTES = 16 << 20
 
 
@@ -130,6 +131,21 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(dtype).ravel() if data else np.zeros(0, dtype)
 
 
+def pack_counts(values: np.ndarray) -> bytes:
+    """Counts, nearly all of them small: a byte each, deflated, and the others after them."""
+    small = np.minimum(values, 255).astype(np.uint8)
+    return len(values).to_bytes(8, "little") + zlib.compress(small.tobytes() + pack(values[small == 255].astype(np.int64)), 1)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    n, rest = int.from_bytes(data[:8], "little"), zlib.decompress(data[8:])
+    out = np.frombuffer(rest, np.uint8, n).astype(np.int64)
+    out[out == 255] = unpack(rest[n:], "<i8")
+    return out
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and how often each stands there."""
     keys = np.sort(keys)
@@ -183,7 +199,7 @@ class Block:
         self.doc = np.repeat(np.arange(len(words)), self.lengths)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], words_of: Callable[[bytes], list[bytes]] = bytes.split, limit: int = 400_000) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], words_of: Callable[[bytes], list[bytes]] = bytes.split, limit: int = 150_000) -> Iterator[Block]:
     """Documents in blocks of about ``limit`` words; a longer document is a block of its own."""
     doc_ids, texts, words, n = [], [], [], 0
     for batch in batches:

@@ -61,7 +61,9 @@ SHARES = (0.3, 0.9, 1.2)
 #: orders that are counted at a time; their shuffles do not lie on disk together
 ROUNDS = ((0, 1), (2,))
 #: what a slot returns to a chunk about a key
-OWN, NEEDED = np.uint8(1), np.uint8(2)
+OWN, NEEDED = 1, 2
+#: tokens that are worked on at a time
+STEP = 1 << 18
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,7 +164,7 @@ def chunk_counts(batches: Iterator[pa.RecordBatch], layout: Layout, trains: Call
         own = Chunk(chunks.blocks(group, tokens), trains)
         for order in orders:
             keys, n, outside = own.counts(order)
-            yield _rows(_SENT, [(slot, chunk, chunks.pack(keys[at]), chunks.pack(n[at]), chunks.pack(outside[at])) for slot, at in layout.rows(order, keys)])
+            yield _rows(_SENT, [(slot, chunk, chunks.pack(keys[at]), chunks.pack_counts(n[at]), chunks.pack_counts(outside[at])) for slot, at in layout.rows(order, keys)])
 
 
 MODEL, ANSWERS, STATISTICS = range(3)
@@ -180,21 +182,21 @@ def totals(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Rec
         places = []
         for k, r in enumerate(sent):
             at = chunks.place(keys, chunks.unpack(r["keys"], "<u8"))
-            n = chunks.unpack(r["n"], "<i8")
+            n = chunks.unpack_counts(r["n"])
             total[at] += n
             if r["chunk"] is not None:
                 free = at[n > 0]
                 owner[free[owner[free] < 0]] = k
-                needed[at[chunks.unpack(r["outside"], "u1") > 0]] = True
+                needed[at[chunks.unpack_counts(r["outside"]) > 0]] = True
             places.append(at)
         yield _rows(_TOTALS, [
-            (ANSWERS, order + 1, slot, r["chunk"], None, chunks.pack(total[at]), chunks.pack(np.where(owner[at] == k, OWN, np.uint8(0)) | np.where(needed[at], NEEDED, np.uint8(0))), None)
+            (ANSWERS, order + 1, slot, r["chunk"], None, chunks.pack_counts(total[at]), chunks.pack_counts(np.where(owner[at] == k, OWN, 0) | np.where(needed[at], NEEDED, 0)), None)
             for k, (r, at) in enumerate(zip(sent, places, strict=True)) if r["chunk"] is not None
         ])
         seen = total > 0
         real = seen & (keys != _BEGINS[order][0]) if order < ORDER - 1 else seen
         few = np.bincount(np.minimum(total[real], KATZ + 2), minlength=KATZ + 3)[1:]
-        yield _rows(_TOTALS, [(MODEL, order + 1, slot, None, chunks.pack(keys[seen]), chunks.pack(total[seen]), None, None), (STATISTICS, order + 1, slot, None, None, None, None, [*few.tolist(), int(real.sum()), int(total[real].sum())])])
+        yield _rows(_TOTALS, [(MODEL, order + 1, slot, None, chunks.pack(keys[seen]), chunks.pack_counts(total[seen]), None, None), (STATISTICS, order + 1, slot, None, None, None, None, [*few.tolist(), int(real.sum()), int(total[real].sum())])])
 
 
 @dataclass(frozen=True)
@@ -251,8 +253,8 @@ class Known:
             mine = sorted((r for r in answers if r["n"] is not None and r["ngram"] == order + 1), key=lambda r: r["slot"])
             keys = own.distinct(order)
             self.keys.append(keys)
-            self.counts.append(np.concatenate([np.zeros(0, np.int64), *(chunks.unpack(r["n"], "<i8") for r in mine)]))
-            self.flags.append(np.concatenate([np.zeros(0, np.uint8), *(chunks.unpack(r["flags"], "u1") for r in mine)]))
+            self.counts.append(np.concatenate([np.zeros(0, np.int64), *(chunks.unpack_counts(r["n"]) for r in mine)]))
+            self.flags.append(np.concatenate([np.zeros(0, np.uint8), *(chunks.unpack_counts(r["flags"]).astype(np.uint8) for r in mine)]))
             self.at.append(chunks.place(keys, own.tokens[order]))
             own.tokens[order] = own.tokens[order][:0]
         for order in range(ORDER - 1):  # the place of each token's history of that order
@@ -292,14 +294,17 @@ def history_parts(batches: Iterator[pa.RecordBatch], d: Discounts, layout: Layou
             if order < ORDER - 1:  # a begin history is no n-gram
                 mine[known.keys[order].searchsorted(_BEGINS[order])] = False
             token = token[mine]
-            at, histories = known.history[order - 1][token], len(known.keys[order - 1])
-            taken = np.bincount(at, d.mass(order, known.counts[order][known.at[order][token]]), histories)
-            below = np.bincount(at, known.seen(order - 1, token, d), histories)
+            taken, below = np.zeros(len(known.keys[order - 1])), np.zeros(len(known.keys[order - 1]))
+            for k in range(0, len(token), STEP):
+                part = token[k : k + STEP]
+                at = known.history[order - 1][part]
+                np.add.at(taken, at, d.mass(order, known.counts[order][known.at[order][part]]))
+                np.add.at(below, at, known.seen(order - 1, part, d))
             asked = known.asked(order - 1)
             send = asked | ((taken > 0) & (every_history | ((known.flags[order - 1] & NEEDED) > 0)))
             keys, n = known.keys[order - 1][send], known.counts[order - 1][send]
-            columns = (keys, n, taken[send], below[send], asked[send].view(np.uint8))
-            yield _rows(_PARTS, [(slot, chunk, *(chunks.pack(c[part]) for c in columns)) for slot, part in layout.rows(order - 1, keys)])
+            taken, below, asked = taken[send], below[send], asked[send].astype(np.uint8)
+            yield _rows(_PARTS, [(slot, chunk, chunks.pack(keys[at]), chunks.pack_counts(n[at]), chunks.pack(taken[at]), chunks.pack(below[at]), chunks.pack_counts(asked[at])) for slot, at in layout.rows(order - 1, keys)])
 
 
 WEIGHTS, ALPHAS = range(2)
@@ -308,20 +313,25 @@ WEIGHED = "kind int, ngram int, slot long, chunk long, keys binary, alpha binary
 
 
 def weights(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
-    """Per slot: the weight of every history (stored ones come without a chunk), and those that each chunk asks for."""
+    """Per slot: the weight of every history (stored ones come without a chunk, as they are), and those that each chunk asks for."""
     for slot, group in chunks.runs(batches, "slot"):
         sent = [r for b in group for r in b.to_pylist()]
         keys = chunks.distinct(np.concatenate([chunks.unpack(r["keys"], "<u8") for r in sent]))
         count, taken, below = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
         places = [chunks.place(keys, chunks.unpack(r["keys"], "<u8")) for r in sent]
         for r, at in zip(sent, places, strict=True):
-            count[at] = chunks.unpack(r["n"], "<i8")
+            if r["chunk"] is None:
+                continue
+            count[at] = chunks.unpack_counts(r["n"])
             taken[at] += chunks.unpack(r["taken"], "<f8")
             below[at] += chunks.unpack(r["below"], "<f8")
         alpha = (1 - taken / np.maximum(1, size_of(count))) / np.maximum(1 - below, 1e-300)
+        for r, at in zip(sent, places, strict=True):
+            if r["chunk"] is None:
+                alpha[at] = chunks.unpack(r["taken"], "<f8")
         order = layout.order_of(slot) + 1
-        out = [(ALPHAS, order, slot, r["chunk"], None, chunks.pack(alpha[at[chunks.unpack(r["asked"], "u1") > 0]])) for r, at in zip(sent, places, strict=True) if r["chunk"] is not None]
-        yield _rows(_WEIGHED, [*out, (WEIGHTS, order, slot, None, chunks.pack(keys), b"".join(map(chunks.pack, (count, taken, below))))])
+        out = [(ALPHAS, order, slot, r["chunk"], None, chunks.pack(alpha[at[chunks.unpack_counts(r["asked"]) > 0]])) for r, at in zip(sent, places, strict=True) if r["chunk"] is not None]
+        yield _rows(_WEIGHED, [*out, (WEIGHTS, order, slot, None, chunks.pack(keys), chunks.pack(alpha))])
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -340,27 +350,30 @@ def score_texts(batches: Iterator[pa.RecordBatch], d: Discounts, layout: Layout,
             mine = sorted((r for r in answers if r["alpha"] is not None and r["ngram"] == order + 1), key=lambda r: r["slot"])
             alpha[known.asked(order)] = np.concatenate([np.zeros(0), *(chunks.unpack(r["alpha"], "<f8") for r in mine)])
             alphas.append(alpha)
-        every = slice(None)
 
-        def probability(order: int, known: Known = known, alphas: list = alphas) -> np.ndarray:
+        def probability(order: int, at: slice, known: Known = known, alphas: list = alphas) -> np.ndarray:
             if not order:
-                return known.seen(0, every, d)
-            count = known.counts[order][known.at[order]]
-            return np.where(count > 0, known.seen(order, every, d), alphas[order - 1][known.history[order - 1]] * probability(order - 1))
-
-        c = known.counts[0][known.at[0]]
-        base, score = np.log10((c + 0.5) / (d.n + 0.5 * (d.v + 1))), np.log10(probability(ORDER - 1))
+                return known.seen(0, at, d)
+            count = known.counts[order][known.at[order][at]]
+            return np.where(count > 0, known.seen(order, at, d), alphas[order - 1][known.history[order - 1][at]] * probability(order - 1, at))
+
+        n = len(known.at[0])
+        base, scores, seen = np.empty(n), np.empty(n), np.empty(n, np.int64)
+        for k in range(0, n, STEP):
+            part = slice(k, k + STEP)
+            c = known.counts[0][known.at[0][part]]
+            base[part], scores[part], seen[part] = np.log10((c + 0.5) / (d.n + 0.5 * (d.v + 1))), np.log10(probability(ORDER - 1, part)), c > 0
         by_doc = lambda x: np.add.reduceat(x, own.starts)  # noqa: B023, E731  every document has its end token
         columns = [
-            pa.array(own.doc_ids, pa.int64()), pa.array([held_out(x) for x in own.doc_ids], pa.bool_()), pa.array(own.lengths), pa.array(by_doc((c > 0).astype(np.int64))),
-            pa.array(np.full(len(own.doc_ids), d.n, np.int64)), pa.array(by_doc(base)), pa.array(by_doc(score)),
+            pa.array(own.doc_ids, pa.int64()), pa.array([held_out(x) for x in own.doc_ids], pa.bool_()), pa.array(own.lengths), pa.array(by_doc(seen)),
+            pa.array(np.full(len(own.doc_ids), d.n, np.int64)), pa.array(by_doc(base)), pa.array(by_doc(scores)),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 @dataclass(frozen=True)
 class NgramModel:
-    """Tables by order and slot: counts of n-grams, and for histories what their weight is made of; discounts beside them."""
+    """Tables by order and slot: counts of n-grams and weights of histories; discounts beside them."""
 
     counts: DataFrame
     weights: DataFrame
@@ -393,9 +406,8 @@ def _evaluated(docs: DataFrame, trains: Callable, stored: NgramModel | None, eve
     answers = counted.where(F.col("kind") == ANSWERS).select("chunk", "ngram", "slot", "n", "flags")
     parts = chunks.meet(source, answers, volume).mapInArrow(partial(history_parts, d=d, layout=layout, trains=trains, every_history=every_history), PARTS)
     if stored:
-        size = F.octet_length("alpha") / 3
-        piece = lambda k: F.substring("alpha", (size * k + 1).cast("int"), size.cast("int"))
-        parts = parts.unionByName(stored.weights.select("slot", F.lit(None).cast("long").alias("chunk"), "keys", piece(0).alias("n"), piece(1).alias("taken"), piece(2).alias("below"), F.lit(b"").alias("asked")))
+        empty = F.lit(b"")
+        parts = parts.unionByName(stored.weights.select("slot", F.lit(None).cast("long").alias("chunk"), "keys", empty.alias("n"), F.col("alpha").alias("taken"), empty.alias("below"), empty.alias("asked")))
     weighed = materialise(chunks.by_slot(parts, sum(layout.slots[:-1])).mapInArrow(partial(weights, layout=layout), WEIGHED), "weights", "kind")
     release(spark)
     none = F.lit(None).cast("binary")
