@@ -10,7 +10,7 @@ document with a smaller id; every word that such a phrase covers is removed.
    confirm, over all chunks, which of them stand in a smaller document; a chunk
    is told a place of each such phrase in its own texts and the smallest id.
 3. Automata. The chunk reads the confirmed phrases' words at those places and
-   compiles them, one letter a word, into automata of at most ``MAX_PHRASES``.
+   compiles them, four letters a word, into automata of at most ``MAX_PHRASES``.
    All its documents are streamed through each; what the automata hit are the
    occurrences, and the words under them go.
 
@@ -44,7 +44,9 @@ from corvid.plans.scratch import discard, materialise, release
 
 PHRASE = 13
 GRAM = 5
-MAX_PHRASES = 50_000
+MAX_PHRASES = 10_000
+#: a word of an automaton is spelled in so many letters of an alphabet of that size, since a node looks through its children
+LETTERS, ALPHABET = 4, 32
 FLUSH = 1_500_000
 #: bytes of anchors and of phrases in a task, by bytes of text
 SHARES = (0.8, 2.0)
@@ -214,30 +216,31 @@ class Phrases:
     def numbered(self, words: list[bytes], grow: bool = False) -> np.ndarray:
         """Numbers of words; 0 for one that is in no phrase's text."""
         if grow:
-            return np.fromiter((self.numbers.setdefault(w, len(self.numbers) + 1) for w in words), np.int32, len(words))
-        return np.fromiter((self.numbers.get(w, 0) for w in words), np.int32, len(words))
+            return np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int32)
+        get = self.numbers.get
+        return np.array([get(w, 0) for w in words], np.int32)
 
     def shards(self, size: int) -> Iterator[tuple[ahocorasick.Automaton, np.ndarray]]:
-        """Automata of at most ``size`` phrases, each with the letter of every word number."""
+        """Automata of at most ``size`` phrases, each with the spelling of every word number."""
         for at in range(0, len(self.words), size):
             phrases = self.words[at : at + size]
             used = chunks.distinct(phrases.ravel())
-            letters = np.ones(len(self.numbers) + 1, "<u4")  # one letter for all words in no phrase of this shard
-            letters[used] = np.arange(len(used)) + 2
-            letters[letters >= 0xD800] += 0x800  # these are no characters
-            spelled = letters[phrases].tobytes().decode("utf-32-le")
+            spelling = np.full((len(self.numbers) + 1, LETTERS), ord("~"), np.uint8)  # all words in no phrase of this shard
+            spelling[used] = (np.arange(len(used))[:, None] // ALPHABET ** np.arange(LETTERS)) % ALPHABET + ord("0")
+            spelled, wide = spelling[phrases].tobytes().decode("ascii"), PHRASE * LETTERS
             shard = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for k in range(len(phrases)):
-                shard.add_word(spelled[k * PHRASE : (k + 1) * PHRASE], at + k)
+                shard.add_word(spelled[k * wide : (k + 1) * wide], at + k)
             shard.make_automaton()
-            yield shard, letters
+            yield shard, spelling
 
 
 def occurrences(phrases: Phrases, words: np.ndarray, size: int = MAX_PHRASES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Where a phrase stands in a stream of word numbers, and its first id; one shard after the other."""
-    for shard, letters in phrases.shards(size):
-        hits = np.fromiter(shard.iter(letters[words].tobytes().decode("utf-32-le")), [("end", np.int64), ("phrase", np.int64)])
-        yield hits["end"] - (PHRASE - 1), phrases.first[hits["phrase"]]
+    for shard, spelling in phrases.shards(size):
+        hits = np.fromiter(shard.iter(spelling[words].tobytes().decode("ascii")), [("end", np.int64), ("phrase", np.int64)])
+        hits = hits[(hits["end"] + 1) % LETTERS == 0]  # words begin at every fourth letter
+        yield (hits["end"] + 1) // LETTERS - PHRASE, phrases.first[hits["phrase"]]
 
 
 def remove_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
