@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corvid.llm.common import as_bytes
 from corvid.plans.scratch import materialise
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 SLOT_BYTES = 16 << 20
 
 
@@ -146,6 +146,21 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return out
 
 
+def pack_sums(values: np.ndarray) -> bytes:
+    """Numbers of which many are equal: the distinct ones, and for each its number among them."""
+    own, codes = np.unique(values, return_inverse=True)
+    if len(own) > 65535:
+        return bytes(8) + pack(values)
+    return len(own).to_bytes(8, "little") + own.tobytes() + zlib.compress(pack(codes.astype(np.uint16)), 1)
+
+
+def unpack_sums(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return unpack(data[8:], "<f8")
+    return np.frombuffer(data, "<f8", n, 8)[unpack(zlib.decompress(data[8 + 8 * n :]), "<u2")]
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and how often each stands there."""
     keys = np.sort(keys)

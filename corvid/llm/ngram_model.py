@@ -17,16 +17,18 @@ counts give no value in (0, 1), the absolute discount n1 / (n1 + 2 n2), or one
 half without singles, is used.
 
 1. Each chunk sends its distinct n-grams of each order once, with training
-   counts. Slots of the key range add them up into the stored table of counts
-   and give the totals back, in the order in which the chunk sent its keys.
+   counts. Slots of the key range add them up into stored tables and give the
+   totals back, in the order in which the chunk sent its keys.
 2. Each chunk, now knowing its counts, adds up what the n-grams of a history
    take at their order and below it; every distinct n-gram is counted by one
-   chunk. The sums of all chunks make the stored table of weights (alpha).
+   chunk. The sums of all chunks, stored by slot, make the weights (alpha).
 3. Each chunk evaluates its documents, per token from order three down.
 
-``NgramModel`` holds both tables; ``score`` applies a stored model to other
-documents. A weight can only be read in a text outside the training rows, so
-``every_history`` False makes those that the scored documents have.
+``fit`` keeps both tables whole as a ``NgramModel`` and ``score`` applies one
+to other documents. ``score_documents`` stores the counts and sums as each
+chunk needs them, and no second time by key; a weight can only be read in a
+text outside the training rows, so there those histories are added up that
+such texts have.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
 is hashed as the empty string; without training documents every word is
@@ -172,7 +174,7 @@ _TOTALS = pa.schema([("kind", pa.int32()), ("ngram", pa.int32()), ("slot", pa.in
 TOTALS = "kind int, ngram int, slot long, chunk long, keys binary, n binary, flags binary, stats array<long>"
 
 
-def totals(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+def totals(batches: Iterator[pa.RecordBatch], layout: Layout, keep: bool) -> Iterator[pa.RecordBatch]:
     """Per slot: all counts added up (a row without a chunk is a stored model's), and each chunk's totals in its own order."""
     for slot, group in chunks.runs(batches, "slot"):
         sent = [r for b in group for r in b.to_pylist()]
@@ -181,7 +183,7 @@ def totals(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Rec
         total, owner, needed = np.zeros(len(keys), np.int64), np.full(len(keys), -1), np.zeros(len(keys), bool)
         places = []
         for k, r in enumerate(sent):
-            at = chunks.place(keys, chunks.unpack(r["keys"], "<u8"))
+            at = keys.searchsorted(chunks.unpack(r["keys"], "<u8")).astype(np.int32)
             n = chunks.unpack_counts(r["n"])
             total[at] += n
             if r["chunk"] is not None:
@@ -196,7 +198,9 @@ def totals(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Rec
         seen = total > 0
         real = seen & (keys != _BEGINS[order][0]) if order < ORDER - 1 else seen
         few = np.bincount(np.minimum(total[real], KATZ + 2), minlength=KATZ + 3)[1:]
-        yield _rows(_TOTALS, [(MODEL, order + 1, slot, None, chunks.pack(keys[seen]), chunks.pack_counts(total[seen]), None, None), (STATISTICS, order + 1, slot, None, None, None, None, [*few.tolist(), int(real.sum()), int(total[real].sum())])])
+        if keep:
+            yield _rows(_TOTALS, [(MODEL, order + 1, slot, None, chunks.pack(keys[seen]), chunks.pack_counts(total[seen]), None, None)])
+        yield _rows(_TOTALS, [(STATISTICS, order + 1, slot, None, None, None, None, [*few.tolist(), int(real.sum()), int(total[real].sum())])])
 
 
 @dataclass(frozen=True)
@@ -263,6 +267,22 @@ class Known:
             h[own.starts] = self.keys[order].searchsorted(_BEGINS[order][0])
             self.history.append(h)
 
+    def suffix(self, order: int) -> np.ndarray:
+        """For each history of an order above one, the place of what it is without its first word."""
+        out = np.zeros(len(self.keys[order]), np.int32)
+        out[self.at[order]] = self.at[order - 1]
+        out[self.keys[order].searchsorted(_BEGINS[order][0])] = self.keys[order - 1].searchsorted(_BEGINS[order - 1][0])
+        return out
+
+    def alpha(self, order: int, answers: list[dict], d: Discounts) -> np.ndarray:
+        """Weight of each history; one where none was asked for."""
+        out, at = np.ones(len(self.keys[order])), np.flatnonzero(self.asked(order))
+        mine = sorted((r for r in answers if r["taken"] is not None and r["ngram"] == order + 1), key=lambda r: r["slot"])
+        taken, below = (np.concatenate([np.zeros(0), *(chunks.unpack_sums(r[c]) for r in mine)]) for c in ("taken", "below"))
+        lower = size_of(self.counts[order - 1][self.suffix(order)[at]]) if order else max(1, d.n)
+        out[at] = (1 - taken / size_of(self.counts[order][at])) / (1 - below / lower)
+        return out
+
     def asked(self, order: int) -> np.ndarray:
         """Histories of that order whose weight the chunk may need."""
         out = np.zeros(len(self.keys[order]), bool)
@@ -277,12 +297,12 @@ class Known:
         return d.mass(order, c) / np.maximum(1, size_of(self.counts[order - 1][self.history[order - 1][at]]))
 
 
-_PARTS = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("taken", pa.binary()), ("below", pa.binary()), ("asked", pa.binary())])
-PARTS = "slot long, chunk long, keys binary, n binary, taken binary, below binary, asked binary"
+_PARTS = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("taken", pa.binary()), ("below", pa.binary()), ("asked", pa.binary())])
+PARTS = "slot long, chunk long, keys binary, taken binary, below binary, asked binary"
 
 
 def history_parts(batches: Iterator[pa.RecordBatch], d: Discounts, layout: Layout, trains: Callable, every_history: bool) -> Iterator[pa.RecordBatch]:
-    """Per chunk: what the n-grams that it counts take of their histories, at their order and below, and the weights it asks for."""
+    """Per chunk: discounted counts that the n-grams which it counts have after their histories, at their order and below, and what it asks for."""
     for chunk, group in chunks.runs(batches, "chunk"):
         answers: list[dict] = []
         own = Chunk(chunks.blocks(chunks.split_parts(group, answers), tokens), trains)
@@ -298,40 +318,35 @@ def history_parts(batches: Iterator[pa.RecordBatch], d: Discounts, layout: Layou
             for k in range(0, len(token), STEP):
                 part = token[k : k + STEP]
                 at = known.history[order - 1][part]
-                np.add.at(taken, at, d.mass(order, known.counts[order][known.at[order][part]]))
-                np.add.at(below, at, known.seen(order - 1, part, d))
+                for sums, n in ((taken, order), (below, order - 1)):
+                    np.add.at(sums, at, d.mass(n, known.counts[n][known.at[n][part]]))
             asked = known.asked(order - 1)
             send = asked | ((taken > 0) & (every_history | ((known.flags[order - 1] & NEEDED) > 0)))
-            keys, n = known.keys[order - 1][send], known.counts[order - 1][send]
-            taken, below, asked = taken[send], below[send], asked[send].astype(np.uint8)
-            yield _rows(_PARTS, [(slot, chunk, chunks.pack(keys[at]), chunks.pack_counts(n[at]), chunks.pack(taken[at]), chunks.pack(below[at]), chunks.pack_counts(asked[at])) for slot, at in layout.rows(order - 1, keys)])
+            keys, taken, below, asked = known.keys[order - 1][send], taken[send], below[send], asked[send].astype(np.uint8)
+            yield _rows(_PARTS, [(slot, chunk, chunks.pack(keys[at]), chunks.pack_sums(taken[at]), chunks.pack_sums(below[at]), chunks.pack_counts(asked[at])) for slot, at in layout.rows(order - 1, keys)])
 
 
-WEIGHTS, ALPHAS = range(2)
-_WEIGHED = pa.schema([("kind", pa.int32()), ("ngram", pa.int32()), ("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("alpha", pa.binary())])
-WEIGHED = "kind int, ngram int, slot long, chunk long, keys binary, alpha binary"
+WEIGHTS, ANSWERED = range(2)
+_WEIGHED = pa.schema([("kind", pa.int32()), ("ngram", pa.int32()), ("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("taken", pa.binary()), ("below", pa.binary())])
+WEIGHED = "kind int, ngram int, slot long, chunk long, keys binary, taken binary, below binary"
 
 
-def weights(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
-    """Per slot: the weight of every history (stored ones come without a chunk, as they are), and those that each chunk asks for."""
+def weights(batches: Iterator[pa.RecordBatch], layout: Layout, keep: bool) -> Iterator[pa.RecordBatch]:
+    """Per slot: the sums of every history (stored ones come without a chunk), and those that each chunk asks for."""
     for slot, group in chunks.runs(batches, "slot"):
         sent = [r for b in group for r in b.to_pylist()]
         keys = chunks.distinct(np.concatenate([chunks.unpack(r["keys"], "<u8") for r in sent]))
-        count, taken, below = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
-        places = [chunks.place(keys, chunks.unpack(r["keys"], "<u8")) for r in sent]
+        taken, below = np.zeros(len(keys)), np.zeros(len(keys))
+        places = [keys.searchsorted(chunks.unpack(r["keys"], "<u8")) for r in sent]
         for r, at in zip(sent, places, strict=True):
-            if r["chunk"] is None:
-                continue
-            count[at] = chunks.unpack_counts(r["n"])
-            taken[at] += chunks.unpack(r["taken"], "<f8")
-            below[at] += chunks.unpack(r["below"], "<f8")
-        alpha = (1 - taken / np.maximum(1, size_of(count))) / np.maximum(1 - below, 1e-300)
+            taken[at] += chunks.unpack_sums(r["taken"])
+            below[at] += chunks.unpack_sums(r["below"])
+        order, out = layout.order_of(slot) + 1, []
         for r, at in zip(sent, places, strict=True):
-            if r["chunk"] is None:
-                alpha[at] = chunks.unpack(r["taken"], "<f8")
-        order = layout.order_of(slot) + 1
-        out = [(ALPHAS, order, slot, r["chunk"], None, chunks.pack(alpha[at[chunks.unpack_counts(r["asked"]) > 0]])) for r, at in zip(sent, places, strict=True) if r["chunk"] is not None]
-        yield _rows(_WEIGHED, [*out, (WEIGHTS, order, slot, None, chunks.pack(keys), chunks.pack(alpha))])
+            if r["chunk"] is not None:
+                at = at[chunks.unpack_counts(r["asked"]) > 0]
+                out.append((ANSWERED, order, slot, r["chunk"], None, chunks.pack_sums(taken[at]), chunks.pack_sums(below[at])))
+        yield _rows(_WEIGHED, [*out, *([(WEIGHTS, order, slot, None, chunks.pack(keys), chunks.pack_sums(taken), chunks.pack_sums(below))] if keep else [])])
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -344,12 +359,8 @@ def score_texts(batches: Iterator[pa.RecordBatch], d: Discounts, layout: Layout,
         own = Chunk(chunks.blocks(chunks.split_parts(group, answers), tokens), trains)
         if not own.doc_ids:
             continue
-        known, alphas = Known(own, answers, layout), []
-        for order in range(ORDER - 1):
-            alpha = np.ones(len(known.keys[order]))
-            mine = sorted((r for r in answers if r["alpha"] is not None and r["ngram"] == order + 1), key=lambda r: r["slot"])
-            alpha[known.asked(order)] = np.concatenate([np.zeros(0), *(chunks.unpack(r["alpha"], "<f8") for r in mine)])
-            alphas.append(alpha)
+        known = Known(own, answers, layout)
+        alphas = [known.alpha(order, answers, d) for order in range(ORDER - 1)]
 
         def probability(order: int, at: slice, known: Known = known, alphas: list = alphas) -> np.ndarray:
             if not order:
@@ -373,7 +384,7 @@ def score_texts(batches: Iterator[pa.RecordBatch], d: Discounts, layout: Layout,
 
 @dataclass(frozen=True)
 class NgramModel:
-    """Tables by order and slot: counts of n-grams and weights of histories; discounts beside them."""
+    """Tables by order and slot: counts of n-grams and, for weights, what is taken of histories; discounts beside them."""
 
     counts: DataFrame
     weights: DataFrame
@@ -398,7 +409,7 @@ def _evaluated(docs: DataFrame, trains: Callable, stored: NgramModel | None, eve
         if stored:
             kept = stored.counts.where(F.col("ngram").isin([k + 1 for k in orders]))
             sent = sent.unionByName(kept.select("slot", F.lit(None).cast("long").alias("chunk"), "keys", "n", F.lit(b"").alias("outside")))
-        added = chunks.by_slot(sent, sum(layout.slots[k] for k in orders)).mapInArrow(partial(totals, layout=layout), TOTALS)
+        added = chunks.by_slot(sent, sum(layout.slots[k] for k in orders)).mapInArrow(partial(totals, layout=layout, keep=every_history), TOTALS)
         tables.append(materialise(added, "ngrams", "kind"))
         release(spark)
     counted = reduce(DataFrame.unionByName, tables)
@@ -406,15 +417,14 @@ def _evaluated(docs: DataFrame, trains: Callable, stored: NgramModel | None, eve
     answers = counted.where(F.col("kind") == ANSWERS).select("chunk", "ngram", "slot", "n", "flags")
     parts = chunks.meet(source, answers, volume).mapInArrow(partial(history_parts, d=d, layout=layout, trains=trains, every_history=every_history), PARTS)
     if stored:
-        empty = F.lit(b"")
-        parts = parts.unionByName(stored.weights.select("slot", F.lit(None).cast("long").alias("chunk"), "keys", empty.alias("n"), F.col("alpha").alias("taken"), empty.alias("below"), empty.alias("asked")))
-    weighed = materialise(chunks.by_slot(parts, sum(layout.slots[:-1])).mapInArrow(partial(weights, layout=layout), WEIGHED), "weights", "kind")
+        parts = parts.unionByName(stored.weights.select("slot", F.lit(None).cast("long").alias("chunk"), "keys", "taken", "below", F.lit(b"").alias("asked")))
+    weighed = materialise(chunks.by_slot(parts, sum(layout.slots[:-1])).mapInArrow(partial(weights, layout=layout, keep=every_history), WEIGHED), "weights", "kind")
     release(spark)
     none = F.lit(None).cast("binary")
-    alphas = weighed.where(F.col("kind") == ALPHAS).select("chunk", "ngram", "slot", none.alias("n"), none.alias("flags"), "alpha")
-    replies = answers.withColumn("alpha", none).unionByName(alphas)
+    answered = weighed.where(F.col("kind") == ANSWERED).select("chunk", "ngram", "slot", none.alias("n"), none.alias("flags"), "taken", "below")
+    replies = answers.withColumns({"taken": none, "below": none}).unionByName(answered)
     scores = chunks.meet(source, replies, volume).mapInArrow(partial(score_texts, d=d, layout=layout, trains=trains), _SCORES)
-    model = NgramModel(counted.where(F.col("kind") == MODEL).select("ngram", "slot", "keys", "n"), weighed.where(F.col("kind") == WEIGHTS).select("ngram", "slot", "keys", "alpha"), d, layout)
+    model = NgramModel(counted.where(F.col("kind") == MODEL).select("ngram", "slot", "keys", "n"), weighed.where(F.col("kind") == WEIGHTS).select("ngram", "slot", "keys", "taken", "below"), d, layout)
     return scores, model
 
 
