@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.functions.scoring import wilson
+from corvid.functions.scoring import hash_fold, probability, wilson
+from corvid.operators.ranking import running_sums, top_k
+from corvid.plans.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ def fit_logistic(examples: DataFrame, features: str, label: str, size: int, l2:
     mean = [first[f"m{i}"] or 0.0 for i in range(size)]
     scale = [s if (s := first[f"s{i}"] or 0.0) >= 1e-6 else 1.0 for i in range(size)]
     z = F.array(F.lit(1.0), *((c - m) / s for c, m, s in zip(x, mean, scale, strict=True)))
-    rows = examples.select(z.alias("z"), F.col(label).cast("double").alias("y"))
+    rows = materialise(examples.select(z.alias("z"), F.col(label).cast("double").alias("y")), "examples")  # read once a round
     beta, penalty = np.zeros(size + 1), np.diag([0.0] + [l2] * size)
     for _ in range(rounds):
         t = sum((F.col("z")[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0))
@@ -48,16 +50,15 @@ def fit_logistic(examples: DataFrame, features: str, label: str, size: int, l2:
 def choose_thresholds(examples: DataFrame, max_unknown: float = 0.025, max_wrong: float = 0.05) -> tuple[float, float]:
     """Accept and review thresholds over ``(confidence, safe, known)``.
 
-    Rates at a threshold are sums over the scores at or above it; one row per
-    distinct score meets in the window.
+    Rates at a threshold are sums over the scores at or above it, added up in
+    ranges of scores.
     """
     c = examples.select("confidence", (F.col("known") & F.col("safe")).alias("good"), (F.col("known") & ~F.col("safe")).alias("wrong"), (~F.col("known")).alias("unknown"))
     by = c.groupBy("confidence").agg(*(F.sum(F.col(k).cast("long")).alias(k) for k in ("good", "wrong", "unknown")))
     total = by.agg(*(F.sum(k).alias(k) for k in ("good", "wrong", "unknown"))).first()
     if not total or total.good is None:
         return 1.0, 1.0
-    above = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    at = by.select("confidence", *(F.sum(k).over(above).alias(k) for k in ("good", "wrong", "unknown")))
+    at = running_sums(by, "confidence", ("good", "wrong", "unknown"), descending=True).select("confidence", *(F.col(f"upto_{k}").alias(k) for k in ("good", "wrong", "unknown")))
     ok = lambda k, most: (F.col(k) <= most * total[k]) if total[k] else F.lit(True)
     feasible = at.where(ok("unknown", max_unknown) & ok("wrong", max_wrong))
     best = feasible.orderBy(F.desc("good"), "confidence").first()
@@ -69,8 +70,7 @@ def choose_thresholds(examples: DataFrame, max_unknown: float = 0.025, max_wrong
         below = by.where(F.col("confidence") < best.confidence).agg(F.max("confidence").alias("c")).first().c
         accept = float(np.nextafter(below, 1.0)) if below is not None else 0.0
     position = F.ceil((F.lit(total.good) - 1) * F.lit(0.05)) + 1
-    upto = Window.orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0)
-    review = by.where("good > 0").withColumn("n", F.sum("good").over(upto)).where(F.col("n") >= position).agg(F.min("confidence").alias("c")).first().c if total.good else accept
+    review = running_sums(by.where("good > 0"), "confidence", ["good"]).where(F.col("upto_good") >= position).agg(F.min("confidence").alias("c")).first().c if total.good else accept
     return accept, min(review, accept)
 
 
@@ -147,10 +147,55 @@ def attribute_bonus(key: Column, category: Column, colour: Column) -> Column:
     )
 
 
-def semantic_rerank(predictions: DataFrame, query: str = "query_id") -> DataFrame:
-    """New ``position`` by score plus bonus; ties keep their place and the score stays as it was."""
-    w = Window.partitionBy(query).orderBy(F.desc(F.col("score") + F.col("bonus")), "position")
-    return predictions.withColumn("new_position", F.row_number().over(w))
+def has_cue(key: Column) -> Column:
+    return F.greatest(*(F.size(cues(key, kind)) for kind in CUES)) > 0
+
+
+def semantic_rerank(predictions: DataFrame, query: str = "query_id", cued: str | None = None) -> DataFrame:
+    """New ``position`` by score plus bonus; ties keep their place and the score stays as it was.
+
+    A query without a cue (``cued`` false) or with one prediction keeps its order.
+    """
+    bonus = F.col("bonus") if cued is None else F.when(F.col(cued), F.col("bonus")).otherwise(0.0)
+    own = Window.partitionBy(query)
+    moved = F.when(F.count("*").over(own) > 1, F.col("score") + bonus).otherwise(F.col("score"))
+    keep = F.lit(False) if cued is None else ~F.max(F.col(cued)).over(own)
+    ordered = predictions.withColumn("__by", moved).withColumn("__keep", keep)
+    w = Window.partitionBy(query).orderBy(F.when(F.col("__keep"), F.lit(0.0)).otherwise(-F.round("__by", 9)), "position")
+    return ordered.withColumn("new_position", F.row_number().over(w)).drop("__by", "__keep")
+
+
+def build_examples(ranked: DataFrame, expected: DataFrame, query: str = "query_id", item: str = "item_id", folds: int = 5) -> DataFrame:
+    """One example per query of ``ranked(query, item, score, ...)``: what the calibration reads.
+
+    The winner is the best item by score, then item; ``known`` says whether
+    ``expected(query, expected, source)`` names an item, ``safe`` whether the
+    winner is it, ``top5`` whether it is among five, ``margin`` how far the
+    second is. A fifth of the sources (by SHA-1) is the validation split, so
+    pictures of one source stay together.
+    """
+    five = top_k(ranked, 5, query, item)
+    best = five.groupBy(query).agg(F.max(F.when(F.col("rank") == 1, F.col(item))).alias("winner"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.collect_set(item).alias("five"))
+    rows = expected.join(best, query, "left")
+    known = F.col("expected").isNotNull()
+    safe = known & F.coalesce(F.col("winner") == F.col("expected"), F.lit(False))
+    split = F.when(hash_fold(F.coalesce(F.nullif("source", F.lit("")), F.col(query).cast("string")), folds) == 0, "validation").otherwise("calibration")
+    return rows.select(query, "source", "expected", "winner", "score", (F.col("score") - F.col("second")).alias("margin"), known.alias("known"), safe.alias("safe"), F.coalesce(F.array_contains("five", F.col("expected")), F.lit(False)).alias("top5"), split.alias("split"))
+
+
+def recognised(predictions: DataFrame, model: Logistic, features: Column, verified: Column, accept: float, review: float, query: str = "query_id", cued: str = "cued") -> DataFrame:
+    """The whole decision: attribute rerank, features of the new winner, calibrated confidence, verification, decision.
+
+    ``predictions(query, position, slug, score, bonus, cued, ...)``; ``features``
+    and ``verified`` are columns over the winner's row, in which ``margin`` is
+    its score minus the new second's.
+    """
+    moved = semantic_rerank(predictions, query, cued)
+    second = F.lead("score").over(Window.partitionBy(query).orderBy("new_position"))
+    winner = moved.withColumn("margin", F.col("score") - second).where("new_position = 1")
+    calibrated = probability(features, model.mean, model.scale, model.coefficients, model.intercept)
+    scored = winner.withColumn("calibrated", calibrated).withColumn("verified", verified)
+    return scored.withColumns(final_decision(F.col("calibrated"), F.col("verified"), accept, review)).select(query, "slug", "score", "margin", "calibrated", "verified", "confidence", "decision")
 
 
 def anchored(text: Column, rules: list[tuple[str, str]]) -> Column:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.plans.scratch import materialise
+
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
     """The best ``k`` per query with their rank; Spark cuts each task's rows before the shuffle."""
@@ -26,14 +28,27 @@ def top1_margin(predictions: Column) -> Column:
     return a["score"] - b["score"]
 
 
-def rank_metrics(ranked: DataFrame, by: Sequence[str] = (), rank: str = "rank") -> DataFrame:
-    """Shares and reciprocal ranks of one row per sample; a missing rank counts as zero."""
-    r = F.col(rank)
+def rank_metrics(ranked: DataFrame, by: Sequence[str] = (), rank: str = "rank", weight: str | None = None) -> DataFrame:
+    """Shares and reciprocal ranks of one row per sample, by weight if there is one; a missing rank counts as zero."""
+    r, w = F.col(rank), F.lit(1.0) if weight is None else F.col(weight)
+    share = lambda x: F.round(F.sum(w * F.coalesce(x, F.lit(0.0))) / F.sum(w), 9)
     out = ranked.groupBy(*by) if by else ranked.groupBy()
-    return out.agg(
-        F.count("*").alias("n"), F.round(F.avg(F.coalesce((r == 1).cast("double"), F.lit(0.0))), 9).alias("top1"),
-        F.round(F.avg(F.coalesce((r <= 5).cast("double"), F.lit(0.0))), 9).alias("top5"), F.round(F.avg(F.coalesce(1 / r, F.lit(0.0))), 9).alias("mrr"),
-    )
+    return out.agg(F.count("*").alias("n"), share((r == 1).cast("double")).alias("top1"), share((r <= 5).cast("double")).alias("top5"), share(1 / r).alias("mrr"))
+
+
+def running_sums(rows: DataFrame, by: str, columns: Sequence[str], descending: bool = False) -> DataFrame:
+    """``rows`` plus ``upto_<column>``: sums over all rows up to and with this one in the order of ``by`` (distinct values).
+
+    Rows are sorted in ranges; each range adds up its own rows, and a short
+    table of the ranges' totals gives what came before. No task sees them all.
+    """
+    order = F.desc(by) if descending else F.asc(by)
+    ranged = materialise(rows.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = totals.select("__range", *(F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in columns))
+    own = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(before), "__range").select(*rows.columns, *((F.sum(c).over(own) + F.col(f"__{c}")).alias(f"upto_{c}") for c in columns))
 
 
 def expected_ranks(scored: DataFrame, expected: DataFrame, query: str = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
@@ -97,9 +112,8 @@ def prediction_records(ranked: DataFrame, k: int = 5, query: str = "query_id", i
 def auc(samples: DataFrame, label: str, score: str) -> DataFrame:
     """Share of pairs in the right order, ties half; 0 without both classes. From counts per score, not pairs."""
     counts = samples.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((~F.col(label)).cast("long")).alias("neg"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct score
-    placed = counts.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    sums = placed.agg(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("good"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    placed = running_sums(counts, score, ["neg"])
+    sums = placed.agg(F.sum(F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2)).alias("good"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(F.coalesce(F.round(F.try_divide(F.col("good"), F.col("p") * F.col("n")), 9), F.lit(0.0)).alias("auc"))
 
 

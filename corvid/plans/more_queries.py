@@ -10,6 +10,7 @@ from corvid.functions.parse import first_slug, named
 from corvid.functions.similarity import indel_ratio, partial_best_ratio, ratio_pairs, token_set_ratio
 from corvid.operators import audit, confidence, eventlog, evidence, promotion, ranking, retrieval
 from corvid.plans.queries import EX, LOG, SIGNALS, asked, catalog, examples, feedback, index, log, signals, t
+from corvid.plans.scratch import materialise
 from corvid.plans.registry import query
 from corvid.sources.files import evaluator_results, last_by_key, resolved_path
 
@@ -124,9 +125,9 @@ def transform_effects(spark, d):
     return t(spark, d, "lineitem").select("l_discount", F.explode(flags).alias("effect")).groupBy("effect").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 9).alias("rate"))
 
 
-@query("a34_hit_counts", "SELECT p_brand AS value, count(*) AS n, min(p_partkey) AS first_seen FROM part WHERE p_size > 40 GROUP BY 1 ORDER BY n DESC, first_seen")
+@query("a34_hit_counts", "SELECT p_brand AS value, count(*) AS n, min(p_partkey) AS first_seen FROM part GROUP BY 1 ORDER BY n DESC, first_seen")
 def hit_counts(spark, d):
-    return t(spark, d, "part").where("p_size > 40").groupBy(F.col("p_brand").alias("value")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_seen")).orderBy(F.desc("n"), "first_seen")
+    return t(spark, d, "part").groupBy(F.col("p_brand").alias("value")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_seen")).orderBy(F.desc("n"), "first_seen")
 
 
 @query("a28_benchmark_summary", "WITH m AS (SELECT p_brand AS config, avg(p_size / 50.0) AS title, avg(p_size / 100.0) AS manufacturer, avg(p_size / 60.0) AS grape, avg(p_size / 70.0) AS recall, avg(p_retailprice) AS char_count FROM part GROUP BY 1), q AS (SELECT *, 0.35 * title + 0.30 * manufacturer + 0.20 * grape + 0.15 * recall AS quality FROM m) SELECT config, round(quality, 6) AS quality, round(quality - (SELECT quality FROM q WHERE config = (SELECT min(p_brand) FROM part)), 6) AS gain FROM q")
@@ -139,10 +140,9 @@ def benchmark_summary(spark, d):
 
 @query("w7_expected_rank", f"WITH {SIGNALS} SELECT query_id, min(rank) FILTER (WHERE item_label = expected) AS rank, round(max(embedding) FILTER (WHERE rank = 1) - max(embedding) FILTER (WHERE rank = 2), 6) AS margin FROM top GROUP BY query_id")
 def expected_rank(spark, d):
-    rows = retrieval.search(asked(spark, d), index(spark, d), 30).drop("rank")
-    lists = ranking.prediction_records(rows.withColumn("score", F.round("score", 9)), 30)
-    labels = t(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "label")
-    hits = signals(spark, d).join(labels, "item_id").where("label = expected").groupBy("query_id").agg(F.min_by("item_id", "rank").alias("expected"))
+    rows = signals(spark, d)
+    lists = ranking.prediction_records(rows.select("query_id", "item_id", F.col("embedding").alias("score")), 30)
+    hits = rows.where("item_label = expected").groupBy("query_id").agg(F.min_by("item_id", "rank").alias("expected"))
     out = lists.join(hits, "query_id", "left")
     return out.select("query_id", ranking.rank_of_expected(F.col("predictions.slug"), F.col("expected")).cast("long").alias("rank"), F.round(ranking.top1_margin(F.col("predictions")), 6).alias("margin"))
 
@@ -155,15 +155,16 @@ def restricted(spark, d):
 
 @query("u2_extended_candidates", f"WITH {SIGNALS}, nw AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(ocr, 9) DESC, item_id) AS r FROM sig ANTI JOIN (SELECT * FROM top WHERE rank <= 20) x USING (query_id, item_id)) SELECT query_id, item_id, rank AS position FROM top WHERE rank <= 20 UNION ALL SELECT query_id, item_id, 20 + r FROM nw WHERE r <= 5")
 def extended(spark, d):
-    own = retrieval.search(asked(spark, d), index(spark, d), 20).select("query_id", "item_id", F.col("rank").alias("position"))
+    q, i = asked(spark, d), index(spark, d)
     second = lambda df: df.withColumn("embedding", F.slice("embedding", 33, 32))
-    extra = retrieval.cosine_scores(second(asked(spark, d).select("query_id", "embedding")), second(index(spark, d).select("item_id", "embedding")))
-    return retrieval.extended(own, extra.withColumn("score", F.round("score", 9)), 5).withColumn("position", F.col("position").cast("long"))
+    own = retrieval.search(q, i, 20, others_only=True, digits=9).select("query_id", "item_id", F.col("rank").alias("position"))
+    extra = retrieval.search(second(q), second(i), 25, others_only=True, digits=9).drop("rank")  # 20 of them may be there already
+    return retrieval.extended(own, extra, 5).withColumn("position", F.col("position").cast("long"))
 
 
-@query("u4_merged_lines", "WITH a AS (SELECT l_orderkey AS q, l_linenumber AS p, l_shipdate::DATE::VARCHAR || l_returnflag AS tx, CAST(l_partkey % 20 AS VARCHAR) AS n, l_discount AS s, 0 AS r FROM lineitem WHERE l_linestatus = 'O'), b AS (SELECT l_orderkey AS q, l_linenumber AS p, l_shipdate::DATE::VARCHAR || l_returnflag AS tx, CAST(l_suppkey % 20 AS VARCHAR) AS n, coalesce(nullif(l_tax, 0), 1) AS s, 1 AS r FROM lineitem WHERE l_linestatus = 'O') SELECT q, n AS normalized, min_by(tx, (r, p, tx)) AS text, max(s) AS score, CASE WHEN count(DISTINCT r) = 2 THEN 'RapidOCR+GLM-OCR' WHEN min(r) = 0 THEN 'RapidOCR' ELSE 'GLM-OCR' END AS source FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY q, n")
+@query("u4_merged_lines", "WITH a AS (SELECT l_orderkey AS q, l_linenumber AS p, l_shipdate::DATE::VARCHAR || l_returnflag AS tx, CAST(l_partkey % 20 AS VARCHAR) AS n, l_discount AS s, 0 AS r FROM lineitem), b AS (SELECT l_orderkey AS q, l_linenumber AS p, l_shipdate::DATE::VARCHAR || l_returnflag AS tx, CAST(l_suppkey % 20 AS VARCHAR) AS n, coalesce(nullif(l_tax, 0), 1) AS s, 1 AS r FROM lineitem) SELECT q, n AS normalized, min_by(tx, (r, p, tx)) AS text, max(s) AS score, CASE WHEN count(DISTINCT r) = 2 THEN 'RapidOCR+GLM-OCR' WHEN min(r) = 0 THEN 'RapidOCR' ELSE 'GLM-OCR' END AS source FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY q, n")
 def merged_lines(spark, d):
-    rows = t(spark, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("position"), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), "l_returnflag").alias("text"), "l_partkey", "l_suppkey", "l_discount", "l_tax")
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("position"), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), "l_returnflag").alias("text"), "l_partkey", "l_suppkey", "l_discount", "l_tax")
     side = lambda key, score: rows.select("q", "position", "text", (F.col(key) % 20).cast("string").alias("normalized"), F.col(score).alias("score"))
     return retrieval.merged_lines(side("l_partkey", "l_discount"), side("l_suppkey", "l_tax"), "q").drop("at")
 
@@ -211,15 +212,18 @@ def token_ratios(spark, d):
 
 @query("f12_token_recall")
 def token_recall(spark, d):
-    q = catalog(spark, d).where("slug % 20 = 0").select(F.col("slug").alias("query_id"), F.col("slug").alias("item_id"), F.col("title").alias("text"))
+    q = catalog(spark, d).select(F.col("slug").alias("query_id"), F.col("slug").alias("item_id"), F.col("title").alias("text"))
     return evidence.field_scores(q, catalog(spark, d).select(F.col("slug").alias("item_id"), F.concat_ws(" ", "title", "manufacturer", "category").alias("text")), threshold=0.72).withColumn("score", F.round("score", 9))
 
 
-@query("f15_patch_maxsim")
+PATCHES = "list_transform(range(0, 4), lambda k: {v}[k * 16 + 1:k * 16 + 16]::DOUBLE[])"
+
+
+@query("f15_patch_maxsim", f"WITH {SIGNALS}, p AS (SELECT t.query_id, t.item_id, {PATCHES.format(v='q.embedding')} AS qs, {PATCHES.format(v='i.embedding')} AS rs FROM top t JOIN embeddings q ON q.vec_id = t.query_id JOIN embeddings i ON i.vec_id = t.item_id WHERE t.rank <= 10) SELECT query_id, item_id, round(list_avg(list_transform(qs, lambda a: list_max(list_transform(rs, lambda b: list_dot_product(a, b))))), 6) AS score FROM p")
 def patch_maxsim(spark, d):
     parts = lambda v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice(v, k * 16 + 1, 16))
-    q = asked(spark, d).where("query_id % 50 = 0").select("query_id", F.array(parts(F.col("embedding"))).alias("q"))
-    best = retrieval.search(asked(spark, d).where("query_id % 50 = 0"), index(spark, d), 10).select("query_id", "item_id")
+    q = asked(spark, d).select("query_id", F.array(parts(F.col("embedding"))).alias("q"))
+    best = retrieval.search(asked(spark, d), index(spark, d), 10, others_only=True, digits=9).select("query_id", "item_id")
     rows = best.join(q, "query_id").join(index(spark, d).select("item_id", parts(F.col("embedding")).alias("r")), "item_id")
     return rows.select("query_id", "item_id", F.round(retrieval.patch_maxsim(F.col("q"), F.col("r")), 6).alias("score"))
 
@@ -281,3 +285,45 @@ def user_sessions(spark, d):
     gap = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.lag("ts").over(w).cast("timestamp")) / 1e6
     rows = t(spark, d, "events").withColumn("new", F.when(gap <= 1800, 0).otherwise(1)).withColumn("session", F.sum("new").over(w))
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("start"))
+
+
+EXPECTED = "exq AS (SELECT q.vec_id AS query_id, q.label AS source, CASE WHEN q.vec_id % 300 <> 0 THEN (SELECT min(i.vec_id) FROM embeddings i WHERE i.label = q.label AND i.vec_id <> q.vec_id) END AS expected FROM embeddings q WHERE q.vec_id % 100 = 0)"
+
+
+def expected_items(spark, d) -> DataFrame:
+    """The smallest other vector of the query's label; every third query stands for an unknown item."""
+    least = F.array_sort(F.collect_list("item_id"))
+    two = ranking.top_k(index(spark, d).select("label", "item_id", F.lit(0.0).alias("score")), 2, "label", "item_id").groupBy("label").agg(least.alias("two"))
+    own = F.when(F.col("two")[0] == F.col("query_id"), F.col("two")[1]).otherwise(F.col("two")[0])
+    return asked(spark, d).join(two, "label").select("query_id", F.col("label").alias("source"), F.when(F.col("query_id") % 300 != 0, own).alias("expected"))
+
+
+@query("ox1_build_examples", f"WITH {SIGNALS}, {EXPECTED}, best AS (SELECT query_id, max(item_id) FILTER (WHERE place = 1) AS winner, max(score) FILTER (WHERE place = 1) AS s1, max(score) FILTER (WHERE place = 2) AS s2, list(item_id) FILTER (WHERE place <= 5) AS five FROM placed GROUP BY query_id) SELECT query_id, CAST(source AS VARCHAR) AS source, winner, round(s1 - s2, 6) AS margin, expected IS NOT NULL AS known, expected IS NOT NULL AND coalesce(winner = expected, false) AS safe, coalesce(list_contains(five, expected), false) AS top5, CASE WHEN ('0x' || substr(sha1(CAST(source AS VARCHAR)), 1, 8))::BIGINT % 5 = 0 THEN 'validation' ELSE 'calibration' END AS split FROM exq LEFT JOIN best USING (query_id)")
+def build_examples(spark, d):
+    ranked = retrieval.normalised_fusion(signals(spark, d), (0.45, 0.05, 0.50)).withColumn("score", F.round("score", 9)).drop("rank")
+    rows = confidence.build_examples(ranked, expected_items(spark, d).withColumn("source", F.col("source").cast("string")))
+    return rows.select("query_id", "source", "winner", F.round("margin", 6).alias("margin"), "known", "safe", "top5", "split")
+
+
+@query("oc1_recognised", "WITH b AS (SELECT l_orderkey AS q, l_linenumber AS p, round(l_discount, 9) AS s, CASE WHEN l_returnflag = 'R' THEN 0.08 ELSE -0.04 END AS bonus, l_linestatus AS st, l_tax FROM lineitem), c AS (SELECT *, count(*) OVER w AS n, max((st = 'O')::INT) OVER w AS cued FROM b WINDOW w AS (PARTITION BY q)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN cued = 0 THEN 0.0 WHEN n > 1 THEN -round(s + CASE WHEN st = 'O' THEN bonus ELSE 0.0 END, 9) ELSE -s END, p) AS place FROM c), t AS (SELECT *, s - lead(s) OVER (PARTITION BY q ORDER BY place) AS margin FROM r), m AS (SELECT q, p, s, margin, 1 / (1 + exp(-(0.5 + 2.0 * (s - 0.05) / 0.03 + 1.5 * coalesce(margin, 0)))) AS cal, l_tax >= 0.07 AS ver FROM t WHERE place = 1) SELECT q AS query_id, p AS slug, round(margin, 6) AS margin, round(CASE WHEN ver THEN greatest(cal, 0.95) ELSE cal END, 6) AS confidence, CASE WHEN ver OR cal >= 0.8 THEN 'match' WHEN cal >= 0.4 THEN 'alternatives' ELSE 'not_found' END AS decision FROM m")
+def recognised(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("position"), F.col("l_linenumber").alias("slug"), F.round("l_discount", 9).alias("score"), F.when(F.col("l_returnflag") == "R", 0.08).otherwise(-0.04).alias("bonus"), (F.col("l_linestatus") == "O").alias("cued"), "l_tax")
+    model = confidence.Logistic([0.05, 0.0], [0.03, 1.0], [2.0, 1.5], 0.5)
+    out = confidence.recognised(rows, model, F.array("score", F.coalesce("margin", F.lit(0.0))), F.col("l_tax") >= 0.07, 0.8, 0.4)
+    return out.select("query_id", "slug", F.round("margin", 6).alias("margin"), F.round("confidence", 6).alias("confidence"), "decision")
+
+
+@query("ow2_tune_fields", f"WITH {SIGNALS}, g AS (SELECT round(0.05 * e, 10) AS we, round(0.05 * s, 10) AS ws, round(1 - 0.05 * e - 0.05 * s, 10) AS wo FROM range(0, 21) a(e), range(0, 21) b(s) WHERE e + s <= 20), ex AS (SELECT query_id, min_by(item_id, rank) FILTER (WHERE item_label = expected) AS e_item FROM top GROUP BY query_id), sc AS (SELECT t.query_id, CASE WHEN t.query_id % 200 = 0 THEN 'calibration' ELSE 'validation' END AS split, t.item_id, we, ws, wo, e_item, round(we * embedding + ws * sift + wo * ocr, 12) AS s FROM top t JOIN ex USING (query_id), g WHERE e_item IS NOT NULL), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, we, ws ORDER BY s DESC, item_id) AS r FROM sc), m AS (SELECT split, we, ws, wo, round(avg((r = 1)::INT), 9) AS top1, round(avg((r <= 5)::INT), 9) AS top5, round(avg(1.0 / r), 9) AS mrr FROM rk WHERE item_id = e_item GROUP BY ALL), j AS (SELECT m.*, m.top1 >= b.top1 AND m.top5 >= b.top5 AND m.mrr >= b.mrr AS holds FROM m JOIN m b ON m.split = b.split AND b.we = 0.45 AND b.ws = 0.05) SELECT we::DOUBLE AS w_embedding, ws::DOUBLE AS w_sift, wo::DOUBLE AS w_ocr, round(max(mrr) FILTER (WHERE split = 'calibration'), 6) AS mrr, bool_and(holds) FILTER (WHERE split = 'validation') AS safe, bool_and(holds) AS robust FROM j GROUP BY ALL")
+def tune_fields(spark, d):
+    rows = materialise(signals(spark, d).drop("expected"), "signals")
+    labels = asked(spark, d).select("query_id", "label")
+    expected = rows.join(labels, "query_id").where("item_label = label").groupBy("query_id").agg(F.min_by("item_id", "rank").alias("expected"))
+    split = F.when(F.col("query_id") % 200 == 0, "calibration").otherwise("validation").alias("split")
+    out = retrieval.tune_fields(rows.join(expected, "query_id").select("query_id", split, "expected", "item_id", "embedding", "sift", "ocr"), retrieval.field_grid(spark), (0.45, 0.05))
+    return out.select("w_embedding", "w_sift", "w_ocr", F.round("mrr", 6).alias("mrr"), "safe", "robust")
+
+
+@query("a17_weighted_metrics", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity * (l_linenumber = 1)::INT) / sum(l_quantity), 6) AS top1, round(sum(l_quantity * (l_linenumber <= 5)::INT) / sum(l_quantity), 6) AS top5, round(sum(l_quantity / l_linenumber) / sum(l_quantity), 6) AS mrr FROM lineitem GROUP BY 1")
+def weighted_metrics(spark, d):
+    out = ranking.rank_metrics(t(spark, d, "lineitem"), ["l_returnflag"], rank="l_linenumber", weight="l_quantity")
+    return out.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("top1", "top5", "mrr")))

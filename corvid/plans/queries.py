@@ -214,33 +214,35 @@ def token_overlap(spark, d):
 
 
 def index(spark, d) -> DataFrame:
-    return t(spark, d, "embeddings").where("vec_id % 10 <> 0").select(F.col("vec_id").alias("item_id"), "embedding", "label")
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
 
 
 def asked(spark, d) -> DataFrame:
-    return t(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    """The stated queries; each is held against all vectors but its own."""
+    return t(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
-SIGNALS = """sig AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, i.label AS item_label, q.label AS expected, list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS embedding, list_dot_product(q.embedding[1:32]::DOUBLE[], i.embedding[1:32]::DOUBLE[]) AS sift, list_dot_product(q.embedding[33:64]::DOUBLE[], i.embedding[33:64]::DOUBLE[]) AS ocr FROM embeddings q, embeddings i WHERE q.vec_id % 10 = 0 AND i.vec_id % 10 <> 0),
+SIGNALS = """sig AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, i.label AS item_label, q.label AS expected, list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS embedding, list_dot_product(q.embedding[1:32]::DOUBLE[], i.embedding[1:32]::DOUBLE[]) AS sift, list_dot_product(q.embedding[33:64]::DOUBLE[], i.embedding[33:64]::DOUBLE[]) AS ocr FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0 AND i.vec_id <> q.vec_id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(embedding, 9) DESC, item_id) AS rank FROM sig) WHERE rank <= 30),
 norm AS (SELECT *, (embedding - min(embedding) OVER w) / greatest(max(embedding) OVER w - min(embedding) OVER w, 1e-7) AS e FROM top WINDOW w AS (PARTITION BY query_id)),
 fused AS (SELECT *, round(0.45 * e + 0.05 * sift + 0.50 * ocr, 9) AS score FROM norm),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM fused)"""
 
 
+HALVES = {"sift": slice(0, 32), "ocr": slice(32, 64)}
+
+
 def signals(spark, d, k: int = 30) -> DataFrame:
     """The 30 nearest items of each query with three signals (whole vector, its halves)."""
-    found = retrieval.search(asked(spark, d), index(spark, d), k)
-    q = asked(spark, d).select("query_id", F.col("embedding").alias("q"), F.col("label").alias("expected"))
-    i = index(spark, d).withColumnRenamed("label", "item_label").withColumnRenamed("embedding", "v")
-    rows = found.drop("score").join(q, "query_id").join(i, "item_id")
-    half = lambda c, s: F.slice(c, s, 32)
-    return rows.select("query_id", "item_id", "item_label", "expected", "rank", scoring.dot(F.col("q"), F.col("v")).alias("embedding"), scoring.dot(half("q", 1), half("v", 1)).alias("sift"), scoring.dot(half("q", 33), half("v", 33)).alias("ocr"))
+    found = retrieval.signals(asked(spark, d), index(spark, d), HALVES, k)
+    q = asked(spark, d).select("query_id", F.col("label").alias("expected"))
+    i = index(spark, d).select("item_id", F.col("label").alias("item_label"))
+    return found.join(F.broadcast(q), "query_id").join(i, "item_id")  # the stated queries are few
 
 
 @query("w5_topk_cosine", f"WITH {SIGNALS} SELECT query_id, item_id, round(embedding, 6) AS score FROM top")
 def topk_cosine(spark, d):
-    return retrieval.search(asked(spark, d), index(spark, d), 30).select("query_id", "item_id", F.round("score", 6).alias("score"))
+    return retrieval.search(asked(spark, d), index(spark, d), 30, others_only=True, digits=9).select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
 @query("h1_hybrid_fusion", f"WITH {SIGNALS} SELECT query_id, item_id, place, round(score, 6) AS score, item_label = expected AS hit FROM placed WHERE place <= 5")
@@ -282,20 +284,22 @@ def view_agreement(spark, d):
 
 @query("u1_candidate_union", f"WITH {SIGNALS}, txt AS (SELECT query_id, item_id, ocr AS s FROM sig WHERE ocr > 0), v AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(embedding, 9) DESC, item_id) AS r FROM sig), a AS (SELECT query_id, item_id, 0 AS p, r FROM v WHERE r <= 20), b AS (SELECT query_id, item_id, 1 AS p, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, item_id) AS r FROM txt ANTI JOIN a USING (query_id, item_id)), c AS (SELECT query_id, item_id, 2 AS p, r FROM v WHERE r > 20 AND r <= 30), u AS (SELECT query_id, item_id, min((p, r)) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY ALL) SELECT query_id, item_id, position, source FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY k, item_id) AS position, ['visual', 'ocr', 'fill'][k[1] + 1] AS source FROM u) WHERE position <= 30")
 def candidate_union(spark, d):
-    both = retrieval.cosine_scores(asked(spark, d).select("query_id", "embedding"), index(spark, d).select("item_id", "embedding"))
-    second = lambda q: q.withColumn("embedding", F.slice("embedding", 33, 32))
-    textual = retrieval.cosine_scores(second(asked(spark, d).select("query_id", "embedding")), second(index(spark, d).select("item_id", "embedding")))
-    return retrieval.candidate_union(both.withColumn("score", F.round("score", 9)), textual.where("score > 0").withColumn("score", F.round("score", 9)), 20, 10).withColumn("position", F.col("position").cast("long"))
+    q, i = asked(spark, d), index(spark, d)
+    second = lambda df: df.withColumn("embedding", F.slice("embedding", 33, 32))
+    visual = retrieval.search(q, i, 30, others_only=True, digits=9).drop("rank")
+    # 20 of the textual candidates may be visual ones already
+    textual = retrieval.search(second(q), second(i), 50, others_only=True, above=0.0, digits=9).drop("rank")
+    return retrieval.candidate_union(visual, textual, 20, 10).withColumn("position", F.col("position").cast("long"))
 
 
-@query("og1_gate", f"WITH {SIGNALS}, al AS (SELECT query_id, item_id, round(0.65 * embedding + 0.35 * ocr, 9) AS s FROM sig WHERE item_label = expected AND query_id % 20 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS r FROM al), n AS (SELECT query_id, count(*) AS c FROM al GROUP BY 1), u AS (SELECT query_id, item_id, 0 AS p, r FROM f WHERE r <= 30 UNION ALL SELECT query_id, item_id, 1, rank FROM top ANTI JOIN (SELECT * FROM f WHERE r <= 30) x USING (query_id, item_id)) SELECT query_id, item_id, position, allowed, coalesce(c, 0) AS candidate_count FROM (SELECT query_id, item_id, p = 0 AS allowed, row_number() OVER (PARTITION BY query_id ORDER BY p, r, item_id) AS position FROM u) LEFT JOIN n USING (query_id) WHERE position <= 30")
+@query("og1_gate", f"WITH {SIGNALS}, al AS (SELECT query_id, item_id, round(embedding, 9) AS s FROM sig WHERE item_label = expected AND query_id % 200 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS r FROM al), n AS (SELECT query_id, count(*) AS c FROM al GROUP BY 1), u AS (SELECT query_id, item_id, 0 AS p, r FROM f WHERE r <= 30 UNION ALL SELECT query_id, item_id, 1, rank FROM top ANTI JOIN (SELECT * FROM f WHERE r <= 30) x USING (query_id, item_id)) SELECT query_id, item_id, position, allowed, coalesce(c, 0) AS candidate_count FROM (SELECT query_id, item_id, p = 0 AS allowed, row_number() OVER (PARTITION BY query_id ORDER BY p, r, item_id) AS position FROM u) LEFT JOIN n USING (query_id) WHERE position <= 30")
 def gate(spark, d):
-    q, i = asked(spark, d).where("query_id % 20 = 0"), index(spark, d)
-    allowed = q.select("query_id", "label", F.col("embedding").alias("q")).join(i.withColumnRenamed("embedding", "v"), "label")
-    scores = allowed.select("query_id", "item_id", F.round(scoring.gate_score(scoring.dot(F.col("q"), F.col("v")), scoring.dot(F.slice("q", 33, 32), F.slice("v", 33, 32))), 9).alias("score"))
-    scores = materialise(scores, "gate")
+    q, i = asked(spark, d), index(spark, d)
+    hard = q.where("query_id % 200 = 0")  # stands for the queries whose maker is recognised
+    allowed = materialise(retrieval.search(hard, i, 30, same="label", others_only=True, digits=9).select("query_id", "item_id", "score"), "gate")
+    counts = hard.join(i.groupBy("label").agg((F.count("*") - 1).alias("candidate_count")), "label").where("candidate_count > 0").select("query_id", "candidate_count")
     candidates = signals(spark, d).select("query_id", "item_id", F.col("rank").alias("position"))
-    return retrieval.gated(candidates, scores, scores.select("query_id", "item_id"), 30).withColumn("position", F.col("position").cast("long"))
+    return retrieval.gated(candidates, allowed, allowed.select("query_id", "item_id"), 30, counts=counts).withColumn("position", F.col("position").cast("long"))
 
 
 @query("m8_relative_support", f"WITH {SIGNALS} SELECT query_id, item_id, round(exp((score - max(score) OVER w) / 0.08) / sum(exp((score - max(score) OVER w) / 0.08)) OVER w2, 6) AS support FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM placed WHERE place <= 5) WINDOW w AS (PARTITION BY query_id), w2 AS (PARTITION BY query_id)".replace("exp((score - max(score) OVER w) / 0.08)", "exp((score - m) / 0.08)"))
@@ -350,10 +354,10 @@ def sigmoid(spark, d):
     return examples(spark, d).select("sample_id", F.round(scoring.sigmoid((F.col("confidence") - 0.5) * 90), 9).alias("p"))
 
 
-@query("ol2_thresholds")
+@query("ol2_thresholds", f"WITH {EX}, b AS (SELECT confidence AS c, count(*) FILTER (WHERE known AND safe) AS g, count(*) FILTER (WHERE known AND NOT safe) AS w, count(*) FILTER (WHERE NOT known) AS u FROM ex GROUP BY 1), s AS (SELECT sum(g) AS g, sum(w) AS w, sum(u) AS u FROM b), a AS (SELECT c, sum(g) OVER o AS g, sum(w) OVER o AS w, sum(u) OVER o AS u FROM b WINDOW o AS (ORDER BY c DESC)), f AS (SELECT a.c, a.g FROM a, s WHERE a.u <= 0.025 * s.u AND a.w <= 0.05 * s.w ORDER BY a.g DESC, a.c LIMIT 1), x AS (SELECT coalesce((SELECT max(c) FROM b WHERE c < (SELECT c FROM f)), 0.0) AS accept), v AS (SELECT min(c) AS review FROM (SELECT c, sum(g) OVER (ORDER BY c) AS n FROM b WHERE g > 0), s WHERE n >= ceil((s.g - 1) * 0.05) + 1) SELECT round(accept, 9)::DOUBLE AS accept, round(least(review, accept), 9)::DOUBLE AS review FROM x, v")
 def thresholds(spark, d):
     accept, review = confidence.choose_thresholds(examples(spark, d))
-    return spark.range(1).select(F.lit(accept).alias("accept"), F.lit(review).alias("review"))
+    return spark.range(1).select(F.round(F.lit(accept), 9).alias("accept"), F.round(F.lit(review), 9).alias("review"))
 
 
 @query("ol1_logistic")
@@ -452,28 +456,28 @@ def attribute_bonus(spark, d):
     return rows.select("slug", F.round(confidence.attribute_bonus(key, text.fuzzy_key(text.normalized(F.col("category"))), F.lit("red")), 6).alias("bonus"))
 
 
-@query("m12_semantic_rerank", "SELECT l_orderkey AS query_id, l_linenumber AS position, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_discount + CASE WHEN l_returnflag = 'R' THEN 0.08 ELSE -0.04 END, 9) DESC, l_linenumber) AS new_position FROM lineitem")
+@query("m12_semantic_rerank", "SELECT l_orderkey AS query_id, l_linenumber AS position, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN cued = 0 THEN 0 WHEN n > 1 AND l_linestatus = 'O' THEN -round(l_discount + CASE WHEN l_returnflag = 'R' THEN 0.08 ELSE -0.04 END, 9) ELSE -round(l_discount, 9) END, l_linenumber) AS new_position FROM (SELECT *, count(*) OVER w AS n, max((l_linestatus = 'O')::INT) OVER w AS cued FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))")
 def semantic_rerank(spark, d):
-    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("position"), F.round(F.col("l_discount") + F.when(F.col("l_returnflag") == "R", 0.08).otherwise(-0.04), 9).alias("score"), F.lit(0.0).alias("bonus"))
-    return confidence.semantic_rerank(rows).select("query_id", "position", F.col("new_position").cast("long").alias("new_position"))
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("position"), F.round("l_discount", 9).alias("score"), F.when(F.col("l_returnflag") == "R", 0.08).otherwise(-0.04).alias("bonus"), (F.col("l_linestatus") == "O").alias("cued"))
+    return confidence.semantic_rerank(rows, cued="cued").select("query_id", "position", F.col("new_position").cast("long").alias("new_position"))
 
 
 @query("f7_text_scores")
 def text_scores(spark, d):
-    lines = catalog(spark, d).where("slug % 50 = 0").select(F.col("slug").alias("query_id"), F.col("title").alias("text"), F.lit(0.9).alias("score"))
+    lines = catalog(spark, d).where("slug % 100 = 0").select(F.col("slug").alias("query_id"), F.col("title").alias("text"), F.lit(0.9).alias("score"))
     found = evidence.text_scores(lines, catalog(spark, d).select(F.col("slug").alias("item_id"), F.concat_ws(" ", "title", "category").alias("text")))
     return ranking.top_k(found.withColumn("score", F.round("score", 9)), 5)
 
 
 @query("f9_field_scores")
 def field_scores(spark, d):
-    q = catalog(spark, d).where("slug % 20 = 0").select(F.col("slug").alias("query_id"), F.col("slug").alias("item_id"), F.col("category").alias("text"))
+    q = catalog(spark, d).select(F.col("slug").alias("query_id"), F.col("slug").alias("item_id"), F.col("category").alias("text"))
     return evidence.field_scores(q, catalog(spark, d).select(F.col("slug").alias("item_id"), F.col("title").alias("text"))).withColumn("score", F.round("score", 9))
 
 
 @query("ot2_resolve_maker")
 def resolve_maker(spark, d):
-    lines = catalog(spark, d).where("slug % 40 = 0").select(F.col("slug").alias("query_id"), F.lit(0).alias("position"), F.col("manufacturer").alias("text"), F.lit(0.95).alias("score"))
+    lines = catalog(spark, d).select(F.col("slug").alias("query_id"), F.lit(0).alias("position"), F.col("manufacturer").alias("text"), F.lit(0.95).alias("score"))
     return taxonomy.resolve(lines, catalog(spark, d).select(F.col("manufacturer").alias("value")).distinct())
 
 
