@@ -88,6 +88,13 @@ def fuzzy_key(normal: Column) -> Column:
     return collapse(out)
 
 
+@F.arrow_udf(T.StringType())
+def fuzzy_key_exact(text: pa.Array) -> pa.Array:
+    """``fuzzy_key`` of the normalised text in one function, for SQL."""
+    letters = {ord(k): v for k, v in CYRILLIC_TO_LATIN.items()} | {ord("й"): "i", ord("ё"): "e"}
+    return pa.array([" ".join(normalize_text(x).translate(letters).split()) for x in text.to_pylist()], pa.string())
+
+
 def homoglyph_key(key: Column) -> Column:
     """The key with look-alike letters replaced in words of six letters or more."""
     swap = lambda t: F.when(F.length(t) >= 6, F.translate(t, "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))).otherwise(t)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,3 +119,25 @@ def issues(wines: DataFrame, key: str = "slug", amount: str = "alcohol") -> Data
     dups = duplicate_keys(wines, key).select(F.lit("error").alias("severity"), F.lit("duplicate_slug").alias("code"), F.col(key).alias("slug"), F.concat(F.lit("rows with this slug: "), F.col("count").cast("string")).alias("message"))
     required = [c for c in REQUIRED_FIELDS if c in wines.columns]
     return ordered_issues(dups.unionByName(missing_field_issues(wines, key, required)).unionByName(suspicious_range(wines, key, amount)))
+
+
+def report(wines: DataFrame, files: DataFrame, digest: str = "sha", fields: Sequence[str] = ("title", "region"), key: str = "slug", near: DataFrame | None = None) -> DataFrame:
+    """The whole audit as ``(section, name, value)``: totals, coverage, issues, distributions, exact and near copies, orphans.
+
+    ``files(path, <digest>)`` are the image files found; ``near`` the pairs of ``near_pairs``.
+    """
+    line = lambda section, name, value: [F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("long").alias("value")]
+    images = manifest(wines, files)
+    copies = exact_groups(images, digest, [f for f in fields if f in wines.columns])
+    parts = [
+        wines.agg(F.count("*").alias("n")).select(*line("total", F.lit("rows"), F.col("n"))),
+        coverage(wines).select(*line("missing", F.col("field"), F.col("missing"))),
+        issues(wines, key).groupBy("code").count().select(*line("issue", F.col("code"), F.col("count"))),
+        *(distribution(wines, c).select(*line(c, F.col("value"), F.col("count"))) for c in ("region", "category") if c in wines.columns),
+        copies.agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).select(F.inline(F.array(F.struct(*line("exact copies", F.lit("groups"), F.col("n"))), F.struct(*line("exact copies", F.lit("rows"), F.col("rows")))))),
+        orphans(files, images, "image_local").agg(F.count("*").alias("n")).select(*line("orphans", F.lit("files"), F.col("n"))),
+        images.where(F.col(digest).isNull()).agg(F.count("*").alias("n")).select(*line("orphans", F.lit("rows without a file"), F.col("n"))),
+    ]
+    if near is not None:
+        parts.append(near.agg(F.count("*").alias("n")).select(*line("near copies", F.lit("pairs"), F.col("n"))))
+    return reduce(DataFrame.unionByName, parts)

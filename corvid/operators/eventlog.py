@@ -6,10 +6,11 @@ row of a recognition is the valid one, so an upsert is an append.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.functions.scoring import pct_round_index
+from corvid.operators.ranking import order_statistic
 
 VERDICTS = ("correct", "incorrect", "not_in_catalog", "not_in_store")
 
@@ -64,8 +65,52 @@ def statistics(log: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(log: DataFrame, by: str, value: str = "total_ms") -> DataFrame:
-    """Half-even index percentiles per group. The values of a group meet in one array: a report over modes or days."""
-    return log.groupBy(by).agg(F.collect_list(value).alias("v")).select(by, pct_round_index(F.col("v"), 0.5).alias("p50"), pct_round_index(F.col("v"), 0.95).alias("p95"))
+    """Half-even index percentiles per group."""
+    at = lambda f: 1 + F.bround((F.col("n") - 1) * F.lit(f))
+    half, most = (order_statistic(log, by, value, at(f)).withColumnRenamed(value, name) for f, name in ((0.5, "p50"), (0.95, "p95")))
+    return half.join(most, by).select(by, "p50", "p95")
+
+
+# What a row of the log and of the feedback must satisfy.
+DECISIONS = ("match", "alternatives", "not_found")
+RECOGNITION_CHECKS = {"id is missing": "id is not null", "created_at is missing": "created_at is not null", "unknown decision": f"decision in {DECISIONS}"}
+FEEDBACK_CHECKS = {"recognition_id is missing": "recognition_id is not null", "unknown verdict": f"verdict in {VERDICTS}", "a correction needs a slug, and only it": "(verdict = 'incorrect') = (correct_slug is not null)"}
+
+
+def checked(rows: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """``rows``; a row that breaks a check (a predicate, null counts as broken) fails the job with the check's name."""
+    for message, predicate in checks.items():
+        rows = rows.where(F.when(F.coalesce(F.expr(predicate), F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+    return rows
+
+
+def widened(checks: dict[str, str], message: str, column: str, allowed: tuple[str, ...]) -> dict[str, str]:
+    """Checks in which ``column`` may hold ``allowed``; stored rows stay as they are, since they met the narrower check."""
+    return {**checks, message: f"{column} in {allowed}"}
+
+
+def append_checked(rows: DataFrame, path: str, checks: dict[str, str], key: str) -> None:
+    """Append rows that meet the checks and whose key the table at ``path`` does not have yet."""
+    new = checked(rows, checks)
+    try:
+        stored = rows.sparkSession.read.parquet(path)
+    except AnalysisException:  # no table yet
+        stored = None
+    if stored is not None:
+        clash = new.join(stored.select(key), key, "left_semi").limit(1).count()
+        if clash:
+            raise ValueError(f"a row with this {key} is already stored")
+    if new.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{key} repeats")
+    new.write.mode("append").parquet(path)
+
+
+def expanded(rows: DataFrame, payload: str = "result_json", pipeline: str = "pipeline_json", schema: str = "predictions array<struct<slug: string, score: double>>, decision string", steps: str = "map<string, double>") -> DataFrame:
+    """Stored rows as the service returns them: payloads parsed, the feedback columns nested or null without a time."""
+    own = [c for c in rows.columns if c.startswith("feedback_")]
+    nested = F.when(F.col("feedback_created_at").isNotNull(), F.struct(*(F.col(c).alias(c.removeprefix("feedback_")) for c in own)))
+    rest = [c for c in rows.columns if c not in (payload, pipeline, *own)]
+    return rows.select(*rest, F.from_json(payload, schema).alias("result"), F.from_json(pipeline, steps).alias("pipeline"), nested.alias("feedback"))
 
 
 def valid_feedback(verdict: Column, correct_slug: Column) -> Column:

@@ -109,6 +109,29 @@ def prediction_records(ranked: DataFrame, k: int = 5, query: str = "query_id", i
     return rows.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(item).alias("slug"), F.col(score).alias("score")))), lambda x: F.struct(x["slug"].alias("slug"), x["score"].alias("score"))).alias("predictions"))
 
 
+def order_statistic(rows: DataFrame, by: str, value: str, position: Column) -> DataFrame:
+    """``(by, value)``: the value at ``position`` (from 1, a column over ``n``, the group's rows) of each group in order.
+
+    Counts per distinct value are added up in ranges over all groups, so no
+    group has to fit in one task.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c")).withColumn("key", F.struct(F.col(by), F.col(value)))
+    summed = materialise(running_sums(counts, "key", ["c"]), "counts")
+    groups = summed.groupBy(by).agg(F.min(F.col("upto_c") - F.col("c")).alias("before"), F.sum("c").alias("n"))
+    reached = summed.join(groups, by).where(F.col("upto_c") - F.col("before") >= position)
+    return reached.groupBy(by).agg(F.min(value).alias(value))
+
+
+def tiles(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
+    """``rows`` (unique by ``by`` and ``order``) plus ``tile`` from 1 to ``k``, the first ones larger by one where it does not divide."""
+    keyed = rows.withColumn("__key", F.struct(by, *order)).withColumn("__one", F.lit(1))
+    placed = materialise(running_sums(keyed, "__key", ["__one"]), "placed")
+    groups = placed.groupBy(by).agg(F.min("upto___one").alias("first"), F.count("*").alias("n"))
+    at, size, more = F.col("upto___one") - F.col("first"), F.floor(F.col("n") / k), F.col("n") % k
+    tile = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return placed.join(groups, by).select(*rows.columns, (tile + 1).cast("long").alias("tile"))
+
+
 def auc(samples: DataFrame, label: str, score: str) -> DataFrame:
     """Share of pairs in the right order, ties half; 0 without both classes. From counts per score, not pairs."""
     counts = samples.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((~F.col(label)).cast("long")).alias("neg"))

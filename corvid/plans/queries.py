@@ -83,7 +83,7 @@ def nearest_rank(spark, d):
 
 @query("a12_quantile_higher", "SELECT event_type, list_extract(list_sort(list(value)), 1 + ceil((count(*) - 1) * 0.05::DOUBLE)::INT) AS q FROM events GROUP BY event_type")
 def quantile_higher(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(F.collect_list("value").alias("v")).select("event_type", scoring.quantile_higher(F.col("v"), 0.05).alias("q"))
+    return ranking.order_statistic(t(spark, d, "events"), "event_type", "value", 1 + F.ceil((F.col("n") - 1) * F.lit(0.05))).select("event_type", F.col("value").alias("q"))
 
 
 @query("d6_delete_cascade", f"WITH {LOG} SELECT (SELECT count(*) FROM log WHERE id % 7 <> 0) AS recognitions, (SELECT count(*) FROM fb WHERE recognition_id % 7 <> 0) AS feedback")
@@ -397,8 +397,8 @@ def entropy(spark, d):
 
 @query("a31_terciles", "SELECT lang, k AS tercile, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high FROM (SELECT lang, n_chars, ntile(3) OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS k FROM documents) GROUP BY ALL")
 def terciles(spark, d):
-    w = Window.partitionBy("lang").orderBy("n_chars", "doc_id")
-    return t(spark, d, "documents").select("lang", "n_chars", F.ntile(3).over(w).cast("long").alias("tercile")).groupBy("lang", "tercile").agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    placed = ranking.tiles(t(spark, d, "documents").select("lang", "n_chars", "doc_id"), "lang", ["n_chars", "doc_id"], 3)
+    return placed.groupBy("lang", F.col("tile").alias("tercile")).agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
 
 
 @query("a32_parameter_summary", "SELECT l_returnflag AS key, min(l_discount) AS low, round(median(l_discount), 9) AS middle, max(l_discount) AS high, count(*) AS n FROM lineitem GROUP BY 1")
@@ -429,7 +429,8 @@ def catalog_lookup(spark, d):
 
 @query("r1_normalized_predictions", "SELECT u, list(s ORDER BY k) AS slugs FROM (SELECT user_id AS u, event_type AS s, min(event_id) AS k FROM events GROUP BY ALL) GROUP BY u")
 def predictions(spark, d):
-    rows = t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat(F.lit(" "), "event_type").alias("s"), "value"))).alias("r"))
+    first = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("event_id", "value")).alias("f"))  # a row for each type
+    rows = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("f.event_id", F.concat(F.lit(" "), "event_type").alias("s"), "f.value"))).alias("r"))
     return rows.select(F.col("user_id").alias("u"), normalized_predictions(F.col("r.s"), F.col("r.value")).getField("slug").alias("slugs"))
 
 

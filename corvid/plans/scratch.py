@@ -2,8 +2,8 @@
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; every
 executor and the driver share it, so a lost executor costs only the tasks
-that were running. Where the setting is missing (tests, a laptop) a temporary
-folder is made once for each Spark application.
+that were running. Where the setting is missing and the master is local (tests, a
+laptop) a temporary folder is made once for each Spark application.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def folder(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = context.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="corvid-")

@@ -32,7 +32,7 @@ def load_catalog(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped. Strict reading fails on a line that is no object."""
+    """Rows of a JSON-lines file; blank lines are skipped. Strict reading fails on a line that is no object; ``bad_lines`` numbers them."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     if strict:
         failed = F.raise_error(F.concat(F.lit("not a JSON object: "), "value"))
@@ -47,9 +47,13 @@ def _is_object(line):
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line)`` texts that are no JSON object."""
+    """``(file, line_number, line)`` of texts that are no JSON object; only files with one are read whole."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
-    return lines.where(~_is_object(F.col("line")))
+    files = [r["file"] for r in lines.where(~_is_object(F.col("line"))).select("file").distinct().limit(100).collect()]
+    if not files:
+        return lines.select("file", F.lit(0).alias(LINE), "line").where("false")
+    whole = spark.read.text(files, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    return whole.where((F.trim("line") != "") & ~_is_object(F.col("line"))).select("file", (F.col("pos") + 1).alias(LINE), "line")
 
 
 def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
