@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: bytes.split() splits at exactly [\x20\x09-\x0D] and bytes.lower() lowers
 #: exactly A-Z, so words of whole texts come from these two on UTF-8 bytes.
@@ -21,3 +22,20 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def code_points(data: bytes) -> int:
     return len(data.decode("utf-8", "replace"))
+
+
+#: cells of a filter of bounded size; a false hit costs work only
+CELLS = 1 << 21
+
+
+def cells_of(keys: DataFrame, key: str) -> bytes:
+    """A byte per cell, one where some key falls; at most ``CELLS`` numbers reach the driver."""
+    out = bytearray(CELLS)
+    for r in keys.select(F.pmod(F.xxhash64(key), F.lit(CELLS)).alias("cell")).distinct().toLocalIterator():
+        out[r["cell"]] = 1
+    return bytes(out)
+
+
+def in_cells(key: Column, cells: bytes) -> Column:
+    """False only for values that are no key."""
+    return F.substring(F.lit(cells), (F.pmod(F.xxhash64(key), F.lit(CELLS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")

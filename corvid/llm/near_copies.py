@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.common import as_bytes
+from corvid.llm import chunks
+from corvid.llm.common import as_bytes, cells_of, in_cells
 from corvid.operators.graph import connected_components
 from corvid.plans.scratch import discard, materialise, release
 
@@ -51,7 +52,7 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first, last = [0, *(ends[: n - 1] + 1).tolist()], ends[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(first, last, strict=True)), np.uint64, n))
+    return chunks.distinct(np.fromiter((digest(joined[a:b]) for a, b in zip(first, last, strict=True)), np.uint64, n))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -73,6 +74,23 @@ def shingles(text: pa.Array) -> pa.Array:
     return _lists([shingle_set(x) for x in as_bytes(text)])
 
 
+@F.arrow_udf(T.BinaryType())
+def packed_shingles(text: pa.Array) -> pa.Array:
+    return pa.array([chunks.pack(shingle_set(x)) for x in as_bytes(text)], pa.binary())
+
+
+@F.arrow_udf(T.BooleanType())
+def sets_similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Whether two packed sets have the similarity."""
+
+    def one(x: bytes, y: bytes) -> bool:
+        x, y = chunks.unpack(x, "<u8"), chunks.unpack(y, "<u8")
+        both = len(x) + len(y) - len(chunks.distinct(np.concatenate([x, y])))
+        return both * WHOLE >= (len(x) + len(y) - both) * PART
+
+    return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+
+
 def prefix_of(own: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The first shingles of a set, rare ones before ``frequent`` (sorted, each seen ``times``)."""
     size = len(own) - (PART * len(own) + WHOLE - 1) // WHOLE + 1
@@ -136,12 +154,12 @@ def similar(pairs: DataFrame, nodes: DataFrame, slim: DataFrame) -> DataFrame:
     """Links (src, dst) of the pairs whose whole sets are similar; sets are made again from one text of each node."""
     members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(nodes.join(members, "node", "left_semi").select("node", "rep.*"), "wanted")
-    texts = slim.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
-    sets = materialise(texts.select("node", shingles(F.col("text")).alias("own")), "sets")
+    some = cells_of(wanted, "text_key")
+    texts = slim.withColumn("text_key", F.xxhash64("text")).where(in_cells(F.col("text_key"), some)).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
+    sets = materialise(texts.select("node", packed_shingles(F.col("text")).alias("own")), "sets")
+    release(slim.sparkSession)
     left, right = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("own_a", "own_b"))
-    enough = both * WHOLE >= (F.size("own_a") + F.size("own_b") - both) * PART
-    links = materialise(pairs.join(left, "a").join(right, "b").where(enough).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    links = materialise(pairs.join(left, "a").join(right, "b").where(sets_similar("own_a", "own_b")).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
     discard(sets)
     discard(wanted)
     release(slim.sparkSession)

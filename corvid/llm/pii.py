@@ -34,7 +34,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.common import table
+from corvid.llm.common import cells_of, in_cells, table
 from corvid.plans.scratch import discard, fresh, materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -53,8 +53,6 @@ _IN_TERM = r"\p{L}\p{M}\p{N}"
 _NUMBER = rf"(?<![{_IN_TERM}])\p{{N}}++(?![{_IN_TERM}])"
 _CODE = r"[\p{L}\p{M}]\p{N}|\p{N}[\p{L}\p{M}]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: cells of the filter that says which words may be terms found in several rows; a false hit costs work only
-CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -212,12 +210,9 @@ def analyse(docs: DataFrame, s: Settings = Settings()) -> Findings:
     several = materialise(entities.where("n_e > 1").groupBy("row").agg(F.collect_list("entity").alias("several")), "several")
     pairs = held.join(several, "row").select(F.explode("several").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where("n_et > 1")
     shared = materialise(judged(pairs.join(known, "entity").join(seen.where("n_t > 1"), "term")).groupBy("term").agg(strongest), "disclosing")
-    cells = bytearray(CELLS)
-    for r in shared.select(F.pmod(F.xxhash64("term"), F.lit(CELLS)).alias("cell")).distinct().toLocalIterator():
-        cells[r["cell"]] = 1
-    extra = alone
+    cells, extra = cells_of(shared, "term"), alone
     if any(cells):
-        may = lambda w: F.substring(F.lit(bytes(cells)), (F.pmod(F.xxhash64(w), F.lit(CELLS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+        may = lambda w: in_cells(w, cells)
         words = slim.select("doc_id", "text_key", lowered(F.col("text")).alias("text")).withColumn("some", F.filter(terms_of(F.col("text")), may)).where(F.size("some") > 0)
         extra = extra.unionByName(_places(words, F.col("some")).select("doc_id", "text_key", F.col("at.value").alias("term"), "at.start", "at.end").join(shared, "term").select("doc_id", "text_key", "kind", "start", "end"))
     grouped = extra.distinct().groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
