@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from functools import cache
 from itertools import accumulate, groupby
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -284,7 +285,7 @@ def rules() -> tuple[Rule, ...]:
     every, several = "|".join(spdx_ids()), "|".join(x for x in spdx_ids() if " " in x)
     single, operator = "|".join(x for x in spdx_ids() if " " not in x), " (?:and|or|with) "
     add("spdx:tag", "", "spdx", f"spdx license identifier (?:{every})(?:{operator}(?:{every}))*", *level["spdx"], expression=True)
-    firsts = "|".join(sorted({x.split()[0] for x in spdx_ids() if " " in x}))
+    firsts = "|".join(sorted({" ".join(x.split()[:2]) for x in spdx_ids() if " " in x}))
     add("spdx:expression", "", firsts, f"(?:{several})(?:{operator}(?:{every}))+|(?:{single})(?:{operator}(?:{single}))*{operator}(?:{several})(?:{operator}(?:{every}))*", *level["expression"], expression=True)
     for label, (keywords, names, versions, spdx, site) in FAMILIES.items():
         for v in versions.split("|") if versions else [None]:
@@ -325,9 +326,13 @@ def by_keyword() -> dict[bytes, tuple[int, ...]]:
 
 
 @cache
-def gate() -> re.Pattern[bytes]:
-    """One of the rules' keywords stands in every text that a rule can match."""
-    return re.compile(b"|".join(map(re.escape, sorted(by_keyword()))))
+def keywords() -> ahocorasick.Automaton:
+    """Finds all keywords in one pass over a text."""
+    out = ahocorasick.Automaton()
+    for keyword, numbers in by_keyword().items():
+        out.add_word(keyword.decode("latin-1"), numbers)
+    out.make_automaton()
+    return out
 
 
 @dataclass(frozen=True)
@@ -372,9 +377,9 @@ def suppressed(found: list[Detection]) -> list[Detection]:
 
 
 def detect(joined: bytes) -> list[Detection]:
-    if not gate().search(joined):
-        return []
-    return suppressed(detections(joined, {k for keyword, numbers in by_keyword().items() if keyword in joined for k in numbers}))
+    """Detections of the rules of which a keyword stands in the text."""
+    opened = {k for _, numbers in keywords().iter(joined.decode("latin-1")) for k in numbers}
+    return suppressed(detections(joined, opened)) if opened else []
 
 
 def scan(text: bytes) -> dict:
