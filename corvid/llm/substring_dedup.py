@@ -10,9 +10,10 @@ document with a smaller id; every word that such a phrase covers is removed.
    confirm, over all chunks, which of them stand in a smaller document; a chunk
    is told a place of each such phrase in its own texts and the smallest id.
 3. Automata. The chunk reads the confirmed phrases' words at those places and
-   compiles them, four letters a word, into automata of at most ``MAX_PHRASES``.
-   All its documents are streamed through each; what the automata hit are the
-   occurrences, and the words under them go.
+   compiles five words of each, its pivot, into automata of at most
+   ``MAX_PIVOTS``, four letters a word. All its documents are streamed through
+   each; the words around every hit are compared with the phrases, and those
+   under a phrase go. Nothing else is looked at, so what no automaton hits stays.
 
 Exact copies of a whole text are not compared phrase by phrase: all but the
 one with the smallest id lose every word, if there are 13.
@@ -44,7 +45,7 @@ from corvid.plans.scratch import discard, materialise, release
 
 PHRASE = 13
 GRAM = 5
-MAX_PHRASES = 10_000
+MAX_PIVOTS = 25_000
 #: a word of an automaton is spelled in so many letters of an alphabet of that size, since a node looks through its children
 LETTERS, ALPHABET = 4, 32
 FLUSH = 1_500_000
@@ -220,27 +221,49 @@ class Phrases:
         get = self.numbers.get
         return np.array([get(w, 0) for w in words], np.int32)
 
+    def pivots(self) -> np.ndarray:
+        """Distinct pivots: of each phrase, the five words with the smallest hash."""
+        if not len(self.words):
+            return np.zeros((0, GRAM), np.int32)
+        numbers = self.words.astype(np.uint64)
+        grams = sum(numbers[:, k : k + PHRASE - GRAM + 1] * _A ** np.uint64(k) for k in range(GRAM))
+        at = _mixed(grams + _B).argmin(axis=1)
+        found = {x.tobytes() for x in self.words[np.arange(len(at))[:, None], at[:, None] + np.arange(GRAM)]}
+        return np.frombuffer(b"".join(sorted(found)), np.int32).reshape(-1, GRAM)
+
     def shards(self, size: int) -> Iterator[tuple[ahocorasick.Automaton, np.ndarray]]:
-        """Automata of at most ``size`` phrases, each with the spelling of every word number."""
-        for at in range(0, len(self.words), size):
-            phrases = self.words[at : at + size]
-            used = chunks.distinct(phrases.ravel())
-            spelling = np.full((len(self.numbers) + 1, LETTERS), ord("~"), np.uint8)  # all words in no phrase of this shard
+        """Automata of at most ``size`` pivots, each with the spelling of every word number."""
+        pivots = self.pivots()
+        for at in range(0, len(pivots), size):
+            part = pivots[at : at + size]
+            used = chunks.distinct(part.ravel())
+            spelling = np.full((len(self.numbers) + 1, LETTERS), ord("~"), np.uint8)  # all words in no pivot of this shard
             spelling[used] = (np.arange(len(used))[:, None] // ALPHABET ** np.arange(LETTERS)) % ALPHABET + ord("0")
-            spelled, wide = spelling[phrases].tobytes().decode("ascii"), PHRASE * LETTERS
-            shard = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for k in range(len(phrases)):
-                shard.add_word(spelled[k * wide : (k + 1) * wide], at + k)
+            spelled, wide = spelling[part].tobytes().decode("ascii"), GRAM * LETTERS
+            shard = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for k in range(len(part)):
+                shard.add_word(spelled[k * wide : (k + 1) * wide])
             shard.make_automaton()
             yield shard, spelling
 
 
-def occurrences(phrases: Phrases, words: np.ndarray, size: int = MAX_PHRASES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Where a phrase stands in a stream of word numbers, and its first id; one shard after the other."""
+def occurrences(phrases: Phrases, words: np.ndarray, size: int = MAX_PIVOTS, step: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where a phrase stands in a stream of word numbers, and its first id: around the pivots that the automata hit, words are compared."""
+    known, wide = dict(zip(map(bytes, np.ascontiguousarray(phrases.words).view(np.uint8).reshape(len(phrases.words), -1)), phrases.first.tolist(), strict=True)), PHRASE * 4
+    window = sliding_window_view(words, PHRASE) if len(words) >= PHRASE else np.zeros((0, PHRASE), np.int32)
+    near = np.zeros(len(words), bool)  # starts of phrases that may have a pivot which was hit
     for shard, spelling in phrases.shards(size):
-        hits = np.fromiter(shard.iter(spelling[words].tobytes().decode("ascii")), [("end", np.int64), ("phrase", np.int64)])
-        hits = hits[(hits["end"] + 1) % LETTERS == 0]  # words begin at every fourth letter
-        yield (hits["end"] + 1) // LETTERS - PHRASE, phrases.first[hits["phrase"]]
+        ends = np.fromiter((end for end, _ in shard.iter(spelling[words].tobytes().decode("ascii"))), np.int64)
+        pivot = (ends[(ends + 1) % LETTERS == 0] + 1) // LETTERS - GRAM  # words begin at every fourth letter
+        for back in range(PHRASE - GRAM + 1):
+            near[np.maximum(pivot - back, 0)] = True
+    starts = np.flatnonzero(near[: len(window)])
+    for k in range(0, len(starts), step):
+        part = starts[k : k + step]
+        data = np.ascontiguousarray(window[part]).tobytes()
+        first = np.array([known.get(data[n * wide : (n + 1) * wide], _NO_ID) for n in range(len(part))], np.int64)
+        hit = first != _NO_ID
+        yield part[hit], first[hit]
 
 
 def remove_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,7 +68,7 @@ def test_substring_dedup_of_a_plan_without_files(spark):
 def test_small_flushes_and_shards_change_nothing(spark, monkeypatch):
     rows = distinct_texts(passages(4))
     monkeypatch.setattr(substring_dedup, "FLUSH", 50)
-    monkeypatch.setattr(substring_dedup.occurrences, "__defaults__", (7,))
+    monkeypatch.setattr(substring_dedup.occurrences, "__defaults__", (7, 5))
     monkeypatch.setattr(chunks.blocks, "__defaults__", (bytes.split, 60))
     monkeypatch.setattr(chunks, "CHUNK_BYTES", 3000)
     got = in_one_process(rows)
