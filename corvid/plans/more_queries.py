@@ -305,9 +305,10 @@ def build_examples(spark, d):
     return rows.select("query_id", "source", "winner", F.round("margin", 6).alias("margin"), "known", "safe", "top5", "split")
 
 
-@query("oc1_recognised", "WITH b AS (SELECT l_orderkey AS q, l_linenumber AS p, round(l_discount, 9) AS s, CASE WHEN l_returnflag = 'R' THEN 0.08 ELSE -0.04 END AS bonus, l_linestatus AS st, l_tax FROM lineitem), c AS (SELECT *, count(*) OVER w AS n, max((st = 'O')::INT) OVER w AS cued FROM b WINDOW w AS (PARTITION BY q)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN cued = 0 THEN 0.0 WHEN n > 1 THEN -round(s + CASE WHEN st = 'O' THEN bonus ELSE 0.0 END, 9) ELSE -s END, p) AS place FROM c), t AS (SELECT *, s - lead(s) OVER (PARTITION BY q ORDER BY place) AS margin FROM r), m AS (SELECT q, p, s, margin, 1 / (1 + exp(-(0.5 + 2.0 * (s - 0.05) / 0.03 + 1.5 * coalesce(margin, 0)))) AS cal, l_tax >= 0.07 AS ver FROM t WHERE place = 1) SELECT q AS query_id, p AS slug, round(margin, 6) AS margin, round(CASE WHEN ver THEN greatest(cal, 0.95) ELSE cal END, 6) AS confidence, CASE WHEN ver OR cal >= 0.8 THEN 'match' WHEN cal >= 0.4 THEN 'alternatives' ELSE 'not_found' END AS decision FROM m")
+@query("oc1_recognised", "WITH one AS (SELECT l_orderkey, l_linenumber, max(l_discount) AS l_discount, max(l_tax) AS l_tax, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey AS q, l_linenumber AS p, round(l_discount, 9) AS s, CASE WHEN l_returnflag = 'R' THEN 0.08 ELSE -0.04 END AS bonus, l_linestatus AS st, l_tax FROM one), c AS (SELECT *, count(*) OVER w AS n, max((st = 'O')::INT) OVER w AS cued FROM b WINDOW w AS (PARTITION BY q)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN cued = 0 THEN 0.0 WHEN n > 1 THEN -round(s + CASE WHEN st = 'O' THEN bonus ELSE 0.0 END, 9) ELSE -s END, p) AS place FROM c), t AS (SELECT *, s - lead(s) OVER (PARTITION BY q ORDER BY place) AS margin FROM r), m AS (SELECT q, p, s, margin, 1 / (1 + exp(-(0.5 + 2.0 * (s - 0.05) / 0.03 + 1.5 * coalesce(margin, 0)))) AS cal, l_tax >= 0.07 AS ver FROM t WHERE place = 1) SELECT q AS query_id, p AS slug, round(margin, 6) AS margin, round(CASE WHEN ver THEN greatest(cal, 0.95) ELSE cal END, 6) AS confidence, CASE WHEN ver OR cal >= 0.8 THEN 'match' WHEN cal >= 0.4 THEN 'alternatives' ELSE 'not_found' END AS decision FROM m")
 def recognised(spark, d):
-    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("position"), F.col("l_linenumber").alias("slug"), F.round("l_discount", 9).alias("score"), F.when(F.col("l_returnflag") == "R", 0.08).otherwise(-0.04).alias("bonus"), (F.col("l_linestatus") == "O").alias("cued"), "l_tax")
+    one = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_discount", "l_tax", "l_returnflag", "l_linestatus")))  # a position is one prediction
+    rows = one.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("position"), F.col("l_linenumber").alias("slug"), F.round("l_discount", 9).alias("score"), F.when(F.col("l_returnflag") == "R", 0.08).otherwise(-0.04).alias("bonus"), (F.col("l_linestatus") == "O").alias("cued"), "l_tax")
     model = confidence.Logistic([0.05, 0.0], [0.03, 1.0], [2.0, 1.5], 0.5)
     out = confidence.recognised(rows, model, F.array("score", F.coalesce("margin", F.lit(0.0))), F.col("l_tax") >= 0.07, 0.8, 0.4)
     return out.select("query_id", "slug", F.round("margin", 6).alias("margin"), F.round("confidence", 6).alias("confidence"), "decision")
