@@ -24,18 +24,23 @@ def code_points(data: bytes) -> int:
     return len(data.decode("utf-8", "replace"))
 
 
-#: cells of a filter of bounded size; a false hit costs work only
-CELLS = 1 << 21
+#: bits of a filter of bounded size, 128 KB as a literal of a plan; a false hit costs work only
+CELLS = 1 << 20
 
 
 def cells_of(keys: DataFrame, key: str) -> bytes:
-    """A byte per cell, one where some key falls; at most ``CELLS`` numbers reach the driver."""
-    out = bytearray(CELLS)
-    for r in keys.select(F.pmod(F.xxhash64(key), F.lit(CELLS)).alias("cell")).distinct().toLocalIterator():
-        out[r["cell"]] = 1
+    """A bit per cell, one where some key falls; at most ``CELLS`` numbers reach the driver."""
+    out = bytearray(CELLS // 8)
+    for r in keys.select(_cell(F.col(key)).alias("cell")).distinct().toLocalIterator():
+        out[r["cell"] // 8] |= 1 << r["cell"] % 8
     return bytes(out)
 
 
+def _cell(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int")
+
+
 def in_cells(key: Column, cells: bytes) -> Column:
     """False only for values that are no key."""
-    return F.substring(F.lit(cells), (F.pmod(F.xxhash64(key), F.lit(CELLS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    byte = F.conv(F.hex(F.substring(F.lit(cells), F.shiftright(_cell(key), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), _cell(key) % 8)) != 0
