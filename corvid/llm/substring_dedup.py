@@ -249,7 +249,10 @@ class Phrases:
 
 def occurrences(phrases: Phrases, words: np.ndarray, size: int = MAX_PIVOTS, step: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Where a phrase stands in a stream of word numbers, and its first id: around the pivots that the automata hit, words are compared."""
-    known, wide = dict(zip(map(bytes, np.ascontiguousarray(phrases.words).view(np.uint8).reshape(len(phrases.words), -1)), phrases.first.tolist(), strict=True)), PHRASE * 4
+    if not len(phrases.words):
+        return
+    wide = PHRASE * 4
+    known = dict(zip(map(bytes, np.ascontiguousarray(phrases.words).view(np.uint8).reshape(-1, wide)), phrases.first.tolist(), strict=True))
     window = sliding_window_view(words, PHRASE) if len(words) >= PHRASE else np.zeros((0, PHRASE), np.int32)
     near = np.zeros(len(words), bool)  # starts of phrases that may have a pivot which was hit
     for shard, spelling in phrases.shards(size):

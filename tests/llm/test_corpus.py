@@ -65,6 +65,15 @@ def test_substring_dedup_of_a_plan_without_files(spark):
     assert substring_dedup.dedup_phrases(frame(spark, [])).count() == 0
 
 
+def test_a_chunk_without_any_repeat(spark):
+    shared = " ".join(f"s{k}" for k in range(20))
+    twice, once = [(1, shared), (2, "a b " + shared)], [(3, " ".join(f"t{k}" for k in range(50))), (4, "short")]
+    df = materialise(frame(spark, twice).coalesce(1).union(frame(spark, once).coalesce(1)), "test")
+    got = substring_dedup.dedup_phrases(df).drop("kept").collect()
+    assert Counter(tuple(r) for r in got) == slow_removal(twice + once)
+    assert Counter(tuple(r) for r in substring_dedup.dedup_phrases(frame(spark, once)).drop("kept").collect()) == slow_removal(once)
+
+
 def test_small_flushes_and_shards_change_nothing(spark, monkeypatch):
     rows = distinct_texts(passages(4))
     monkeypatch.setattr(substring_dedup, "FLUSH", 50)
