@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corvid.llm import chat_format, quality_rules, substring_dedup
+from corvid.llm import chat_format, merkle, quality_rules, substring_dedup
 from corvid.llm.chat_format import op4_chat_format
 from corvid.llm.decontaminate import op8_decontamination
 from corvid.llm.license_rules import op6_license_rules
+from corvid.llm.merkle import op13_merkle_manifest
 from corvid.llm.ngram_model import op10_ngram_model
 from corvid.llm.packing import op7_packing
 from corvid.llm.pii import op2_pii
@@ -27,8 +28,14 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_ngram_model": op10_ngram_model,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE, "op4_chat_format": chat_format.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE}
+    return {
+        "op3_quality_rules": quality_rules.ORACLE,
+        "op4_chat_format": chat_format.ORACLE,
+        "op5_substring_dedup": substring_dedup.ORACLE,
+        "op13_merkle_manifest": merkle.ORACLE,
+    }
