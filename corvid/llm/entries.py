@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvid.llm import chat_format, merkle, quality_rules, substring_dedup
+from corvid.llm import chat_format, merkle, quality_rules, substring_dedup, url_filter
 from corvid.llm.chat_format import op4_chat_format
 from corvid.llm.decontaminate import op8_decontamination
 from corvid.llm.license_rules import op6_license_rules
@@ -14,6 +14,7 @@ from corvid.llm.quality_classifier import op9_quality_classifier
 from corvid.llm.quality_rules import op3_quality_rules
 from corvid.llm.simhash import op1_simhash_groups
 from corvid.llm.substring_dedup import op5_substring_dedup
+from corvid.llm.url_filter import op11_url_filter
 
 
 def queries() -> dict:
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_ngram_model": op10_ngram_model,
+        "op11_url_filter": op11_url_filter,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -37,5 +39,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.ORACLE,
         "op4_chat_format": chat_format.ORACLE,
         "op5_substring_dedup": substring_dedup.ORACLE,
+        "op11_url_filter": url_filter.ORACLE,
         "op13_merkle_manifest": merkle.ORACLE,
     }
