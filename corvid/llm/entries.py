@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from corvid.llm import chat_format, merkle, quality_rules, substring_dedup, url_filter
+from corvid.llm import chat_format, collocations, merkle, quality_rules, substring_dedup, url_filter
 from corvid.llm.chat_format import op4_chat_format
+from corvid.llm.collocations import op12_collocations
 from corvid.llm.decontaminate import op8_decontamination
 from corvid.llm.license_rules import op6_license_rules
 from corvid.llm.merkle import op13_merkle_manifest
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_quality_classifier": op9_quality_classifier,
         "op10_ngram_model": op10_ngram_model,
         "op11_url_filter": op11_url_filter,
+        "op12_collocations": op12_collocations,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -40,5 +42,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": chat_format.ORACLE,
         "op5_substring_dedup": substring_dedup.ORACLE,
         "op11_url_filter": url_filter.ORACLE,
+        "op12_collocations": collocations.ORACLE,
         "op13_merkle_manifest": merkle.ORACLE,
     }
