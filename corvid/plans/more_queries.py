@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from corvid.functions import scoring, text
 from corvid.functions.parse import first_slug, named
-from corvid.functions.similarity import indel_ratio, partial_best_ratio, ratio_pairs, token_set_ratio
+from corvid.functions.similarity import indel_ratio, partial_best_ratio, token_set_ratio
 from corvid.operators import audit, confidence, eventlog, evidence, promotion, ranking, retrieval
-from corvid.plans.queries import EX, LOG, SIGNALS, asked, catalog, examples, feedback, index, log, signals, t
-from corvid.plans.scratch import materialise
+from corvid.operators.similar_strings import similar_strings
+from corvid.plans.queries import EX, LOG, SIGNALS, TOKENS, asked, catalog, examples, feedback, index, log, signals, t
 from corvid.plans.registry import query
+from corvid.plans.scratch import materialise
 from corvid.sources.files import evaluator_results, last_by_key, resolved_path
 
 
@@ -198,11 +199,46 @@ def window_similarity(spark, d):
     return names.select("q", F.round(text.window_similarity(F.col("q"), word), 9).alias("own"), F.round(text.window_similarity(F.col("q"), F.concat(word, F.lit("s"))), 9).alias("near"))
 
 
-@query("f5_indel_ratio")
+#: twice the longest common subsequence over both lengths, by rows of the usual table
+INDEL_SQL = """2.0 * list_reduce([[0 FOR i IN range(0, length({a}) + 1)]] || [[unicode(c)] FOR c IN string_split({b}, '')],
+  lambda above, c: list_reduce([[0]] || [[i] FOR i IN range(1, length({a}) + 1)],
+    lambda row, i: list_append(row, greatest(above[i[1] + 1], row[i[1]], above[i[1]] + CASE WHEN unicode({a}[i[1]]) = c[1] THEN 1 ELSE 0 END)))
+  )[-1] / (length({a}) + length({b}))"""
+
+
+@query("f5_indel_ratio", f"""
+WITH n AS (SELECT DISTINCT lower(p_name) AS t FROM part),
+p AS (SELECT x.t AS a, y.t AS b, {INDEL_SQL.format(a="x.t", b="y.t")} AS ratio FROM n x, n y)
+SELECT a, b, round(ratio, 9) AS ratio FROM p WHERE ratio >= 0.55""")
 def indel_ratios(spark, d):
+    """All pairs of distinct lower-case titles of 0.55 or more, in both orders."""
     names = catalog(spark, d).select(F.lower("title").alias("a")).distinct()
-    pairs = names.join(names.withColumnRenamed("a", "b"), F.substring("a", 1, 3) == F.substring("b", 1, 3))
-    return ratio_pairs(pairs, "a", "b", 0.55, indel_ratio, 100.0).select("a", "b", F.round("ratio", 9).alias("ratio"))
+    pairs = similar_strings(names, names.withColumnRenamed("a", "b"), "a", "b", 0.55, indel_ratio, 100.0)
+    return pairs.select("a", "b", F.round("similarity", 9).alias("ratio"))
+
+
+@query("f8_fast_text_scores", f"""
+WITH q AS (
+  SELECT p_partkey AS query_id, unnest({TOKENS.format(c="(p_name || ' ' || p_brand)")}) AS token, CASE WHEN p_partkey % 200 = 0 THEN 0.8 ELSE 1.0 END AS conf
+  FROM part WHERE p_partkey % 100 = 0),
+words AS (SELECT *, row_number() OVER () AS k FROM q),
+known AS (SELECT DISTINCT p_partkey AS item_id, unnest({TOKENS.format(c="(p_name || ' ' || p_brand || ' ' || p_type)")}) AS c FROM part),
+pairs AS (
+  SELECT t, c, CASE WHEN regexp_full_match(t, '[0-9]+') OR regexp_full_match(c, '[0-9]+') THEN CASE WHEN t = c THEN 1.0 ELSE 0 END ELSE {INDEL_SQL.format(a="t", b="c")} END AS s
+  FROM (SELECT DISTINCT token AS t FROM words) x, (SELECT DISTINCT c FROM known) y),
+best AS (
+  SELECT query_id, k, conf * least(length(token) / 7.0, 1.0) AS w, item_id, max(round(s * 100) / 100) AS s
+  FROM words JOIN pairs ON t = token JOIN known USING (c) WHERE s >= 0.55 GROUP BY ALL),
+six AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY round(s * w, 12) DESC, s DESC) AS r FROM best QUALIFY r <= 6),
+scores AS (
+  SELECT query_id, item_id, round(sum(s * w) / sum(w) * (0.55 + 0.45 * least(count(*) / 3.0, 1.0)), 9) AS score
+  FROM six GROUP BY ALL HAVING sum(w) > 0)
+SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scores QUALIFY rank <= 5""")
+def fast_text_scores(spark, d):
+    """The second kernel: makers and titles as read, half of the lines without a score."""
+    lines = catalog(spark, d).where("slug % 100 = 0").select(F.col("slug").alias("query_id"), F.concat_ws(" ", "title", "manufacturer").alias("text"), F.when(F.col("slug") % 200 == 0, 0.8).alias("score"))
+    found = evidence.fast_text_scores(lines, catalog(spark, d).select(F.col("slug").alias("item_id"), F.concat_ws(" ", "title", "manufacturer", "category").alias("text")))
+    return ranking.top_k(found.withColumn("score", F.round("score", 9)), 5)
 
 
 @query("f6_token_ratios")

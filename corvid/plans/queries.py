@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from corvid.functions import scoring, text
 from corvid.functions.parse import last_page, normalized_predictions
-from corvid.functions.similarity import seq_ratio
+from corvid.functions.similarity import indel_ratio
 from corvid.operators import audit, confidence, eventlog, evidence, promotion, ranking, retrieval, taxonomy
+from corvid.operators.similar_strings import similar_strings
 from corvid.plans.registry import query
 from corvid.plans.scratch import materialise
 
@@ -484,6 +485,15 @@ def resolve_maker(spark, d):
 
 @query("f4_seq_ratio")
 def sequence_ratio(spark, d):
+    """All pairs of distinct titles of 0.75 or more by matching blocks."""
     names = catalog(spark, d).select(F.col("title").alias("a")).distinct()
-    pairs = names.join(names.withColumnRenamed("a", "b"), F.substring("a", 1, 3) == F.substring("b", 1, 3)).where("a < b")
-    return pairs.select("a", "b", F.round(seq_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
+    pairs = similar_strings(names, names.withColumnRenamed("a", "b"), "a", "b", 0.75, where=F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.round("similarity", 9).alias("ratio"))
+
+
+@query("j10_similar_words")
+def similar_words(spark, d):
+    """All pairs of different words of the read texts with an insertion and deletion ratio of 0.9 or more."""
+    words = materialise(evidence.exploded_tokens(t(spark, d, "documents"), [], "text").distinct(), "words")
+    pairs = evidence.token_similarities(words, words, 0.9, indel_ratio, 100.0)
+    return pairs.where("token < candidate").select("token", "candidate", F.round("similarity", 9).alias("ratio"))
