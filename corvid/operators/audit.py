@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions.text import collapse, present, present_items
 from corvid.operators.graph import connected_components
+from corvid.operators.ranking import running_sums
 
 # Fields that every catalog row should have.
 REQUIRED_FIELDS = ("slug", "title", "manufacturer", "region", "category", "description", "image_local", "source_url")
@@ -67,36 +68,23 @@ def orphans(files: DataFrame, df: DataFrame, path: str) -> DataFrame:
     return files.join(df.select(F.col(path).alias("used")).distinct(), F.col("path") == F.col("used"), "left_anti")
 
 
-def near_pairs(df: DataFrame, key: str, block: str, hashes: Sequence[str], max_distance: int, digest: str | None = None) -> DataFrame:
-    """Pairs of one block whose hashes differ in at most ``max_distance`` bits; equal digests are exact copies and left out.
+def near_membership(pairs: DataFrame) -> DataFrame:
+    """``(group_id, node, size, min_distance, max_distance)``: a row for each member of the groups that ``pairs`` connect.
 
-    Hashes of up to 64 bits a column. A pigeonhole key over sixteen-bit bands
-    keeps a block from meeting itself whole where the distance allows it.
+    Groups are numbered by size, then by their smallest member; the numbers
+    are sums over ranges, so neither a group nor the groups meet in one task.
     """
-    bands = 4 * len(hashes)
-    columns = [key, block, *hashes] + ([digest] if digest else [])
-    rows = df.where(" and ".join(f"`{h}` is not null" for h in hashes)).select(*columns)
-    if max_distance < bands:
-        keys = F.array(*(F.struct(F.lit(4 * i + j).alias("band"), F.shiftrightunsigned(F.col(h), 16 * j).bitwiseAND(F.lit(0xFFFF)).alias("band_bits")) for i, h in enumerate(hashes) for j in range(4)))
-    else:
-        keys = F.array(F.struct(F.lit(0).alias("band"), F.lit(0).cast("long").alias("band_bits")))
-    rows = rows.select(*columns, F.explode(keys).alias("k")).select(*columns, "k.*")
-    a, b = rows.alias("a"), rows.alias("b")
-    distance = sum((F.bit_count(F.col(f"a.{h}").bitwiseXOR(F.col(f"b.{h}"))) for h in hashes), F.lit(0))
-    match = (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.band_bits") == F.col("b.band_bits")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (distance <= max_distance)
-    if digest:
-        match = match & ~F.col(f"a.{digest}").eqNullSafe(F.col(f"b.{digest}"))
-    return a.join(b, match).select(F.col(f"a.{block}").alias("block"), F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"), distance.alias("distance")).distinct()
+    parts = connected_components(pairs.select(F.col("left").alias("src"), F.col("right").alias("dst")))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    spans = pairs.join(parts, pairs.left == parts.node).groupBy("component").agg(F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"))
+    groups = sizes.join(spans, "component").withColumn("order", F.struct((-F.col("size")).alias("less"), "component")).withColumn("one", F.lit(1))
+    numbered = running_sums(groups, "order", ["one"]).withColumn("group_id", F.format_string("near-%04d", "upto_one"))
+    return parts.join(numbered, "component").select("group_id", "node", "size", "min_distance", "max_distance")
 
 
 def near_groups(pairs: DataFrame) -> DataFrame:
-    """Connected pairs as groups: members, least and greatest distance; numbered by size, then members."""
-    parts = connected_components(pairs.select(F.col("left").alias("src"), F.col("right").alias("dst")))
-    members = parts.groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("node")).alias("members"))
-    spans = pairs.join(parts, pairs.left == parts.node).groupBy("component").agg(F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"))
-    order = Window.orderBy(F.desc("size"), "members")  # one row per group: a report
-    named = members.join(spans, "component").withColumn("n", F.row_number().over(order))
-    return named.select(F.concat(F.lit("near-"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("group_id"), "size", "members", "min_distance", "max_distance")
+    """The report on ``near_membership``: a row for each group with its members as a list, for groups that fit in a row."""
+    return near_membership(pairs).groupBy("group_id", "size", "min_distance", "max_distance").agg(F.sort_array(F.collect_list("node")).alias("members"))
 
 
 def difference_both_ways(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

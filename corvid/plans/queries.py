@@ -7,13 +7,13 @@ queries), ``events`` the log of decisions, ``documents`` read text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvid.functions import scoring, text
 from corvid.functions.parse import last_page, normalized_predictions
 from corvid.functions.similarity import indel_ratio
-from corvid.operators import audit, confidence, eventlog, evidence, promotion, ranking, retrieval, taxonomy
+from corvid.operators import audit, confidence, eventlog, evidence, near_hashes, promotion, ranking, retrieval, taxonomy
 from corvid.operators.similar_strings import similar_strings
 from corvid.plans.registry import query
 from corvid.plans.scratch import materialise
@@ -165,12 +165,32 @@ SIGNS = "s AS (SELECT vec_id, label, " + " || ".join(f"CASE WHEN embedding[{i +
 
 @query("j7_near_pairs", f"WITH {SIGNS} SELECT * FROM pairs")
 def near_pairs(spark, d):
-    return audit.near_pairs(signs(spark, d), "vec_id", "label", ["bits"], 20)
+    return near_hashes.ordered_pairs(near_hashes.near_pairs(signs(spark, d), "vec_id", "label", ["bits"], 20))
 
 
-@query("od1_near_groups", f"WITH RECURSIVE {SIGNS}, both_ways AS (SELECT \"left\" AS n, \"right\" AS m FROM pairs UNION SELECT \"right\", \"left\" FROM pairs), reach AS (SELECT n, n AS r FROM both_ways UNION SELECT reach.n, both_ways.m FROM reach JOIN both_ways ON reach.r = both_ways.n), roots AS (SELECT n, min(r) AS c FROM reach GROUP BY n), g AS (SELECT c, count(*) AS size, list_sort(list(n)) AS members FROM roots GROUP BY c), sp AS (SELECT c, min(distance) AS min_distance, max(distance) AS max_distance FROM pairs JOIN roots ON \"left\" = n GROUP BY c) SELECT 'near-' || lpad(CAST(row_number() OVER (ORDER BY size DESC, members) AS VARCHAR), 4, '0') AS group_id, size, members, min_distance, max_distance FROM g JOIN sp USING (c)")
+@query("od1_near_groups", f"WITH RECURSIVE {SIGNS}, both_ways AS (SELECT \"left\" AS n, \"right\" AS m FROM pairs UNION SELECT \"right\", \"left\" FROM pairs), reach AS (SELECT n, n AS r FROM both_ways UNION SELECT reach.n, both_ways.m FROM reach JOIN both_ways ON reach.r = both_ways.n), roots AS (SELECT n, min(r) AS c FROM reach GROUP BY n), g AS (SELECT c, count(*) AS size, list_sort(list(n)) AS members FROM roots GROUP BY c), sp AS (SELECT c, min(distance) AS min_distance, max(distance) AS max_distance FROM pairs JOIN roots ON \"left\" = n GROUP BY c) SELECT printf('near-%04d', row_number() OVER (ORDER BY size DESC, members)) AS group_id, size, members, min_distance, max_distance FROM g JOIN sp USING (c)")
 def near_groups(spark, d):
-    return audit.near_groups(materialise(audit.near_pairs(signs(spark, d), "vec_id", "label", ["bits"], 20), "pairs"))
+    return audit.near_groups(materialise(near_hashes.near_pairs(signs(spark, d), "vec_id", "label", ["bits"], 20), "pairs"))
+
+
+LEVELS = (-0.3, -0.2, 0.2, 0.3)
+
+
+def level_hash(embedding) -> Column:
+    """256 bits as hex, a digit for each of 64 numbers: which of four levels it is above."""
+    digit = lambda x: sum((F.when(x > F.lit(level).cast("float"), F.lit(1 << k)).otherwise(F.lit(0)) for k, level in enumerate(LEVELS)), F.lit(0))
+    return F.array_join(F.transform(embedding, lambda x: F.lower(F.hex(digit(x)))), "")
+
+
+@query("f16_near_256", f"""
+WITH s AS (SELECT vec_id, label, {" || ".join(f"CASE WHEN embedding[{i + 1}] > {t}::FLOAT THEN '1' ELSE '0' END" for i in range(64) for t in LEVELS)} AS bits FROM embeddings)
+SELECT a.label AS block, a.vec_id AS "left", b.vec_id AS "right", hamming(a.bits, b.bits) AS distance
+FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id AND hamming(a.bits, b.bits) <= 8""")
+def near_256(spark, d):
+    """256-bit hashes within eight bits of each other."""
+    hashed = t(spark, d, "embeddings").select("vec_id", "label", level_hash(F.col("embedding")).alias("hash"))
+    words = hashed.select("vec_id", "label", *(w.alias(f"w{k}") for k, w in enumerate(scoring.hash_words(F.col("hash")))))
+    return near_hashes.near_pairs(words, "vec_id", "label", [f"w{k}" for k in range(4)], 8)
 
 
 TOKENS = "list_filter(regexp_extract_all(replace(lower({c}), 'ё', 'е'), '[0-9a-zа-я]+'), lambda x: length(x) >= 2)"
@@ -493,7 +513,8 @@ def sequence_ratio(spark, d):
 
 @query("j10_similar_words")
 def similar_words(spark, d):
-    """All pairs of different words of the read texts with an insertion and deletion ratio of 0.9 or more."""
-    words = materialise(evidence.exploded_tokens(t(spark, d, "documents"), [], "text").distinct(), "words")
-    pairs = evidence.token_similarities(words, words, 0.9, indel_ratio, 100.0)
-    return pairs.where("token < candidate").select("token", "candidate", F.round("similarity", 9).alias("ratio"))
+    """The words of the stated documents against those of all: insertion and deletion ratio of 0.9 or more."""
+    texts = t(spark, d, "documents")
+    asked, known = (evidence.exploded_tokens(x, [], "text").distinct() for x in (texts.where("doc_id % 100 = 0"), texts))
+    pairs = evidence.token_similarities(asked, known, 0.9, indel_ratio, 100.0)
+    return pairs.where("token <> candidate").select("token", "candidate", F.round("similarity", 9).alias("ratio"))
