@@ -227,11 +227,15 @@ def count_matches(phrases: list[bytes], words: list[bytes], size: int) -> Counte
     return found
 
 
-_FOUND = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("count", pa.int64())])
+_FOUND = pa.schema([("slot", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
 
 
 def scan(batches: Iterator[pa.RecordBatch], slots: int, size: int = MAX_PHRASES) -> Iterator[pa.RecordBatch]:
-    """``(lang, size, phrase, count)`` per chunk: its words that may be frequent, its candidates, and all its words as size 0."""
+    """``(slot, lang, phrases, counts)`` of each chunk: words that may be frequent, candidates, and all its words as the empty phrase.
+
+    Phrases leave in packed lists by ranges of their hash: nearly every chunk
+    has the most frequent ones, and a row for each would be most of the work.
+    """
     for _, group in chunks.runs(batches, "chunk"):
         answers: list[dict] = []
         by_lang: dict[str, list[bytes]] = {}  # one, unless two chunks' ids collide
@@ -240,18 +244,38 @@ def scan(batches: Iterator[pa.RecordBatch], slots: int, size: int = MAX_PHRASES)
                 by_lang.setdefault(lang, []).append(text)
         heavy = Heavy(answers)
         for lang, texts in by_lang.items():
-            rows = _found(Stream(texts, lang), heavy, slots, size)
-            sizes, names, totals = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), pa.array(totals, pa.int64())], schema=_FOUND)
+            counts = _counts(Stream(texts, lang), heavy, slots, size)
+            parts: dict[int, list[bytes]] = {}
+            for phrase in counts:
+                parts.setdefault(xxhash.xxh64_intdigest(phrase) % slots, []).append(phrase)
+            rows = [(slot, lang, END.join(own), chunks.pack_counts(np.array([counts[p] for p in own], np.int64))) for slot, own in parts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
 
-def _found(stream: Stream, heavy: Heavy, slots: int, size: int) -> list[tuple[int, bytes, int]]:
+def _counts(stream: Stream, heavy: Heavy, slots: int, size: int) -> dict[bytes, int]:
     words, places = candidates(stream, heavy, slots)
     counts = np.bincount(stream.numbers, minlength=1)
-    rows = [(0, b"", int(counts[1:].sum())), *((1, stream.distinct[w], int(counts[w])) for w in words)]
-    phrases = [(k, b" ".join(stream.words[i : i + k])) for k, at in places for i in at.tolist()]
-    found = count_matches([p for _, p in phrases], stream.words, size)
-    return rows + [(k, phrase, found[i]) for i, (k, phrase) in enumerate(phrases)]
+    out = {b"": int(counts[1:].sum())} | {stream.distinct[w]: int(counts[w]) for w in words}
+    phrases = [GUARD.join(stream.words[i : i + k]) for k, at in places for i in at.tolist()]
+    found = count_matches(phrases, stream.words, size)
+    return out | {phrase: found[i] for i, phrase in enumerate(phrases)}
+
+
+_SUMS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("f", pa.int64())])
+
+
+def sum_counts(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[pa.RecordBatch]:
+    """``(lang, size, phrase, f)`` of a range of phrases, those that reach the threshold and the empty one."""
+    for _, group in chunks.runs(batches, "slot"):
+        total: dict[str, Counter[bytes]] = {}
+        for batch in group:
+            for lang, phrases, counts in zip(batch.column("lang").to_pylist(), batch.column("phrases").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = total.setdefault(lang, Counter())
+                for phrase, n in zip(phrases.split(END), chunks.unpack_counts(counts).tolist(), strict=True):
+                    own[phrase] += n
+        rows = [(lang, phrase.count(GUARD) + 1 if phrase else 0, phrase, n) for lang, own in total.items() for phrase, n in own.items() if n >= at_least or not phrase]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SUMS, strict=True)], schema=_SUMS)
 
 
 def chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int]:
@@ -281,9 +305,9 @@ def frequencies(docs: DataFrame, at_least: int = MIN_COUNT, chunk_bytes: int = C
     answers = heavy.select("chunk", F.lit(0).alias("part"), "slot", "cells", none("lang", "string"), none("text", "string"))
     texts = rows.select("chunk", F.lit(1).alias("part"), none("slot", "long"), none("cells", "binary"), "lang", "text")
     met = answers.unionByName(texts).repartition(2 * n, "chunk").sortWithinPartitions("chunk", "part")
-    found = met.mapInArrow(partial(scan, slots=slots), "lang string, size int, phrase binary, count long")
-    sums = found.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("count").alias("f"))
-    out = materialise(sums.where((F.col("size") == 0) | (F.col("f") >= at_least)), "frequencies")
+    found = met.mapInArrow(partial(scan, slots=slots), "slot long, lang string, phrases binary, counts binary")
+    sums = chunks.by_slot(found, slots).mapInArrow(partial(sum_counts, at_least=at_least), "lang string, size int, phrase binary, f long")
+    out = materialise(sums.withColumn("phrase", F.col("phrase").cast("string")), "frequencies")
     discard(heavy)
     return out
 
