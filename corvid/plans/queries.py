@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvid.functions import scoring, text
 from corvid.functions.parse import last_page, normalized_predictions
 from corvid.functions.similarity import indel_ratio
-from corvid.operators import audit, confidence, eventlog, evidence, near_hashes, promotion, ranking, retrieval, taxonomy
+from corvid.operators import audit, confidence, eventlog, evidence, near_hashes, promotion, ranking, recognition, retrieval, taxonomy
 from corvid.operators.similar_strings import similar_strings
 from corvid.plans.registry import query
 from corvid.plans.scratch import materialise
@@ -313,11 +313,24 @@ def candidate_union(spark, d):
     return retrieval.candidate_union(visual, textual, 20, 10).withColumn("position", F.col("position").cast("long"))
 
 
-@query("og1_gate", f"WITH {SIGNALS}, al AS (SELECT query_id, item_id, round(embedding, 9) AS s FROM sig WHERE item_label = expected AND query_id % 200 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS r FROM al), n AS (SELECT query_id, count(*) AS c FROM al GROUP BY 1), u AS (SELECT query_id, item_id, 0 AS p, r FROM f WHERE r <= 30 UNION ALL SELECT query_id, item_id, 1, rank FROM top ANTI JOIN (SELECT * FROM f WHERE r <= 30) x USING (query_id, item_id)) SELECT query_id, item_id, position, allowed, coalesce(c, 0) AS candidate_count FROM (SELECT query_id, item_id, p = 0 AS allowed, row_number() OVER (PARTITION BY query_id ORDER BY p, r, item_id) AS position FROM u) LEFT JOIN n USING (query_id) WHERE position <= 30")
+@query("og1_gate", f"""
+WITH {SIGNALS},
+al AS (SELECT query_id, item_id, round(0.65 * embedding + 0.35 * ocr, 9) AS s FROM sig WHERE item_label = expected AND query_id % 200 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS r FROM al),
+n AS (SELECT query_id, count(*) AS c FROM al GROUP BY 1),
+u AS (
+  SELECT query_id, item_id, 0 AS p, r FROM f WHERE r <= 30
+  UNION ALL
+  SELECT query_id, item_id, 1, rank FROM top ANTI JOIN (SELECT * FROM f WHERE r <= 30) x USING (query_id, item_id))
+SELECT query_id, item_id, position, allowed, coalesce(c, 0) AS candidate_count
+FROM (SELECT query_id, item_id, p = 0 AS allowed, row_number() OVER (PARTITION BY query_id ORDER BY p, r, item_id) AS position FROM u)
+LEFT JOIN n USING (query_id) WHERE position <= 30""")
 def gate(spark, d):
+    """Injection by gate score: whole vectors as the visual signal, their second halves as the text's."""
     q, i = asked(spark, d), index(spark, d)
     hard = q.where("query_id % 200 = 0")  # stands for the queries whose maker is recognised
-    allowed = materialise(retrieval.search(hard, i, 30, same="label", others_only=True, digits=9).select("query_id", "item_id", "score"), "gate")
+    both = lambda df, query: df.withColumn("embedding", recognition.gate_vectors(F.col("embedding"), F.slice("embedding", 33, 32), query))
+    allowed = materialise(retrieval.search(both(hard, True), both(i, False), 30, same="label", others_only=True, digits=9).select("query_id", "item_id", "score"), "gate")
     counts = hard.join(i.groupBy("label").agg((F.count("*") - 1).alias("candidate_count")), "label").where("candidate_count > 0").select("query_id", "candidate_count")
     candidates = signals(spark, d).select("query_id", "item_id", F.col("rank").alias("position"))
     return retrieval.gated(candidates, allowed, allowed.select("query_id", "item_id"), 30, counts=counts).withColumn("position", F.col("position").cast("long"))
