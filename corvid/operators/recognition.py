@@ -8,6 +8,8 @@ margin and decision come out, a row per query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def gate_scores(queries: DataFrame, index: DataFrame, text: DataFrame, makers: D
 
 
 def recognise(
-    queries: DataFrame, index: DataFrame, text: DataFrame, makers: DataFrame, geometry: DataFrame, weights: tuple[float, float, float] = WEIGHTS,
+    queries: DataFrame, index: DataFrame, text: DataFrame, makers: DataFrame, geometry: Callable[[DataFrame], DataFrame], weights: tuple[float, float, float] = WEIGHTS,
     k: int = 5, visual_count: int = 30, text_count: int = 10, accept: float = 0.8, review: float = 0.4, digits: int = 9,
 ) -> DataFrame:
     """``(query_id, predictions, margin, maker, candidate_count, decision)``, a row per query.
@@ -58,8 +60,8 @@ def recognise(
     ``queries(query_id, embedding)``, ``index(item_id, maker, embedding)``,
     ``text(query_id, item_id, score)`` with positive scores only,
     ``makers(query_id, maker)`` of the queries whose maker is recognised
-    beyond doubt (one each), ``geometry(query_id, item_id, score)``. Missing
-    text or geometry counts 0. ``predictions`` has item, score, the three
+    beyond doubt (one each); ``geometry`` is asked for ``(query_id, item_id,
+    score)`` of the pool's pairs alone. Missing text or geometry counts 0. ``predictions`` has item, score, the three
     signals and the sources of each of the best ``k``; the decision goes by
     the first one's score. Ties go to the smaller item.
     """
@@ -70,7 +72,7 @@ def recognise(
     allowed = materialise(allowed, "allowed")
     pool = materialise(retrieval.gated(union, allowed, allowed.select("query_id", "item_id"), visual_count + text_count, counts=counts), "pool")
     named = lambda df, name: df.select("query_id", "item_id", F.col("score").alias(name))
-    signals = with_visual(pool, queries, index, digits).join(named(text, "ocr"), ["query_id", "item_id"], "left").join(named(geometry, "sift"), ["query_id", "item_id"], "left").na.fill(0.0, ["ocr", "sift"])
+    signals = with_visual(pool, queries, index, digits).join(named(text, "ocr"), ["query_id", "item_id"], "left").join(named(geometry(pool.select("query_id", "item_id")), "sift"), ["query_id", "item_id"], "left").na.fill(0.0, ["ocr", "sift"])
     seen = [F.when(c, F.lit(n)) for n, c in (("visual", F.col("v")), ("ocr", F.col("t")), ("manufacturer", F.col("allowed")))]
     by_visual, by_text = (top_k(x, n).select("query_id", "item_id", F.lit(True).alias(c)) for x, n, c in ((visual, visual_count, "v"), (text, text_count, "t")))
     marked = signals.join(by_visual, ["query_id", "item_id"], "left").join(by_text, ["query_id", "item_id"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvid.functions import scoring, text
 from corvid.functions.parse import first_slug, named
 from corvid.functions.similarity import indel_ratio, partial_best_ratio, token_set_ratio
-from corvid.operators import audit, confidence, eventlog, evidence, promotion, ranking, retrieval
+from corvid.operators import audit, confidence, eventlog, evidence, promotion, ranking, recognition, retrieval
 from corvid.operators.similar_strings import similar_strings
 from corvid.plans.queries import EX, LOG, SIGNALS, TOKENS, asked, catalog, examples, feedback, index, log, signals, t
 from corvid.plans.registry import query
@@ -241,6 +241,76 @@ def fast_text_scores(spark, d):
     return ranking.top_k(found.withColumn("score", F.round("score", 9)), 5)
 
 
+RECOGNITION = f"""
+WITH q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings WHERE vec_id % 100 = 0),
+i AS (SELECT vec_id AS item_id, label, embedding FROM embeddings),
+words AS (
+  SELECT query_id, unnest({TOKENS.format(c="(p_name || ' ' || p_brand)")}) AS token FROM q JOIN part ON p_partkey = query_id + 1),
+numbered AS (SELECT *, row_number() OVER () AS k FROM words),
+known AS (SELECT DISTINCT item_id, unnest({TOKENS.format(c="(p_name || ' ' || p_brand || ' ' || p_type)")}) AS c FROM i JOIN part ON p_partkey = item_id),
+pairs AS (
+  SELECT t, c, CASE WHEN regexp_full_match(t, '[0-9]+') OR regexp_full_match(c, '[0-9]+') THEN CASE WHEN t = c THEN 1.0 ELSE 0 END ELSE {INDEL_SQL.format(a="t", b="c")} END AS s
+  FROM (SELECT DISTINCT token AS t FROM words) x, (SELECT DISTINCT c FROM known) y),
+best AS (
+  SELECT query_id, k, least(length(token) / 7.0, 1.0) AS w, item_id, max(round(s * 100) / 100) AS s
+  FROM numbered JOIN pairs ON t = token JOIN known USING (c) WHERE s >= 0.55 GROUP BY ALL),
+six AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY round(s * w, 12) DESC, s DESC) AS r FROM best QUALIFY r <= 6),
+txt AS (
+  SELECT query_id, item_id, round(sum(s * w) / sum(w) * (0.55 + 0.45 * least(count(*) / 3.0, 1.0)), 9) AS ocr FROM six GROUP BY ALL),
+every AS (
+  SELECT query_id, item_id, i.label AS maker, round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS visual, coalesce(ocr, 0) AS ocr,
+    q.label = i.label AND query_id % 200 = 0 AS may
+  FROM q CROSS JOIN i LEFT JOIN txt USING (query_id, item_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY visual DESC, item_id) AS vr,
+    row_number() OVER (PARTITION BY query_id ORDER BY ocr > 0 DESC, ocr DESC, item_id) AS tr FROM every),
+texts AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ocr DESC, item_id) AS r FROM placed WHERE ocr > 0 AND vr > 30 QUALIFY r <= 40),
+bring AS (
+  SELECT query_id, item_id, min((p, r)) AS pr FROM (
+    SELECT query_id, item_id, CASE WHEN vr <= 30 THEN 0 ELSE 2 END AS p, vr AS r FROM placed WHERE vr <= 40
+    UNION ALL SELECT query_id, item_id, 1, r FROM texts) GROUP BY ALL),
+pool AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY pr, item_id) AS position FROM bring QUALIFY position <= 40),
+al AS (
+  SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.65 * visual + 0.35 * ocr, 9) DESC, item_id) AS r FROM every WHERE may QUALIFY r <= 40),
+gated AS (
+  SELECT query_id, item_id, p = 0 AS allowed, row_number() OVER (PARTITION BY query_id ORDER BY p, r, item_id) AS position FROM (
+    SELECT query_id, item_id, 0 AS p, r FROM al
+    UNION ALL SELECT query_id, item_id, 1, position FROM pool ANTI JOIN al USING (query_id, item_id)) QUALIFY position <= 40),
+fused AS (
+  SELECT query_id, item_id, allowed, ocr, (item_id % 7) / 10.0 AS sift, vr <= 30 AS v, ocr > 0 AND tr <= 10 AS t,
+    (visual - min(visual) OVER w) / greatest(max(visual) OVER w - min(visual) OVER w, 1e-7) AS e, bool_or(allowed) OVER w AS hard
+  FROM gated JOIN placed USING (query_id, item_id) WINDOW w AS (PARTITION BY query_id)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
+  FROM (SELECT *, round(0.45 * e + 0.05 * sift + 0.50 * ocr, 9) AS score FROM fused) WHERE allowed OR NOT hard QUALIFY rank <= 5),
+sizes AS (SELECT label, count(*) AS n FROM i GROUP BY label),
+tops AS (
+  SELECT query_id, list(item_id ORDER BY rank) AS items, list(round(score, 6) ORDER BY rank) AS scores,
+    list(concat_ws('+', CASE WHEN v THEN 'visual' END, CASE WHEN t THEN 'ocr' END, CASE WHEN allowed THEN 'manufacturer' END) ORDER BY rank) AS sources,
+    max(score) AS first, coalesce(max(score) FILTER (rank = 2), 0) AS second
+  FROM ranked GROUP BY query_id)"""
+
+
+@query("oh1_recognition", f"""{RECOGNITION}
+SELECT query_id, items, scores, sources, round(first - second, 6) AS margin, CASE WHEN query_id % 200 = 0 THEN label END AS maker,
+  CASE WHEN query_id % 200 = 0 THEN n ELSE 0 END AS candidate_count,
+  CASE WHEN first >= 0.8 THEN 'match' WHEN first >= 0.4 THEN 'alternatives' ELSE 'not_found' END AS decision
+FROM tops JOIN q USING (query_id) JOIN sizes USING (label)""")
+def recognised(spark, d):
+    """The whole recognition: the line that a query reads is the next item's title and maker."""
+    q, i = asked(spark, d), index(spark, d)
+    parts = catalog(spark, d)
+    lines = q.join(parts, F.col("slug") == F.col("query_id") + 1).select("query_id", F.concat_ws(" ", "title", "manufacturer").alias("text"), F.lit(1.0).alias("score"))
+    known = i.join(parts, F.col("slug") == F.col("item_id")).select("item_id", F.concat_ws(" ", "title", "manufacturer", "category").alias("text"))
+    read = evidence.fast_text_scores(lines, known).withColumn("score", F.round("score", 9))
+    makers = q.where("query_id % 200 = 0").select("query_id", F.col("label").alias("maker"))  # stands for the queries whose maker is recognised
+    geometry = lambda pool: pool.withColumn("score", (F.col("item_id") % 7) / 10)
+    found = recognition.recognise(q.select("query_id", "embedding"), i.withColumnRenamed("label", "maker"), read, makers, geometry)
+    sources = F.transform("predictions", lambda p: F.array_join(p["sources"], "+"))
+    return found.select("query_id", F.col("predictions.item_id").alias("items"), F.transform("predictions", lambda p: F.round(p["score"], 6)).alias("scores"), sources.alias("sources"), F.round("margin", 6).alias("margin"), "maker", "candidate_count", "decision")
+
+
 @query("f6_token_ratios")
 def token_ratios(spark, d):
     return catalog(spark, d).select("title", "category").distinct().select("title", "category", F.round(token_set_ratio("title", "category"), 6).alias("token_set"), F.round(partial_best_ratio("title", "category"), 6).alias("partial"))
