@@ -22,6 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvid.operators.graph import connected_components
 from corvid.plans.scratch import materialise
 
 WORD = 64
@@ -101,6 +102,20 @@ def near_classes(classes: DataFrame, block: str, hashes: Sequence[str], distance
     return a.join(b, match).select("a_class", "b_class", _distance(a, b, hashes).alias("distance"))
 
 
+def _members_and_near(df: DataFrame, key: str, block: str, hashes: Sequence[str], max_distance: int, digest: str | None) -> tuple[DataFrame, DataFrame]:
+    """``(class, block, member)`` of all rows with a hash, and the pairs of classes within the distance."""
+    if max_distance < 0:
+        raise ValueError("a distance is 0 or more")
+    own = [c for c in dict.fromkeys([block, *hashes, *([digest] if digest else [])])]
+    rows = materialise(df.where(" and ".join(f"`{c}` is not null" for c in (key, block, *hashes))).select(key, *(c for c in own if c != key)).distinct(), "hashes")
+    classes = materialise(rows.groupBy(*own).agg(F.min(key).alias("class")), "classes")
+    sizes = classes.groupBy(block).agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).first()
+    bands = plan_bands(len(hashes), max_distance, sizes["pairs"] / sizes["n"]) if sizes["n"] else bands_of(len(hashes), len(hashes), 0)
+    near = materialise(near_classes(classes, block, hashes, max_distance, bands, digest), "near-classes")
+    equal = [rows[c].eqNullSafe(classes[c]) for c in own]
+    return materialise(rows.join(classes, equal).select(classes["class"], rows[block].alias("block"), rows[key].alias("member")), "members"), near
+
+
 def near_pairs(df: DataFrame, key: str, block: str, hashes: Sequence[str], max_distance: int, digest: str | None = None) -> DataFrame:
     """``(block, left, right, distance)``: pairs of one block whose hashes differ in at most ``max_distance`` bits.
 
@@ -109,20 +124,7 @@ def near_pairs(df: DataFrame, key: str, block: str, hashes: Sequence[str], max_d
     any) are exact copies and no pair. Rows with a null hash, block or key
     have none. No block meets itself whole, and copies meet as one.
     """
-    if max_distance < 0:
-        raise ValueError("a distance is 0 or more")
-    own = [c for c in dict.fromkeys([block, *hashes, *([digest] if digest else [])])]
-    rows = materialise(df.where(" and ".join(f"`{c}` is not null" for c in (key, block, *hashes))).select(key, *(c for c in own if c != key)).distinct(), "hashes")
-    named = rows.groupBy(*own).agg(F.min(key).alias("class"))
-    classes = materialise(named, "classes")
-    sizes = classes.groupBy(block).agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).first()
-    if not sizes["n"]:
-        bands = bands_of(len(hashes), len(hashes), 0)
-    else:
-        bands = plan_bands(len(hashes), max_distance, sizes["pairs"] / sizes["n"])
-    near = materialise(near_classes(classes, block, hashes, max_distance, bands, digest), "near-classes")
-    equal = [rows[c].eqNullSafe(classes[c]) for c in own]
-    members = materialise(rows.join(classes, equal).select(classes["class"], rows[block].alias("block"), rows[key].alias("member")), "members")
+    members, near = _members_and_near(df, key, block, hashes, max_distance, digest)
     x, y = (members.select(F.col("class").alias(f"{s}_class"), F.col("block").alias(f"{s}_block"), F.col("member").alias(f"{s}_member")) for s in "ab")
     pairs = near.join(x, "a_class").join(y, "b_class").select("a_block", "a_member", "b_member", "distance")
     if not digest:  # equal hashes are pairs too
@@ -130,6 +132,22 @@ def near_pairs(df: DataFrame, key: str, block: str, hashes: Sequence[str], max_d
     return pairs.select(F.col("a_block").alias("block"), F.least("a_member", "b_member").alias("left"), F.greatest("a_member", "b_member").alias("right"), "distance")
 
 
+def near_links(df: DataFrame, key: str, block: str, hashes: Sequence[str], max_distance: int) -> DataFrame:
+    """``(block, member, component, links)``: a row for each row with a hash, with its smallest reachable key and how many rows are within the distance.
+
+    The same links as ``near_pairs`` has, without a row for each: classes of
+    equal hashes count by their size.
+    """
+    members, near = _members_and_near(df, key, block, hashes, max_distance, None)
+    sizes = materialise(members.groupBy("class").agg(F.count("*").alias("size")), "sizes")
+    both = near.select(F.col("a_class").alias("class"), F.col("b_class").alias("other")).unionByName(near.select(F.col("b_class").alias("class"), F.col("a_class").alias("other")))
+    others = both.join(sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("size").alias("others"))
+    parts = connected_components(near.select(F.col("a_class").alias("src"), F.col("b_class").alias("dst"))).withColumnRenamed("node", "class")
+    each = sizes.join(others, "class", "left").join(parts, "class", "left")
+    links = F.col("size") - 1 + F.coalesce("others", F.lit(0))
+    return members.join(each.select("class", F.coalesce("component", "class").alias("component"), links.alias("links")), "class").select("block", "member", "component", "links")
+
+
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
     """The report's order: by distance, block and keys."""
     return pairs.orderBy("distance", "block", "left", "right")

@@ -183,14 +183,16 @@ def level_hash(embedding) -> Column:
 
 
 @query("f16_near_256", f"""
-WITH s AS (SELECT vec_id, label, {" || ".join(f"CASE WHEN embedding[{i + 1}] > {t}::FLOAT THEN '1' ELSE '0' END" for i in range(64) for t in LEVELS)} AS bits FROM embeddings)
-SELECT a.label AS block, a.vec_id AS "left", b.vec_id AS "right", hamming(a.bits, b.bits) AS distance
-FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id AND hamming(a.bits, b.bits) <= 8""")
+WITH RECURSIVE s AS (
+  SELECT vec_id, label, {" || ".join(f"CASE WHEN embedding[{i + 1}] > {t}::FLOAT THEN '1' ELSE '0' END" for i in range(64) for t in LEVELS)} AS bits FROM embeddings),
+pairs AS (SELECT a.vec_id AS n, b.vec_id AS m FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND hamming(a.bits, b.bits) <= 8),
+reach AS (SELECT vec_id AS n, vec_id AS r FROM s UNION SELECT reach.n, m FROM reach JOIN pairs ON pairs.n = r)
+SELECT label AS block, vec_id AS member, (SELECT min(r) FROM reach WHERE reach.n = vec_id) AS component, (SELECT count(*) FROM pairs WHERE pairs.n = vec_id) AS links FROM s""")
 def near_256(spark, d):
-    """256-bit hashes within eight bits of each other."""
+    """256-bit hashes within eight bits of each other: every vector's group and number of links."""
     hashed = t(spark, d, "embeddings").select("vec_id", "label", level_hash(F.col("embedding")).alias("hash"))
     words = hashed.select("vec_id", "label", *(w.alias(f"w{k}") for k, w in enumerate(scoring.hash_words(F.col("hash")))))
-    return near_hashes.near_pairs(words, "vec_id", "label", [f"w{k}" for k in range(4)], 8)
+    return near_hashes.near_links(words, "vec_id", "label", [f"w{k}" for k in range(4)], 8)
 
 
 TOKENS = "list_filter(regexp_extract_all(replace(lower({c}), 'ё', 'е'), '[0-9a-zа-я]+'), lambda x: length(x) >= 2)"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvid.operators import audit
-from corvid.operators.near_hashes import Band, bands_of, near_pairs, ordered_pairs, plan_bands
+from corvid.operators.near_hashes import Band, bands_of, near_links, near_pairs, ordered_pairs, plan_bands
 from corvid.functions.scoring import hash_words
 
 
@@ -42,6 +42,14 @@ def test_against_all_pairs(spark, seed, columns, distance, digest):
             if i < j and a[1] == b[1] and far <= distance and not (digest and a[-1] == b[-1]):
                 want.append((a[1], i, j, far))
     assert got == sorted(want) and len(got) > 3
+    if not digest:
+        linked = {r.member: r for r in near_links(df, "id", "block", names, distance).collect()}
+        assert linked.keys() == known.keys() and all(linked[i].links == sum(i in p[1:3] for p in want) for i in known)
+        low = {i: i for i in known}
+        for _ in known:
+            for _, i, j, _ in want:
+                low[i] = low[j] = min(low[i], low[j])
+        assert {i: r.component for i, r in linked.items()} == low
 
 
 @pytest.mark.parametrize(("columns", "distance", "partners"), [(1, 20, 10), (1, 20, 1e6), (4, 8, 1e7), (4, 40, 1e5), (1, 0, 5), (1, 3, 1e9)])
