@@ -10,7 +10,7 @@ from corvid.functions.parse import first_slug, named
 from corvid.functions.similarity import indel_ratio, partial_best_ratio, token_set_ratio
 from corvid.operators import audit, confidence, eventlog, evidence, promotion, ranking, recognition, retrieval
 from corvid.operators.similar_strings import similar_strings
-from corvid.plans.queries import EX, LOG, SIGNALS, TOKENS, asked, catalog, examples, feedback, index, log, signals, t
+from corvid.plans.queries import EX, HALVES, LOG, SIGNALS, TOKENS, asked, catalog, examples, feedback, index, log, signals, t
 from corvid.plans.registry import query
 from corvid.plans.scratch import materialise
 from corvid.sources.files import evaluator_results, last_by_key, resolved_path
@@ -334,6 +334,57 @@ def patch_maxsim(spark, d):
     return rows.select("query_id", "item_id", F.round(retrieval.patch_maxsim(F.col("q"), F.col("r")), 6).alias("score"))
 
 
+@query("ov1_patch_rerank", f"""
+WITH {SIGNALS},
+mixed AS (
+  SELECT query_id, item_id, round(0.55 * embedding + 0.45 * greatest(sift, ocr), 9) AS cls, row_number() OVER (PARTITION BY query_id ORDER BY round(embedding, 9) DESC, item_id) AS rank
+  FROM sig QUALIFY rank <= 10),
+p AS (
+  SELECT m.*, {PATCHES.format(v="q.embedding")} AS qs, {PATCHES.format(v="i.embedding")} AS rs
+  FROM mixed m JOIN embeddings q ON q.vec_id = m.query_id JOIN embeddings i ON i.vec_id = m.item_id),
+s AS (SELECT query_id, item_id, round(0.7 * cls + 0.3 * list_avg(list_transform(qs, lambda a: list_max(list_transform(rs, lambda b: list_dot_product(a, b))))), 9) AS score FROM p)
+SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 5""")
+def patch_rerank(spark, d):
+    """Ten candidates by the whole vector, two views mixed, patches blended in, ranked again."""
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice(v, k * 16 + 1, 16))
+    found = retrieval.signals(asked(spark, d), index(spark, d), HALVES, 10).select("query_id", "item_id", F.round(retrieval.two_view(F.col("embedding"), F.greatest("sift", "ocr")), 9).alias("cls"))
+    q = asked(spark, d).select("query_id", F.array(parts(F.col("embedding"))).alias("q"))
+    rows = found.join(q, "query_id").join(index(spark, d).select("item_id", parts(F.col("embedding")).alias("r")), "item_id")
+    scored = rows.withColumn("score", F.round(retrieval.blended(F.col("cls"), retrieval.patch_maxsim(F.col("q"), F.col("r")), 0.3), 9))
+    return ranking.top_k(scored, 5).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("f11_structured_scores", f"""
+WITH p AS (
+  SELECT a.p_partkey AS query_id, b.p_partkey AS item_id, a.p_name || ' ' || a.p_brand || ' ' || (1980 + a.p_size % 40) AS text,
+    b.p_name || ' ' || (1980 + b.p_size % 40) AS title, b.p_brand AS manufacturer, b.p_type AS grapes
+  FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+q AS (SELECT query_id, item_id, unnest(list_distinct({TOKENS.format(c="text")})) AS x FROM p),
+t AS (
+  SELECT query_id, item_id, f, unnest(ys) AS y, unnest(range(len(ys))) AS k FROM (
+    SELECT query_id, item_id, 'title' AS f, {TOKENS.format(c="title")} AS ys FROM p
+    UNION ALL SELECT query_id, item_id, 'manufacturer', {TOKENS.format(c="manufacturer")} FROM p
+    UNION ALL SELECT query_id, item_id, 'grapes', {TOKENS.format(c="grapes")} FROM p)),
+sim AS (SELECT x, y, {INDEL_SQL.format(a="y", b="x")} AS s FROM (SELECT DISTINCT x, y FROM q JOIN t USING (query_id, item_id))),
+best AS (SELECT query_id, item_id, f, k, y, max(s) AS s FROM q JOIN t USING (query_id, item_id) JOIN sim USING (x, y) GROUP BY ALL),
+scores AS (SELECT query_id, item_id, f, sum(s * least(length(y), 10)) / sum(least(length(y), 10)) AS v FROM best GROUP BY ALL),
+fields AS (
+  SELECT p.query_id, p.item_id, coalesce(max(v) FILTER (f = 'title'), 0) AS title, coalesce(max(v) FILTER (f = 'manufacturer'), 0) AS manufacturer,
+    coalesce(max(v) FILTER (f = 'grapes'), 0) AS grapes, CASE WHEN any_value(p.text)[-4:] = any_value(p.title)[-4:] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS year
+  FROM p LEFT JOIN scores s ON s.query_id = p.query_id AND s.item_id = p.item_id GROUP BY ALL)
+SELECT query_id, item_id, round(title, 9) AS title, round(manufacturer, 9) AS manufacturer, round(grapes, 9) AS grapes, year,
+  round(0.45 * title + 0.30 * manufacturer + 0.20 * grapes + 0.05 * year, 9) AS score FROM fields""")
+def structured_scores(spark, d):
+    """Field evidence and its mix: each item's text held against the next one's fields."""
+    c = catalog(spark, d).withColumn("year", (1980 + F.col("alcohol") % 40).cast("string"))
+    pairs = c.select(F.col("slug").alias("query_id"), (F.col("slug") + 1).alias("item_id"), F.concat_ws(" ", "title", "manufacturer", "year").alias("text"))
+    title = F.concat_ws(" ", "title", "year")
+    items = c.select(F.col("slug").alias("item_id"), title.alias("title"), "manufacturer", F.col("category").alias("grapes"), title.alias("year_text"))
+    found = evidence.field_evidence(pairs.join(items.select("item_id"), "item_id", "left_semi"), items, kernel=indel_ratio, scale=100.0)
+    score = evidence.structured_score(*(F.col(f) for f in (*evidence.FIELDS, "year")))
+    return found.withColumn("score", F.round(score, 9)).withColumns({f: F.round(f, 9) for f in evidence.FIELDS})
+
+
 @query("f17_geometry_score", "SELECT p_partkey, round(CASE WHEN g < 4 THEN least(g / 10.0, 1) * 0.18 ELSE (0.55 * least(i / 14.0, 1) + 0.30 * least(i / greatest(g, 1) / 0.65, 1) + 0.15 * least(c / 0.22, 1)) * CASE WHEN i < 4 THEN 0.25 ELSE 1 END END, 9) AS s FROM (SELECT p_partkey, p_size AS g, p_partkey % (p_size + 1) AS i, p_retailprice / 4000 AS c FROM part)")
 def geometry(spark, d):
     return t(spark, d, "part").select("p_partkey", F.round(scoring.geometry_score(F.col("p_size"), F.col("p_partkey") % (F.col("p_size") + 1), F.col("p_retailprice") / 4000), 9).alias("s"))

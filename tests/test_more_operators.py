@@ -110,3 +110,14 @@ def test_build_examples(spark):
     assert (got[1].winner, got[1].safe, got[1].top5, got[1].known) == ("s0", False, True, True) and math.isclose(got[1].margin, 0.1)
     assert (got[2].winner, got[2].safe, got[2].margin) == ("s1", True, 0.0) and (got[3].winner, got[3].known, got[3].safe) == (None, False, False)
     assert got[1].split in ("calibration", "validation") and retrieval.field_grid(spark).count() == 231
+
+
+def test_field_evidence(spark):
+    asked = spark.createDataFrame([(1, 1, "Silver lantern 1999 oldmill"), (1, 2, "Silver lantern 1999 oldmill"), (2, 1, "..."), (2, 9, "unknown item"), (3, 2, None)], "query_id int, item_id int, text string")
+    items = spark.createDataFrame([(1, "Silver Lantern", "Old Mill", "merlot", "lantern 1999"), (2, "Copper", None, "", None)], "item_id int, title string, manufacturer string, grapes string, year_text string")
+    got = {(r.query_id, r.item_id): r for r in evidence.field_evidence(asked, items).collect()}
+    assert len(got) == 5 and got[1, 1].title == 1.0 and got[1, 1].year == 1.0 and 0 < got[1, 1].manufacturer < 1
+    assert got[1, 2].manufacturer == got[1, 2].grapes == got[1, 2].year == 0.0 and [got[2, 1][f] for f in (*evidence.FIELDS, "year")] == [0.0] * 4 == [got[k][f] for k in ((2, 9),) for f in (*evidence.FIELDS, "year")]
+    both = (0.45 * 1.0 + 0.30 * got[1, 1].manufacturer + 0.20 * got[1, 1].grapes + 0.05, 0.45 + 0.30 * got[1, 1].manufacturer + 0.20 * got[1, 1].grapes)
+    r = spark.createDataFrame([got[1, 1]]).select(evidence.structured_score(*(F.col(f) for f in (*evidence.FIELDS, "year"))).alias("a"), evidence.structured_score(*(F.col(f) for f in evidence.FIELDS)).alias("b")).first()
+    assert abs(r.a - both[0]) < 1e-12 and abs(r.b - both[1]) < 1e-12
