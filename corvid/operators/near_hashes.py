@@ -142,8 +142,12 @@ def near_links(df: DataFrame, key: str, block: str, hashes: Sequence[str], max_d
     sizes = materialise(members.groupBy("class").agg(F.count("*").alias("size")), "sizes")
     both = near.select(F.col("a_class").alias("class"), F.col("b_class").alias("other")).unionByName(near.select(F.col("b_class").alias("class"), F.col("a_class").alias("other")))
     others = both.join(sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("size").alias("others"))
-    parts = connected_components(near.select(F.col("a_class").alias("src"), F.col("b_class").alias("dst"))).withColumnRenamed("node", "class")
-    each = sizes.join(others, "class", "left").join(parts, "class", "left")
+    # edges between smallest neighbours hold the components, and most edges fall on one node there
+    low = materialise(both.groupBy("class").agg(F.min("other").alias("m")).select("class", F.least("class", "m").alias("low")), "low")
+    ends = near.join(low.select(F.col("class").alias("a_class"), F.col("low").alias("src")), "a_class").join(low.select(F.col("class").alias("b_class"), F.col("low").alias("dst")), "b_class")
+    parts = connected_components(ends.where("src <> dst").select("src", "dst").distinct()).withColumnRenamed("node", "low")
+    found = low.join(parts, "low", "left").select("class", F.coalesce("component", "low").alias("component"))
+    each = sizes.join(others, "class", "left").join(found, "class", "left")
     links = F.col("size") - 1 + F.coalesce("others", F.lit(0))
     return members.join(each.select("class", F.coalesce("component", "class").alias("component"), links.alias("links")), "class").select("block", "member", "component", "links")
 
