@@ -3,24 +3,27 @@
 Base spans (emails, addresses, cards, phones) are found by regular
 expressions; each value is a protected entity. Over whole documents the corpus
 tells how strongly a term (a run of letters and digits, A-Z lowered) reveals
-an entity: p(e | t) is estimated as (n_et + prior p(e)) / (n_t + prior) from
-the rows that hold both and the rows that hold the term. A term discloses the
-entity if it gives at least ``threshold`` of the entity's own information
--log p(e) and p(e | t) is above ``majority``. Entities of a single document
-are judged like all others; the prior alone smooths.
+an entity: of n_t distinct texts with the term, n_et hold the entity too, and
+p(e | t) is taken at the lower end of its Wilson interval (one-sided, ``z``
+standard errors), so that a coincidence of one or two texts proves nothing
+while a steady companion does. A term discloses the entity if that bound is
+above ``majority`` and gives at least ``threshold`` of the entity's own
+information -log p(e). Copies of a text are one observation.
 
 A disclosing term is generalised to its class (number, code or word) if the
 class itself does not disclose the entity, else removed, and that wherever the
 term stands, also in documents without the entity.
 
-Terms of one row only and terms of several are counted apart: a term that one
-row holds can disclose that row's entities alone, so it needs no pairs.
+What cannot reach the bound is left out before anything is paired, exactly:
+n_et is at most n_e, and n_t at least the term's texts among those with
+personal data. Entities that stand in the same texts, and terms that do, have
+the same counts, so classes of them are paired instead of them.
 
 Defined results: a null text is empty; spans are code points, end exclusive;
 of overlapping spans, the earliest and longest decides the text that replaces
-both; words that overlap a base span are no terms there; rows are what is
-counted, repeated ones each; rows of equal id and text get the same spans; an
-empty table gives an empty result.
+both; words that overlap a base span are no terms there; distinct texts are
+what is counted, however often each is repeated; rows of equal id and text get
+the same spans; an empty table gives an empty result.
 
 The regular expressions are possessive and tied to the starts of runs, which
 changes no match but keeps long runs linear.
@@ -28,10 +31,11 @@ changes no match but keeps long runs linear.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm.common import cells_of, in_cells, table
@@ -61,7 +65,12 @@ class Settings:
 
     threshold: float = 0.8
     majority: float = 0.5
-    prior: float = 0.5
+    z: float = 1.645
+
+    @property
+    def least(self) -> int:
+        """The fewest texts whose bound can exceed the majority; with n of n it is n / (n + z^2)."""
+        return math.floor(self.majority * self.z**2 / (1 - self.majority)) + 1
 
 
 def _digits(value: Column) -> Column:
@@ -164,14 +173,24 @@ class Findings:
     extra: DataFrame
 
 
+def surely(n_et: Column, n_t: Column, s: Settings) -> Column:
+    """Lower end of the Wilson interval of n_et / n_t."""
+    z2, share = s.z**2, n_et / n_t
+    return (share + z2 / (2 * n_t) - s.z * F.sqrt(share * (1 - share) / n_t + z2 / (4 * n_t * n_t))) / (1 + z2 / n_t)
+
+
 def discloses(n_et: Column, n_t: Column, n_e: Column, n: int, s: Settings) -> Column:
-    share = n_e / n
-    given = (n_et + s.prior * share) / (n_t + s.prior)
+    share, given = n_e / n, surely(n_et, n_t, s)
     return (share < 1) & (given > s.majority) & (F.log(given / share) >= s.threshold * -F.log(share))
 
 
+def _same_texts() -> list[Column]:
+    """128 bits of a set of texts: rows that stand in the same texts get the same two numbers."""
+    return [F.bit_xor(F.xxhash64("text_key", F.lit(i))).alias(f"set{i}") for i in range(2)]
+
+
 def analyse(docs: DataFrame, s: Settings = Settings()) -> Findings:
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "text_key"))
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     spanned = with_base_spans(slim, "text", "spans")
     hidden = replaced(F.col("text"), in_order(F.col("spans")), lambda _: F.lit("\ue000"))
     # a word that overlaps a span has the hidden mark in it, next to letters or alone
@@ -179,49 +198,54 @@ def analyse(docs: DataFrame, s: Settings = Settings()) -> Findings:
     personal = F.size("spans") > 0
     base = materialise(
         spanned.select(
-            "doc_id", "text_key", "row", F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"),
-            F.when(personal, F.array_distinct(F.transform("spans", entity))).alias("entities"), F.when(personal, terms_of(masked)).alias("terms"), F.when(personal, F.col("text")).alias("text"),
+            "doc_id", "text_key", F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"),
+            F.when(personal, F.array_distinct(F.transform("spans", entity))).alias("entities"), F.when(personal, terms_of(masked)).alias("terms"),
+            F.col("text").rlike(_NUMBER).alias("number"), F.col("text").rlike(_CODE).alias("code"),
         ),
         "spans",
     )
-    held = base.where("entities is not null")
-    totals = slim.agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(_NUMBER)).alias("number"), F.count_if(F.col("text").rlike(_CODE)).alias("code")).first()
+    totals = base.select("text_key", "number", "code").distinct().agg(F.count("*").alias("n"), F.count_if("number").alias("number"), F.count_if("code").alias("code")).first()
     n = max(1, totals.n)
-    seen = materialise(slim.select("row", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"), F.min("row").alias("one")), "seen")
-    has = lambda kind: F.exists("terms", lambda t: term_class(t) == kind)
-    marked = held.select("row", "entities", has("number").alias("number"), has("code").alias("code"))
-    known = materialise(marked.select(F.explode("entities").alias("entity"), "number", "code").groupBy("entity").agg(F.count("*").alias("n_e"), F.count_if("number").alias("e_number"), F.count_if("code").alias("e_code")), "entities")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        """Disclosing ``(entity, term, n_et, n_t, one, n_e, ...)`` with what becomes of the term."""
-        kind = term_class(F.col("term"))
-        of_class = F.when(kind == "number", discloses(F.col("e_number"), F.lit(totals.number), F.col("n_e"), n, s)).when(kind == "code", discloses(F.col("e_code"), F.lit(totals.code), F.col("n_e"), n, s)).otherwise(False)
-        return pairs.where(discloses(F.col("n_et"), F.col("n_t"), F.col("n_e"), n, s)).withColumn("kind", F.when(of_class, F.lit("removed")).otherwise(kind))
-
-    strongest = F.when(F.max(F.col("kind") == "removed"), "removed").otherwise(F.min("kind")).alias("kind")
-    entities = held.select("row", F.explode("entities").alias("entity")).join(known, "entity")
-    # terms of one row: that row's entities are all they can disclose
-    lone = judged(seen.where("n_t = 1").select("term", "n_t", F.col("one").alias("row")).join(entities, "row").withColumn("n_et", F.lit(1)))
-    by_row = lone.groupBy("row", "term").agg(strongest).groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("found"))
-    own = held.select("doc_id", "text_key", "row", "text", "terms").join(by_row, "row").withColumn("found", F.filter("found", lambda x: F.array_contains(F.col("terms"), x["term"])))
-    alone = own.where(F.size("found") > 0).select("doc_id", "text_key", F.map_from_entries("found").alias("kinds"), lowered(F.col("text")).alias("text"))
-    alone = _places(alone, F.map_keys("kinds")).select("doc_id", "text_key", F.expr("kinds[at.value]").alias("kind"), "at.start", "at.end")
-    # terms of several rows: entities of several rows, counted by pairs
-    several = materialise(entities.where("n_e > 1").groupBy("row").agg(F.collect_list("entity").alias("several")), "several")
-    pairs = held.join(several, "row").select(F.explode("several").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where("n_et > 1")
-    shared = materialise(judged(pairs.join(known, "entity").join(seen.where("n_t > 1"), "term")).groupBy("term").agg(strongest), "disclosing")
-    cells, extra = cells_of(shared, "term"), alone
+    shared = _disclosing(slim, base.where("entities is not null").select("text_key", "entities", "terms"), totals, n, s)
+    extra = base.select("doc_id", "text_key", F.lit("").alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
+    cells = cells_of(shared, "term")
     if any(cells):
-        may = lambda w: in_cells(w, cells)
-        words = slim.select("doc_id", "text_key", lowered(F.col("text")).alias("text")).withColumn("some", F.filter(terms_of(F.col("text")), may)).where(F.size("some") > 0)
-        extra = extra.unionByName(_places(words, F.col("some")).select("doc_id", "text_key", F.col("at.value").alias("term"), "at.start", "at.end").join(shared, "term").select("doc_id", "text_key", "kind", "start", "end"))
+        words = slim.select("doc_id", "text_key", lowered(F.col("text")).alias("text")).withColumn("some", F.filter(terms_of(F.col("text")), lambda w: in_cells(w, cells))).where(F.size("some") > 0)
+        extra = _places(words, F.col("some")).select("doc_id", "text_key", F.col("at.value").alias("term"), "at.start", "at.end").join(shared, "term").select("doc_id", "text_key", "kind", "start", "end")
     grouped = extra.distinct().groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
     out = Findings(base.select("doc_id", "text_key", "spans"), materialise(grouped, "extra"))
-    for done in (seen, several, shared):
-        discard(done)
+    discard(shared)
     return out
 
 
+def _disclosing(slim: DataFrame, personal: DataFrame, totals: Row, n: int, s: Settings) -> DataFrame:
+    """``(term, kind)`` of every disclosing term; ``personal`` are the texts with base spans."""
+    held = materialise(personal.dropDuplicates(["text_key"]), "held")
+    has = lambda kind: F.exists("terms", lambda t: term_class(t) == kind)
+    entities = held.select("text_key", has("number").alias("number"), has("code").alias("code"), F.explode("entities").alias("entity"))
+    known = entities.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_if("number").alias("e_number"), F.count_if("code").alias("e_code"), *_same_texts()).where(F.col("n_e") >= s.least)
+    known = materialise(known.withColumnsRenamed({f"set{i}": f"e{i}" for i in range(2)}), "entities")
+    terms = held.select("text_key", F.explode("terms").alias("term"))
+    near = terms.groupBy("term").agg(F.count("*").alias("h_t"), *_same_texts()).where(F.col("h_t") >= s.least)
+    near = materialise(near.withColumnsRenamed({f"set{i}": f"t{i}" for i in range(2)}), "terms")
+    of_text = entities.join(known, "entity").select("text_key", "e0", "e1", "n_e", "e_number", "e_code").distinct()
+    with_term = terms.join(near, "term").select("text_key", "t0", "t1", "h_t").distinct()
+    # more than half of a term's texts have the entity, so its texts are fewer than n_e over the majority
+    pairs = of_text.join(with_term, "text_key").where(F.col("h_t") * s.majority < F.col("n_e"))
+    pairs = pairs.groupBy("e0", "e1", "t0", "t1", "h_t").agg(F.count("*").alias("n_et"), *(F.max(c).alias(c) for c in ("n_e", "e_number", "e_code")))
+    able = materialise(pairs.where(discloses(F.col("n_et"), F.col("h_t"), F.col("n_e"), n, s)).join(near.drop("h_t"), ["t0", "t1"]).select("term", "n_et", "n_e", "e_number", "e_code").distinct(), "able")
+    cells = cells_of(able, "term")
+    texts = slim.select("text_key", F.explode(F.filter(terms_of(F.col("text")), lambda w: in_cells(w, cells))).alias("term")) if any(cells) else terms.where("false")
+    pairs = able.join(texts.distinct().groupBy("term").agg(F.count("*").alias("n_t")), "term").where(discloses(F.col("n_et"), F.col("n_t"), F.col("n_e"), n, s))
+    kind = term_class(F.col("term"))
+    of_class = F.when(kind == "number", discloses(F.col("e_number"), F.lit(totals.number), F.col("n_e"), n, s)).when(kind == "code", discloses(F.col("e_code"), F.lit(totals.code), F.col("n_e"), n, s)).otherwise(False)
+    fate = F.when(of_class, F.lit("removed")).otherwise(kind)
+    shared = materialise(pairs.withColumn("kind", fate).groupBy("term").agg(F.when(F.max(F.col("kind") == "removed"), "removed").otherwise(F.min("kind")).alias("kind")), "disclosing")
+    for done in (held, known, near, able):
+        discard(done)
+    return shared
+
+
 def _places(rows: DataFrame, terms: Column) -> DataFrame:
     """A row for each place ``at`` (start, end, value) at which one of ``terms`` stands in the row's text."""
     pattern = rows.withColumn("pattern", any_of(terms))
