@@ -343,11 +343,11 @@ def test_added_spans(spark, seed):
 def test_disclosing_terms(spark):
     common = "we met the team and talked about plans for the next year"
     far = " ".join(["and so on"] * 30)
-    rows = [(i, f"{common} write to boss@corp.com {far} about zorblax soon {i}") for i in range(8)] + [(10 + i, f"{common} and nothing else {i} {far}") for i in range(60)] + [(90, "only zorblax here"), (91, f"{common} one@two.com once"), (92, None)] + [(93 + i, f"{common} six@two.com copied") for i in range(9)]
+    rows = [(i, f"{common} write to boss@corp.com {far} about zorblax soon {i}") for i in range(8)] + [(200 + i, f"{common} and nothing else {i} {far}") for i in range(200)] + [(90, "only zorblax here"), (91, f"{common} one@two.com once"), (92, None)] + [(93 + i, f"{common} six@two.com copied") for i in range(9)]
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
     clean = {r.doc_id: r for r in pii.sanitise(clash(df)).collect()}
     assert "zorblax" not in clean[0].text and "[email]" in clean[0].text and "the team" in clean[0].text and clean[0].n_chars == len(clean[0].text)
-    assert clean[10].text == rows[5][1] and clean[90].text == "only [word] here" and clean[92].text is None
+    assert clean[200].text == rows[8][1] and clean[90].text == "only [word] here" and clean[92].text is None
     assert clean[91].text == f"{common} [email] once"  # one text together proves nothing
     assert clean[95].text == f"{common} [email] copied"  # nor do copies of one text
     assert pii.sanitise(df.where("false")).count() == 0 and len(clean) == len(rows)
