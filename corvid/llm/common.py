@@ -42,5 +42,6 @@ def _cell(key: Column) -> Column:
 
 def in_cells(key: Column, cells: bytes) -> Column:
     """False only for values that are no key."""
-    byte = F.conv(F.hex(F.substring(F.lit(cells), F.shiftright(_cell(key), 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), _cell(key) % 8)) != 0
+    # one literal of numbers, which Spark folds into an array before it runs
+    bytes_ = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<int>")
+    return F.get(bytes_, F.shiftright(_cell(key), 3)).bitwiseAND(F.call_function("shiftleft", F.lit(1), _cell(key) % 8)) != 0

@@ -206,20 +206,17 @@ def analyse(docs: DataFrame, s: Settings = Settings()) -> Findings:
     )
     totals = base.select("text_key", "number", "code").distinct().agg(F.count("*").alias("n"), F.count_if("number").alias("number"), F.count_if("code").alias("code")).first()
     n = max(1, totals.n)
-    shared = _disclosing(slim, base.where("entities is not null").select("text_key", "entities", "terms"), totals, n, s)
-    extra = base.select("doc_id", "text_key", F.lit("").alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
-    cells = cells_of(shared, "term")
-    if any(cells):
-        words = slim.select("doc_id", "text_key", lowered(F.col("text")).alias("text")).withColumn("some", F.filter(terms_of(F.col("text")), lambda w: in_cells(w, cells))).where(F.size("some") > 0)
-        extra = _places(words, F.col("some")).select("doc_id", "text_key", F.col("at.value").alias("term"), "at.start", "at.end").join(shared, "term").select("doc_id", "text_key", "kind", "start", "end")
+    found = _disclosing(slim, base.where("entities is not null").select("text_key", "entities", "terms"), totals, n, s)
+    at = _places(slim.select("doc_id", "text_key", lowered(F.col("text")).alias("text")).join(found, "text_key"), F.map_keys("kinds"))
+    extra = at.select("doc_id", "text_key", F.expr("kinds[at.value]").alias("kind"), "at.start", "at.end")
     grouped = extra.distinct().groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
     out = Findings(base.select("doc_id", "text_key", "spans"), materialise(grouped, "extra"))
-    discard(shared)
+    discard(found)
     return out
 
 
 def _disclosing(slim: DataFrame, personal: DataFrame, totals: Row, n: int, s: Settings) -> DataFrame:
-    """``(term, kind)`` of every disclosing term; ``personal`` are the texts with base spans."""
+    """``(text_key, kinds)``: every text with disclosing terms and what becomes of each; ``personal`` are the texts with base spans."""
     held = materialise(personal.dropDuplicates(["text_key"]), "held")
     has = lambda kind: F.exists("terms", lambda t: term_class(t) == kind)
     entities = held.select("text_key", has("number").alias("number"), has("code").alias("code"), F.explode("entities").alias("entity"))
@@ -235,15 +232,17 @@ def _disclosing(slim: DataFrame, personal: DataFrame, totals: Row, n: int, s: Se
     pairs = pairs.groupBy("e0", "e1", "t0", "t1", "h_t").agg(F.count("*").alias("n_et"), *(F.max(c).alias(c) for c in ("n_e", "e_number", "e_code")))
     able = materialise(pairs.where(discloses(F.col("n_et"), F.col("h_t"), F.col("n_e"), n, s)).join(near.drop("h_t"), ["t0", "t1"]).select("term", "n_et", "n_e", "e_number", "e_code").distinct(), "able")
     cells = cells_of(able, "term")
-    texts = slim.select("text_key", F.explode(F.filter(terms_of(F.col("text")), lambda w: in_cells(w, cells))).alias("term")) if any(cells) else terms.where("false")
-    pairs = able.join(texts.distinct().groupBy("term").agg(F.count("*").alias("n_t")), "term").where(discloses(F.col("n_et"), F.col("n_t"), F.col("n_e"), n, s))
+    words = slim.select("text_key", F.explode(F.split(lowered(F.col("text")), rf"[^{_IN_TERM}]++")).alias("term"))
+    hits = materialise(words.where((F.col("term") != "") & in_cells(F.col("term"), cells)).distinct() if any(cells) else terms.where("false"), "hits")
+    pairs = able.join(hits.groupBy("term").agg(F.count("*").alias("n_t")), "term").where(discloses(F.col("n_et"), F.col("n_t"), F.col("n_e"), n, s))
     kind = term_class(F.col("term"))
     of_class = F.when(kind == "number", discloses(F.col("e_number"), F.lit(totals.number), F.col("n_e"), n, s)).when(kind == "code", discloses(F.col("e_code"), F.lit(totals.code), F.col("n_e"), n, s)).otherwise(False)
     fate = F.when(of_class, F.lit("removed")).otherwise(kind)
-    shared = materialise(pairs.withColumn("kind", fate).groupBy("term").agg(F.when(F.max(F.col("kind") == "removed"), "removed").otherwise(F.min("kind")).alias("kind")), "disclosing")
-    for done in (held, known, near, able):
+    shared = pairs.withColumn("kind", fate).groupBy("term").agg(F.when(F.max(F.col("kind") == "removed"), "removed").otherwise(F.min("kind")).alias("kind"))
+    found = materialise(hits.join(shared, "term").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds")), "disclosing")
+    for done in (held, known, near, able, hits):
         discard(done)
-    return shared
+    return found
 
 
 def _places(rows: DataFrame, terms: Column) -> DataFrame:
