@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from pyspark.sql import types as T
 from corvid.llm.common import as_bytes, table
 
 SHINGLE = 5
+#: words of documents that are looked up at a time
+BLOCK_WORDS = 60_000
 _WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n+")
 MATCH = T.StructType([
@@ -127,11 +130,14 @@ class Index:
             sizes[self.row[w] + 1] = len(first)
         self.starts = np.cumsum(sizes).astype(np.int32)  # of each word's ranges, by its number
         self.in_range, self.greatest = np.concatenate([x for x, _ in found]).astype(np.int32), np.concatenate([x for _, x in found])
+        self.top = np.zeros(len(self.row) + 1)  # each word's greatest impact
+        np.maximum.at(self.top, np.repeat(np.arange(len(self.row) + 1), sizes[1:]), self.greatest)
 
     def _rare(self) -> None:
         reached = np.zeros(len(self.ids))
         self.is_rare = np.zeros(len(self.row) + 1, bool)
         self.is_rare[[self.row[w] for w in self.lists]] = True
+        self.is_here = self.is_rare.copy()
         for w in sorted(self.lists, key=lambda w: (-len(self.lists[w][0]), w)):
             items, shares = self.lists[w]
             reached[items] += shares
@@ -139,18 +145,17 @@ class Index:
                 break
             self.is_rare[self.row[w]] = False
 
-    def ranges_of(self, word: bytes) -> slice:
-        k = self.row[word]
-        return slice(self.starts[k], self.starts[k + 1])
+    def entries(self, rows: np.ndarray) -> np.ndarray:
+        """Places of the ranges of each of ``rows``, one after the other."""
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        return np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
     def search(self, terms: list[bytes]) -> list[tuple[int, float]]:
         """Block-max WAND: every item whose score reaches ``least``."""
-        sums, live = np.zeros(self.ranges), []
-        for t in terms:
-            own = self.ranges_of(t)
-            sums[self.in_range[own]] += self.greatest[own]
-            live.append([0, *self.lists[t], float(self.greatest[own].max())])
-        open_blocks, found = sums >= self.least, []
+        rows = np.fromiter(map(self.row.__getitem__, terms), np.int64, len(terms))
+        entry = self.entries(rows)
+        open_blocks, found = np.bincount(self.in_range[entry], self.greatest[entry], self.ranges) >= self.least, []
+        live = [[0, *self.lists[t], top] for t, top in zip(terms, self.top[rows].tolist(), strict=True)] if open_blocks.any() else []
         while live:
             live.sort(key=lambda c: c[1][c[0]])
             reach, pivot = 0.0, -1
@@ -185,32 +190,38 @@ class Index:
     def stride(self) -> int:
         return self.longest + self.longest // 8 + 2
 
-    def reachable(self, n: int, rows: np.ndarray) -> np.ndarray:
-        """Starts of the passages in which some range of items can reach ``least`` by its block maxima.
+    def reachable(self, rows: np.ndarray, place: np.ndarray, doc: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and starts of the passages with a rare term in which some range of items can reach ``least`` by its block maxima.
 
-        A passage is two strides long and a stride is longer than any item, so
-        every item stands whole in a passage.
+        ``rows`` are the known words of several documents of ``lengths`` words,
+        each with its place and document. A passage is two strides long and a
+        stride is longer than any item, so every item stands whole in a passage.
         """
-        rare = np.flatnonzero(self.is_rare[rows])
-        if not len(rare):
-            return rare
-        strides = -(-n // self.stride) + 1
-        near = np.zeros(strides + 1, bool)  # strides of a passage with a rare term
-        for k in (-1, 0, 1):
-            near[np.clip(rare // self.stride + k, 0, strides)] = True
-        at = np.flatnonzero(near[np.arange(n) // self.stride] & (self.starts[rows + 1] > self.starts[rows]))
-        sizes = self.starts[rows[at] + 1] - self.starts[rows[at]]
-        entry = np.repeat(self.starts[rows[at]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        cell = np.repeat(at // self.stride, sizes) * self.ranges + self.in_range[entry]
-        sums = np.bincount(cell, self.greatest[entry], (strides + 1) * self.ranges).reshape(-1, self.ranges)
-        starts = np.arange(0, max(1, n - self.stride), self.stride)
-        k = starts // self.stride
-        return starts[(sums[k] + sums[k + 1]).max(axis=1) >= self.least - 1e-9]
-
-    def matches(self, words: list[bytes], rows: np.ndarray) -> dict[int, tuple[float, float, float, float]]:
-        """Items that the document's passages hold, with score and overlaps (the best of all passages)."""
+        strides = -(-lengths // self.stride) + 1  # one of each document stays empty
+        first = np.cumsum(strides) - strides
+        own = np.flatnonzero(self.is_here[rows])
+        rows, cell = rows[own], first[doc[own]] + place[own] // self.stride
+        rare = np.zeros(strides.sum() + 1, bool)
+        rare[cell[self.is_rare[rows]]] = True
+        of = np.flatnonzero(rare[:-1] | rare[1:])
+        document = first.searchsorted(of, "right") - 1
+        begin = (of - first[document]) * self.stride
+        fits = begin < np.maximum(1, lengths[document] - self.stride)
+        of, document, begin = of[fits], document[fits], begin[fits]
+        near = np.zeros(len(rare) + 1, bool)
+        near[of] = near[of + 1] = True
+        own = np.flatnonzero(near[cell])
+        rows, cell = rows[own], (np.cumsum(near) - 1)[cell[own]]
+        entry = self.entries(rows)
+        sums = np.bincount(np.repeat(cell * self.ranges, self.starts[rows + 1] - self.starts[rows]) + self.in_range[entry], self.greatest[entry], near.sum() * self.ranges).reshape(-1, self.ranges)
+        k = (np.cumsum(near) - 1)[of]
+        enough = (sums[k] + sums[k + 1]).max(axis=1) >= self.least - 1e-9 if len(k) else np.zeros(0, bool)
+        return document[enough], begin[enough]
+
+    def best(self, words: list[bytes], begins: list[int]) -> dict[int, tuple[float, float, float, float]]:
+        """Items that the document's passages at ``begins`` hold, with score and overlaps (the best of all passages)."""
         best: dict[int, tuple[float, float, float, float]] = {}
-        for begin in self.reachable(len(words), rows).tolist():
+        for begin in begins:
             passage = words[begin : begin + 2 * self.stride]
             near = None
             for item, score in self.search(sorted({w for w in passage if w in self.lists})):
@@ -239,12 +250,35 @@ class Searcher:
 
     def matches(self, text: bytes) -> list[tuple[int | None, float, float, float, float]]:
         """``(item_id, score, overlaps)`` of every item that the text holds."""
-        words = words_of(text)
-        if len(words) < SHINGLE:
-            return [(k, 1.0, 1.0, 1.0, 1.0) for k in self.short.get(tuple(words), ())]
-        get = self.row.get
-        rows = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        return [(band.ids[k], *v) for band in self.bands for k, v in sorted(band.matches(words, rows).items())]
+        return next(self.matches_of([text]))
+
+    def matches_of(self, texts: Iterable[bytes]) -> Iterator[list[tuple[int | None, float, float, float, float]]]:
+        """``matches`` of each text; texts of about ``BLOCK_WORDS`` words share the look at block maxima."""
+        block, n = [], 0
+        for text in texts:
+            block.append(words_of(text))
+            n += len(block[-1])
+            if n >= BLOCK_WORDS or len(block) >= BLOCK_WORDS:
+                yield from self._matches(block)
+                block, n = [], 0
+        yield from self._matches(block)
+
+    def _matches(self, block: list[list[bytes]]) -> Iterator[list[tuple[int | None, float, float, float, float]]]:
+        lengths = np.fromiter(map(len, block), np.int64, len(block))
+        rows = np.fromiter(map(self.row.get, chain.from_iterable(block), repeat(0)), np.int64, lengths.sum())
+        known = np.flatnonzero(rows)
+        doc = np.repeat(np.arange(len(block)), lengths)[known]
+        rows, place = rows[known], known - (np.cumsum(lengths) - lengths)[doc]
+        begins: list[dict[int, list[int]]] = []
+        for band in self.bands:
+            begins.append({})
+            for k, begin in zip(*map(np.ndarray.tolist, band.reachable(rows, place, doc, lengths)), strict=True):
+                begins[-1].setdefault(k, []).append(begin)
+        for k, words in enumerate(block):
+            if len(words) < SHINGLE:
+                yield [(x, 1.0, 1.0, 1.0, 1.0) for x in self.short.get(tuple(words), ())]
+            else:
+                yield [(band.ids[x], *v) for band, own in zip(self.bands, begins, strict=True) if k in own for x, v in sorted(band.best(words, own[k]).items())]
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -280,8 +314,8 @@ def _searcher(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                rows += [(doc_id, *x) for x in shared.value.matches(text)]
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), shared.value.matches_of(as_bytes(batch.column("text"))), strict=True):
+                rows += [(doc_id, *x) for x in own]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=MATCH.names)
 
@@ -291,7 +325,7 @@ def _searcher(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def _holder(shared: Broadcast):
     @F.arrow_udf(T.BooleanType())
     def holds(text: pa.Array) -> pa.Array:
-        return pa.array([bool(shared.value.matches(x)) for x in as_bytes(text)], pa.bool_())
+        return pa.array([bool(x) for x in shared.value.matches_of(as_bytes(text))], pa.bool_())
 
     return holds
 

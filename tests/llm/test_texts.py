@@ -449,6 +449,24 @@ def test_a_large_benchmark_stays_small():
     assert 77 in {m[0] for m in searcher.matches(text)}
 
 
+def test_documents_share_the_look_at_block_maxima(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"t{i}" for i in range(400)]
+    items = [(k, " ".join(rng.choice(words, int(n))).encode()) for k, n in enumerate(rng.integers(1, 60, 80))]
+    df = Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
+    searcher = decontaminate.Searcher(items, df, len(items), 25.0, decontaminate.Settings())
+    texts = [b" ".join([*rng.choice(words, int(rng.integers(0, 200))).astype("S"), *([items[k % 80][1]] if k % 3 else [])]) for k in range(300)] + [b"", items[2][1], b"t1 " * 9000]
+    alone = [searcher.matches(x) for x in texts]
+    assert sum(map(bool, alone)) > 150
+    looks, look = [], decontaminate.Index.reachable
+    monkeypatch.setattr(decontaminate.Index, "reachable", lambda *a: looks.append(1) or look(*a))
+    for limit in (1, 700, decontaminate.BLOCK_WORDS):
+        looks.clear()
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", limit)
+        assert list(searcher.matches_of(texts)) == alone
+    assert len(looks) <= 2 * len(searcher.bands)
+
+
 def test_a_very_long_text_is_searched(spark):
     fill = " ".join(f"q{i % 5003}" for i in range(120_000))
     found = decontaminate.contaminated_pairs(docs(spark, [(1, f"{fill} {ITEM} {fill}"), (2, fill)]), spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()
