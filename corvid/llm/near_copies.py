@@ -74,21 +74,10 @@ def shingles(text: pa.Array) -> pa.Array:
     return _lists([shingle_set(x) for x in as_bytes(text)])
 
 
-@F.arrow_udf(T.BinaryType())
-def packed_shingles(text: pa.Array) -> pa.Array:
-    return pa.array([chunks.pack(shingle_set(x)) for x in as_bytes(text)], pa.binary())
-
-
-@F.arrow_udf(T.BooleanType())
-def sets_similar(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Whether two packed sets have the similarity."""
-
-    def one(x: bytes, y: bytes) -> bool:
-        x, y = chunks.unpack(x, "<u8"), chunks.unpack(y, "<u8")
-        both = len(x) + len(y) - len(chunks.distinct(np.concatenate([x, y])))
-        return both * WHOLE >= (len(x) + len(y) - both) * PART
-
-    return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+def sets_similar(a: str, b: str) -> Column:
+    """Whether two sets have the similarity; Spark compares them row by row, so no batch holds the sets of many pairs."""
+    both = F.size(F.array_intersect(a, b))
+    return both * WHOLE >= (F.size(a) + F.size(b) - both) * PART
 
 
 def prefix_of(own: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -156,7 +145,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, slim: DataFrame) -> DataFrame:
     wanted = materialise(nodes.join(members, "node", "left_semi").select("node", "rep.*"), "wanted")
     some = cells_of(wanted, "text_key")
     texts = slim.withColumn("text_key", F.xxhash64("text")).where(in_cells(F.col("text_key"), some)).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"])
-    sets = materialise(texts.select("node", packed_shingles(F.col("text")).alias("own")), "sets")
+    sets = materialise(texts.select("node", shingles(F.col("text")).alias("own")), "sets")
     release(slim.sparkSession)
     left, right = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b"))
     links = materialise(pairs.join(left, "a").join(right, "b").where(sets_similar("own_a", "own_b")).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")

@@ -60,3 +60,12 @@ def test_an_id_with_two_texts_loses_only_the_copy(spark):
     rows = [(1, "one text of some six words"), (2, "one text of some six words"), (2, "quite another text with other words")]
     kept = simhash.keep_one_per_group(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(map(tuple, kept)) == [rows[0], rows[2]]
+
+
+def test_sets_are_compared_without_batches_of_pairs(spark):
+    base = list(range(-40, 40))
+    cases = [(base, base, True), (base, base[:64], True), (base, base[:63], False), ([1], [2], False), ([7], [7], True), (base[:72], base[8:], True), (base[:71], base[8:], False)]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, x array<long>, y array<long>")
+    found = rows.select("k", near_copies.sets_similar("x", "y").alias("is"))
+    assert "Python" not in found._jdf.queryExecution().toString()  # noqa: SLF001
+    assert [r["is"] for r in found.orderBy("k").collect()] == [c for *_, c in cases]
