@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,3 +306,17 @@ def test_classifier_folds_are_crc32(spark):
     ids = [0, 1, 17, 12345678901, -5]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", fold(3).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+
+
+def test_words_of_many_texts_are_hashed_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    some = lambda n: bytes(rng.choice(list(b"ab \t\n\x0b\x0c\r\x00\x1f\x85\xa0z"), int(n)).astype(np.uint8))
+    word = lambda n: bytes(rng.integers(33, 256, int(n)).astype(np.uint8))
+    texts = [b"", b" ", b"x", *(some(n) for n in rng.integers(0, 60, 200)), *(b" ".join(word(n) for n in rng.integers(1, 80, 40)) for _ in range(20)), b"", b"\n\n"]
+    for part in (texts, texts[:1], texts[1:3], []):
+        words = [w for x in part for w in x.split()]
+        ids, n = chunks.hashed_words(part)
+        assert ids.tolist() == chunks.word_ids(words).tolist() and n.tolist() == [len(x.split()) for x in part]
+    monkeypatch.setattr(chunks, "word_ids", None)  # no word by word
+    own = ngram_model.Chunk(ngram_model.blocks(iter([pa.RecordBatch.from_pydict({"doc_id": [1, None, 3], "text": ["A b\na", None, "b " * 9]})])), lambda d: True)
+    assert own.lengths.tolist() == [4, 1, 10] and own.tokens[0][[3, 4, 14]].tolist() == [ngram_model.END] * 3
