@@ -2,15 +2,20 @@
 
 Quality rules and decontamination drop documents, near-dedup keeps one
 document of each group, PII rewrites texts, packing returns token pieces.
+
+All stages run in one session, whose executors keep the memory that the
+largest batches took, so every stage limits their bytes (``small_batches``).
+The setting stays, since a stage's last pass runs when its result is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm.common import table
+from corvid.llm.common import small_batches, table
 from corvid.llm.decontaminate import drop_contaminated
 from corvid.llm.packing import pack
 from corvid.llm.pii import sanitise
@@ -21,22 +26,36 @@ from corvid.plans.scratch import materialise
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def in_small_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def limited(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return limited
+
+
+@in_small_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_documents(docs)
 
 
+@in_small_batches
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_per_group(docs)
 
 
+@in_small_batches
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sanitise(docs)
 
 
+@in_small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, added_tokens=True)
 

@@ -1,9 +1,12 @@
 """The pipeline's near-dedup stage, held against the similarity of every pair."""
 
+import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvid.llm import near_copies, simhash
+from corvid.llm.common import BATCH_BYTES, BATCH_SETTING
 
 DOCS = "doc_id long, text string"
 
@@ -69,3 +72,23 @@ def test_sets_are_compared_without_batches_of_pairs(spark):
     found = rows.select("k", near_copies.sets_similar("x", "y").alias("is"))
     assert "Python" not in found._jdf.queryExecution().toString()  # noqa: SLF001
     assert [r["is"] for r in found.orderBy("k").collect()] == [c for *_, c in cases]
+
+
+@pytest.mark.parametrize("own", [None, 1 << 20])
+def test_stages_of_the_pipeline_get_texts_in_small_batches(spark, monkeypatch, own):
+    def batch_sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    monkeypatch.setattr(corpus_pipeline, "keep_one_per_group", lambda docs: docs.mapInArrow(batch_sizes, "n long, bytes long"))
+    one = 50_000
+    docs = spark.range(0, 240, 1, 1).selectExpr("id as doc_id", f"repeat('x', {one}) as text")
+    spark.conf.unset(BATCH_SETTING)
+    try:
+        if own:
+            spark.conf.set(BATCH_SETTING, own)
+        found = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect()
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+    assert sum(r.n for r in found) == 240
+    assert max(r.bytes for r in found) <= (own or BATCH_BYTES) + 2 * one
