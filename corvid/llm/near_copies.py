@@ -13,8 +13,9 @@ result. Whole sets decide on every candidate.
 Equal sets are one node. First, each node is held against close fingerprints
 and the leader (smallest node) of every prefix shingle it shares: so large
 groups join up without their pairs. Then pairs that share a prefix shingle
-and are still in different groups follow, if what their prefixes share and
-what can follow them may reach the similarity.
+and are still in different groups follow. Of both, whole sets are only made
+and compared if what the prefixes share and what can follow them may reach
+the similarity.
 
 Words are lower-cased (A-Z). Fewer words than a shingle are one shingle, also
 none at all; a row without an id takes part in no group.
@@ -118,6 +119,19 @@ def _fitting(a: str, b: str) -> Column:
     return (F.col(a) * PART <= F.col(b) * WHOLE) & (F.col(b) * PART <= F.col(a) * WHOLE)
 
 
+def _allowed(shared: Column) -> Column:
+    """Whether sets of ``n_a`` and ``n_b`` shingles may be similar, whose prefixes have ``shared`` in common."""
+    # all that both have up to the earlier end of the two prefixes is in both; beyond it, that set has no more than its rest
+    rest = lambda n: F.ceil(F.col(n) * PART / WHOLE) - 1
+    return (shared + F.greatest(rest("n_a"), rest("n_b"))) * (PART + WHOLE) >= (F.col("n_a") + F.col("n_b")) * PART
+
+
+def allowed_pairs(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` that may be similar by their prefixes in ``found(node, size, prefix)``, a fifth of the whole sets."""
+    left, right = (found.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}")) for c in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where(_allowed(F.size(F.array_intersect("prefix_a", "prefix_b")))).select("a", "b")
+
+
 def leader_pairs(keyed: DataFrame) -> DataFrame:
     """Each node of ``keyed(s, node, size)`` with the smallest node of each prefix shingle that it shares: no group's pairs."""
     leaders = keyed.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1").select("s", F.col("lead.node").alias("a"), F.col("lead.size").alias("n_a"))
@@ -133,10 +147,7 @@ def open_pairs(keyed: DataFrame, known: DataFrame) -> DataFrame:
     a, b = met.alias("a"), met.alias("b")
     pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.of") != F.col("b.of")) & _fitting("a.size", "b.size"))
     counted = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.size").alias("n_a"), F.col("b.size").alias("n_b")).count()
-    # all that both have up to the earlier end of the two prefixes is in both; beyond it, that set has no more than its rest
-    rest = lambda n: F.ceil(F.col(n) * PART / WHOLE) - 1
-    enough = (F.col("count") + F.greatest(rest("n_a"), rest("n_b"))) * (PART + WHOLE) >= (F.col("n_a") + F.col("n_b")) * PART
-    return counted.where(enough).select("a", "b")
+    return counted.where(_allowed(F.col("count"))).select("a", "b")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, slim: DataFrame) -> DataFrame:
@@ -171,7 +182,7 @@ def near_copy_groups(docs: DataFrame, simhash_pairs: Callable[[DataFrame], DataF
     keyed = materialise(exploded.join(shared, "s"), "keyed")
     release(docs.sparkSession)
     close = simhash_pairs(found.select("node", "fp")).select("a", "b")
-    first = materialise(leader_pairs(keyed).unionByName(close).distinct(), "pairs")
+    first = materialise(allowed_pairs(leader_pairs(keyed).unionByName(close).distinct(), found), "pairs")
     discard(found)
     links = similar(first, nodes, slim)
     known = connected_components(links)

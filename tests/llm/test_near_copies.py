@@ -74,6 +74,23 @@ def test_sets_are_compared_without_batches_of_pairs(spark):
     assert [r["is"] for r in found.orderBy("k").collect()] == [c for *_, c in cases]
 
 
+def test_prefixes_leave_out_pairs_but_no_similar_ones(spark):
+    none, rng = np.zeros(0, np.uint64), np.random.default_rng(11)
+    rows, pairs, like = [], [], set()
+    for k in range(60):
+        n = int(rng.integers(1, 120))
+        a, more = np.split(rng.choice(1 << 20, 2 * n, replace=False).astype(np.uint64), 2)
+        b = np.concatenate([a[: n - n * (k % 6) // 18], more[: n * (k % 6) // 18]]) if k % 2 else np.concatenate([a[:1], more[1:]])
+        for node, own in ((2 * k, np.sort(a)), (2 * k + 1, np.sort(b))):
+            rows.append((node, len(own), near_copies.prefix_of(own, none, none).view(np.int64).tolist()))
+        pairs.append((2 * k, 2 * k + 1))
+        if len(np.intersect1d(a, b)) * 5 >= len(np.union1d(a, b)) * 4:
+            like.add(pairs[-1])
+    found = near_copies.allowed_pairs(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "node long, size int, prefix array<long>"))
+    kept = {tuple(r) for r in found.collect()}
+    assert like and like <= kept and len(kept) < 45
+
+
 @pytest.mark.parametrize("own", [None, 1 << 20])
 def test_stages_of_the_pipeline_get_texts_in_small_batches(spark, monkeypatch, own):
     def batch_sizes(batches):
