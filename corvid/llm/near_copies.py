@@ -11,11 +11,17 @@ quote are seldom in a prefix; the order decides the work only, never the
 result. Whole sets decide on every candidate.
 
 Equal sets are one node. First, each node is held against close fingerprints
-and the leader (smallest node) of every prefix shingle it shares: so large
-groups join up without their pairs. Then pairs that share a prefix shingle
-and are still in different groups follow. Of both, whole sets are only made
-and compared if what the prefixes share and what can follow them may reach
-the similarity.
+and the leader (smallest node) of every prefix shingle it shares. In a dense
+group the members need not be like that one leader, so nodes that are still in
+different groups are held against a few other leaders of each shingle: both
+rounds grow with the shingles, not with a group's pairs. Then pairs that share
+a prefix shingle and are still in different groups follow. Beside what most of
+a shingle's nodes already are, only the others look for partners.
+
+Three bounds come before whole sets: what the prefixes have in common (first
+round), and, for the others, a shingle's place in its prefix once shingles
+that fewer prefixes have come first, counted exactly, and the least difference
+of two sets by parities of their hashes.
 
 Words are lower-cased (A-Z). Fewer words than a shingle are one shingle, also
 none at all; a row without an id takes part in no group.
@@ -42,6 +48,8 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 #: documents whose shingles give the order, and frequent shingles kept of them
 SAMPLE, FREQUENT, MET = 20_000, 100_000, 4
+#: 64-bit words of a set's parities, and leaders of a shingle in the second round
+WORDS, LEADERS = 8, 4
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -64,6 +72,12 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits((counts * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit per residue of the hashes, one where an odd number fall: two sets differ in at least as many shingles as bits."""
+    odd = (np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
     cuts = np.cumsum([0, *map(len, found)])
     values = np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -90,8 +104,14 @@ def prefix_of(own: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.nd
     return own[np.lexsort((own, np.where(frequent[at] == own, times[at], 0)))[:size]]
 
 
+def place_of(s: np.uint64, frequent: np.ndarray, times: np.ndarray) -> tuple[int, int]:
+    """A shingle's place in that order, as two signed numbers."""
+    at = int(frequent.searchsorted(s))
+    return int(times[at]) if at < len(frequent) and frequent[at] == s else 0, int(s) - (1 << 63)
+
+
 def prefixes(docs: DataFrame) -> Column:
-    """A function of a text: its set's key and size, and its prefix in an order taken from a sample of ``docs``."""
+    """A function of a text: its set's key, size and parities, its prefix in an order taken from a sample of ``docs``, and where that ends."""
     spark, key = docs.sparkSession, F.xxhash64("text")
     step = max(1, docs.count() // SAMPLE)
     some = docs.where(F.pmod(key, F.lit(step)) == 0).groupBy(key.alias("key")).agg(F.first("text").alias("text"))
@@ -101,16 +121,19 @@ def prefixes(docs: DataFrame) -> Column:
     order = np.argsort(hashes)
     shared = spark.sparkContext.broadcast((hashes[order], times[order]))
 
-    @F.arrow_udf("struct<node:bigint,size:int,fp:bigint,prefix:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,size:int,fp:bigint,bits:array<bigint>,times:bigint,last:bigint,prefix:array<bigint>>")
     def of(text: pa.Array) -> pa.Array:
-        nodes, sizes, prints, heads = [], [], [], []
+        nodes, sizes, prints, odd, ends, heads = [], [], [], [], [], []
         for x in as_bytes(text):
             own = shingle_set(x)
             nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
             sizes.append(len(own))
             prints.append(majority(own))
+            odd.append(parities(own))
             heads.append(prefix_of(own, *shared.value))
-        return pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.int64)), _lists(heads)], ["node", "size", "fp", "prefix"])
+            ends.append(place_of(heads[-1][-1], *shared.value))
+        times, last = np.array(ends, np.int64).reshape(-1, 2).T
+        return pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.int64)), _lists(odd), pa.array(times), pa.array(last), _lists(heads)], ["node", "size", "fp", "bits", "times", "last", "prefix"])
 
     return of(F.col("text"))
 
@@ -139,15 +162,56 @@ def leader_pairs(keyed: DataFrame) -> DataFrame:
     return met.select("a", F.col("node").alias("b")).distinct()
 
 
-def open_pairs(keyed: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a prefix shingle, are not yet in one group, and may be similar by what their prefixes share."""
-    grouped = materialise(keyed.join(known, "node", "left").select("s", "node", "size", F.coalesce("component", "node").alias("of")), "keyed")
-    split = grouped.groupBy("s").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("s")
-    met = materialise(grouped.join(split, "s"), "split")
-    a, b = met.alias("a"), met.alias("b")
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.of") != F.col("b.of")) & _fitting("a.size", "b.size"))
-    counted = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.size").alias("n_a"), F.col("b.size").alias("n_b")).count()
-    return counted.where(_allowed(F.col("count"))).select("a", "b")
+def placed(exploded: DataFrame) -> DataFrame:
+    """``(s, node, size, at)`` of the shingles of ``exploded(node, size, s)`` that several prefixes have.
+
+    ``at`` is the shingle's place in its prefix if shingles come first that
+    fewer prefixes have; those that no other has are in front of all.
+    """
+    shared = exploded.groupBy("s").agg(F.count("*").alias("met")).where("met > 1")
+    own = exploded.join(shared, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("met", "s"))).alias("own"))
+    alone = F.col("size") - F.ceil(F.col("size") * PART / WHOLE) + 1 - F.size("own")
+    return own.select("node", "size", alone.alias("alone"), F.posexplode("own").alias("pos", "x")).select("x.s", "node", "size", (F.col("alone") + F.col("pos")).cast("int").alias("at"))
+
+
+def _may_be_similar(a: str, b: str) -> Column:
+    """Whether two rows of ``split_keys`` may be of similar sets, if their shingle is the first in ``at`` that both prefixes have."""
+    col = lambda x, c: F.col(f"{x}.{c}")
+    # what the prefix that ends first has before that shingle is in it alone: the other prefix would have it too
+    room = lambda x, y: col(x, "at") * (PART + WHOLE) + col(y, "size") * PART <= col(x, "size") * WHOLE
+    place = lambda x: F.struct(col(x, "times"), col(x, "last"))
+    differ = sum((F.bit_count(col(a, "bits")[i].bitwiseXOR(col(b, "bits")[i])) for i in range(WORDS)), F.lit(0))
+    first = F.when(place(a) <= place(b), room(a, b)).otherwise(room(b, a))
+    return _fitting(f"{a}.size", f"{b}.size") & first & (differ * (PART + WHOLE) <= (col(a, "size") + col(b, "size")) * (WHOLE - PART))
+
+
+def split_keys(keyed: DataFrame, known: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of ``keyed(s, node, size, at)`` whose shingle has nodes of several groups; ``main`` is the group that most of them are in."""
+    grouped = materialise(keyed.select("s", "node", "size", "at").join(known, "node", "left").select("s", "node", "size", "at", F.coalesce("component", "node").alias("of")), "keyed")
+    split = grouped.groupBy("s", "of").count().groupBy("s").agg(F.max(F.struct("count", "of")).alias("most"), F.count("*").alias("groups")).where("groups > 1").select("s", F.col("most.of").alias("main"))
+    met = materialise(grouped.join(split, "s").select("*", (F.col("of") == F.col("main")).alias("in_main")).drop("main").join(marks, "node"), "split")
+    discard(grouped)
+    return met
+
+
+def other_leaders(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``split_keys``: each node with a few nodes of each of its shingles, another choice for every shingle, that are in other groups."""
+    own = F.struct("node", "of", "size", "at", "times", "last", "bits")
+    leaders = met.groupBy("s").agg(F.array_distinct(F.array(*(F.min_by(own, F.xxhash64("s", "node", F.lit(i))) for i in range(LEADERS)))).alias("x"))
+    a, b = leaders.select("s", F.explode("x").alias("x")).select("s", "x.*").alias("a"), met.alias("b")
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.of") != F.col("b.of")) & _may_be_similar("a", "b"))
+    return _ordered(pairs)
+
+
+def open_pairs(met: DataFrame) -> DataFrame:
+    """All pairs (a, b) of ``split_keys`` that are not yet in one group and may be similar."""
+    a, b = met.where("not in_main").alias("a"), met.alias("b")
+    once = F.col("b.in_main") | (F.col("a.node") < F.col("b.node"))
+    return _ordered(a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.of") != F.col("b.of")) & once & _may_be_similar("a", "b")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, slim: DataFrame) -> DataFrame:
@@ -174,23 +238,30 @@ def near_copy_groups(docs: DataFrame, simhash_pairs: Callable[[DataFrame], DataF
     slim = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     made = materialise(slim.select("doc_id", F.xxhash64("text").alias("text_key"), prefixes(slim).alias("x")).select("doc_id", "text_key", "x.*"), "prefixes")
     rows = materialise(made.select("doc_id", "text_key", "node"), "rows")
-    found = materialise(made.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
+    one = [F.first(c).alias(c) for c in ("size", "fp", "bits", "times", "last", "prefix")]
+    found = materialise(made.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), *one), "nodes")
     nodes = materialise(found.select("node", "rep"), "nodes")
+    marks = materialise(found.select("node", "times", "last", "bits"), "marks")
     discard(made)
-    exploded = found.select("node", "size", F.explode("prefix").alias("s"))
-    shared = exploded.groupBy("s").count().where("count > 1").select("s")
-    keyed = materialise(exploded.join(shared, "s"), "keyed")
+    keyed = materialise(placed(found.select("node", "size", F.explode("prefix").alias("s"))), "keyed")
     release(docs.sparkSession)
     close = simhash_pairs(found.select("node", "fp")).select("a", "b")
-    first = materialise(allowed_pairs(leader_pairs(keyed).unionByName(close).distinct(), found), "pairs")
+    tried = materialise(allowed_pairs(leader_pairs(keyed).unionByName(close).distinct(), found), "pairs")
     discard(found)
-    links = similar(first, nodes, slim)
+    links = similar(tried, nodes, slim)
     known = connected_components(links)
-    rest = materialise(open_pairs(keyed, known).join(first, ["a", "b"], "left_anti"), "pairs")
+    for candidates in (other_leaders, open_pairs):
+        met = split_keys(keyed, known, marks)
+        discard(keyed)
+        keyed = met
+        pairs = materialise(candidates(met).join(tried, ["a", "b"], "left_anti"), "pairs")
+        release(docs.sparkSession)
+        more = similar(pairs, nodes, slim)
+        tried = tried.unionByName(pairs)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            known = connected_components(links)
     discard(keyed)
-    more = similar(rest, nodes, slim)
-    if more.limit(1).count():
-        known = connected_components(links.unionByName(more))
     labelled = nodes.join(known, "node", "left").select("node", F.col("rep.doc_id").alias("low"), F.coalesce("component", "node").alias("component"))
     lows = labelled.groupBy("component").agg(F.min("low").alias("first_id"))
     groups = materialise(labelled.join(lows, "component").select("node", "first_id"), "groups")

@@ -59,6 +59,27 @@ def test_a_large_group_forms_no_pairs(spark):
     assert [r.doc_id for r in simhash.keep_one_per_group(spark.createDataFrame(rows, DOCS)).collect()] == [0]
 
 
+def test_a_dense_group_is_joined_without_most_of_its_pairs(spark, monkeypatch):
+    rng, seen, write = np.random.default_rng(13), [], near_copies.materialise
+    base = [f"g{int(x)}" for x in rng.integers(0, 4000, 150)]
+    rows = []
+    for k in range(240):  # most are like some others, few like one leader
+        own = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(1, 6))):
+            own[at] = f"own{k}_{at}"
+        rows.append((k, " ".join(own)))
+
+    def counted(table, label, *parts):
+        out = write(table, label, *parts)
+        seen.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id for r in kept} == slow_kept(rows)
+    assert sum(seen) < 240 * 239 / 2 / 5
+
+
 def test_an_id_with_two_texts_loses_only_the_copy(spark):
     rows = [(1, "one text of some six words"), (2, "one text of some six words"), (2, "quite another text with other words")]
     kept = simhash.keep_one_per_group(spark.createDataFrame(rows, DOCS)).collect()
@@ -91,6 +112,15 @@ def test_prefixes_leave_out_pairs_but_no_similar_ones(spark):
     assert like and like <= kept and len(kept) < 45
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(17)
+    for n in (1, 2, 40, 900):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in "ab")
+        b = np.union1d(a[: n // 2], b)
+        differ = int(np.bitwise_count(near_copies.parities(a) ^ near_copies.parities(b)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (differ > 0) == (len(np.setxor1d(a, b)) > 0)
+
+
 @pytest.mark.parametrize("own", [None, 1 << 20])
 def test_stages_of_the_pipeline_get_texts_in_small_batches(spark, monkeypatch, own):
     def batch_sizes(batches):
