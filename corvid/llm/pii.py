@@ -174,7 +174,8 @@ class Findings:
 
 
 def surely(n_et: Column, n_t: Column, s: Settings) -> Column:
-    """Lower end of the Wilson interval of n_et / n_t."""
+    """Lower end of the Wilson interval of n_et / n_t. Counts become doubles first: a literal is 32 bits wide and its square overflows."""
+    n_et, n_t = n_et.cast("double"), n_t.cast("double")
     z2, share = s.z**2, n_et / n_t
     return (share + z2 / (2 * n_t) - s.z * F.sqrt(share * (1 - share) / n_t + z2 / (4 * n_t * n_t))) / (1 + z2 / n_t)
 

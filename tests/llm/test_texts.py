@@ -353,6 +353,15 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(df.where("false")).count() == 0 and len(clean) == len(rows)
 
 
+def test_a_number_discloses_among_many_texts_with_numbers(spark):
+    """Counts of texts are squared: beyond 23,170 of them four squares pass 32 bits."""
+    plain = spark.range(25_000).select("id", F.concat(F.lit("lot "), F.col("id"), F.lit(" came late")).alias("text"))
+    held = spark.range(25_000, 25_008).select("id", F.concat(F.lit("ask kim@firm.example about 7771234 in week "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 3)).alias("text"))
+    df = plain.unionByName(held).select(F.col("id").alias("doc_id"), "text")
+    found = {r.doc_id: [r.text[x.start : x.end] for x in r.extra if x.kind == "number"] for r in pii.analyse(df).extra.join(df, "doc_id").collect()}
+    assert found == {i: ["7771234"] for i in range(25_000, 25_008)}
+
+
 def test_terms_are_generalised_to_a_class_that_discloses_nothing(spark):
     plain = "some text of ordinary words goes on here"
     rows = [(i, f"{plain} order 004417 by boss@corp.com under ref kx9 today {i}") for i in range(5)] + [(10 + i, f"{plain} with {i} and a{i} in it") for i in range(200)]
