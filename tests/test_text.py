@@ -108,3 +108,14 @@ def test_a_deep_payload():
 def test_first_slug(spark):
     df = spark.createDataFrame([('{"slug":"a"}',), ('[{"slug":"b"}]',), ('{"slug":""}',), ("broken",)], "j string")
     assert [r.s for r in df.select(first_slug(F.col("j")).alias("s")).collect()] == ["a", "b", None, None]
+
+
+def test_field_scores_broadcast_no_tokens(spark):
+    """A file of a few megabytes may hold millions of rows; several rows of a pair or an item count together."""
+    asked = spark.createDataFrame([(q, q % 3, t) for q in range(9) for t in (["red harbour", "wine 7x"] if q == 4 else ["red harbor"])] + [(9, 1, None), (10, 2, "")], "query_id int, item_id int, text string")
+    targets = spark.createDataFrame([(0, "red harbour"), (1, "red harbour"), (1, "red 7x"), (2, "blue"), (3, "red")], "item_id int, text string")
+    found = evidence.field_scores(asked, targets, threshold=0.72)
+    assert "BroadcastHashJoin [item_id" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.item_id): r.score for r in found.collect()}
+    # item 1 has red (3) at place 0 once, harbour (7) and 7x (2) at place 1
+    assert got == pytest.approx({(q, q % 3): {0: 1.0, 1: 1.0 if q == 4 else 10 / 12, 2: 0.0}[q % 3] for q in range(9)})
