@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corvid.functions import similarity, text
 from corvid.functions.parse import cards, decode_payload, first_per_slug, first_slug
 from corvid.operators import evidence, taxonomy
+from corvid.plans import queries
 
 CASES = {"Тёмный ЛЕС, №7": "темный лес no7", "naïve": "na ve", "A—B…C": "a b c", "x²": "x2", "\tТри   слова\n": "три слова", "…": "", "": ""}
 
@@ -119,3 +120,18 @@ def test_field_scores_broadcast_no_tokens(spark):
     got = {(r.query_id, r.item_id): r.score for r in found.collect()}
     # item 1 has red (3) at place 0 once, harbour (7) and 7x (2) at place 1
     assert got == pytest.approx({(q, q % 3): {0: 1.0, 1: 1.0 if q == 4 else 10 / 12, 2: 0.0}[q % 3] for q in range(9)})
+
+
+def test_edit_similarities_meet_each_pair_of_texts_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(evidence, "KEYS", 2)
+    names = ["red rod", "red rod", "red rod", "blue rod", "", None, "red rod", "old gear"]
+    rows = [(k, names[k % 8], f"b{k % 3}" if k % 11 else None, k % 2) for k in range(60)] + [(7, "red rod", "b1", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.edit_similarity(spark, str(tmp_path))
+    assert "levenshtein" not in found._jdf.queryExecution().executedPlan().toString()  # not once for each pair of keys
+    far = lambda a, b: F.levenshtein(F.lit(a), F.lit(b))
+    known = [x for x in names if x is not None]
+    edits = spark.range(1).select(*(far(a, b) for a in known for b in known)).first()
+    edit = {(a, b): 1.0 if a == b else round(1 - d / max(len(a), len(b)), 9) for (a, b), d in zip(((a, b) for a in known for b in known), edits, strict=True)}
+    want = [(a[0], b[0], edit.get((a[1], b[1]))) for a in rows for b in rows if a[2] is not None and a[2:] == b[2:] and a[0] < b[0]]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
