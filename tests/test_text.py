@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from corvid.functions import similarity, text
 from corvid.functions.parse import cards, decode_payload, first_per_slug, first_slug
-from corvid.operators import evidence, taxonomy
-from corvid.plans import queries
+from corvid.operators import evidence, ranking, taxonomy
+from corvid.plans import more_queries, queries
 
 CASES = {"Тёмный ЛЕС, №7": "темный лес no7", "naïve": "na ve", "A—B…C": "a b c", "x²": "x2", "\tТри   слова\n": "три слова", "…": "", "": ""}
 
@@ -111,11 +111,13 @@ def test_first_slug(spark):
     assert [r.s for r in df.select(first_slug(F.col("j")).alias("s")).collect()] == ["a", "b", None, None]
 
 
-def test_field_scores_broadcast_no_tokens(spark):
+def test_field_scores_broadcast_no_tokens(spark, tmp_path):
     """A file of a few megabytes may hold millions of rows; several rows of a pair or an item count together."""
     asked = spark.createDataFrame([(q, q % 3, t) for q in range(9) for t in (["red harbour", "wine 7x"] if q == 4 else ["red harbor"])] + [(9, 1, None), (10, 2, "")], "query_id int, item_id int, text string")
     targets = spark.createDataFrame([(0, "red harbour"), (1, "red harbour"), (1, "red 7x"), (2, "blue"), (3, "red")], "item_id int, text string")
-    found = evidence.field_scores(asked, targets, threshold=0.72)
+    for name, df in (("asked", asked), ("targets", targets)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    found = evidence.field_scores(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("asked", "targets")), threshold=0.72)
     assert "BroadcastHashJoin [item_id" not in found._jdf.queryExecution().executedPlan().toString()
     got = {(r.query_id, r.item_id): r.score for r in found.collect()}
     # item 1 has red (3) at place 0 once, harbour (7) and 7x (2) at place 1
@@ -135,3 +137,32 @@ def test_edit_similarities_meet_each_pair_of_texts_once(spark, tmp_path, monkeyp
     edit = {(a, b): 1.0 if a == b else round(1 - d / max(len(a), len(b)), 9) for (a, b), d in zip(((a, b) for a in known for b in known), edits, strict=True)}
     want = [(a[0], b[0], edit.get((a[1], b[1]))) for a in rows for b in rows if a[2] is not None and a[2:] == b[2:] and a[0] < b[0]]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
+def copied_parts(spark, tmp_path):
+    """600 parts of 12 names, 3 makers and 2 types that go with the names."""
+    rows = [(k, f"{'red old blue'.split()[k * 7 % 3]} {'rod gear ring plate'.split()[k * 5 % 4]}", f"Brand#{k * 11 % 3 + 10}", f"{'PROMO SMALL'.split()[k % 2]}", k % 5, 1.0) for k in range(600)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_equal_texts_are_scored_once(spark, tmp_path):
+    parts = queries.catalog(spark, copied_parts(spark, tmp_path))
+    lines, known = (parts.select(F.col("slug").alias(c), F.concat_ws(" ", "title", "category").alias("text"), F.lit(0.9).alias("score")) for c in ("query_id", "item_id"))
+    lines = lines.where("query_id % 100 = 0").unionByName(spark.createDataFrame([(0, "rod rod rod rod rod rod rod gear", 0.5), (7, None, 1.0), (8, "", 1.0), (9, "zzz", None)], "query_id long, text string, score double"))
+    found = evidence.class_scores(lines, known.drop("score"), digits=9)
+    sizes = found.scores.count(), found.asked.select("asked_class").distinct().count(), found.known.select("known_class").distinct().count()
+    assert sizes[2] == 12 and sizes[0] <= sizes[1] * sizes[2] and found.pairs().count() > 20 * sizes[0]
+    every = evidence.text_scores(lines, known.drop("score")).withColumn("score", F.round("score", 9))
+    for k in (1, 5, 30, 1000):
+        assert sorted(map(tuple, found.best(k).collect())) == sorted(map(tuple, ranking.top_k(every, k).select("query_id", "item_id", "score", "rank").collect()))
+    some = every.where("item_id % 7 = 3")
+    assert sorted(map(tuple, found.among(some.select("query_id", "item_id")).collect())) == sorted(map(tuple, some.collect()))
+
+
+@pytest.mark.parametrize("query", [queries.text_scores, more_queries.fast_text_scores])
+def test_text_queries_expand_no_pairs(spark, tmp_path, query):
+    """The best items come from classes: nothing in the plan joins a query's words with all items."""
+    found = query(spark, copied_parts(spark, tmp_path))
+    assert "token" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 30 and found.where("rank = 1").count() == 6
