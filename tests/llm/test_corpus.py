@@ -320,3 +320,11 @@ def test_words_of_many_texts_are_hashed_at_once(monkeypatch):
     monkeypatch.setattr(chunks, "word_ids", None)  # no word by word
     own = ngram_model.Chunk(ngram_model.blocks(iter([pa.RecordBatch.from_pydict({"doc_id": [1, None, 3], "text": ["A b\na", None, "b " * 9]})])), lambda d: True)
     assert own.lengths.tolist() == [4, 1, 10] and own.tokens[0][[3, 4, 14]].tolist() == [ngram_model.END] * 3
+
+
+def test_the_stage_of_personal_data_takes_many_texts_with_numbers(spark):
+    """Over 23,170 of them and a number that discloses someone: the squared count passed 32 bits."""
+    plain = spark.range(24_000).select("id", F.concat(F.lit("lot "), F.col("id"), F.lit(" came late")).alias("text"))
+    held = spark.range(24_000, 24_008).select("id", F.concat(F.lit("ask kim@firm.example about 7771234 in week "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 3)).alias("text"))
+    clean = corpus_pipeline.pii(spark, plain.unionByName(held).select(F.col("id").alias("doc_id"), "text"), None)
+    assert clean.where("text like '%7771234%'").count() == 0 and clean.where("text like '%[email] % [number] %'").count() == 8
